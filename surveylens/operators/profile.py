@@ -110,27 +110,25 @@ def null_columns(df: DataFrame) -> list[str]:
 # --------------------------------------------------------- distinct counts ----
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None,
-                    exact: bool = True, screen_limit: int = 1000) -> DataFrame:
+                    exact: bool = True, rsd: float = 0.05) -> DataFrame:
     """(column_name, n_distinct): non-null distinct values per column.
 
-    ``exact=True`` runs ``count(DISTINCT c)`` for all columns in one job (Catalyst
-    rewrites it into an Expand + two-level aggregate with map-side combine).
-    ``exact=False`` screens with HyperLogLog first and counts exactly only the
-    columns whose estimate is below ``screen_limit``; the others keep the estimate,
-    which is enough for any threshold far below the limit (role decisions).
+    Exact: all columns are unpivoted to (column_name, value) and grouped twice; the
+    first grouping is combined map-side, so each task ships only its distinct pairs.
+    ``exact=False`` uses HyperLogLog (``approx_count_distinct``) -- bounded memory,
+    one pass -- for wide, high-cardinality tables where only a threshold far below the
+    cardinality matters.
     """
     columns = columns or df.columns
-    if exact:
-        return per_column_agg(df, columns, {"n_distinct": lambda c: F.count_distinct(c)})
-    est = {r["column_name"]: r["n_distinct"] for r in per_column_agg(
-        df, columns, {"n_distinct": lambda c: F.approx_count_distinct(c, 0.01)}).collect()}
-    low = [c for c in columns if est[c] < screen_limit]
-    exact_counts = {}
-    if low:
-        exact_counts = {r["column_name"]: r["n_distinct"] for r in per_column_agg(
-            df, low, {"n_distinct": lambda c: F.count_distinct(c)}).collect()}
-    rows = [(c, int(exact_counts.get(c, est[c]))) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column_name string, n_distinct long")
+    if not exact:
+        return per_column_agg(df, columns, {"n_distinct": lambda c: F.approx_count_distinct(c, rsd)})
+    pairs = (melt(df, columns, "string").filter(F.col("value").isNotNull())
+             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    counted = pairs.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+    # columns that are entirely null have no pairs: keep them with 0
+    return (names.join(counted, "column_name", "left")
+            .select("column_name", F.coalesce("n_distinct", F.lit(0)).cast("long").alias("n_distinct")))
 
 
 def column_roles(df: DataFrame, cat_th: int = 10, car_th: int = 20,
@@ -172,7 +170,7 @@ def roles_from_counts(df: DataFrame, counts: dict[str, int], cat_th: int = 10,
 
 
 def grab_col_names(df: DataFrame, cat_th: int = 10, car_th: int = 20,
-                   exact: bool = False) -> dict[str, list[str]]:
+                   exact: bool = True) -> dict[str, list[str]]:
     counts = {r["column_name"]: r["n_distinct"]
               for r in distinct_counts(df, exact=exact).collect()}
     return roles_from_counts(df, counts, cat_th, car_th)

@@ -21,7 +21,7 @@ def _r(df: DataFrame) -> DataFrame:
 
 
 def _roles(df: DataFrame, cat_th: int) -> dict[str, list[str]]:
-    return P.grab_col_names(df, cat_th=cat_th, car_th=S.CAR_TH, exact=False)
+    return P.grab_col_names(df, cat_th=cat_th, car_th=S.CAR_TH)
 
 
 # ------------------------------------------------------------- flagship ----
