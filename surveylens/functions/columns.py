@@ -39,7 +39,8 @@ def normalise_names(df: DataFrame) -> DataFrame:
 
 def drop_ids(df: DataFrame, keep_key: str | None = None) -> DataFrame:
     """Drop the row-number and key columns (optionally keep the key aside)."""
-    drop = [c for c in S.ID_COLUMNS if c in df.columns and c != keep_key]
+    drop = [c for c in df.columns
+            if normalised_name(c.upper()) in S.ID_COLUMNS and c != keep_key]
     return df.drop(*drop)
 
 

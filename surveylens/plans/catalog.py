@@ -159,3 +159,104 @@ def encode_labels(spark, sf_dir):
 def interaction_features(spark, sf_dir):
     df = FR.survey_encoded(spark, sf_dir)
     return df.select("ID", *S.DERIVED_FEATURES)
+
+
+# ---------------------------------------------------------------- cleaning ----
+
+from surveylens.operators import clean as CL  # noqa: E402
+from surveylens.operators import split as SP  # noqa: E402
+from surveylens.plans import prep as PR  # noqa: E402
+from surveylens.session import scratch_path  # noqa: E402
+from surveylens.sources import survey_io as IO  # noqa: E402
+from surveylens.sources.tables import load_table, survey_view  # noqa: E402
+
+
+def outlier_thresholds(spark, sf_dir):
+    df = FR.survey_features_no_id(spark, sf_dir)
+    return _r(CL.outlier_thresholds(df, _roles(df, S.CAT_TH_OUTLIER)["num_cols"]))
+
+
+def outlier_flags(spark, sf_dir):
+    df = FR.survey_features_no_id(spark, sf_dir)
+    return _r(CL.outlier_flags(df, _roles(df, S.CAT_TH_OUTLIER)["num_cols"]))
+
+
+def outlier_rows(spark, sf_dir):
+    events = load_table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return _r(CL.outlier_rows(events, "value"))
+
+
+def impute_median(spark, sf_dir):
+    df = FR.survey_upper(spark, sf_dir)
+    return _r(CL.quick_missing_imp(df, num_method="median"))
+
+
+def impute_mean(spark, sf_dir):
+    df = FR.survey_upper(spark, sf_dir)
+    return _r(CL.quick_missing_imp(df, num_method="mean"))
+
+
+def log1p_transform(spark, sf_dir):
+    df = CL.quick_missing_imp(FR.survey_upper(spark, sf_dir), num_method="median")
+    return _r(C.log1p_columns(df, S.LOG1P_COLUMNS).select("ID", *S.LOG1P_COLUMNS))
+
+
+def _prepared_full(spark, sf_dir):
+    raw = survey_view(spark, sf_dir)
+    model = PR.fit_prep(raw)
+    return PR.apply_prep(raw, model), model
+
+
+def prep_full(spark, sf_dir):
+    out, _ = _prepared_full(spark, sf_dir)
+    return _r(out)
+
+
+def standardize(spark, sf_dir):
+    out, model = _prepared_full(spark, sf_dir)
+    return _r(out.select("ID", *model.scale_cols))
+
+
+def prep_apply_holdout(spark, sf_dir):
+    """Fit on the 60 % training part, apply the frozen model to the 40 % holdout."""
+    raw = survey_view(spark, sf_dir)
+    train, test = SP.train_test_split(raw, key="id")
+    model = PR.fit_prep(train)
+    return _r(PR.apply_prep(test, model))
+
+
+def split_60_40(spark, sf_dir):
+    df = FR.survey_target_encoded(spark, sf_dir)
+    part = F.when(SP.split_column("ID"), "train").otherwise("test")
+    return (df.withColumn("part", part).groupBy("part")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.TARGET).cast("long").alias("n_satisfied")))
+
+
+def fold_sizes(spark, sf_dir):
+    df = FR.survey_target_encoded(spark, sf_dir)
+    train, _ = SP.train_test_split(df)
+    return (SP.with_folds(train, S.COMPARISON_FOLDS).groupBy("fold")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.TARGET).cast("long").alias("n_satisfied")))
+
+
+def sample_one(spark, sf_dir):
+    return SP.sample_one(FR.survey_upper(spark, sf_dir))
+
+
+def lookup_row(spark, sf_dir):
+    """The original answers of the sampled respondent (sample, then semi join by key)."""
+    df = FR.survey_upper(spark, sf_dir)
+    return SP.lookup_rows(df, SP.sample_one(df))
+
+
+def head_tail(spark, sf_dir):
+    return SP.head_tail(FR.survey_upper(spark, sf_dir))
+
+
+def read_csv_roundtrip(spark, sf_dir):
+    """Survey written as the study's CSV (spaced headers), read back and normalised."""
+    path = scratch_path(spark, "survey-csv")
+    IO.write_survey_csv(IO.to_raw_survey(survey_view(spark, sf_dir)), path)
+    df = IO.read_survey(spark, path)
+    df = C.normalise_names(C.upper_names(df))
+    return C.drop_ids(df, keep_key="ID")

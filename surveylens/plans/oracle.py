@@ -216,4 +216,123 @@ FROM (SELECT n, g1, y, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS
     q["encode_labels"] = _ctes("e") + "SELECT ID, GENDER, CUSTOMER_TYPE, TYPE_OF_TRAVEL, CLASS, SATISFACTION FROM e"
 
     q["interaction_features"] = _ctes("d") + "SELECT ID, " + ", ".join(S.DERIVED_FEATURES) + " FROM d"
+    q.update(cleaning_queries())
+    return q
+
+
+# ------------------------------------------------------- cleaning and prep ----
+
+ENCODE_SQL = """SELECT * REPLACE (
+  CAST(CASE WHEN GENDER = 'FEMALE' THEN 1 ELSE 0 END AS BIGINT) AS GENDER,
+  CAST(CASE WHEN CUSTOMER_TYPE = 'LOYAL CUSTOMER' THEN 1 ELSE 0 END AS BIGINT) AS CUSTOMER_TYPE,
+  CAST(CASE WHEN TYPE_OF_TRAVEL = 'BUSINESS TRAVEL' THEN 1 ELSE 0 END AS BIGINT) AS TYPE_OF_TRAVEL,
+  CAST(CASE WHEN CLASS = 'BUSINESS' THEN 2 WHEN CLASS = 'ECO PLUS' THEN 1 ELSE 0 END AS BIGINT) AS CLASS)
+FROM {src}"""
+
+SCALE_COLS = ["AGE", "FLIGHT_DISTANCE", "DEPARTURE_DELAY_IN_MINUTES", "ARRIVAL_DELAY_IN_MINUTES"]
+FEATURE_ORDER = S.FEATURES
+
+
+def md5_bucket_sql(key: str, seed: int, buckets: int) -> str:
+    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) % {buckets})"
+
+
+def md5_hash_sql(key: str, seed: int) -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+def _prep_ctes(fit_where: str = "TRUE", apply_where: str = "TRUE") -> str:
+    """CTEs ending in ``p``: prepared rows of ``apply_where`` with statistics of ``fit_where``."""
+    def chain(side: str, where: str) -> str:
+        return f""",
+{side}_r AS (SELECT * FROM t WHERE {where}),
+{side}_i AS (SELECT * REPLACE (coalesce(CLASS, f.class_fill) AS CLASS,
+                 coalesce(CAST(ARRIVAL_DELAY_IN_MINUTES AS DOUBLE), f.arr_fill) AS ARRIVAL_DELAY_IN_MINUTES)
+             FROM {side}_r, f),
+{side}_e AS ({ENCODE_SQL.format(src=side + '_i')}),
+{side}_d AS (SELECT *, {DERIVED_SQL} FROM {side}_e),
+{side}_l AS (SELECT * REPLACE (ln(1 + FLIGHT_DISTANCE) AS FLIGHT_DISTANCE,
+                 ln(1 + DEPARTURE_DELAY_IN_MINUTES) AS DEPARTURE_DELAY_IN_MINUTES,
+                 ln(1 + ARRIVAL_DELAY_IN_MINUTES) AS ARRIVAL_DELAY_IN_MINUTES) FROM {side}_d)"""
+    fill = f""",
+fr AS (SELECT * FROM t WHERE {fit_where}),
+f AS (SELECT (SELECT CLASS FROM fr WHERE CLASS IS NOT NULL GROUP BY CLASS ORDER BY count(*) DESC, CLASS LIMIT 1) AS class_fill,
+             (SELECT quantile_cont(ARRIVAL_DELAY_IN_MINUTES, 0.5) FROM fr) AS arr_fill)"""
+    stats = ", ".join(f"avg({c}) AS m_{i}, stddev_pop({c}) AS s_{i}" for i, c in enumerate(SCALE_COLS))
+    scaled = {c: f"({c} - m_{i}) / (CASE WHEN s_{i} = 0 THEN 1 ELSE s_{i} END)" for i, c in enumerate(SCALE_COLS)}
+    cols = ", ".join(f"{scaled[c]} AS {c}" if c in scaled else c for c in FEATURE_ORDER)
+    return (_ctes("t") + fill + chain("fit", fit_where) + chain("app", apply_where)
+            + f""",
+st AS (SELECT {stats} FROM fit_l),
+p AS (SELECT ID, {cols}, SATISFACTION FROM app_l, st)
+""")
+
+
+def _round_all(cols: list[str], doubles: set[str]) -> str:
+    return ", ".join(f"round({c}, 6) AS {c}" if c in doubles else c for c in cols)
+
+
+def cleaning_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["outlier_thresholds"] = _ctes("t") + _union([f"""
+SELECT '{c}' AS column_name, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
+       round(q1 - 1.5 * (q3 - q1), 6) AS low_limit, round(q3 + 1.5 * (q3 - q1), 6) AS up_limit
+FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM t)""" for c in NUM_COLS])
+
+    q["outlier_flags"] = _ctes("t") + _union([f"""
+SELECT '{c}' AS column_name, CAST(sum(CASE WHEN {c} > up OR {c} < lo THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers,
+       round(min(lo), 6) AS low_limit, round(min(up), 6) AS up_limit,
+       sum(CASE WHEN {c} > up OR {c} < lo THEN 1 ELSE 0 END) > 0 AS has_outlier
+FROM t, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS up
+         FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM t))""" for c in NUM_COLS])
+
+    q["outlier_rows"] = """
+SELECT event_id, event_type, round(value, 6) AS value
+FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) q
+WHERE value > q3 + 1.5 * (q3 - q1) OR value < q1 - 1.5 * (q3 - q1)"""
+
+    def impute(method: str) -> str:
+        fill = ("quantile_cont(ARRIVAL_DELAY_IN_MINUTES, 0.5)" if method == "median"
+                else "avg(ARRIVAL_DELAY_IN_MINUTES)")
+        cols = ", ".join(
+            "coalesce(CLASS, (SELECT CLASS FROM u WHERE CLASS IS NOT NULL GROUP BY CLASS ORDER BY count(*) DESC, CLASS LIMIT 1)) AS CLASS"
+            if c == "CLASS" else
+            f"round(coalesce(CAST(ARRIVAL_DELAY_IN_MINUTES AS DOUBLE), (SELECT {fill} FROM u)), 6) AS ARRIVAL_DELAY_IN_MINUTES"
+            if c == "ARRIVAL_DELAY_IN_MINUTES" else c for c in UPPER_COLS)
+        return _ctes("u") + f"SELECT {cols} FROM u"
+
+    q["impute_median"] = impute("median")
+    q["impute_mean"] = impute("mean")
+
+    q["log1p_transform"] = _ctes("u") + """
+SELECT ID, round(ln(1 + FLIGHT_DISTANCE), 6) AS FLIGHT_DISTANCE,
+       round(ln(1 + DEPARTURE_DELAY_IN_MINUTES), 6) AS DEPARTURE_DELAY_IN_MINUTES,
+       round(ln(1 + coalesce(CAST(ARRIVAL_DELAY_IN_MINUTES AS DOUBLE),
+                             (SELECT quantile_cont(ARRIVAL_DELAY_IN_MINUTES, 0.5) FROM u))), 6) AS ARRIVAL_DELAY_IN_MINUTES
+FROM u"""
+
+    out_cols = ["ID", *FEATURE_ORDER, "SATISFACTION"]
+    q["prep_full"] = _prep_ctes() + f"SELECT {_round_all(out_cols, set(SCALE_COLS))} FROM p"
+    q["standardize"] = _prep_ctes() + f"SELECT ID, {_round_all(SCALE_COLS, set(SCALE_COLS))} FROM p"
+    train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
+    q["prep_apply_holdout"] = (_prep_ctes(train, f"NOT ({train})")
+                               + f"SELECT {_round_all(out_cols, set(SCALE_COLS))} FROM p")
+
+    q["split_60_40"] = _ctes("t") + f"""
+SELECT CASE WHEN {train} THEN 'train' ELSE 'test' END AS part, count(*) AS n_rows,
+       CAST(sum(SATISFACTION) AS BIGINT) AS n_satisfied
+FROM t GROUP BY 1"""
+    q["fold_sizes"] = _ctes("t") + f"""
+SELECT CAST({md5_bucket_sql('ID', S.MODEL_SEED, S.COMPARISON_FOLDS)} AS INTEGER) AS fold, count(*) AS n_rows,
+       CAST(sum(SATISFACTION) AS BIGINT) AS n_satisfied
+FROM t WHERE {train} GROUP BY 1"""
+    h = md5_hash_sql("ID", S.MODEL_SEED)
+    q["sample_one"] = _ctes("u") + f"SELECT * FROM u ORDER BY {h}, ID LIMIT 1"
+    q["lookup_row"] = _ctes("u") + f"SELECT * FROM u WHERE ID IN (SELECT ID FROM u ORDER BY {h}, ID LIMIT 1)"
+    q["head_tail"] = _ctes("u") + """
+(SELECT *, 'head' AS position FROM u ORDER BY ID LIMIT 5)
+UNION ALL
+(SELECT *, 'tail' AS position FROM u ORDER BY ID DESC LIMIT 5)"""
+    q["read_csv_roundtrip"] = _ctes("u") + (
+        "SELECT * REPLACE (CAST(ARRIVAL_DELAY_IN_MINUTES AS DOUBLE) AS ARRIVAL_DELAY_IN_MINUTES) FROM u")
     return q
