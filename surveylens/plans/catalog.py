@@ -260,3 +260,203 @@ def read_csv_roundtrip(spark, sf_dir):
     df = IO.read_survey(spark, path)
     df = C.normalise_names(C.upper_names(df))
     return C.drop_ids(df, keep_key="ID")
+
+
+# ------------------------------------------------------ metrics and models ----
+
+import functools  # noqa: E402
+
+from surveylens.operators import boost as B  # noqa: E402
+from surveylens.operators import metrics as M  # noqa: E402
+from surveylens.operators import models as ML  # noqa: E402
+from surveylens.plans import scoring as SC  # noqa: E402
+from surveylens.sources import model_store as MS  # noqa: E402
+
+# A hand-written ensemble used to check scoring against SQL.
+FIXED_STUMPS = [
+    B.Stump("CLASS", 1.5, 0, 1, 1.2, 0.0),
+    B.Stump("TYPE_BOARDING", 9.5, 0, 1, 0.8, 0.0),
+    B.Stump("INFLIGHT_WIFI_SERVICE", 3.5, 0, 1, 0.5, 0.0),
+    B.Stump("FLIGHT_DISTANCE", 0.25, 1, 0, 0.3, 0.0),
+]
+FIXED_ENSEMBLE = B.BoostedStumps(list(S.FEATURES), 1.0, len(FIXED_STUMPS), list(FIXED_STUMPS))
+
+# Parameters of the registered (correctness-run) model queries; the library defaults
+# in ``schema`` hold the study's full grid for production runs.
+HOLDOUT_ROUNDS = S.ADABOOST_DEFAULTS["n_estimators"]
+GRID_N_ESTIMATORS = [10, 20, 30]
+GRID_LEARNING_RATES = [0.1, 1.0]
+GRID_FOLDS = 3
+
+
+def _closed_form_scored(spark, sf_dir):
+    """A fixed integer score 0..20 on the encoded survey: prediction = score >= 10."""
+    d = FR.survey_encoded(spark, sf_dir)
+    s = (2 * F.col("ONLINE_BOARDING") + F.col("INFLIGHT_WIFI_SERVICE")
+         + F.when(F.col("CLASS") == 2, 3).otherwise(0) + 2 * F.col("TYPE_OF_TRAVEL"))
+    return d.select(F.col(S.TARGET).cast("int").alias("label"),
+                    F.when(s >= 10, 1).otherwise(0).alias("prediction"),
+                    (s / 20.0).alias("score"))
+
+
+def confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(_closed_form_scored(spark, sf_dir))
+
+
+def classification_report(spark, sf_dir):
+    return _r(M.classification_report(_closed_form_scored(spark, sf_dir)))
+
+
+def binary_metrics(spark, sf_dir):
+    return _r(M.binary_metrics(_closed_form_scored(spark, sf_dir)))
+
+
+def r2_on_labels(spark, sf_dir):
+    return _r(M.r2_on_labels(_closed_form_scored(spark, sf_dir)))
+
+
+def roc_auc(spark, sf_dir):
+    return _r(M.roc_auc(_closed_form_scored(spark, sf_dir)))
+
+
+@functools.lru_cache(maxsize=4)
+def _train_prep(app_id: str, sf_dir: str):
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    raw = survey_view(spark, sf_dir)
+    train, test = SP.train_test_split(raw, key="id")
+    return PR.fit_prep(train)
+
+
+def _prepared_parts(spark, sf_dir):
+    model = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    raw = survey_view(spark, sf_dir)
+    train, test = SP.train_test_split(raw, key="id")
+    return PR.apply_prep(train, model), PR.apply_prep(test, model), model
+
+
+def stump_ensemble_score(spark, sf_dir):
+    out, _ = _prepared_full(spark, sf_dir)
+    return _r(FIXED_ENSEMBLE.transform(out).select("ID", "decision", "prediction"))
+
+
+def adaboost_round1(spark, sf_dir):
+    """First boosting round on the training part: the best weighted-Gini stump."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    fit = B.fit_boosted_stumps(train, S.FEATURES, S.TARGET, [B.BoostSpec("r1", F.lit(True), 1.0, 1)])
+    st = fit["r1"].stumps[0]
+    return _r(spark.createDataFrame(
+        [(st.feature, st.threshold, st.left, st.right, st.error, st.alpha)],
+        "feature string, threshold double, left_class int, right_class int, error double, alpha double"))
+
+
+@functools.lru_cache(maxsize=4)
+def _holdout_model(app_id: str, sf_dir: str, rounds: int):
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    return B.fit_boosted_stumps(train, S.FEATURES, S.TARGET, [B.BoostSpec("m", F.lit(True), 1.0, rounds)])["m"]
+
+
+def adaboost_fit_holdout(spark, sf_dir):
+    """Default booster (50 stumps, rate 1) fitted on 60 %; scores on train and holdout."""
+    train, test, _ = _prepared_parts(spark, sf_dir)
+    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
+    rows = []
+    for name, part in (("train", train), ("test", test)):
+        scored = model.transform(part).select(F.col(S.TARGET).cast("int").alias("label"), "prediction",
+                                              F.col("decision").alias("score")).persist()
+        m = M.binary_metrics(scored).first()
+        auc = M.roc_auc(scored).first()["roc_auc"]
+        rows.append((name, m["n"], m["accuracy"], m["precision"], m["recall"], m["f1"], m["r2"], auc))
+        scored.unpersist()
+    return _r(spark.createDataFrame(rows, "part string, n long, accuracy double, precision double, "
+                                          "recall double, f1 double, r2 double, roc_auc double"))
+
+
+def importance_top10(spark, sf_dir):
+    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
+    imp = sorted(model.feature_importances().items(), key=lambda kv: (-kv[1], kv[0]))[:10]
+    return _r(spark.createDataFrame(imp, "feature string, importance double"))
+
+
+def adaboost_grid(spark, sf_dir):
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    folded = SP.with_folds(train, GRID_FOLDS)
+    scores, _ = B.grid_search(folded, S.FEATURES, S.TARGET, GRID_N_ESTIMATORS, GRID_LEARNING_RATES, GRID_FOLDS)
+    return _r(scores)
+
+
+def base_models_score(spark, sf_dir):
+    """The training job's comparison: AdaBoost and the LightGBM stand-in, 5-fold CV."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
+    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.TRAINING_JOB_MODELS,
+                                  adaboost_rounds=HOLDOUT_ROUNDS))
+
+
+def compare_models(spark, sf_dir):
+    """All built-in models of the study's comparison (light tree counts), 5-fold CV."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
+    light = {"RF": {"numTrees": 20}, "GBM": {"maxIter": 20}, "XGBoost": {"maxIter": 20},
+             "CatBoost": {"maxIter": 20}, "LightGBM": {"maxIter": 20}}
+    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.MODEL_NAMES, params=light,
+                                  adaboost_rounds=HOLDOUT_ROUNDS))
+
+
+def tune_models(spark, sf_dir):
+    """Grid search with cross-validated AUC for the built-in models (reduced grids)."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    folded = SP.with_folds(train, 3)
+    grids = {"LR": {"maxIter": [200, 250, 300]},
+             "CART": {"maxDepth": [3, 6, 9], "minInstancesPerNode": [2, 10]},
+             "GBM": {"stepSize": [0.1, 0.01], "maxDepth": [2, 5]}}
+    rows = []
+    for name, grid in grids.items():
+        _, r = ML.tune(folded, S.FEATURES, S.TARGET, name, grid, folds=3)
+        rows.extend(r)
+    return _r(spark.createDataFrame(rows, "model string, params string, mean_auc double"))
+
+
+def model_params(spark, sf_dir):
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    lr = ML.make_estimator("LR").fit(ML.assemble(train, S.FEATURES))
+    return spark.createDataFrame(ML.model_params(lr), "param string, value string")
+
+
+def model_roundtrip(spark, sf_dir):
+    """Fit, save to the shared folder, load, score the holdout; predictions must agree."""
+    train, test, prep = _prepared_parts(spark, sf_dir)
+    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
+    path = scratch_path(spark, "model")
+    MS.save_model(spark, path, prep, model)
+    prep2, model2 = MS.load_model(spark, path)
+    a = model.transform(test).select("ID", F.col("prediction").alias("p1"))
+    b = model2.transform(PR.apply_prep(SP.train_test_split(survey_view(spark, sf_dir), key="id")[1], prep2))
+    both = a.join(b.select("ID", F.col("prediction").alias("p2")), "ID")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_equal"))
+
+
+# ---------------------------------------------------------------- scoring ----
+
+def _requests(spark, sf_dir):
+    return SC.requests_from_survey(FR.survey_encoded(spark, sf_dir))
+
+
+def validate_ranges(spark, sf_dir):
+    return SC.validate_ranges(_requests(spark, sf_dir))
+
+
+def score_requests(spark, sf_dir):
+    prep = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    return _r(SC.score_requests(_requests(spark, sf_dir), prep, FIXED_ENSEMBLE))
+
+
+def score_stream(spark, sf_dir):
+    """The same requests landing as parquet files, scored by a streaming query."""
+    from surveylens.streaming.scoring_stream import score_available
+    prep = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    source = scratch_path(spark, "requests")
+    _requests(spark, sf_dir).repartition(4).write.parquet(source)
+    return _r(score_available(spark, source, prep, FIXED_ENSEMBLE))

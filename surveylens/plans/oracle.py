@@ -217,6 +217,7 @@ FROM (SELECT n, g1, y, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS
 
     q["interaction_features"] = _ctes("d") + "SELECT ID, " + ", ".join(S.DERIVED_FEATURES) + " FROM d"
     q.update(cleaning_queries())
+    q.update(model_queries())
     return q
 
 
@@ -336,3 +337,120 @@ UNION ALL
     q["read_csv_roundtrip"] = _ctes("u") + (
         "SELECT * REPLACE (CAST(ARRIVAL_DELAY_IN_MINUTES AS DOUBLE) AS ARRIVAL_DELAY_IN_MINUTES) FROM u")
     return q
+
+
+# ----------------------------------------------------- metrics and scoring ----
+
+def _closed_form_sql() -> str:
+    s = ("(2 * ONLINE_BOARDING + INFLIGHT_WIFI_SERVICE + CASE WHEN CLASS = 2 THEN 3 ELSE 0 END "
+         "+ 2 * TYPE_OF_TRAVEL)")
+    return (_ctes("d") + f""", sc AS (
+  SELECT CAST(SATISFACTION AS INTEGER) AS label, CASE WHEN {s} >= 10 THEN 1 ELSE 0 END AS prediction,
+         {s} / 20.0 AS score FROM d),
+cm AS (SELECT count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+              count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+              count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+              count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+              count(*) AS n, CAST(sum(label) AS DOUBLE) AS sum_y,
+              sum(CAST((label - prediction) * (label - prediction) AS DOUBLE)) AS sse FROM sc)
+""")
+
+
+# stump ensemble written out as SQL (same fixed values as the Spark constant)
+FIXED_ENSEMBLE_SQL = """(CAST(1.2 AS DOUBLE) * CASE WHEN CLASS <= 1.5 THEN -1 ELSE 1 END
+ + CAST(0.8 AS DOUBLE) * CASE WHEN TYPE_BOARDING <= 9.5 THEN -1 ELSE 1 END
+ + CAST(0.5 AS DOUBLE) * CASE WHEN INFLIGHT_WIFI_SERVICE <= 3.5 THEN -1 ELSE 1 END
+ + CAST(0.3 AS DOUBLE) * CASE WHEN FLIGHT_DISTANCE <= 0.25 THEN 1 ELSE -1 END)"""
+
+
+def _request_ok_sql() -> str:
+    return " AND ".join(f"({c} IS NOT NULL AND {c} BETWEEN {lo} AND {hi})" for c, (lo, hi) in S.REQUEST_RANGES.items())
+
+
+def _scored_requests_sql() -> str:
+    """Requests = encoded base answers; scaled with statistics fitted on the training part."""
+    train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
+    scaled = {c: f"(CAST({c} AS DOUBLE) - m_{i}) / (CASE WHEN s_{i} = 0 THEN 1 ELSE s_{i} END)"
+              for i, c in enumerate(SCALE_COLS)}
+    base = ", ".join(["ID", *S.BASE_FEATURES])
+    return (_prep_ctes(train, "TRUE") + f""",
+e AS ({ENCODE_SQL.format(src="t")}),
+rq AS (SELECT {base} FROM e WHERE {_request_ok_sql()}),
+rd AS (SELECT *, {DERIVED_SQL} FROM rq),
+rl AS (SELECT * REPLACE (ln(1 + FLIGHT_DISTANCE) AS FLIGHT_DISTANCE,
+          ln(1 + DEPARTURE_DELAY_IN_MINUTES) AS DEPARTURE_DELAY_IN_MINUTES,
+          ln(1 + ARRIVAL_DELAY_IN_MINUTES) AS ARRIVAL_DELAY_IN_MINUTES) FROM rd),
+rs AS (SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in scaled.items())}) FROM rl, st),
+dec AS (SELECT ID, {FIXED_ENSEMBLE_SQL} AS decision FROM rs)
+SELECT ID, round(decision, 6) AS decision, CASE WHEN decision > 0 THEN 1 ELSE 0 END AS prediction,
+       CASE WHEN decision > 0 THEN 'satisfied customer' ELSE 'unsatisfied customer' END AS outcome
+FROM dec""")
+
+
+def model_queries() -> dict[str, str]:
+    q: dict[str, str] = {}
+    cf = _closed_form_sql()
+    q["confusion_matrix"] = cf + """
+SELECT CAST(1 AS BIGINT) AS actual, CAST(1 AS BIGINT) AS predicted, tp AS n FROM cm UNION ALL
+SELECT 0, 1, fp FROM cm UNION ALL SELECT 1, 0, fn FROM cm UNION ALL SELECT 0, 0, tn FROM cm"""
+    q["binary_metrics"] = cf + """
+SELECT n, round((tp + tn) / n, 6) AS accuracy,
+  round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+  round(1 - sse / (sum_y - sum_y * sum_y / n), 6) AS r2
+FROM cm"""
+    q["r2_on_labels"] = cf + "SELECT n, round(sse, 6) AS sse, round(1 - sse / (sum_y - sum_y * sum_y / n), 6) AS r2 FROM cm"
+    q["classification_report"] = cf + """, k AS (
+  SELECT coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1,
+         coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0,
+         CAST(tp + fn AS DOUBLE) AS s1, CAST(tn + fp AS DOUBLE) AS s0, CAST(n AS DOUBLE) AS n,
+         (tp + tn) / n AS acc FROM cm),
+f AS (SELECT *, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0) AS f1, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0) AS f0 FROM k)
+SELECT '0' AS row, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, CAST(s0 AS BIGINT) AS support FROM f
+UNION ALL SELECT '1', round(p1, 6), round(r1, 6), round(f1, 6), CAST(s1 AS BIGINT) FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(acc, 6), CAST(n AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), CAST(n AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / n, 6), round((r0 * s0 + r1 * s1) / n, 6),
+                 round((f0 * s0 + f1 * s1) / n, 6), CAST(n AS BIGINT) FROM f"""
+    q["roc_auc"] = cf + """, g AS (SELECT score, sum(label) AS pos, count(*) - sum(label) AS neg FROM sc GROUP BY score),
+r AS (SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)), 6) AS roc_auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg FROM r"""
+
+    q["stump_ensemble_score"] = _prep_ctes() + f""", dec AS (SELECT ID, {FIXED_ENSEMBLE_SQL} AS decision FROM p)
+SELECT ID, round(decision, 6) AS decision, CAST(CASE WHEN decision > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction FROM dec"""
+
+    train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
+    feats = S.FEATURES
+    cast_cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
+    fidx = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feats))
+    q["adaboost_round1"] = _prep_ctes(train, train) + f""",
+pl AS (UNPIVOT (SELECT {cast_cols}, SATISFACTION FROM p) ON {', '.join(feats)} INTO NAME feature VALUE value),
+g AS (SELECT feature, value, CAST(sum(SATISFACTION) AS DOUBLE) AS c1,
+             CAST(count(*) - sum(SATISFACTION) AS DOUBLE) AS c0 FROM pl GROUP BY feature, value),
+c AS (SELECT feature, value, lead(value) OVER w AS nxt,
+             sum(c1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l1,
+             sum(c0) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l0,
+             sum(c1) OVER (PARTITION BY feature) AS t1, sum(c0) OVER (PARTITION BY feature) AS t0
+      FROM g WINDOW w AS (PARTITION BY feature ORDER BY value)),
+s AS (SELECT feature, (value + nxt) / 2 AS threshold, l1, l0, t1 - l1 AS r1, t0 - l0 AS r0,
+             round(((l1 * l1 + l0 * l0) / (l1 + l0) + ((t1 - l1) * (t1 - l1) + (t0 - l0) * (t0 - l0)) / ((t1 - l1) + (t0 - l0)))
+                   / (t1 + t0), 12) AS score,
+             CASE feature {fidx} END AS fi
+      FROM c WHERE nxt IS NOT NULL),
+b AS (SELECT *, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS lc, CASE WHEN r1 > r0 THEN 1 ELSE 0 END AS rc
+      FROM s ORDER BY score DESC, fi, threshold LIMIT 1),
+e2 AS (SELECT *, ((CASE WHEN lc = 1 THEN l0 ELSE l1 END) + (CASE WHEN rc = 1 THEN r0 ELSE r1 END)) / (l1 + l0 + r1 + r0) AS err FROM b)
+SELECT feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS left_class, CAST(rc AS INTEGER) AS right_class,
+       round(err, 6) AS error, round(ln((1 - err) / err), 6) AS alpha FROM e2"""
+
+    viol = ", ".join(f"CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN '{c}' END"
+                     for c, (lo, hi) in S.REQUEST_RANGES.items())
+    nv = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN 1 ELSE 0 END)"
+                    for c, (lo, hi) in S.REQUEST_RANGES.items())
+    q["validate_ranges"] = _ctes("e") + f"""
+SELECT ID, concat_ws(',', {viol}) AS violations, CAST({nv} AS BIGINT) AS n_violations FROM e WHERE {nv} > 0"""
+    q["score_requests"] = _scored_requests_sql()
+    q["score_stream"] = _scored_requests_sql()
+    return q

@@ -102,7 +102,25 @@ def apply_prep(raw: DataFrame, model: PrepModel, keep_target: bool = True) -> Da
     """Model inputs (key, 31 features[, target]) from raw survey rows -- one projection."""
     df = _stage_encoded_target(raw, model.upper_string_cols, model.target, model.key)
     df = CL.apply_fills(df, model.fills)
-    df = C.add_derived_features(C.encode_labels(df))
+    return features_from_encoded(C.encode_labels(df), model, keep_target)
+
+
+def encoded_fills(model: PrepModel) -> dict[str, Any]:
+    """Fill values expressed in encoded form (a string fill mapped through its encoder)."""
+    out = {}
+    for c, v in model.fills.items():
+        out[c] = _encoded_value(c, v) if c in S.ENCODERS else v
+    return out
+
+
+def _encoded_value(col: str, value: Any) -> int:
+    return S.ENCODERS[col].get(str(value).upper(), 0)
+
+
+def features_from_encoded(df: DataFrame, model: PrepModel, keep_target: bool = True) -> DataFrame:
+    """Encoded base answers -> model inputs: fills, derived features, log1p, scaling."""
+    df = CL.apply_fills(df, {c: v for c, v in encoded_fills(model).items() if c in df.columns})
+    df = C.add_derived_features(df)
     df = C.log1p_columns(df, [c for c in S.LOG1P_COLUMNS if c in df.columns])
     scaled = {}
     for c in model.scale_cols:
