@@ -143,9 +143,16 @@ def _miss(s: Stump, label: str) -> Column:
 
 def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
                        specs: list[BoostSpec], checkpoint_every: int | None = None,
-                       max_bins: int | None = None) -> dict[str, BoostedStumps]:
+                       max_bins: int | None = None,
+                       local_search_limit: int = 2_000_000) -> dict[str, BoostedStumps]:
     """Boost every spec's model; one aggregation job per round serves all of them.
 
+    The split search runs on the aggregated table of weighted class totals per
+    (model, feature, distinct value).  When that table is provably small (distinct
+    values x models <= ``local_search_limit``, checked once before boosting) it is
+    searched on the driver with numpy -- the same reduction MLlib's tree learner does
+    with its bin statistics; otherwise the search itself runs as Spark windows.
+
     ``max_bins`` (optional) restricts candidate thresholds of each feature to its
     approximate quantiles -- for continuous features at scale, where the distinct
     values would otherwise make the per-feature window large.  ``None`` = exact.
@@ -159,6 +166,10 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
     if max_bins:
         base = _bin_features(base, features, max_bins)
     cur = base.withColumns({f"__lw{i}": F.lit(0.0) for i in range(m_count)}).checkpoint(eager=True)
+    # size of the per-round split table: distinct values per feature (one small job)
+    from surveylens.operators.profile import distinct_counts
+    per_model = sum(r["n_distinct"] for r in distinct_counts(cur, list(features)).collect())
+    local_search = per_model * m_count <= local_search_limit
     models = {i: BoostedStumps(list(features), s.learning_rate, s.n_estimators)
               for i, s in enumerate(specs)}
     pending: dict[int, list[Stump]] = {i: [] for i in range(m_count)}
@@ -166,11 +177,30 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
     active = set(range(m_count))
     feat_idx = {f: k for k, f in enumerate(features)}
 
+    feats_arr = F.array(*[F.col(f) for f in features])
+    y_col = F.col(label)
+
     def logw(i: int) -> Column:
-        e = F.col(f"__lw{i}") - F.lit(offset[i])
-        for s in pending[i]:
-            e = e + F.lit(s.alpha) * _miss(s, label)
-        return e
+        """log-weight of model i: materialised part + stumps since the last checkpoint.
+
+        The pending stumps travel as one constant array of structs, applied with the
+        ``aggregate`` higher-order function; the generated code is therefore the same
+        every round (no recompilation), only the constant's contents change.
+        """
+        base_w = F.col(f"__lw{i}") - F.lit(offset[i])
+        if not pending[i]:
+            return base_w
+        consts = F.array(*[F.struct(F.lit(feat_idx[s.feature] + 1 if s.feature else 0).alias("fi"),
+                                    F.lit(float(s.threshold)).alias("thr"), F.lit(s.left).alias("l"),
+                                    F.lit(s.right).alias("r"), F.lit(float(s.alpha)).alias("a"))
+                           for s in pending[i]])
+
+        def step(acc, st):
+            value = F.when(st["fi"] > 0, F.element_at(feats_arr, st["fi"]))
+            cls = F.when(st["fi"] == 0, st["l"]).when(value <= st["thr"], st["l"]).otherwise(st["r"])
+            return acc + F.when(cls != y_col, st["a"]).otherwise(F.lit(0.0))
+
+        return base_w + F.aggregate(consts, F.lit(0.0), step)
 
     rnd = 0
     while True:
@@ -183,7 +213,7 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
             for i in range(m_count):
                 pending[i] = []
                 offset[i] = float(mx[f"m{i}"] or 0.0)
-        best = _best_stumps(cur, features, label, act, logw, feat_idx)
+        best = _best_stumps(cur, features, label, act, logw, feat_idx, local_search)
         for i in act:
             spec, model = specs[i], models[i]
             b = best.get(i)
@@ -212,7 +242,7 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
 
 
 def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int],
-                 logw, feat_idx: dict[str, int]) -> dict[int, tuple[Stump, float]]:
+                 logw, feat_idx: dict[str, int], local: bool = False) -> dict[int, tuple[Stump, float]]:
     """Best stump and its weighted error for each active model (one job)."""
     arr = F.array(*[F.when(F.col(f"__t{i}"), F.struct(F.lit(i).alias("m"), F.exp(logw(i)).alias("w")))
                     for i in act])
@@ -222,6 +252,8 @@ def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int]
     y = F.col(label).cast("double")
     agg = (long.groupBy("m", "feature", "value")
            .agg(F.sum(F.col("w") * y).alias("w1"), F.sum(F.col("w") * (1 - y)).alias("w0")))
+    if local:
+        return _search_local(agg.toPandas(), act, feat_idx)
     part = Window.partitionBy("m", "feature")
     ordered = part.orderBy(F.col("value").asc_nulls_first())
     cum = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -263,6 +295,43 @@ def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int]
     return out
 
 
+def _search_local(pdf, act: list[int], feat_idx: dict[str, int]) -> dict[int, tuple[Stump, float]]:
+    """Best split per model from the (bounded) table of weighted class totals."""
+    import numpy as np
+    out: dict[int, tuple[Stump, float]] = {}
+    if pdf.empty:
+        return out
+    pdf = pdf.assign(fi=pdf["feature"].map(feat_idx))
+    for m, g in pdf.groupby("m", sort=False):
+        tot = g.groupby("fi")[["w1", "w0"]].transform("sum")
+        g = g.assign(t1=tot["w1"], t0=tot["w0"])
+        g = g[g["value"].notna()].sort_values(["fi", "value"])
+        l1 = g.groupby("fi")["w1"].cumsum().to_numpy()
+        l0 = g.groupby("fi")["w0"].cumsum().to_numpy()
+        nxt = g.groupby("fi")["value"].shift(-1).to_numpy()
+        val, fi = g["value"].to_numpy(), g["fi"].to_numpy()
+        t1, t0 = g["t1"].to_numpy(), g["t0"].to_numpy()
+        ok = ~np.isnan(nxt)
+        if not ok.any():
+            W1, W0 = float(tot["w1"].iloc[0]), float(tot["w0"].iloc[0])
+            cls = 1 if W1 > W0 else 0
+            out[int(m)] = (Stump(None, 0.0, cls, cls, 0.0, 0.0), (W0 if cls == 1 else W1) / (W1 + W0))
+            continue
+        l1, l0, nxt, val, fi, t1, t0 = l1[ok], l0[ok], nxt[ok], val[ok], fi[ok], t1[ok], t0[ok]
+        r1, r0 = t1 - l1, t0 - l0
+        score = ((l1 ** 2 + l0 ** 2) / (l1 + l0) + (r1 ** 2 + r0 ** 2) / (r1 + r0)) / (t1 + t0)
+        score = np.round(score, 12)
+        thr = (val + nxt) / 2
+        k = np.lexsort((thr, fi, -score))[0]   # max score, then lowest feature, then threshold
+        left = 1 if l1[k] > l0[k] else 0
+        right = 1 if r1[k] > r0[k] else 0
+        miss = (l0[k] if left == 1 else l1[k]) + (r0[k] if right == 1 else r1[k])
+        feature = next(f for f, i in feat_idx.items() if i == fi[k])
+        out[int(m)] = (Stump(feature, float(thr[k]), left, right, 0.0, 0.0),
+                       float(miss / (l1[k] + l0[k] + r1[k] + r0[k])))
+    return out
+
+
 def _bin_features(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
     """Replace each feature by the upper edge of its approximate-quantile bin."""
     probs = [i / max_bins for i in range(1, max_bins)]
