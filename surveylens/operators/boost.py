@@ -243,18 +243,32 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
 
 def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int],
                  logw, feat_idx: dict[str, int], local: bool = False) -> dict[int, tuple[Stump, float]]:
-    """Best stump and its weighted error for each active model (one job)."""
-    arr = F.array(*[F.when(F.col(f"__t{i}"), F.struct(F.lit(i).alias("m"), F.exp(logw(i)).alias("w")))
-                    for i in act])
-    ex = cur.select(*features, label, F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("mw"))
-    flat = ex.select(F.col("mw.m").alias("m"), F.col("mw.w").alias("w"), label, *features)
-    long = flat.unpivot(["m", "w", label], features, "feature", "value")
+    """Best stump and its weighted error for each active model (one aggregation job).
+
+    Features are unpivoted once to (feature index, value) with ``stack``; every active
+    model contributes three sums per key (class-1 weight, class-0 weight, row count
+    of its training rows), so the hash aggregate does one lookup per row and feature
+    whatever the number of models, and the whole scan stays in generated code.
+    """
     y = F.col(label).cast("double")
-    agg = (long.groupBy("m", "feature", "value")
-           .agg(F.sum(F.col("w") * y).alias("w1"), F.sum(F.col("w") * (1 - y)).alias("w0")))
+    wcols = [F.when(F.col(f"__t{i}"), F.exp(logw(i))).otherwise(F.lit(0.0)).alias(f"__w{i}") for i in act]
+    tcols = [F.col(f"__t{i}").cast("long").alias(f"__n{i}") for i in act]
+    pairs = ", ".join(f"{feat_idx[f]}, `{f}`" for f in features)
+    long = (cur.select(y.alias("__y"), *wcols, *tcols, *features)
+            .selectExpr("__y", *[f"__w{i}" for i in act], *[f"__n{i}" for i in act],
+                        f"stack({len(features)}, {pairs}) AS (fi, value)"))
+    sums = []
+    for i in act:
+        sums += [F.sum(F.col(f"__w{i}") * F.col("__y")).alias(f"a{i}"),
+                 F.sum(F.col(f"__w{i}") * (1 - F.col("__y"))).alias(f"b{i}"),
+                 F.sum(f"__n{i}").alias(f"n{i}")]
+    wide = long.groupBy("fi", "value").agg(*sums)
     if local:
-        return _search_local(agg.toPandas(), act, feat_idx)
-    part = Window.partitionBy("m", "feature")
+        return _search_local(_wide_to_long_pandas(wide.toPandas(), act), act, feat_idx)
+    stack = ", ".join(f"{i}, a{i}, b{i}, n{i}" for i in act)
+    agg = (wide.selectExpr("fi", "value", f"stack({len(act)}, {stack}) AS (m, w1, w0, n)")
+           .filter(F.col("n") > 0).drop("n"))
+    part = Window.partitionBy("m", "fi")
     ordered = part.orderBy(F.col("value").asc_nulls_first())
     cum = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     nn = F.col("value").isNotNull()
@@ -268,12 +282,11 @@ def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int]
     lw, rw = F.col("l1") + F.col("l0"), r1 + r0
     score = ((F.col("l1") ** 2 + F.col("l0") ** 2) / lw + (r1 ** 2 + r0 ** 2) / rw) / (F.col("t1") + F.col("t0"))
     cand = cand.select(
-        "m", "feature", ((F.col("value") + F.col("nxt")) / 2).alias("threshold"),
-        "l1", "l0", r1.alias("r1"), r0.alias("r0"), "t1", "t0",
-        F.round(score, 12).alias("score"),
-        literal_lookup(F.col("feature"), feat_idx).alias("fi"))
+        "m", "fi", ((F.col("value") + F.col("nxt")) / 2).alias("threshold"),
+        "l1", "l0", r1.alias("r1"), r0.alias("r0"), F.round(score, 12).alias("score"))
     key = F.struct(F.col("score"), (-F.col("fi")).alias("nfi"), (-F.col("threshold")).alias("nt"))
-    pick = cand.groupBy("m").agg(F.max_by(F.struct("feature", "threshold", "l1", "l0", "r1", "r0"), key).alias("b"))
+    pick = cand.groupBy("m").agg(F.max_by(F.struct("fi", "threshold", "l1", "l0", "r1", "r0"), key).alias("b"))
+    names = {i: f for f, i in feat_idx.items()}
     out: dict[int, tuple[Stump, float]] = {}
     for r in pick.collect():
         b = r["b"]
@@ -281,13 +294,11 @@ def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int]
         right = 1 if b["r1"] > b["r0"] else 0
         miss = (b["l0"] if left == 1 else b["l1"]) + (b["r0"] if right == 1 else b["r1"])
         total = b["l1"] + b["l0"] + b["r1"] + b["r0"]
-        out[r["m"]] = (Stump(b["feature"], float(b["threshold"]), left, right, 0.0, 0.0), miss / total)
+        out[r["m"]] = (Stump(names[b["fi"]], float(b["threshold"]), left, right, 0.0, 0.0), miss / total)
     missing = [i for i in act if i not in out]
     if missing:  # every feature constant for these models: a leaf stump
-        tot = (ex.groupBy(F.col("mw.m").alias("m"))
-               .agg(F.sum(F.col("mw.w") * F.col(label)).alias("w1"),
-                    F.sum(F.col("mw.w") * (1 - F.col(label))).alias("w0")).collect())
-        for r in tot:
+        tot = agg.filter(F.col("fi") == 0).groupBy("m").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
+        for r in tot.collect():
             if r["m"] in missing:
                 cls = 1 if r["w1"] > r["w0"] else 0
                 miss = r["w0"] if cls == 1 else r["w1"]
@@ -295,13 +306,23 @@ def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int]
     return out
 
 
+def _wide_to_long_pandas(pdf, act: list[int]):
+    import pandas as pd
+    parts = []
+    for i in act:
+        p = pdf[["fi", "value", f"a{i}", f"b{i}", f"n{i}"]]
+        p = p[p[f"n{i}"] > 0]
+        parts.append(pd.DataFrame({"m": i, "fi": p["fi"].to_numpy(), "value": p["value"].to_numpy(),
+                                   "w1": p[f"a{i}"].to_numpy(), "w0": p[f"b{i}"].to_numpy()}))
+    return pd.concat(parts, ignore_index=True)
+
+
 def _search_local(pdf, act: list[int], feat_idx: dict[str, int]) -> dict[int, tuple[Stump, float]]:
     """Best split per model from the (bounded) table of weighted class totals."""
     import numpy as np
     out: dict[int, tuple[Stump, float]] = {}
     if pdf.empty:
         return out
-    pdf = pdf.assign(fi=pdf["feature"].map(feat_idx))
     for m, g in pdf.groupby("m", sort=False):
         tot = g.groupby("fi")[["w1", "w0"]].transform("sum")
         g = g.assign(t1=tot["w1"], t0=tot["w0"])

@@ -71,58 +71,64 @@ def _score_frame(pred: DataFrame, label: str) -> DataFrame:
                        vector_to_array("probability")[1].alias("score"))
 
 
-def _metrics_row(scored: DataFrame) -> dict[str, float]:
-    m = M.binary_metrics(scored, "label", "prediction").first()
-    auc = M.roc_auc(scored, "label", "score").first()["roc_auc"]
-    return {"roc_auc": auc, "f1": m["f1"], "precision": m["precision"],
-            "recall": m["recall"], "accuracy": m["accuracy"]}
-
-
 def cross_val_scores(df: DataFrame, features: list[str], label: str, names: list[str],
                      folds: int = S.COMPARISON_FOLDS, fold_col: str = "fold",
-                     params: dict[str, dict] | None = None, parallelism: int = 4,
+                     params: dict[str, dict] | None = None, parallelism: int = 8,
                      adaboost_rounds: int = 50) -> DataFrame:
     """(model, metric, score): mean over ``folds`` of roc_auc, f1, precision, recall, accuracy.
 
-    Each fold's five metrics come from one prediction table.  AdaBoost models of all
-    folds are boosted side by side (one scan per round).
+    Fits run concurrently (MLlib jobs from a thread pool; all AdaBoost folds boosted
+    side by side).  Every (model, fold) prediction table is then unioned and all
+    metrics of all models and folds come from one grouped plan.
     """
     params = params or {}
-    spark = df.sparkSession
     data = assemble(df, features).select("features", *features, label, fold_col).persist()
-    rows: list[tuple[str, int, dict]] = []
 
-    def run(name: str, k: int):
+    def fit(name: str, k: int):
         train = data.filter(F.col(fold_col) != k)
-        valid = data.filter(F.col(fold_col) == k)
-        model = make_estimator(name, label, **params.get(name, {})).fit(train)
-        return name, k, _metrics_row(_score_frame(model.transform(valid), label))
+        return name, k, make_estimator(name, label, **params.get(name, {})).fit(train)
 
     jobs = [(n, k) for n in names if n != "Adaboost" for k in range(folds)]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows.extend(pool.map(lambda a: run(*a), jobs))
-    if "Adaboost" in names:
+    boosted = {}
+
+    def boost():
         specs = [B.BoostSpec(str(k), F.col(fold_col) != k, 1.0, adaboost_rounds) for k in range(folds)]
-        fitted = B.fit_boosted_stumps(data, features, label, specs)
-        for k in range(folds):
-            valid = data.filter(F.col(fold_col) == k)
-            scored = fitted[str(k)].transform(valid).select(
-                F.col(label).cast("int").alias("label"), "prediction", F.col("decision").alias("score"))
-            rows.append(("Adaboost", k, _metrics_row(scored)))
-    data.unpersist()
-    flat = [(name, k, metric, float(v) if v is not None else None)
-            for name, k, ms in rows for metric, v in ms.items()]
-    per_fold = spark.createDataFrame(flat, "model string, fold int, metric string, score double")
-    return per_fold.groupBy("model", "metric").agg(F.avg("score").alias("score"))
+        boosted.update(B.fit_boosted_stumps(data, features, label, specs))
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        # the booster's rounds run alongside the MLlib fits; Spark shares the executors
+        boost_future = pool.submit(boost) if "Adaboost" in names else None
+        fitted = list(pool.map(lambda a: fit(*a), jobs))
+        if boost_future is not None:
+            boost_future.result()
+    preds = []
+    for name, k, model in fitted:
+        valid = data.filter(F.col(fold_col) == k)
+        preds.append(_score_frame(model.transform(valid), label)
+                     .withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)))
+    for k in range(folds) if boosted else []:
+        valid = data.filter(F.col(fold_col) == k)
+        preds.append(boosted[str(k)].transform(valid).select(
+            F.col(label).cast("int").alias("label"), "prediction", F.col("decision").alias("score"),
+            F.lit("Adaboost").alias("model"), F.lit(k).alias("fold")))
+    allp = preds[0]
+    for p in preds[1:]:
+        allp = allp.unionByName(p)
+    per_fold = M.grouped_binary_metrics(allp, ["model", "fold"])
+    stack = ", ".join(f"'{m}', {m}" for m in S.COMPARISON_METRICS)
+    long = per_fold.selectExpr("model", "fold", f"stack({len(S.COMPARISON_METRICS)}, {stack}) AS (metric, score)")
+    out = long.groupBy("model", "metric").agg(F.avg("score").alias("score"))
+    return out
 
 
 def tune(df: DataFrame, features: list[str], label: str, name: str, grid: dict[str, list],
-         folds: int = S.COMPARISON_FOLDS, fold_col: str = "fold", parallelism: int = 4):
+         folds: int = S.COMPARISON_FOLDS, fold_col: str = "fold", parallelism: int = 8,
+         base_params: dict | None = None):
     """Grid search by cross-validated ROC AUC (MLlib ``CrossValidator`` on hash folds).
 
     Returns (fitted best model, rows of (model, params, mean_auc)).
     """
-    est = make_estimator(name, label)
+    est = make_estimator(name, label, **(base_params or {}))
     builder = ParamGridBuilder()
     for p, values in grid.items():
         builder = builder.addGrid(est.getParam(p), values)

@@ -392,7 +392,7 @@ def base_models_score(spark, sf_dir):
     train, _, _ = _prepared_parts(spark, sf_dir)
     folded = SP.with_folds(train, S.COMPARISON_FOLDS)
     return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.TRAINING_JOB_MODELS,
-                                  adaboost_rounds=HOLDOUT_ROUNDS))
+                                  params={"LightGBM": {"maxIter": 20}}, adaboost_rounds=HOLDOUT_ROUNDS))
 
 
 def compare_models(spark, sf_dir):
@@ -412,9 +412,10 @@ def tune_models(spark, sf_dir):
     grids = {"LR": {"maxIter": [200, 250, 300]},
              "CART": {"maxDepth": [3, 6, 9], "minInstancesPerNode": [2, 10]},
              "GBM": {"stepSize": [0.1, 0.01], "maxDepth": [2, 5]}}
+    base = {"GBM": {"maxIter": 20}}
     rows = []
     for name, grid in grids.items():
-        _, r = ML.tune(folded, S.FEATURES, S.TARGET, name, grid, folds=3)
+        _, r = ML.tune(folded, S.FEATURES, S.TARGET, name, grid, folds=3, base_params=base.get(name))
         rows.extend(r)
     return _r(spark.createDataFrame(rows, "model string, params string, mean_auc double"))
 

@@ -57,45 +57,127 @@ def _stage_encoded_target(df: DataFrame, upper_cols: list[str], target: str, key
     return C.normalise_names(df)
 
 
+def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, s, d, n): frequency of every value of every column, nulls included.
+
+    ``s`` holds string values, ``d`` numeric ones (as double).  One scan; the partial
+    aggregate collapses repeated values map-side, so the shuffle carries distinct
+    values per task only.  Everything ``fit_prep`` needs is derived from this table.
+    """
+    rows = F.array(*[F.struct(
+        F.lit(c).alias("column_name"),
+        (F.col(c) if P.is_string(df, c) else F.lit(None).cast("string")).alias("s"),
+        (F.col(c).cast("double") if P.is_numeric(df, c) else F.lit(None).cast("double")).alias("d"))
+        for c in columns])
+    long = df.select(F.inline(rows))
+    return long.groupBy("column_name", "s", "d").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit_prep(raw: DataFrame, target: str = S.TARGET, key: str = "ID",
              num_method: str = "median", outlier_report: bool = False,
              exact: bool = True) -> PrepModel:
-    """Learn roles, fills and scaling statistics from ``raw`` (survey columns, any naming)."""
-    up = C.upper_names(raw)
-    # 1. strings with at most car_th values are upper-cased (roles at cat_th=4)
-    strings = [c for c in P.string_columns(up) if c not in S.ID_COLUMNS]
-    counts = {r["column_name"]: r["n_distinct"] for r in P.distinct_counts(up, strings).collect()}
-    upper_cols = [c for c in strings if counts[c] <= S.CAR_TH]
-
-    df = _stage_encoded_target(raw, upper_cols, target, key)
-    features = [c for c in df.columns if c not in (key, target)]
-
-    # 2. optional outlier report on the numeric role at cat_th=10
+    """Learn roles, fills and scaling statistics from ``raw`` with one scan of it.
+
+    The scan builds the value-frequency profile of every non-key column; roles,
+    upper-casing, fill values (mode / exact median / mean) and the mean and population
+    std of the log1p-transformed, imputed columns are then computed on that small
+    table.  The interaction features need no pass: their code tables have at most 12
+    values, so they can never reach the scaling threshold of 20 distinct values.
+    """
+    up = C.normalise_names(C.drop_ids(C.upper_names(raw), keep_key=None))
+    cols = [c for c in up.columns if c != key]
+    prof = column_profile(up, cols).persist()
+    try:
+        return _fit_from_profile(up, prof, target, key, num_method, outlier_report)
+    finally:
+        prof.unpersist()
+
+
+def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
+                      num_method: str, outlier_report: bool) -> PrepModel:
+    strings = [c for c in up.columns if c != key and P.is_string(up, c)]
+    numbers = [c for c in up.columns if c not in (key, target) and P.is_numeric(up, c)]
+    nonnull = F.col("s").isNotNull() | F.col("d").isNotNull()
+    # 1. upper-case strings with at most car_th distinct values
+    raw_counts = {r["column_name"]: r["k"] for r in prof.filter(nonnull).groupBy("column_name")
+                  .agg(F.count(F.lit(1)).alias("k")).collect()}
+    upper_cols = [c for c in strings if raw_counts.get(c, 0) <= S.CAR_TH]
+    sprof = (prof.filter(F.col("column_name").isin(strings))
+             .withColumn("s", F.when(F.col("column_name").isin(upper_cols), F.upper("s")).otherwise(F.col("s")))
+             .groupBy("column_name", "s").agg(F.sum("n").alias("n")))
+    # 2. outlier report (optional): quartiles from the profile
     outliers: dict[str, bool] = {}
     if outlier_report:
-        num = [c for c in features if P.is_numeric(df, c)]
-        ncount = {r["column_name"]: r["n_distinct"] for r in P.distinct_counts(df, num).collect()}
-        num_cols = [c for c in num if ncount[c] >= S.CAT_TH_OUTLIER]
-        outliers = CL.check_outlier(df, num_cols)
-
-    # 3. fill values (mode for short strings, median / mean for numbers)
-    fills = CL.fit_missing_fills(df.drop(key), num_method=num_method, target=target, exact=exact)
-    df = C.add_derived_features(C.encode_labels(CL.apply_fills(df, fills)))
-
-    # 4. numeric role at cat_th=20 -> log1p where listed -> mean / population std
-    num = [c for c in df.columns if c not in (key, target) and P.is_numeric(df, c)]
-    ncount = {r["column_name"]: r["n_distinct"] for r in P.distinct_counts(df, num).collect()}
-    scale_cols = [c for c in num if ncount[c] >= S.CAT_TH_SCALE]
-    logged = C.log1p_columns(df, [c for c in S.LOG1P_COLUMNS if c in df.columns])
-    stats = P.per_column_agg(logged, scale_cols, {
-        "mean": lambda c: F.avg(c.cast("double")), "std": lambda c: F.stddev_pop(c.cast("double"))
-    }).collect() if scale_cols else []
-    return PrepModel(
-        upper_string_cols=upper_cols, fills=fills, scale_cols=scale_cols,
-        means={r["column_name"]: r["mean"] for r in stats},
-        stds={r["column_name"]: r["std"] for r in stats},
-        target=target, key=key, outliers=outliers,
-    )
+        out_cols = [c for c in numbers if raw_counts.get(c, 0) >= S.CAT_TH_OUTLIER]
+        outliers = _outliers_from_profile(prof, out_cols)
+    # 3. fills for columns with nulls (never the target)
+    nulls = {r["column_name"]: r["n"] for r in prof.filter(~nonnull).collect()}
+    fills: dict[str, Any] = {}
+    str_null = [c for c in strings if c != target and nulls.get(c, 0) > 0]
+    sdist = {r["column_name"]: r["k"] for r in sprof.filter(F.col("s").isNotNull()).groupBy("column_name")
+             .agg(F.count(F.lit(1)).alias("k")).collect()}
+    eligible = [c for c in str_null if sdist.get(c, 0) + 1 <= S.CAT_LENGTH]
+    if eligible:
+        best = (sprof.filter(F.col("column_name").isin(eligible) & F.col("s").isNotNull())
+                .groupBy("column_name").agg(F.min_by("s", F.struct((-F.col("n")).alias("nn"), F.col("s"))).alias("m")))
+        fills.update({r["column_name"]: r["m"] for r in best.collect()})
+    num_null = [c for c in numbers if nulls.get(c, 0) > 0]
+    if num_null:
+        nprof = prof.filter(F.col("column_name").isin(num_null) & F.col("d").isNotNull())
+        if num_method == "median":
+            agg = nprof.groupBy("column_name").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("f"))
+        elif num_method == "mean":
+            agg = nprof.groupBy("column_name").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("f"))
+        else:
+            raise ValueError("num_method must be 'median' or 'mean'")
+        fills.update({r["column_name"]: r["f"] for r in agg.collect()})
+    # 4. numeric role at cat_th=20 (distinct values after filling), log1p, moments
+    dist_after = {}
+    for c in numbers:
+        k = raw_counts.get(c, 0)
+        dist_after[c] = k + (1 if c in fills and nulls.get(c, 0) > 0 and not _has_value(prof, c, fills[c]) else 0)
+    scale_cols = [c for c in numbers if dist_after[c] >= S.CAT_TH_SCALE and c in S.BASE_FEATURES]
+    means, stds = _moments_from_profile(prof, scale_cols, fills)
+    return PrepModel(upper_string_cols=upper_cols, fills=fills, scale_cols=scale_cols,
+                     means=means, stds=stds, target=target, key=key, outliers=outliers)
+
+
+def _has_value(prof: DataFrame, col: str, value) -> bool:
+    return prof.filter((F.col("column_name") == col) & (F.col("d") == F.lit(float(value)))).limit(1).count() > 0
+
+
+def _moments_from_profile(prof: DataFrame, cols: list[str], fills: dict[str, Any]):
+    """Mean and population std of g(x), g = log1p for the listed columns, nulls filled."""
+    if not cols:
+        return {}, {}
+    name = F.col("column_name")
+    fill = P.literal_lookup(name, {c: float(fills[c]) for c in cols if c in fills}) if any(
+        c in fills for c in cols) else F.lit(None).cast("double")
+    x = F.coalesce(F.col("d"), fill)
+    logged = name.isin([c for c in cols if c in S.LOG1P_COLUMNS])
+    g = F.when(logged, F.log1p(x)).otherwise(x)
+    vals = prof.filter(name.isin(cols)).withColumn("g", g).filter(F.col("g").isNotNull())
+    m = {r["column_name"]: r["m"] for r in vals.groupBy("column_name")
+         .agg((F.sum(F.col("g") * F.col("n")) / F.sum("n")).alias("m")).collect()}
+    centred = vals.withColumn("c", F.col("g") - P.literal_lookup(name, m))
+    v = {r["column_name"]: r["v"] for r in centred.groupBy("column_name")
+         .agg((F.sum(F.col("c") * F.col("c") * F.col("n")) / F.sum("n")).alias("v")).collect()}
+    return m, {c: float(v[c]) ** 0.5 for c in cols}
+
+
+def _outliers_from_profile(prof: DataFrame, cols: list[str]) -> dict[str, bool]:
+    if not cols:
+        return {}
+    q = (prof.filter(F.col("column_name").isin(cols) & F.col("d").isNotNull())
+         .groupBy("column_name")
+         .agg(F.percentile("d", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"),
+              F.min("d").alias("lo"), F.max("d").alias("hi")).collect())
+    out = {}
+    for r in q:
+        q1, q3 = r["q"]
+        iqr = q3 - q1
+        out[r["column_name"]] = bool(r["hi"] > q3 + 1.5 * iqr or r["lo"] < q1 - 1.5 * iqr)
+    return out
 
 
 def apply_prep(raw: DataFrame, model: PrepModel, keep_target: bool = True) -> DataFrame:
