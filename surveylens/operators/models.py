@@ -117,8 +117,9 @@ def cross_val_scores(df: DataFrame, features: list[str], label: str, names: list
     per_fold = M.grouped_binary_metrics(allp, ["model", "fold"])
     stack = ", ".join(f"'{m}', {m}" for m in S.COMPARISON_METRICS)
     long = per_fold.selectExpr("model", "fold", f"stack({len(S.COMPARISON_METRICS)}, {stack}) AS (metric, score)")
-    out = long.groupBy("model", "metric").agg(F.avg("score").alias("score"))
-    return out
+    out = long.groupBy("model", "metric").agg(F.avg("score").alias("score")).collect()
+    data.unpersist()
+    return df.sparkSession.createDataFrame(out, "model string, metric string, score double")
 
 
 def tune(df: DataFrame, features: list[str], label: str, name: str, grid: dict[str, list],

@@ -243,13 +243,15 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, value, n, ratio): frequency and % of *all* rows, nulls excluded.
 
     The total per column is the sum of its groups including the null group, so no
-    second scan is needed.
+    second scan of the data is needed.
     """
     freq = (melt(df, columns, "string")
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    total = F.sum("n").over(Window.partitionBy("column_name"))
-    return (freq.withColumn("total", total)
-            .filter(F.col("value").isNotNull())
+    # per-column totals: one row per column (a small side), joined back -- no task
+    # has to buffer all groups of a column the way a window would
+    totals = freq.groupBy("column_name").agg(F.sum("n").alias("total"))
+    return (freq.filter(F.col("value").isNotNull())
+            .join(totals, "column_name")
             .withColumn("ratio", F.col("n") * 100.0 / F.col("total"))
             .drop("total"))
 

@@ -69,3 +69,21 @@ def test_csv_roundtrip_equals_view(spark):
         "ARRIVAL_DELAY_IN_MINUTES", F.col("ARRIVAL_DELAY_IN_MINUTES").cast("double"))
     assert back.columns == view.columns
     assert back.exceptAll(view).count() == 0 and view.exceptAll(back).count() == 0
+
+
+def test_run_training_end_to_end(spark):
+    from surveylens.operators.split import train_test_split
+    from surveylens.plans.training import run_training
+    from surveylens.session import scratch_path
+    from surveylens.sources.model_store import load_model
+    raw = survey_view(spark, SF_SMALL)
+    path = scratch_path(spark, "test-model")
+    res = run_training(spark, raw, path, n_estimators=[2, 4], learning_rates=[0.5, 1.0], folds=2)
+    assert res.best_params["n_estimators"] in (2, 4) and len(res.grid) == 4
+    assert len(res.model.stumps) <= res.best_params["n_estimators"]
+    assert 0.5 < res.scores["test"]["accuracy"] <= 1.0
+    prep2, model2 = load_model(spark, path)
+    test = PR.apply_prep(train_test_split(raw, key="id")[1], prep2)
+    a = res.model.transform(test).select("ID", "prediction")
+    b = model2.transform(test).select("ID", "prediction")
+    assert a.exceptAll(b).count() == 0
