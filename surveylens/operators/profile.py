@@ -187,22 +187,63 @@ def frequency_table(df: DataFrame, columns: list[str], value_type: str = "double
             .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def quantiles_from_freq(freq: DataFrame, keys: list[str], probs: list[float],
+                        value: str = "value", n: str = "n", buckets: int = 16) -> DataFrame:
+    """Exact quantiles (linear interpolation) from a (keys..., value, n) frequency table.
+
+    Two-level order-statistic search, so no task ever holds all values of a key:
+    distinct values are cut into ``buckets`` ranges at approximate quantiles (one row
+    of cuts per key), bucket offsets come from a window over the small
+    (key, bucket) totals, each target rank is located in its bucket, and only the rows
+    of the buckets that hold a target rank are ordered by a window inside that bucket.
+    Returns (keys..., prob, value).
+    """
+    f = freq.select(*keys, F.col(value).cast("double").alias("v"), F.col(n).cast("long").alias("c"))
+    cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    stats = f.groupBy(*keys).agg(F.sum("c").alias("N"),
+                                 F.percentile_approx("v", cut_probs, 20 * buckets).alias("cuts"))
+    fb = (f.join(stats.select(*keys, "cuts"), keys)
+          .withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts"))
+    bt = fb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
+    ow = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.withColumn("off", F.coalesce(F.sum("bn").over(ow), F.lit(0)))
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    tg = (stats.select(*keys, "N", F.posexplode(parr).alias("pi", "prob"))
+          .withColumn("pos", F.col("prob") * (F.col("N") - 1))
+          .withColumn("lo", F.floor("pos")).withColumn("frac", F.col("pos") - F.col("lo"))
+          .withColumn("hi", F.least(F.col("lo") + 1, F.col("N") - 1)))
+    ranks = tg.select(*keys, "pi", F.inline(F.array(
+        F.struct(F.lit(0).alias("which"), F.col("lo").cast("long").alias("r")),
+        F.struct(F.lit(1).alias("which"), F.col("hi").cast("long").alias("r")))))
+    located = (ranks.join(bt, keys)
+               .filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("bn")))
+               .select(*keys, "pi", "which", "r", "b", "off"))
+    iw = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = fb.join(located.select(*keys, "b").distinct(), [*keys, "b"], "left_semi")
+    cum = wanted.withColumn("cum", F.sum("c").over(iw))
+    rel = F.col("r") - F.col("off")
+    hit = (cum.join(located, [*keys, "b"])
+           .filter((F.col("cum") - F.col("c") <= rel) & (rel < F.col("cum"))))
+    vals = hit.groupBy(*keys, "pi").agg(F.max(F.when(F.col("which") == 0, F.col("v"))).alias("vlo"),
+                                        F.max(F.when(F.col("which") == 1, F.col("v"))).alias("vhi"))
+    interp = F.when(F.col("frac") == 0, F.col("vlo")).otherwise(
+        (1 - F.col("frac")) * F.col("vlo") + F.col("frac") * F.col("vhi"))
+    return vals.join(tg.select(*keys, "pi", "prob", "frac"), [*keys, "pi"]).select(
+        *keys, "prob", interp.alias("value"))
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,
               exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """(by..., column_name, prob, value) with linear interpolation between order statistics.
 
-    Exact: frequency table, then ``percentile(value, probs, n)`` per column -- the
-    aggregation buffer holds one entry per *distinct* value of one column.  That is
-    tiny for the survey's bounded domains (ratings, ages, distances, delays); for a
-    continuous column at scale pass ``exact=False`` (``percentile_approx``, bounded
-    sketch, one pass).
+    Exact: frequency table (map-side combined), then the two-level order-statistic
+    search of ``quantiles_from_freq`` -- no task holds all values of a column.
+    ``exact=False``: ``percentile_approx`` (bounded sketch, one pass).
     """
     by = by or []
     parr = F.array(*[F.lit(float(p)) for p in probs])
     if exact:
-        freq = frequency_table(df, columns, by=by)
-        agg = freq.groupBy(*by, "column_name").agg(
-            F.percentile(F.col("value"), parr, F.col("n")).alias("qs"))
+        return quantiles_from_freq(frequency_table(df, columns, by=by), [*by, "column_name"], probs)
     else:
         long = melt(df, columns, ids=by).filter(F.col("value").isNotNull())
         agg = long.groupBy(*by, "column_name").agg(
@@ -339,11 +380,11 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     """
     by = by or []
     freq = frequency_table(df, columns, by=by)
-    parr = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quart = (freq.groupBy(*by, "column_name")
-             .agg(F.percentile(F.col("value"), parr, F.col("n")).alias("qs"))
-             .select(*by, "column_name", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                     F.col("qs")[2].alias("q3"))
+    qs = quantiles_from_freq(freq, [*by, "column_name"], [0.25, 0.5, 0.75])
+    quart = (qs.groupBy(*by, "column_name")
+             .agg(F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("q1"),
+                  F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("median"),
+                  F.max(F.when(F.col("prob") == 0.75, F.col("value"))).alias("q3"))
              .withColumn("iqr", F.col("q3") - F.col("q1")))
     lo_fence = F.col("q1") - 1.5 * F.col("iqr")
     hi_fence = F.col("q3") + 1.5 * F.col("iqr")

@@ -125,7 +125,8 @@ def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
     if num_null:
         nprof = prof.filter(F.col("column_name").isin(num_null) & F.col("d").isNotNull())
         if num_method == "median":
-            agg = nprof.groupBy("column_name").agg(F.percentile("d", F.lit(0.5), F.col("n")).alias("f"))
+            agg = (P.quantiles_from_freq(nprof, ["column_name"], [0.5], value="d")
+                   .select("column_name", F.col("value").alias("f")))
         elif num_method == "mean":
             agg = nprof.groupBy("column_name").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("f"))
         else:
@@ -168,13 +169,13 @@ def _moments_from_profile(prof: DataFrame, cols: list[str], fills: dict[str, Any
 def _outliers_from_profile(prof: DataFrame, cols: list[str]) -> dict[str, bool]:
     if not cols:
         return {}
-    q = (prof.filter(F.col("column_name").isin(cols) & F.col("d").isNotNull())
-         .groupBy("column_name")
-         .agg(F.percentile("d", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"),
-              F.min("d").alias("lo"), F.max("d").alias("hi")).collect())
+    sub = prof.filter(F.col("column_name").isin(cols) & F.col("d").isNotNull())
+    qs = {(r["column_name"], r["prob"]): r["value"]
+          for r in P.quantiles_from_freq(sub, ["column_name"], [0.25, 0.75], value="d").collect()}
+    q = sub.groupBy("column_name").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).collect()
     out = {}
     for r in q:
-        q1, q3 = r["q"]
+        q1, q3 = qs[(r["column_name"], 0.25)], qs[(r["column_name"], 0.75)]
         iqr = q3 - q1
         out[r["column_name"]] = bool(r["hi"] > q3 + 1.5 * iqr or r["lo"] < q1 - 1.5 * iqr)
     return out

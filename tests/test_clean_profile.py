@@ -105,3 +105,16 @@ def test_quantiles_match_linear_interpolation(spark, xs):
     got = {r.prob: r.value for r in P.quantiles(df, ["x"], [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
     for p, v in got.items():
         assert math.isclose(v, float(np.quantile(xs, p)), abs_tol=1e-9)
+
+
+def test_exact_quantiles_many_values_and_a_hot_value(spark):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    xs = np.concatenate([rng.normal(size=2000).round(6), np.full(1000, 0.25)])
+    g = np.arange(len(xs)) % 2
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, xs)], "g long, x double")
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {(r.g, r.prob): r.value for r in P.quantiles(df, ["x"], probs, by=["g"]).collect()}
+    for k in (0, 1):
+        for p in probs:
+            assert got[(k, p)] == pytest.approx(float(np.quantile(xs[g == k], p)), abs=1e-9)

@@ -87,3 +87,18 @@ def test_run_training_end_to_end(spark):
     a = res.model.transform(test).select("ID", "prediction")
     b = model2.transform(test).select("ID", "prediction")
     assert a.exceptAll(b).count() == 0
+
+
+def test_requests_json_and_prediction_sink(spark):
+    from surveylens.session import scratch_path
+    from surveylens.sources.survey_io import read_requests, write_predictions
+    reqs = SC.requests_from_survey(FR.survey_encoded(spark, SF_SMALL))
+    src, out = scratch_path(spark, "req-json"), scratch_path(spark, "pred")
+    reqs.write.json(src)
+    prep = PR.fit_prep(survey_view(spark, SF_SMALL))
+    scored = SC.score_requests(read_requests(spark, src), prep, catalog.FIXED_ENSEMBLE)
+    write_predictions(scored, out)
+    back = spark.read.parquet(out)
+    direct = SC.score_requests(reqs, prep, catalog.FIXED_ENSEMBLE)
+    assert back.count() == direct.count() > 0
+    assert back.select("ID", "prediction").exceptAll(direct.select("ID", "prediction")).count() == 0
