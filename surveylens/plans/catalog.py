@@ -7,13 +7,26 @@ compares stably with the SQL oracle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveylens import schema as S
 from surveylens.functions import columns as C
+from surveylens.operators import boost as B
+from surveylens.operators import clean as CL
+from surveylens.operators import metrics as M
+from surveylens.operators import models as ML
 from surveylens.operators import profile as P
+from surveylens.operators import split as SP
 from surveylens.plans import frames as FR
+from surveylens.plans import prep as PR
+from surveylens.plans import scoring as SC
+from surveylens.session import scratch_path
+from surveylens.sources import model_store as MS
+from surveylens.sources import survey_io as IO
+from surveylens.sources.tables import load_table, survey_view
 
 
 def _r(df: DataFrame) -> DataFrame:
@@ -163,12 +176,6 @@ def interaction_features(spark, sf_dir):
 
 # ---------------------------------------------------------------- cleaning ----
 
-from surveylens.operators import clean as CL  # noqa: E402
-from surveylens.operators import split as SP  # noqa: E402
-from surveylens.plans import prep as PR  # noqa: E402
-from surveylens.session import scratch_path  # noqa: E402
-from surveylens.sources import survey_io as IO  # noqa: E402
-from surveylens.sources.tables import load_table, survey_view  # noqa: E402
 
 
 def outlier_thresholds(spark, sf_dir):
@@ -264,13 +271,7 @@ def read_csv_roundtrip(spark, sf_dir):
 
 # ------------------------------------------------------ metrics and models ----
 
-import functools  # noqa: E402
 
-from surveylens.operators import boost as B  # noqa: E402
-from surveylens.operators import metrics as M  # noqa: E402
-from surveylens.operators import models as ML  # noqa: E402
-from surveylens.plans import scoring as SC  # noqa: E402
-from surveylens.sources import model_store as MS  # noqa: E402
 
 # A hand-written ensemble used to check scoring against SQL.
 FIXED_STUMPS = [

@@ -217,6 +217,6 @@ def features_from_encoded(df: DataFrame, model: PrepModel, keep_target: bool = T
 
 
 def prepare(raw: DataFrame, **kw) -> tuple[DataFrame, PrepModel]:
-    """fit + apply on the same rows (the study's airplane_data_prep)."""
+    """fit + apply on the same rows (the study's one-call preparation)."""
     model = fit_prep(raw, **kw)
     return apply_prep(raw, model), model
