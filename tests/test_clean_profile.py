@@ -118,3 +118,20 @@ def test_exact_quantiles_many_values_and_a_hot_value(spark):
     for k in (0, 1):
         for p in probs:
             assert got[(k, p)] == pytest.approx(float(np.quantile(xs[g == k], p)), abs=1e-9)
+
+
+def test_corr_pairwise_complete_matches_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=400)
+    b = a * 0.5 + rng.normal(size=400)
+    c = rng.integers(0, 6, 400).astype(float)
+    b[::7] = np.nan
+    c[::5] = np.nan
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    df = P.nan_to_null(spark.createDataFrame(pdf))
+    got = {(r.column_a, r.column_b): r.corr for r in P.corr_lower(df, ["a", "b", "c"]).collect()}
+    want = pdf.corr()
+    for (x, y), v in got.items():
+        assert v == pytest.approx(want.loc[x, y], abs=1e-12)
