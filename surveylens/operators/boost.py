@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveylens.operators.profile import literal_lookup
-from surveylens.session import checkpoint_root
+from surveylens.session import checkpoint_root, scratch_path
 
 
 @dataclass
@@ -144,7 +144,8 @@ def _miss(s: Stump, label: str) -> Column:
 def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
                        specs: list[BoostSpec], checkpoint_every: int | None = None,
                        max_bins: int | None = None,
-                       local_search_limit: int = 2_000_000) -> dict[str, BoostedStumps]:
+                       local_search_limit: int = 2_000_000,
+                       materialise_as: str = "parquet") -> dict[str, BoostedStumps]:
     """Boost every spec's model; one aggregation job per round serves all of them.
 
     The split search runs on the aggregated table of weighted class totals per
@@ -157,7 +158,18 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
     approximate quantiles -- for continuous features at scale, where the distinct
     values would otherwise make the per-feature window large.  ``None`` = exact.
     """
-    checkpoint_root(df.sparkSession)  # make sure a reliable checkpoint folder exists
+    spark = df.sparkSession
+    checkpoint_root(spark)  # make sure a reliable checkpoint folder exists
+
+    def materialise(frame: DataFrame) -> DataFrame:
+        """Cut the lineage: a parquet table in the shared checkpoint folder (columnar,
+        vectorised reads each round), or Spark's reliable checkpoint."""
+        if materialise_as == "parquet":
+            path = scratch_path(spark, "boost-weights")
+            frame.write.parquet(path)
+            return spark.read.parquet(path)
+        return frame.checkpoint(eager=True)
+
     m_count = len(specs)
     every = checkpoint_every or max(1, min(10, 100 // max(1, m_count)))
     cast = [F.col(f).cast("double").alias(f) for f in features]
@@ -165,7 +177,7 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
                      *[s.train.alias(f"__t{i}") for i, s in enumerate(specs)])
     if max_bins:
         base = _bin_features(base, features, max_bins)
-    cur = base.withColumns({f"__lw{i}": F.lit(0.0) for i in range(m_count)}).checkpoint(eager=True)
+    cur = materialise(base.withColumns({f"__lw{i}": F.lit(0.0) for i in range(m_count)}))
     # size of the per-round split table: distinct values per feature (one small job)
     from surveylens.operators.profile import distinct_counts
     per_model = sum(r["n_distinct"] for r in distinct_counts(cur, list(features)).collect())
@@ -196,7 +208,7 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
         if not act:
             break
         if rnd > 0 and rnd % every == 0:  # materialise weights, cut the lineage
-            cur = cur.withColumns({f"__lw{i}": logw(i) for i in range(m_count)}).checkpoint(eager=True)
+            cur = materialise(cur.withColumns({f"__lw{i}": logw(i) for i in range(m_count)}))
             mx = cur.agg(*[F.max(f"__lw{i}").alias(f"m{i}") for i in range(m_count)]).first()
             for i in range(m_count):
                 pending[i] = []
