@@ -3,20 +3,22 @@
 MLlib has no AdaBoost, so the booster is written as DataFrame jobs:
 
 * **one scan per round for many models.**  Several models (e.g. every fold x
-  learning-rate pair of a grid search) are boosted side by side: each training row is
-  exploded to the models it trains, carrying that model's current weight, and the
-  features are unpivoted to (model, feature, value).  A ``groupBy`` with map-side
-  combine reduces this to weighted class totals per distinct (model, feature, value)
-  -- a table the size of the feature domains, not of the data, whatever the skew.
-* **exact best split.**  Per (model, feature) a window over the sorted distinct values
-  gives cumulative class weights left of every candidate threshold (midpoints between
-  consecutive values); the weighted Gini criterion picks the best stump per model.  Ties
-  go to the lowest feature index, then the lowest threshold (deterministic).
+  learning-rate pair of a grid search) are boosted side by side.  Each round computes
+  every model's row weight as a column, unpivots the features once to
+  (feature index, value) with ``stack``, and aggregates per distinct (feature, value)
+  the class-1 weight, class-0 weight and row count of each model -- map-side combined,
+  so the shuffle carries a table the size of the feature domains, not of the data,
+  whatever the skew.
+* **exact best split.**  From that table the cumulative class weights left of every
+  candidate threshold (midpoints between consecutive values) give the weighted Gini
+  criterion; the best stump per model is chosen on the driver with numpy when the table
+  is provably small (checked once before boosting), else with Spark windows per
+  (model, feature).  Ties go to the lowest feature index, then the lowest threshold.
 * **weights as expressions.**  A row's weight is exp(sum of alpha over the stumps that
   misclassify it): a compiled column expression rebuilt each round, so no per-round
-  table is written.  Every few rounds the weights are materialised with a reliable
-  ``checkpoint()`` (shared checkpoint folder) -- the plan stays small and a lost
-  executor recomputes from the last checkpoint, not from round one.
+  table is written.  Every few rounds the weights are materialised as a parquet table
+  in the shared checkpoint folder (or with a reliable ``checkpoint()``): the plan stays
+  small and a lost executor recomputes from the last materialisation, not from round one.
 * **scoring is one projection.**  Stumps on the same feature are merged into one step
   function (a CASE over its sorted thresholds); the ensemble is the sum of these.
 """
