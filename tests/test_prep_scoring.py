@@ -102,3 +102,22 @@ def test_requests_json_and_prediction_sink(spark):
     direct = SC.score_requests(reqs, prep, catalog.FIXED_ENSEMBLE)
     assert back.count() == direct.count() > 0
     assert back.select("ID", "prediction").exceptAll(direct.select("ID", "prediction")).count() == 0
+
+
+def test_fit_is_partition_invariant_and_handles_a_hot_value(spark):
+    import numpy as np
+    raw = survey_view(spark, SF_SMALL)
+    a = PR.fit_prep(raw)
+    b = PR.fit_prep(raw.repartition(13, "gender"))
+    assert a.fills == b.fills and a.scale_cols == b.scale_cols
+    for c in a.scale_cols:
+        assert a.means[c] == pytest.approx(b.means[c], abs=1e-12)
+        assert a.stds[c] == pytest.approx(b.stds[c], abs=1e-12)
+    # one respondent pattern repeated until it holds a third of all rows
+    one = raw.orderBy("id").limit(1)
+    copies = one.select("*", F.explode(F.sequence(F.lit(1), F.lit(750))).alias("k")).drop("k")
+    skewed = raw.unionByName(copies)
+    m = PR.fit_prep(skewed)
+    pdf = skewed.select("age", "arrival_delay_in_minutes").toPandas()
+    assert m.means["AGE"] == pytest.approx(pdf["age"].mean(), abs=1e-9)
+    assert m.fills["ARRIVAL_DELAY_IN_MINUTES"] == pytest.approx(float(np.nanmedian(pdf["arrival_delay_in_minutes"])))
