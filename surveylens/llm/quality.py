@@ -122,15 +122,32 @@ def line_features(raw: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np
 @dataclass(frozen=True)
 class LineField:
     """weights: evidence for "good" per feature; change: score of a pair of unlike
-    neighbours (like pairs score 0)."""
+    neighbours (like pairs score 0); scale and shift: logistic calibration of the
+    documents' mean marginals."""
 
     weights: np.ndarray
     change: float
+    scale: float = 1.0
+    shift: float = 0.0
 
     def marginals(self, x: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """P(line is good), by forward-backward over each document's lines."""
         return _forward_backward(x @ self.weights, doc, self.change)[0]
 
+    def scores(self, x: np.ndarray, size: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+        """Length-weighted mean marginal of each document, calibrated."""
+        return 1 / (1 + np.exp(-(self.scale * _logit(self.raw(x, size, doc, n_docs)) + self.shift)))
+
+    def raw(self, x, size, doc, n_docs) -> np.ndarray:
+        weight = size + 1e-6
+        return (np.bincount(doc, self.marginals(x, doc) * weight, minlength=n_docs)
+                / np.bincount(doc, weight, minlength=n_docs))
+
+
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
 
 def _soft(a, b):
     return np.logaddexp(a, b)
@@ -166,31 +183,45 @@ def _forward_backward(u: np.ndarray, doc: np.ndarray, change: float):
     return p, pairs
 
 
-def fit_field(x: np.ndarray, doc: np.ndarray, good: np.ndarray, steps: int = 200, rate: float = 0.15,
-              l2: float = 1e-3) -> LineField:
-    """Penalised maximum likelihood by Adam.  Lines' labels are ``good`` per line; the
-    documents weigh equally, whatever their number of lines."""
-    w, change = np.zeros(x.shape[1]), 0.0
+def fit_field(x: np.ndarray, size: np.ndarray, doc: np.ndarray, good: np.ndarray, steps: int = 300,
+              rate: float = 0.1, l2: float = 1e-4) -> LineField:
+    """Penalised maximum likelihood by Adam on standardised features.  ``good`` has a label
+    per document; documents weigh equally, whatever their number of lines."""
     if not len(x) or good.all() or not good.any():
-        return LineField(w, 0.0)
+        return LineField(np.zeros(x.shape[1]), 0.0)
+    mean, spread = x.mean(0), x.std(0) + 1e-9
+    mean[0], spread[0] = 0.0, 1.0
+    z, label = np.where(spread > 1e-6, (x - mean) / spread, 0.0), good[doc]
+    w, change = np.zeros(x.shape[1]), 0.0
     weight = 1.0 / np.bincount(doc)[doc]
     n_docs = weight.sum()
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    inner = (doc[1:] == doc[:-1]).sum()
+    inner = max(1, int((doc[1:] == doc[:-1]).sum()))
     for t in range(1, steps + 1):
-        p, pairs = _forward_backward(x @ w, doc, change)
-        g = np.append(x.T @ ((p - good) * weight) / n_docs + l2 * w,
-                      pairs / max(1, inner) + 10 * l2 * change)
+        p, pairs = _forward_backward(z @ w, doc, change)
+        g = np.append(z.T @ ((p - label) * weight) / n_docs + l2 * w, pairs / inner + 10 * l2 * change)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         w, change = w - step[:-1], max(-3.0, min(0.0, change - step[-1]))
-    return LineField(w, change)
+    weights = np.where(spread > 1e-6, w / spread, 0.0)
+    weights[0] -= (weights * mean).sum()
+    field = LineField(weights, change)
+    # calibration: one-feature logistic regression by Newton steps
+    s = _logit(field.raw(x, size, doc, len(good)))
+    design, beta = np.stack([s, np.ones(len(s))], 1), np.array([1.0, 0.0])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        h = design.T @ (design * (p * (1 - p) + 1e-6)[:, None]) / len(s) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, design.T @ (p - good) / len(s) + 1e-3 * (beta - np.array([1.0, 0.0])))
+        beta = beta - np.clip(step, -1, 1)
+    return LineField(weights, change, float(max(beta[0], 0.05)), float(beta[1]))
 
 
 def _features_of(sample: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
         for b in text_slices(batches, text_col):
-            x, _, doc = line_features(*text_bytes(b.column(text_col)))
+            x, size, doc = line_features(*text_bytes(b.column(text_col)))
+            x = np.concatenate([size[:, None], x], axis=1)
             cuts = np.searchsorted(doc, np.arange(b.num_rows + 1))
             rows = [x[cuts[k]:cuts[k + 1]].astype(np.float32).tobytes() for k in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column("good"), pa.array(rows, pa.binary())],
@@ -208,12 +239,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
              .orderBy(F.xxhash64(id_col), id_col).limit(sample_docs))
     sample = docs.select(id_col, text_col).join(F.broadcast(known), id_col).dropDuplicates([id_col])
     rows = sorted((r["good"], bytes(r["features"])) for r in _features_of(sample, text_col).collect())
-    parts = [np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for _, f in rows]
+    parts = [np.frombuffer(f, np.float32).reshape(-1, 1 + N_FEATURES) for _, f in rows]
     if not parts:
         return LineField(np.zeros(N_FEATURES), 0.0)
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    good = np.repeat([float(g) for g, _ in rows], [len(p) for p in parts])
-    return fit_field(np.concatenate(parts).astype(np.float64), doc, good)
+    x = np.concatenate(parts).astype(np.float64)
+    return fit_field(x[:, 1:], x[:, 0], doc, np.array([float(g) for g, _ in rows]))
 
 
 def score_documents(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
@@ -225,10 +256,7 @@ def score_documents(docs: DataFrame, field: LineField, text_col: str = "text") -
     def run(batches):
         for b in text_slices(batches, text_col):
             x, size, doc = line_features(*text_bytes(b.column(text_col)))
-            p = field.marginals(x, doc)
-            weight = size + 1e-6
-            score = (np.bincount(doc, p * weight, minlength=b.num_rows)
-                     / np.bincount(doc, weight, minlength=b.num_rows))
+            score = field.scores(x, size, doc, b.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [pa.array(np.clip(score, 0.0, 1.0), pa.float64())],
                 names=[*keep, name])
