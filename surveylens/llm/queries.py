@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from surveylens.llm import licenses
+from surveylens.llm.mixing import op3_source_mixing
 from surveylens.llm.page_text import op10_html_extraction
 from surveylens.llm.quality import op1_quality_classifier
 from surveylens.llm.token_counts import op6_token_counts
@@ -14,6 +15,7 @@ from surveylens.llm.token_counts import op6_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scans": licenses.op2_license_scans,
+    "op3_source_mixing": op3_source_mixing,
     "op6_token_counts": op6_token_counts,
     "op10_html_extraction": op10_html_extraction,
 }
