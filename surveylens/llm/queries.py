@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from surveylens.llm import licenses
 from surveylens.llm.mixing import op3_source_mixing
 from surveylens.llm.packing import op4_curve_packing
+from surveylens.llm.spotsigs import op5_spot_signatures
 from surveylens.llm.page_text import op10_html_extraction
 from surveylens.llm.quality import op1_quality_classifier
 from surveylens.llm.token_counts import op6_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scans": licenses.op2_license_scans,
     "op3_source_mixing": op3_source_mixing,
     "op4_curve_packing": op4_curve_packing,
+    "op5_spot_signatures": op5_spot_signatures,
     "op6_token_counts": op6_token_counts,
     "op10_html_extraction": op10_html_extraction,
 }
