@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from surveylens.llm import licenses
 from surveylens.llm.mixing import op3_source_mixing
 from surveylens.llm.packing import op4_curve_packing
+from surveylens.llm.secrets import op9_secret_scans
 from surveylens.llm.spotsigs import op5_spot_signatures
 from surveylens.llm.page_text import op10_html_extraction
 from surveylens.llm.quality import op1_quality_classifier
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curve_packing": op4_curve_packing,
     "op5_spot_signatures": op5_spot_signatures,
     "op6_token_counts": op6_token_counts,
+    "op9_secret_scans": op9_secret_scans,
     "op10_html_extraction": op10_html_extraction,
 }
 
