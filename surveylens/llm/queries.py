@@ -14,6 +14,7 @@ from surveylens.llm.spotsigs import op5_spot_signatures
 from surveylens.llm.page_text import op10_html_extraction
 from surveylens.llm.quality import op1_quality_classifier
 from surveylens.llm.token_counts import op6_token_counts
+from surveylens.llm.vector_search import op8_posting_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curve_packing": op4_curve_packing,
     "op5_spot_signatures": op5_spot_signatures,
     "op6_token_counts": op6_token_counts,
+    "op8_posting_lists": op8_posting_lists,
     "op9_secret_scans": op9_secret_scans,
     "op10_html_extraction": op10_html_extraction,
 }
