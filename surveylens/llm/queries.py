@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from surveylens.llm import licenses
 from surveylens.llm.mixing import op3_source_mixing
+from surveylens.llm.ngram_join import op7_ngram_join
 from surveylens.llm.packing import op4_curve_packing
 from surveylens.llm.secrets import op9_secret_scans
 from surveylens.llm.spotsigs import op5_spot_signatures
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_curve_packing": op4_curve_packing,
     "op5_spot_signatures": op5_spot_signatures,
     "op6_token_counts": op6_token_counts,
+    "op7_ngram_join": op7_ngram_join,
     "op8_posting_lists": op8_posting_lists,
     "op9_secret_scans": op9_secret_scans,
     "op10_html_extraction": op10_html_extraction,
