@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from surveylens.llm import mixing, ngram_join, packing, quality, secrets
-from surveylens.llm.common import load, materialise
+from surveylens.llm.common import columns_of, fresh, load, materialise
 
 ORACLE_SQL = None  # the learnt and the random stages have no SQL form
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "labels", "doc_id", "quality").filter(~quality.held_out())
-    scored = quality.score_documents(docs, quality.train(docs, labels))
-    return scored.filter(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    scored = quality.score_documents(docs, quality.train(docs, labels), name=score)
+    return scored.filter(F.col(score) >= quality.THRESHOLD).select(*columns_of(docs))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveylens.llm.common import load, materialise
+from surveylens.llm.common import columns_of, fresh, load, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -191,16 +191,16 @@ def source_side(sources: DataFrame, most_rows: int = 100_000) -> DataFrame:
     return F.broadcast(sources) if sources.count() <= most_rows else sources
 
 
-def sized(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")) \
-        .withColumn("s", F.col(source_col))
+def sized(docs: DataFrame, source_col: str, text_col: str, size: str = "size", source: str = "s") -> DataFrame:
+    return docs.select("*", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias(size),
+                       F.col(source_col).alias(source))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
                 block_words: int = 256, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
     """One row per document: id, size, source_size, target, taken."""
-    rows = materialise(sized(docs, source_col, text_col).select(
+    rows = materialise(sized(docs.select(id_col, source_col, text_col), source_col, text_col).select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), "s", "size"), "mix-rows")
     sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
                           "mix-sources")
@@ -227,29 +227,32 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     words that were taken follow each other, joined by a line break.  Documents without
     words are not taken."""
     columns = docs.columns
-    kept = materialise(sized(docs.select(*columns), source_col, text_col)
-                       .withColumn("uid", F.monotonically_increasing_id()), "mix-texts")
-    sources = materialise(source_targets(kept.select(F.col("s").alias("source"), "size"), weights, share,
-                                         most), "mix-sources")
+    uid, size, source, got, cuts = (fresh(docs, c) for c in ("uid", "size", "s", "got", "spans"))
+    kept = materialise(sized(docs, source_col, text_col, size, source)
+                       .withColumn(uid, F.monotonically_increasing_id()), "mix-texts")
+    rows = kept.select(F.col(uid).alias("uid"), F.col(source).alias("s"), F.col(size).alias("size"))
+    sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
+                          "mix-sources")
     slots = draw_slots(sources, block_words, shard_blocks, seed)
-    spans = (block_pieces(kept.select("uid", "s", "size"), sources, block_words)
+    spans = (block_pieces(rows, sources, block_words)
              .join(slots, ["source_no", "block"]).filter("words > low")
              .select("uid", "epoch", "at", (F.least("high", "words") - F.col("low")).alias("n"))
-             .groupBy("uid", "epoch").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"),
-                                          F.sum("n").alias("got")))
-    found = kept.join(spans, "uid")
+             .groupBy(F.col("uid").alias("_uid"), "epoch").agg(
+                 F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_spans"), F.sum("n").alias("_got")))
+    spans = spans.select(F.col("_uid").alias(uid), F.col("_spans").alias(cuts), F.col("_got").alias(got))
+    found = kept.join(spans, uid).select(*columns_of(docs), size, got, cuts)
     schema = T.StructType([docs.schema[c] for c in columns])
     word = re.compile(WORD)
 
     def cut(batches):
         for b in batches:
             texts = []
-            for text, size, got, spans in zip(*(b.column(c).to_pylist() for c in
-                                                (text_col, "size", "got", "spans")), strict=True):
-                if got < size:
+            for text, whole, taken, pieces in zip(*(b.column(c).to_pylist() for c in
+                                                    (text_col, size, got, cuts)), strict=True):
+                if taken < whole:
                     at = [m.span() for m in word.finditer(text)]
                     runs: list[list[int]] = []
-                    for s in spans:
+                    for s in pieces:
                         if runs and runs[-1][1] == s["at"]:
                             runs[-1][1] += s["n"]
                         else:
@@ -261,7 +264,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
                 out["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
 
-    return found.select(*columns, "size", "got", "spans").mapInArrow(cut, schema)
+    return found.mapInArrow(cut, schema)
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

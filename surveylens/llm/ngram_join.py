@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import load, materialise, text_slices
+from surveylens.llm.common import columns_of, fresh, load, materialise, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -381,15 +381,16 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       num: int = 80, den: int = 100, frequent: int = 50) -> DataFrame:
     """One row of each group: that of its smallest id.  Rows of a null id stay."""
     groups = near_duplicate_groups(docs, id_col, text_col, n, num, den, frequent)
-    rows = groups.groupBy(F.col(id_col).alias("_id")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min("component_id").alias("least")).filter("_id is not null")
-    odd = materialise(rows.filter("_id <> least or rows > 1"), "gram-odd")
+    key, least, many = (fresh(docs, c) for c in ("group_id", "group_least", "group_rows"))
+    rows = groups.groupBy(F.col(id_col).alias(key)).agg(
+        F.min("component_id").alias(least), F.count(F.lit(1)).alias(many)).filter(F.col(key).isNotNull())
+    odd = materialise(rows.filter((F.col(key) != F.col(least)) | (F.col(many) > 1)), "gram-odd")
     side = F.broadcast(odd) if odd.count() <= 1_000_000 else odd
-    known = docs.join(side, F.col(id_col) == F.col("_id"), "left")
-    columns = docs.columns
-    alone = known.filter("_id is null").select(*columns)
-    repeated = known.filter("_id = least and rows > 1").select(*columns).dropDuplicates([id_col])
-    return alone.unionByName(repeated)
+    known = docs.join(side, F.col(id_col) == F.col(key), "left")
+    columns = columns_of(docs)
+    alone = known.filter(F.col(key).isNull()).select(*columns)
+    repeated = known.filter((F.col(key) == F.col(least)) & (F.col(many) > 1)).select(*columns)
+    return alone.unionByName(repeated.dropDuplicates([id_col]))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

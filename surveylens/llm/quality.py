@@ -247,10 +247,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_field(x[:, 1:], x[:, 0], doc, np.array([float(g) for g, _ in rows]))
 
 
-def score_documents(docs: DataFrame, field: LineField, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and quality_score (0 to 1, higher is better)."""
-    name = "quality_score"
-    keep = [c for c in docs.columns if c != name]
+def score_documents(docs: DataFrame, field: LineField, text_col: str = "text",
+                    name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and ``name`` (0 to 1, higher is better), which no column of
+    ``docs`` may be called."""
+    keep = docs.columns
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def run(batches):
@@ -258,10 +259,9 @@ def score_documents(docs: DataFrame, field: LineField, text_col: str = "text") -
             x, size, doc = line_features(*text_bytes(b.column(text_col)))
             score = field.scores(x, size, doc, b.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(c) for c in keep] + [pa.array(np.clip(score, 0.0, 1.0), pa.float64())],
-                names=[*keep, name])
+                [*b.columns, pa.array(np.clip(score, 0.0, 1.0), pa.float64())], names=[*keep, name])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 THRESHOLD = 0.3

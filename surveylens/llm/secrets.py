@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import load, materialise
+from surveylens.llm.common import columns_of, fresh, load, materialise
 
 # Words that announce a credential, and words that announce a harmless digest.
 CREDENTIAL = ("token secret password passwd pwd passphrase apikey api_key api-key key access_key "
@@ -171,20 +171,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    path_col: str | None = "source", broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` with every accepted secret in a text replaced by a mark; nothing else changes."""
-    columns = docs.columns
+    key, values = fresh(docs, "secret_id"), fresh(docs, "secret_values")
     secrets = materialise(
         scan_secrets(docs, id_col, text_col, path_col).filter("is_secret")
-        .groupBy(id_col).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a))
-                             .alias("_secrets")), "secrets-found").withColumnRenamed(id_col, "_id")
+        .groupBy(F.col(id_col).alias(key)).agg(F.array_sort(
+            F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias(values)), "secrets-found")
     side = F.broadcast(secrets) if secrets.count() <= broadcast_rows else secrets
-    text = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(text_col),
+    text = F.aggregate(F.coalesce(values, F.array().cast("array<string>")), F.col(text_col),
                        lambda t, s: F.replace(t, s, F.lit(MARK)))
-    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    out = {c: F.col(c) for c in columns} | {text_col: text.alias(text_col)}
-    if "n_chars" in columns:
-        out["n_chars"] = F.when(F.col("_secrets").isNull(), F.col("n_chars")).otherwise(
+    joined = docs.join(side, F.col(id_col).eqNullSafe(F.col(key)), "left")
+    out = dict(zip(docs.columns, columns_of(docs), strict=True)) | {text_col: text.alias(text_col)}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col(values).isNull(), F.col("n_chars")).otherwise(
             F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return joined.select(*[out[c] for c in columns])
+    return joined.select(*out.values())
 
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,10 +72,11 @@ def line_ends(raw: np.ndarray) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
 
 
-def allocate(token_ends: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def allocate(token_sizes: np.ndarray, section_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Section of each token (most bytes; the earlier on a tie), and whether it crosses a
     boundary.  Sections tile the text: section i spans [ends[i-1], ends[i])."""
-    starts = np.concatenate(([0], token_ends[:-1]))
+    token_ends = np.cumsum(token_sizes)
+    starts = token_ends - token_sizes
     first = np.searchsorted(section_ends, starts, "right")
     last = np.searchsorted(section_ends, token_ends, "left")
     owner, crossing = first.copy(), first != last
@@ -106,7 +107,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = raw[offsets[k]:offsets[k + 1]]
                 ends = line_ends(own)
                 ids = encode_whole(text, encoding, other)
-                owner, crossing = allocate(np.cumsum(lengths[ids]), ends)
+                owner, crossing = allocate(lengths[ids], ends)
                 chars = np.concatenate(([0], np.cumsum((own & 0xC0) != 0x80)))  # code points before a byte
                 at = np.concatenate(([0], ends[:-1]))
                 rows.append(np.full(len(ends), k))
