@@ -2,23 +2,22 @@
 
 MLlib has no AdaBoost, so the booster is written as DataFrame jobs:
 
+* **bins once.**  Every feature is coded once by its candidate thresholds and the narrow
+  coded table is written to the shared checkpoint folder.  A feature of at most
+  ``max_bins`` distinct values has a bin per value, so its splits are exact; one with more
+  has its quantiles as upper bin edges.  A split keeps the rows of the same bins on the
+  same side in training and in scoring.
 * **one scan per round for many models.**  Several models (e.g. every fold x
-  learning-rate pair of a grid search) are boosted side by side.  Each round computes
-  every model's row weight as a column, unpivots the features once to
-  (feature index, value) with ``stack``, and aggregates per distinct (feature, value)
-  the class-1 weight, class-0 weight and row count of each model -- map-side combined,
-  so the shuffle carries a table the size of the feature domains, not of the data,
-  whatever the skew.
-* **exact best split.**  From that table the cumulative class weights left of every
-  candidate threshold (midpoints between consecutive values) give the weighted Gini
-  criterion; the best stump per model is chosen on the driver with numpy when the table
-  is provably small (checked once before boosting), else with Spark windows per
-  (model, feature).  Ties go to the lowest feature index, then the lowest threshold.
-* **weights as expressions.**  A row's weight is exp(sum of alpha over the stumps that
-  misclassify it): a compiled column expression rebuilt each round, so no per-round
-  table is written.  Every few rounds the weights are materialised as a parquet table
-  in the shared checkpoint folder (or with a reliable ``checkpoint()``): the plan stays
-  small and a lost executor recomputes from the last materialisation, not from round one.
+  learning-rate pair of a grid search) are boosted side by side.  A task sums, per model
+  and bin, the weights of both classes with numpy; Spark adds the tasks' sums, whose
+  number is bounded by models x features x bins, whatever the data and their skew.
+* **exact best split in Spark.**  Windows over the bins of one (model, feature), at most
+  ``max_bins`` rows, give the weighted Gini criterion of every split; one row per model
+  comes back.  Ties go to the lowest feature index, then the lowest threshold.
+* **no stored weights.**  A row's log-weight is the sum of alpha over the stumps that
+  misclassify it: a sum over features of a table indexed by (class, bin), so its cost does
+  not grow with the rounds, nothing is rewritten, and a lost executor only repeats its
+  share of the current scan.
 * **scoring is one projection.**  Stumps on the same feature are merged into one step
   function (a CASE over its sorted thresholds); the ensemble is the sum of these.
 """
@@ -29,11 +28,15 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylens.operators.profile import literal_lookup
-from surveylens.session import checkpoint_root, scratch_path
+from surveylens.session import scratch_path
+
+MAX_BINS = 8192        # candidate thresholds per feature; more distinct values share bins
+GRID_MAX_BINS = 256    # the same for grids, where many models are boosted side by side
 
 
 @dataclass
@@ -139,92 +142,197 @@ class BoostSpec:
     n_estimators: int = 50
 
 
-def _miss(s: Stump, label: str) -> Column:
-    return (stump_class(s) != F.col(label)).cast("double")
+@dataclass(frozen=True)
+class Bins:
+    """Upper bin edges per feature; ``exact``: a bin per distinct value."""
+    features: list[str]
+    edges: list[np.ndarray]
+    exact: list[bool]
+
+    @property
+    def offsets(self) -> np.ndarray:
+        """Start of each feature's slots in flat tables: its bins, then one for nulls."""
+        return np.concatenate(([0], np.cumsum([len(e) + 1 for e in self.edges])))
+
+    def threshold(self, f: int, left: int, right: int) -> float:
+        """Split between bin ``left`` and ``right``, the next one that has rows."""
+        e = self.edges[f]
+        return float((e[left] + e[right]) / 2) if self.exact[f] else float(e[left])
+
+    def side(self, stump: Stump) -> tuple[int, np.ndarray]:
+        """Feature number, and for each of its slots the class that the stump gives it."""
+        f = self.features.index(stump.feature)
+        left = np.append(self.edges[f] <= stump.threshold, False)
+        return f, np.where(left, stump.left, stump.right)
+
+
+def find_bins(df: DataFrame, features: list[str], max_bins: int) -> Bins:
+    """Distinct values are counted per feature; those of features with at most ``max_bins`` are
+    the bins, the others get quantiles."""
+    pairs = ", ".join(f"{k}, `{f}`" for k, f in enumerate(features))
+    values = (df.selectExpr(f"stack({len(features)}, {pairs}) AS (fi, value)")
+              .filter("value IS NOT NULL AND NOT isnan(value)").distinct())
+    too_many = [r["fi"] for r in values.groupBy("fi").count().filter(F.col("count") > max_bins).collect()]
+    few = values.filter(~F.col("fi").isin(too_many)).collect() if too_many else values.collect()
+    held: dict[int, list[float]] = {}
+    for r in few:
+        held.setdefault(r["fi"], []).append(r["value"])
+    edges = [np.sort(np.array(held.get(k, []), float)) for k in range(len(features))]
+    exact = [k not in too_many for k in range(len(features))]
+    many = [k for k, e in enumerate(exact) if not e]
+    if many:
+        names = [features[k] for k in many]
+        cuts = df.approxQuantile(names, [i / max_bins for i in range(1, max_bins)] + [1.0], 0.25 / max_bins)
+        top = df.agg(*[F.max(f"`{n}`") for n in names]).first()
+        for k, c, high in zip(many, cuts, top, strict=True):
+            edges[k] = np.unique(np.append(c, high))  # the last bin is closed by the largest value
+    return Bins(list(features), edges, exact)
+
+
+class CodedTable:
+    """Training rows as bin numbers: one column of slots per row, its class, and the models
+    whose training part it is in."""
+
+    def __init__(self, df: DataFrame, features: list[str], label: str, specs: list[BoostSpec],
+                 max_bins: int) -> None:
+        base = df.select(*[F.col(f).cast("double").alias(f) for f in features],
+                         F.col(label).cast("int").alias("__y"),
+                         *[F.coalesce(s.train, F.lit(False)).alias(f"__t{i}") for i, s in enumerate(specs)])
+        self.bins = bins = find_bins(base, features, max_bins)
+        self.models = len(specs)
+        offsets, edges, n_models = bins.offsets, bins.edges, len(specs)
+
+        def code(batches):
+            for b in batches:
+                slots = np.zeros((b.num_rows, len(edges)), np.int32)
+                for k, e in enumerate(edges):
+                    v = b.column(k).to_numpy(zero_copy_only=False)
+                    null = np.isnan(v)
+                    slots[:, k] = offsets[k] + np.where(null, len(e), np.searchsorted(e, v, "left"))
+                used = np.stack([b.column(len(edges) + 1 + i).to_numpy(zero_copy_only=False)
+                                 for i in range(n_models)], axis=1).astype(np.uint8)
+                y = b.column(len(edges))
+                yield pa.RecordBatch.from_arrays(
+                    [y, pa.array([r.tobytes() for r in slots], pa.binary()),
+                     pa.array([r.tobytes() for r in used], pa.binary())], names=["y", "slots", "used"])
+
+        coded = base.filter("__y IS NOT NULL").mapInArrow(code, "y int, slots binary, used binary")
+        path = scratch_path(df.sparkSession, "boost-codes")
+        coded.write.parquet(path)
+        self.rows = df.sparkSession.read.schema(coded.schema).parquet(path)
+
+    def misses(self, model: int, stumps: list[Stump], table: np.ndarray) -> None:
+        """Add alpha to the (class, slot) cells that the stumps get wrong."""
+        at = self.bins.offsets
+        for s in stumps:
+            if s.feature is None:
+                table[1 - s.left, 0:at[1]] += s.alpha
+                continue
+            f, given = self.bins.side(s)
+            for y in (0, 1):
+                table[y, at[f]:at[f + 1]] += s.alpha * (given != y)
+
+    def sums(self, tables: dict[int, np.ndarray], shift: dict[int, float]) -> DataFrame:
+        """(m, fi, bin, w1, w0): weights of both classes per model and bin; bin is null for null
+        values.  Only cells with training rows."""
+        act, width, models = sorted(tables), len(self.bins.edges), self.models
+        offsets = self.bins.offsets
+
+        def run(batches):
+            total = np.zeros((len(act), 2, offsets[-1]))
+            count = np.zeros((len(act), offsets[-1]))
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                y = b.column("y").to_numpy()
+                slots = np.frombuffer(b"".join(b.column("slots").to_pylist()), np.int32).reshape(-1, width)
+                used = np.frombuffer(b"".join(b.column("used").to_pylist()), np.uint8).reshape(-1, models)
+                for i, m in enumerate(act):
+                    keep = used[:, m] > 0
+                    own, cls = slots[keep], y[keep]
+                    w = np.exp(tables[m][cls[:, None], own].sum(1) - shift[m])
+                    for c in (0, 1):
+                        part = own[cls == c]
+                        total[i, c] += np.bincount(part.ravel(), np.repeat(w[cls == c], width), offsets[-1])
+                    count[i] += np.bincount(own.ravel(), minlength=offsets[-1])
+            i, slot = np.nonzero(count)
+            feature = np.searchsorted(offsets, slot, "right") - 1
+            at = slot - offsets[feature]
+            null = at == np.diff(offsets)[feature] - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(act)[i], pa.int32()), pa.array(feature, pa.int32()),
+                 pa.array(at, pa.int32(), mask=null), pa.array(total[i, 1, slot]), pa.array(total[i, 0, slot])],
+                names=["m", "fi", "bin", "w1", "w0"])
+
+        return (self.rows.mapInArrow(run, "m int, fi int, bin int, w1 double, w0 double")
+                .groupBy("m", "fi", "bin").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0")))
+
+    def accuracies(self, decisions: dict[tuple, np.ndarray], model_of: dict[tuple, int]) -> dict[tuple, float]:
+        """Accuracy on the rows outside a model's training part, for each key's table of votes
+        (the constant first, then one per slot); all in one scan."""
+        keys, width, models = list(decisions), len(self.bins.edges), self.models
+
+        def run(batches):
+            hits = np.zeros((len(keys), 2), np.int64)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                y = b.column("y").to_numpy()
+                slots = np.frombuffer(b"".join(b.column("slots").to_pylist()), np.int32).reshape(-1, width)
+                used = np.frombuffer(b"".join(b.column("used").to_pylist()), np.uint8).reshape(-1, models)
+                for i, k in enumerate(keys):
+                    out = used[:, model_of[k]] == 0
+                    votes = decisions[k][0] + decisions[k][1:][slots[out]].sum(1)
+                    hits[i] += (int(((votes > 0) == y[out]).sum()), int(out.sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(keys)), pa.int32()), pa.array(hits[:, 0]), pa.array(hits[:, 1])],
+                names=["k", "hit", "n"])
+
+        rows = (self.rows.mapInArrow(run, "k int, hit long, n long").groupBy("k")
+                .agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect())
+        return {keys[r["k"]]: r["hit"] / r["n"] for r in rows if r["n"]}
+
+    def votes(self, stumps: list[Stump]) -> np.ndarray:
+        """Signed alphas: a constant, then one number per slot."""
+        at = self.bins.offsets
+        out = np.zeros(1 + at[-1])
+        for s in stumps:
+            if s.feature is None:
+                out[0] += s.alpha if s.left == 1 else -s.alpha
+                continue
+            f, given = self.bins.side(s)
+            out[1 + at[f]:1 + at[f + 1]] += np.where(given == 1, s.alpha, -s.alpha)
+        return out
 
 
-def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
-                       specs: list[BoostSpec], checkpoint_every: int | None = None,
-                       max_bins: int | None = None,
-                       local_search_limit: int = 2_000_000,
-                       materialise_as: str = "parquet") -> dict[str, BoostedStumps]:
+def fit_boosted_stumps(df: DataFrame, features: list[str], label: str, specs: list[BoostSpec],
+                       max_bins: int = MAX_BINS) -> dict[str, BoostedStumps]:
     """Boost every spec's model; one aggregation job per round serves all of them.
 
-    The split search runs on the aggregated table of weighted class totals per
-    (model, feature, distinct value).  When that table is provably small (distinct
-    values x models <= ``local_search_limit``, checked once before boosting) it is
-    searched on the driver with numpy -- the same reduction MLlib's tree learner does
-    with its bin statistics; otherwise the search itself runs as Spark windows.
-
-    ``max_bins`` (optional) restricts candidate thresholds of each feature to its
-    approximate quantiles -- for continuous features at scale, where the distinct
-    values would otherwise make the per-feature window large.  ``None`` = exact.
+    ``max_bins`` bounds the candidate thresholds of a feature: with at most that many
+    distinct values its splits are exact, else at that many quantiles.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)  # make sure a reliable checkpoint folder exists
-
-    def materialise(frame: DataFrame) -> DataFrame:
-        """Cut the lineage: a parquet table in the shared checkpoint folder (columnar,
-        vectorised reads each round), or Spark's reliable checkpoint."""
-        if materialise_as == "parquet":
-            path = scratch_path(spark, "boost-weights")
-            frame.write.parquet(path)
-            return spark.read.parquet(path)
-        return frame.checkpoint(eager=True)
-
-    m_count = len(specs)
-    every = checkpoint_every or max(1, min(10, 100 // max(1, m_count)))
-    cast = [F.col(f).cast("double").alias(f) for f in features]
-    base = df.select(*cast, F.col(label).cast("int").alias(label),
-                     *[s.train.alias(f"__t{i}") for i, s in enumerate(specs)])
-    if max_bins:
-        base = _bin_features(base, features, max_bins)
-    cur = materialise(base.withColumns({f"__lw{i}": F.lit(0.0) for i in range(m_count)}))
-    # size of the per-round split table: distinct values per feature (one small job)
-    from surveylens.operators.profile import distinct_counts
-    per_model = sum(r["n_distinct"] for r in distinct_counts(cur, list(features)).collect())
-    local_search = per_model * m_count <= local_search_limit
-    models = {i: BoostedStumps(list(features), s.learning_rate, s.n_estimators)
-              for i, s in enumerate(specs)}
-    pending: dict[int, list[Stump]] = {i: [] for i in range(m_count)}
-    offset = {i: 0.0 for i in range(m_count)}
-    active = set(range(m_count))
-    feat_idx = {f: k for k, f in enumerate(features)}
-
-    def logw(i: int) -> Column:
-        """log-weight of model i: materialised part + stumps since the last checkpoint.
-
-        Plain CASE expressions (compiled by whole-stage codegen); the checkpoint
-        interval keeps them short.  A higher-order ``aggregate`` over an array of
-        stumps keeps the generated code identical between rounds but is interpreted
-        per row -- measured 3x slower per round at 90k rows, and worse as data grows.
-        """
-        e = F.col(f"__lw{i}") - F.lit(offset[i])
-        for s in pending[i]:
-            e = e + F.lit(s.alpha) * _miss(s, label)
-        return e
-
-    rnd = 0
+    return boost_coded(CodedTable(df, features, label, specs, max_bins), specs)
+
+
+def boost_coded(coded: CodedTable, specs: list[BoostSpec]) -> dict[str, BoostedStumps]:
+    features = coded.bins.features
+    models = {i: BoostedStumps(list(features), s.learning_rate, s.n_estimators) for i, s in enumerate(specs)}
+    tables = {i: np.zeros((2, coded.bins.offsets[-1])) for i in models}
+    active = set(models)
     while True:
         act = sorted(i for i in active if len(models[i].stumps) < specs[i].n_estimators)
         if not act:
             break
-        if rnd > 0 and rnd % every == 0:  # materialise weights, cut the lineage
-            cur = materialise(cur.withColumns({f"__lw{i}": logw(i) for i in range(m_count)}))
-            mx = cur.agg(*[F.max(f"__lw{i}").alias(f"m{i}") for i in range(m_count)]).first()
-            for i in range(m_count):
-                pending[i] = []
-                offset[i] = float(mx[f"m{i}"] or 0.0)
-        best = _best_stumps(cur, features, label, act, logw, feat_idx, local_search)
+        shift = {i: sum(s.alpha for s in models[i].stumps) / 2 for i in act}
+        best = _best_stumps(coded, {i: tables[i] for i in act}, shift)
         for i in act:
             spec, model = specs[i], models[i]
-            b = best.get(i)
-            if b is None:
+            if i not in best:
                 active.discard(i)
                 model.stopped = model.stopped or "no_rows"
                 continue
-            stump, err = b
-            last = len(model.stumps) == spec.n_estimators - 1
+            stump, err = best[i]
             if err <= 0:
                 stump.alpha, stump.error = 1.0, 0.0
                 model.stumps.append(stump)
@@ -237,169 +345,78 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str,
                 stump.alpha = spec.learning_rate * math.log((1 - err) / err)
                 stump.error = err
                 model.stumps.append(stump)
-                if not last:
-                    pending[i].append(stump)
-        rnd += 1
-    return {specs[i].name: models[i] for i in range(m_count)}
+                coded.misses(i, [stump], tables[i])
+    return {specs[i].name: models[i] for i in models}
 
 
-def _best_stumps(cur: DataFrame, features: list[str], label: str, act: list[int],
-                 logw, feat_idx: dict[str, int], local: bool = False) -> dict[int, tuple[Stump, float]]:
-    """Best stump and its weighted error for each active model (one aggregation job).
-
-    Features are unpivoted once to (feature index, value) with ``stack``; every active
-    model contributes three sums per key (class-1 weight, class-0 weight, row count
-    of its training rows), so the hash aggregate does one lookup per row and feature
-    whatever the number of models, and the whole scan stays in generated code.
-    """
-    y = F.col(label).cast("double")
-    wcols = [F.when(F.col(f"__t{i}"), F.exp(logw(i))).otherwise(F.lit(0.0)).alias(f"__w{i}") for i in act]
-    tcols = [F.col(f"__t{i}").cast("long").alias(f"__n{i}") for i in act]
-    pairs = ", ".join(f"{feat_idx[f]}, `{f}`" for f in features)
-    long = (cur.select(y.alias("__y"), *wcols, *tcols, *features)
-            .selectExpr("__y", *[f"__w{i}" for i in act], *[f"__n{i}" for i in act],
-                        f"stack({len(features)}, {pairs}) AS (fi, value)"))
-    sums = []
-    for i in act:
-        sums += [F.sum(F.col(f"__w{i}") * F.col("__y")).alias(f"a{i}"),
-                 F.sum(F.col(f"__w{i}") * (1 - F.col("__y"))).alias(f"b{i}"),
-                 F.sum(f"__n{i}").alias(f"n{i}")]
-    wide = long.groupBy("fi", "value").agg(*sums)
-    if local:
-        return _search_local(_wide_to_long_pandas(wide.toPandas(), act), act, feat_idx)
-    stack = ", ".join(f"{i}, a{i}, b{i}, n{i}" for i in act)
-    agg = (wide.selectExpr("fi", "value", f"stack({len(act)}, {stack}) AS (m, w1, w0, n)")
-           .filter(F.col("n") > 0).drop("n"))
+def _best_stumps(coded: CodedTable, tables: dict[int, np.ndarray],
+                 shift: dict[int, float]) -> dict[int, tuple[Stump, float]]:
+    """Best stump and its weighted error for each model; one row per model comes back."""
+    agg = coded.sums(tables, shift)
     part = Window.partitionBy("m", "fi")
-    ordered = part.orderBy(F.col("value").asc_nulls_first())
+    ordered = part.orderBy(F.col("bin").asc_nulls_first())
     cum = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nn = F.col("value").isNotNull()
+    nn = F.col("bin").isNotNull()
     cand = (agg
             .withColumn("t1", F.sum("w1").over(part)).withColumn("t0", F.sum("w0").over(part))
             .withColumn("l1", F.sum(F.when(nn, F.col("w1")).otherwise(0.0)).over(cum))
             .withColumn("l0", F.sum(F.when(nn, F.col("w0")).otherwise(0.0)).over(cum))
-            .withColumn("nxt", F.lead("value").over(ordered))
-            .filter(nn & F.col("nxt").isNotNull()))
+            .withColumn("nxt", F.lead("bin").over(ordered)))
+    split = nn & F.col("nxt").isNotNull()
     r1, r0 = F.col("t1") - F.col("l1"), F.col("t0") - F.col("l0")
     lw, rw = F.col("l1") + F.col("l0"), r1 + r0
-    score = ((F.col("l1") ** 2 + F.col("l0") ** 2) / lw + (r1 ** 2 + r0 ** 2) / rw) / (F.col("t1") + F.col("t0"))
+    score = (try_ratio(F.col("l1") ** 2 + F.col("l0") ** 2, lw) + try_ratio(r1 ** 2 + r0 ** 2, rw)) \
+        / (F.col("t1") + F.col("t0"))
     cand = cand.select(
-        "m", "fi", ((F.col("value") + F.col("nxt")) / 2).alias("threshold"),
-        "l1", "l0", r1.alias("r1"), r0.alias("r0"), F.round(score, 12).alias("score"))
-    key = F.struct(F.col("score"), (-F.col("fi")).alias("nfi"), (-F.col("threshold")).alias("nt"))
-    pick = cand.groupBy("m").agg(F.max_by(F.struct("fi", "threshold", "l1", "l0", "r1", "r0"), key).alias("b"))
-    names = {i: f for f, i in feat_idx.items()}
+        "m", "fi", "bin", "nxt", "l1", "l0", r1.alias("r1"), r0.alias("r0"), "t1", "t0",
+        F.when(split, F.round(score, 12)).otherwise(F.lit(-1.0)).alias("score"))  # -1: no split here
+    key = F.struct(F.col("score"), (-F.col("fi")).alias("nfi"), (-F.coalesce("bin", F.lit(-1))).alias("nb"))
+    pick = cand.groupBy("m").agg(F.max_by(F.struct(
+        "fi", "bin", "nxt", "l1", "l0", "r1", "r0", "t1", "t0", "score"), key).alias("b"))
     out: dict[int, tuple[Stump, float]] = {}
     for r in pick.collect():
         b = r["b"]
+        total = b["t1"] + b["t0"]
+        if b["score"] < 0:  # every feature is constant: a leaf
+            cls = 1 if b["t1"] > b["t0"] else 0
+            out[r["m"]] = (Stump(None, 0.0, cls, cls, 0.0, 0.0), (b["t0"] if cls == 1 else b["t1"]) / total)
+            continue
         left = 1 if b["l1"] > b["l0"] else 0
         right = 1 if b["r1"] > b["r0"] else 0
         miss = (b["l0"] if left == 1 else b["l1"]) + (b["r0"] if right == 1 else b["r1"])
-        total = b["l1"] + b["l0"] + b["r1"] + b["r0"]
-        out[r["m"]] = (Stump(names[b["fi"]], float(b["threshold"]), left, right, 0.0, 0.0), miss / total)
-    missing = [i for i in act if i not in out]
-    if missing:  # every feature constant for these models: a leaf stump
-        tot = agg.filter(F.col("fi") == 0).groupBy("m").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0"))
-        for r in tot.collect():
-            if r["m"] in missing:
-                cls = 1 if r["w1"] > r["w0"] else 0
-                miss = r["w0"] if cls == 1 else r["w1"]
-                out[r["m"]] = (Stump(None, 0.0, cls, cls, 0.0, 0.0), miss / (r["w1"] + r["w0"]))
-    return out
-
-
-def _wide_to_long_pandas(pdf, act: list[int]):
-    import pandas as pd
-    parts = []
-    for i in act:
-        p = pdf[["fi", "value", f"a{i}", f"b{i}", f"n{i}"]]
-        p = p[p[f"n{i}"] > 0]
-        parts.append(pd.DataFrame({"m": i, "fi": p["fi"].to_numpy(), "value": p["value"].to_numpy(),
-                                   "w1": p[f"a{i}"].to_numpy(), "w0": p[f"b{i}"].to_numpy()}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def _search_local(pdf, act: list[int], feat_idx: dict[str, int]) -> dict[int, tuple[Stump, float]]:
-    """Best split per model from the (bounded) table of weighted class totals."""
-    import numpy as np
-    out: dict[int, tuple[Stump, float]] = {}
-    if pdf.empty:
-        return out
-    for m, g in pdf.groupby("m", sort=False):
-        tot = g.groupby("fi")[["w1", "w0"]].transform("sum")
-        g = g.assign(t1=tot["w1"], t0=tot["w0"])
-        g = g[g["value"].notna()].sort_values(["fi", "value"])
-        l1 = g.groupby("fi")["w1"].cumsum().to_numpy()
-        l0 = g.groupby("fi")["w0"].cumsum().to_numpy()
-        nxt = g.groupby("fi")["value"].shift(-1).to_numpy()
-        val, fi = g["value"].to_numpy(), g["fi"].to_numpy()
-        t1, t0 = g["t1"].to_numpy(), g["t0"].to_numpy()
-        ok = ~np.isnan(nxt)
-        if not ok.any():
-            W1, W0 = float(tot["w1"].iloc[0]), float(tot["w0"].iloc[0])
-            cls = 1 if W1 > W0 else 0
-            out[int(m)] = (Stump(None, 0.0, cls, cls, 0.0, 0.0), (W0 if cls == 1 else W1) / (W1 + W0))
-            continue
-        l1, l0, nxt, val, fi, t1, t0 = l1[ok], l0[ok], nxt[ok], val[ok], fi[ok], t1[ok], t0[ok]
-        r1, r0 = t1 - l1, t0 - l0
-        score = ((l1 ** 2 + l0 ** 2) / (l1 + l0) + (r1 ** 2 + r0 ** 2) / (r1 + r0)) / (t1 + t0)
-        score = np.round(score, 12)
-        thr = (val + nxt) / 2
-        k = np.lexsort((thr, fi, -score))[0]   # max score, then lowest feature, then threshold
-        left = 1 if l1[k] > l0[k] else 0
-        right = 1 if r1[k] > r0[k] else 0
-        miss = (l0[k] if left == 1 else l1[k]) + (r0[k] if right == 1 else r1[k])
-        feature = next(f for f, i in feat_idx.items() if i == fi[k])
-        out[int(m)] = (Stump(feature, float(thr[k]), left, right, 0.0, 0.0),
-                       float(miss / (l1[k] + l0[k] + r1[k] + r0[k])))
+        out[r["m"]] = (Stump(coded.bins.features[b["fi"]], coded.bins.threshold(b["fi"], b["bin"], b["nxt"]),
+                             left, right, 0.0, 0.0), miss / total)
     return out
 
 
-def _bin_features(df: DataFrame, features: list[str], max_bins: int) -> DataFrame:
-    """Replace each feature by the upper edge of its approximate-quantile bin."""
-    probs = [i / max_bins for i in range(1, max_bins)]
-    edges = df.approxQuantile(features, probs, 1.0 / (4 * max_bins))
-    out = {}
-    for f, cuts in zip(features, edges):
-        cuts = sorted(set(cuts))
-        e = None
-        for c in cuts:
-            e = F.when(F.col(f) <= F.lit(c), F.lit(c)) if e is None else e.when(F.col(f) <= F.lit(c), F.lit(c))
-        if e is not None:
-            out[f] = e.otherwise(F.col(f))
-    return df.withColumns(out)
+def try_ratio(a: Column, b: Column) -> Column:
+    """a / b, 0 where b is 0 (weights that underflow to nothing)."""
+    return F.when(b != 0, a / b).otherwise(0.0)
 
 
 # ------------------------------------------------------------------ grid ----
 
 def grid_search(df: DataFrame, features: list[str], label: str, n_estimators: list[int],
-                learning_rates: list[float], folds: int, fold_col: str = "fold") -> tuple[DataFrame, dict]:
+                learning_rates: list[float], folds: int, fold_col: str = "fold",
+                max_bins: int = GRID_MAX_BINS) -> tuple[DataFrame, dict]:
     """Cross-validated accuracy for every (n_estimators, learning_rate).
 
     Rounds are nested, so each (fold, rate) model is boosted once to
     ``max(n_estimators)`` and scored at every prefix; all fold x rate models are
-    boosted side by side (one scan per round).  Returns (scores frame, fitted models).
+    boosted side by side (one scan per round), and one scan of the coded table scores
+    all of them on their folds.  Returns (scores frame, fitted models).
     """
     top = max(n_estimators)
     specs = [BoostSpec(f"{k}|{lr}", F.col(fold_col) != k, lr, top)
              for k in range(folds) for lr in learning_rates]
-    fitted = fit_boosted_stumps(df, features, label, specs)
-    parts = []
-    for k in range(folds):
-        valid = df.filter(F.col(fold_col) == k)
-        exprs = []
-        for lr in learning_rates:
-            model = fitted[f"{k}|{lr}"]
-            for n in n_estimators:
-                pred = model.prediction(n)
-                exprs.append(F.avg((pred == F.col(label)).cast("double")).alias(f"a|{lr}|{n}"))
-        parts.append(valid.agg(*exprs).withColumn("fold", F.lit(k)))
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
-    stack = ", ".join(f"CAST({lr} AS DOUBLE), {n}L, `a|{lr}|{n}`" for lr in learning_rates for n in n_estimators)
-    long = scores.selectExpr("fold", f"stack({len(learning_rates) * len(n_estimators)}, {stack}) "
-                                     "AS (learning_rate, n_estimators, accuracy)")
+    coded = CodedTable(df, features, label, specs, max_bins)
+    fitted = boost_coded(coded, specs)
+    number = {s.name: i for i, s in enumerate(specs)}
+    keys = {(k, lr, n): f"{k}|{lr}" for k in range(folds) for lr in learning_rates for n in n_estimators}
+    scores = coded.accuracies({key: coded.votes(fitted[name].stumps[:key[2]]) for key, name in keys.items()},
+                              {key: number[name] for key, name in keys.items()})
+    rows = [(float(lr), int(n), float(a)) for (_, lr, n), a in scores.items()]
+    long = df.sparkSession.createDataFrame(rows, "learning_rate double, n_estimators long, accuracy double")
     result = (long.groupBy("learning_rate", "n_estimators")
               .agg(F.avg("accuracy").alias("mean_accuracy"), F.stddev_pop("accuracy").alias("std_accuracy")))
     return result, fitted

@@ -56,12 +56,10 @@ def fixture(spark):
     return X, y.to_numpy(), spark.createDataFrame(pdf)
 
 
-@pytest.mark.parametrize("local_limit", [0, 10_000_000])
-def test_matches_brute_force(spark, fixture, local_limit):
+def test_matches_brute_force(spark, fixture):
     X, y, df = fixture
     want = brute_force_samme(X, y, rounds=6, lr=0.5)
-    got = B.fit_boosted_stumps(df, ["a", "b", "c"], "y", [B.BoostSpec("m", F.lit(True), 0.5, 6)],
-                               checkpoint_every=2, local_search_limit=local_limit)["m"]
+    got = B.fit_boosted_stumps(df, ["a", "b", "c"], "y", [B.BoostSpec("m", F.lit(True), 0.5, 6)])["m"]
     assert len(got.stumps) == len(want)
     for s, (f, t, lc, rc, alpha) in zip(got.stumps, want):
         assert (s.feature, s.left, s.right) == (f, lc, rc)
@@ -106,3 +104,40 @@ def test_grid_search_rows(spark, fixture):
     rows = scores.collect()
     assert len(rows) == 4 and all(0 <= r.mean_accuracy <= 1 for r in rows)
     assert len(fitted) == 4
+
+
+@pytest.mark.parametrize("max_bins", [4, 16, 8192])
+def test_reported_error_is_the_raw_error(spark, max_bins):
+    """A one-round model's weighted error equals the error of its predictions on raw rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=2000)
+    y = (x > 0.37).astype(int) ^ (rng.random(2000) < 0.02)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "z": rng.integers(0, 3, 2000).astype(float), "y": y}))
+    model = B.fit_boosted_stumps(df, ["x", "z"], "y", [B.BoostSpec("m", F.lit(True), 1.0, 1)],
+                                 max_bins=max_bins)["m"]
+    raw = df.select(F.avg((model.prediction() != F.col("y")).cast("double"))).first()[0]
+    assert raw == pytest.approx(model.stumps[0].error, abs=1e-9)
+
+
+def test_grid_scores_equal_predictions_on_raw_rows(spark, fixture):
+    _, _, df = fixture
+    df = df.withColumn("fold", (F.col("ID") % 2).cast("int"))
+    scores, fitted = B.grid_search(df, ["a", "b", "c"], "y", [2, 5], [0.5], folds=2, max_bins=8)
+    for r in scores.collect():
+        want = [df.filter(F.col("fold") == k).select(F.avg(
+            (fitted[f"{k}|0.5"].prediction(r.n_estimators) == F.col("y")).cast("double"))).first()[0]
+            for k in range(2)]
+        assert r.mean_accuracy == pytest.approx(sum(want) / 2)
+
+
+def test_nulls_go_right_in_training_and_scoring(spark):
+    df = spark.createDataFrame([(1.0, 0)] * 5 + [(2.0, 1)] * 5 + [(None, 1)] * 3, "x double, y int")
+    model = B.fit_boosted_stumps(df, ["x"], "y", [B.BoostSpec("m", F.lit(True), 1.0, 2)])["m"]
+    assert model.stopped == "perfect" and model.stumps[0].threshold == 1.5
+    assert df.filter(model.prediction() != F.col("y")).count() == 0
+
+
+def test_constant_features_give_a_leaf(spark):
+    df = spark.createDataFrame([(1.0, 1), (1.0, 1), (None, 0)], "x double, y int")
+    stump = B.fit_boosted_stumps(df, ["x"], "y", [B.BoostSpec("m", F.lit(True), 1.0, 1)])["m"].stumps[0]
+    assert stump.feature is None and stump.left == 1
