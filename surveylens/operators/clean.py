@@ -35,6 +35,8 @@ def threshold_literals(df: DataFrame, columns: list[str], q1: float = 0.25, q3:
 
 def outlier_condition(col: str, low: float, up: float):
     """Strictly outside the limits; a value equal to a limit is no outlier."""
+    if low is None or up is None:
+        return F.lit(False)
     c = F.col(col)
     return (c > F.lit(up)) | (c < F.lit(low))
 
@@ -47,12 +49,13 @@ def outlier_flags(df: DataFrame, columns: list[str], q1: float = 0.25, q3: float
     ``count_if`` per column.
     """
     limits = threshold_literals(df, columns, q1, q3, exact)
+    limits = {c: limits.get(c, (None, None)) for c in columns}  # a column of nulls has none
     stats = {"n_outliers": None}
     row = df.agg(*[F.count_if(outlier_condition(c, *limits[c])).alias(f"{c}__n_outliers")
                    for c in columns])
     long = P.wide_to_long(row, columns, list(stats))
-    low_of = P.literal_lookup(F.col("column_name"), {c: float(limits[c][0]) for c in columns})
-    up_of = P.literal_lookup(F.col("column_name"), {c: float(limits[c][1]) for c in columns})
+    low_of = P.literal_lookup(F.col("column_name"), {c: limits[c][0] for c in columns}).cast("double")
+    up_of = P.literal_lookup(F.col("column_name"), {c: limits[c][1] for c in columns}).cast("double")
     return (long.withColumn("low_limit", low_of).withColumn("up_limit", up_of)
             .withColumn("has_outlier", F.col("n_outliers") > 0))
 
@@ -65,7 +68,7 @@ def check_outlier(df: DataFrame, columns: list[str], q1: float = 0.25, q3: float
 def outlier_rows(df: DataFrame, col: str, q1: float = 0.25, q3: float = 0.75,
                  exact: bool = True) -> DataFrame:
     """Rows whose ``col`` lies strictly outside its limits (a pushed-down filter)."""
-    low, up = threshold_literals(df, [col], q1, q3, exact)[col]
+    low, up = threshold_literals(df, [col], q1, q3, exact).get(col, (None, None))
     return df.filter(outlier_condition(col, low, up))
 
 

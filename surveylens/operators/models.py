@@ -29,36 +29,33 @@ from surveylens.operators import metrics as M
 # The model line-up of the comparison and the stand-in settings
 # for the gradient-boosting libraries (their library defaults, where MLlib has them).
 # --------------------------------------------------------------------------
-MODEL_NAMES = ["LR", "CART", "RF", "Adaboost", "GBM", "XGBoost", "CatBoost", "LightGBM"]
-TRAINING_JOB_MODELS = ["Adaboost", "LightGBM"]
+MODEL_NAMES = ["LR", "CART", "RF", "Adaboost", "gbt", "gbt_xgboost", "gbt_catboost", "gbt_lightgbm"]
+TRAINING_JOB_MODELS = ["Adaboost", "gbt_lightgbm"]
+
+# estimator class and default settings of each model
+_ESTIMATORS = {
+    "LR": (LogisticRegression, {"maxIter": 100}),
+    "CART": (DecisionTreeClassifier, {"maxDepth": 10, "minInstancesPerNode": 1}),
+    "RF": (RandomForestClassifier, {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt",
+                                    "minInstancesPerNode": 1}),
+    "gbt": (GBTClassifier, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3}),
+    "gbt_xgboost": (GBTClassifier, {"maxIter": 100, "stepSize": 0.3, "maxDepth": 6}),
+    "gbt_catboost": (GBTClassifier, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}),
+    "gbt_lightgbm": (GBTClassifier, {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5}),
+}
 
 
 def make_estimator(name: str, label: str = S.TARGET, seed: int = S.MODEL_SEED, **params):
-    """An MLlib estimator reading the assembled ``features`` vector."""
-    common = dict(featuresCol="features", labelCol=label)
-    if name == "LR":
-        return LogisticRegression(maxIter=params.get("maxIter", 100), **common)
-    if name == "CART":
-        return DecisionTreeClassifier(maxDepth=params.get("maxDepth", 10), seed=seed,
-                                      minInstancesPerNode=params.get("minInstancesPerNode", 1), **common)
-    if name == "RF":
-        return RandomForestClassifier(numTrees=params.get("numTrees", 100), maxDepth=params.get("maxDepth", 10),
-                                      featureSubsetStrategy=params.get("featureSubsetStrategy", "sqrt"),
-                                      minInstancesPerNode=params.get("minInstancesPerNode", 1),
-                                      seed=seed, **common)
-    if name == "GBM":
-        return GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
-                             maxDepth=params.get("maxDepth", 3), seed=seed, **common)
-    if name == "XGBoost":
-        return GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.3),
-                             maxDepth=params.get("maxDepth", 6), seed=seed, **common)
-    if name == "CatBoost":
-        return GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
-                             maxDepth=params.get("maxDepth", 6), seed=seed, **common)
-    if name == "LightGBM":
-        return GBTClassifier(maxIter=params.get("maxIter", 100), stepSize=params.get("stepSize", 0.1),
-                             maxDepth=params.get("maxDepth", 5), seed=seed, **common)
-    raise ValueError(f"unknown model {name}")
+    """An MLlib estimator reading the assembled ``features`` vector.  ``params`` are settings
+    of its class; an unknown one is an error."""
+    if name not in _ESTIMATORS:
+        raise ValueError(f"unknown model {name}")
+    kind, defaults = _ESTIMATORS[name]
+    unknown = [p for p in params if not kind().hasParam(p)]
+    if unknown:
+        raise ValueError(f"{name} has no setting {', '.join(unknown)}")
+    seeded = {} if name == "LR" else {"seed": seed}
+    return kind(featuresCol="features", labelCol=label, **(seeded | defaults | params))
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -95,12 +92,16 @@ def cross_val_scores(df: DataFrame, features: list[str], label: str, names: list
         specs = [B.BoostSpec(str(k), F.col(fold_col) != k, 1.0, adaboost_rounds) for k in range(folds)]
         boosted.update(B.fit_boosted_stumps(data, features, label, specs))
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        # the booster's rounds run alongside the MLlib fits; Spark shares the executors
-        boost_future = pool.submit(boost) if "Adaboost" in names else None
-        fitted = list(pool.map(lambda a: fit(*a), jobs))
-        if boost_future is not None:
-            boost_future.result()
+    try:
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            # the booster's rounds run alongside the MLlib fits; Spark shares the executors
+            boost_future = pool.submit(boost) if "Adaboost" in names else None
+            fitted = list(pool.map(lambda a: fit(*a), jobs))
+            if boost_future is not None:
+                boost_future.result()
+    except BaseException:
+        data.unpersist()
+        raise
     preds = []
     for name, k, model in fitted:
         valid = data.filter(F.col(fold_col) == k)
@@ -147,6 +148,22 @@ def tune(df: DataFrame, features: list[str], label: str, name: str, grid: dict[s
     return model.bestModel, out
 
 
+def tree_importances(model, features: list[str]) -> list[tuple[str, float]]:
+    """(feature, importance) of a fitted MLlib tree model, largest first, ties by name."""
+    return sorted(((f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)),
+                  key=lambda fv: (-fv[1], fv[0]))
+
+
+def fitted_facts(model, features: list[str]) -> list[tuple[str, str]]:
+    """(fact, value) rows of what a fit has learnt: coefficients, or depth and nodes of trees."""
+    if hasattr(model, "coefficients"):
+        return [("intercept", f"{model.intercept:.4f}")] + [
+            (f"coefficient {f}", f"{v:.4f}") for f, v in zip(features, model.coefficients.toArray(), strict=True)]
+    if hasattr(model, "trees"):
+        return [("trees", str(len(model.trees))), ("nodes", str(model.totalNumNodes))]
+    return [("depth", str(model.depth)), ("nodes", str(model.numNodes))]
+
+
 def model_params(model) -> list[tuple[str, str]]:
     """(param, value) rows of a fitted MLlib model or estimator."""
     return [(p.name, str(v)) for p, v in sorted(model.extractParamMap().items(), key=lambda kv: kv[0].name)]

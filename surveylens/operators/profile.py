@@ -136,15 +136,16 @@ def column_roles(df: DataFrame, cat_th: int = 10, car_th: int = 20,
     """Role of each column from its type and distinct count.
 
     string & n > car_th -> cat_but_car; other strings -> cat;
-    numeric & n < cat_th -> num_but_cat (a categorical); other numerics -> num.
+    numeric & n < cat_th, and any other type (boolean) -> num_but_cat (a categorical);
+    other numerics -> num.
     """
     counts = counts if counts is not None else distinct_counts(df)
     types = df.sparkSession.createDataFrame(
-        [(c, "string" if is_string(df, c) else "numeric") for c in df.columns],
+        [(c, "string" if is_string(df, c) else "numeric" if is_numeric(df, c) else "other") for c in df.columns],
         "column_name string, dtype string")
     role = (F.when((F.col("dtype") == "string") & (F.col("n_distinct") > car_th), "cat_but_car")
             .when(F.col("dtype") == "string", "cat")
-            .when(F.col("n_distinct") < cat_th, "num_but_cat")
+            .when((F.col("dtype") == "other") | (F.col("n_distinct") < cat_th), "num_but_cat")
             .otherwise("num"))
     return (types.join(counts, "column_name")
             .withColumn("cat_th", F.lit(cat_th).cast("long"))
@@ -160,7 +161,7 @@ def roles_from_counts(df: DataFrame, counts: dict[str, int], cat_th: int = 10,
         n = counts[c]
         if is_string(df, c):
             (cat_but_car if n > car_th else cat_cols).append(c)
-        elif n < cat_th:
+        elif n < cat_th or not is_numeric(df, c):
             num_but_cat.append(c)
         else:
             num_cols.append(c)
@@ -188,21 +189,26 @@ def frequency_table(df: DataFrame, columns: list[str], value_type: str = "double
 
 
 def quantiles_from_freq(freq: DataFrame, keys: list[str], probs: list[float],
-                        value: str = "value", n: str = "n", buckets: int = 16) -> DataFrame:
+                        value: str = "value", n: str = "n", buckets: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) from a (keys..., value, n) frequency table.
 
     Two-level order-statistic search, so no task ever holds all values of a key:
-    distinct values are cut into ``buckets`` ranges at approximate quantiles (one row
+    distinct values are cut into ``buckets`` ranges (unset: as many as the session has
+    shuffle partitions, so they stay small as data and partitions grow) at approximate
+    quantiles of the distinct values (one row
     of cuts per key), bucket offsets come from a window over the small
     (key, bucket) totals, each target rank is located in its bucket, and only the rows
     of the buckets that hold a target rank are ordered by a window inside that bucket.
     Returns (keys..., prob, value).
     """
+    buckets = buckets or max(16, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # per-column figures are a row per column: broadcast, so that no key meets in one task
+    small = F.broadcast if keys == ["column_name"] else lambda df: df
     f = freq.select(*keys, F.col(value).cast("double").alias("v"), F.col(n).cast("long").alias("c"))
     cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     stats = f.groupBy(*keys).agg(F.sum("c").alias("N"),
                                  F.percentile_approx("v", cut_probs, 20 * buckets).alias("cuts"))
-    fb = (f.join(stats.select(*keys, "cuts"), keys)
+    fb = (f.join(small(stats.select(*keys, "cuts")), keys)
           .withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts"))
     bt = fb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
     ow = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
@@ -219,10 +225,10 @@ def quantiles_from_freq(freq: DataFrame, keys: list[str], probs: list[float],
                .filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("bn")))
                .select(*keys, "pi", "which", "r", "b", "off"))
     iw = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = fb.join(located.select(*keys, "b").distinct(), [*keys, "b"], "left_semi")
+    wanted = fb.join(small(located.select(*keys, "b").distinct()), [*keys, "b"], "left_semi")
     cum = wanted.withColumn("cum", F.sum("c").over(iw))
     rel = F.col("r") - F.col("off")
-    hit = (cum.join(located, [*keys, "b"])
+    hit = (cum.join(small(located), [*keys, "b"])
            .filter((F.col("cum") - F.col("c") <= rel) & (rel < F.col("cum"))))
     vals = hit.groupBy(*keys, "pi").agg(F.max(F.when(F.col("which") == 0, F.col("v"))).alias("vlo"),
                                         F.max(F.when(F.col("which") == 1, F.col("v"))).alias("vhi"))
@@ -292,7 +298,7 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     # has to buffer all groups of a column the way a window would
     totals = freq.groupBy("column_name").agg(F.sum("n").alias("total"))
     return (freq.filter(F.col("value").isNotNull())
-            .join(totals, "column_name")
+            .join(F.broadcast(totals), "column_name")
             .withColumn("ratio", F.col("n") * 100.0 / F.col("total"))
             .drop("total"))
 
@@ -351,6 +357,7 @@ def histogram(df: DataFrame, columns: list[str], bins: int = 20,
     with partial aggregation.  density = n / (count * width) as in a density plot.
     """
     by = by or []
+    df = df.dropna(subset=by) if by else df  # as everywhere, a null group is no group
     ranges = _range_literals(df, columns)
     name = F.col("column_name")
     lo_of = literal_lookup(name, {c: ranges[c][0] for c in columns})
@@ -379,6 +386,7 @@ def box_stats(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
     with the small quartile table.
     """
     by = by or []
+    df = df.dropna(subset=by) if by else df
     freq = frequency_table(df, columns, by=by)
     qs = quantiles_from_freq(freq, [*by, "column_name"], [0.25, 0.5, 0.75])
     quart = (qs.groupBy(*by, "column_name")
@@ -465,6 +473,7 @@ def skewness_table(df: DataFrame, columns: list[str]) -> DataFrame:
 def skew_z(n: Column, g1: Column) -> Column:
     """D'Agostino's transformation of g1 to an approximately standard normal z (n >= 8)."""
     n = n.cast("double")
+    n = F.when(n >= 8, n)  # null below: the transformation needs eight values
     y = g1 * F.sqrt((n + 1) * (n + 3) / (6.0 * (n - 2)))
     beta2 = (3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3)
              / ((n - 2) * (n + 5) * (n + 7) * (n + 9)))
@@ -473,7 +482,7 @@ def skew_z(n: Column, g1: Column) -> Column:
     alpha = F.sqrt(2.0 / (w2 - 1))
     ya = F.when(y == 0, F.lit(1.0)).otherwise(y) / alpha
     z = delta * F.log(ya + F.sqrt(ya * ya + 1))
-    return F.when(y == 0, F.lit(0.0)).otherwise(z)
+    return F.when(n.isNull(), F.lit(None).cast("double")).when(y == 0, F.lit(0.0)).otherwise(z)
 
 
 def skew_test(df: DataFrame, columns: list[str], with_p: bool = True) -> DataFrame:

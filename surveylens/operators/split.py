@@ -18,8 +18,12 @@ from surveylens.functions.columns import hash_bucket
 
 def split_column(key: str = "ID", seed: int = S.SPLIT_SEED,
                  test_fraction: float = S.SPLIT_TEST_FRACTION):
-    """True for training rows: md5(seed:key) bucket in [0, 100*(1-test))."""
-    return hash_bucket(F.col(key), seed, 100) < int(round(100 * (1 - test_fraction)))
+    """True for training rows: md5(seed:key) bucket below (1 - test) of the buckets.  There are
+    100 buckets, or the power of ten (up to 10**9) that resolves a finer fraction."""
+    buckets = 100
+    while buckets < 10**9 and abs(test_fraction * buckets - round(test_fraction * buckets)) > 1e-9 * buckets:
+        buckets *= 10
+    return hash_bucket(F.col(key), seed, buckets) < buckets - int(round(buckets * test_fraction))
 
 
 def train_test_split(df: DataFrame, key: str = "ID", seed: int = S.SPLIT_SEED,

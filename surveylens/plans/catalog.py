@@ -7,9 +7,8 @@ compares stably with the SQL oracle.
 
 from __future__ import annotations
 
-import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surveylens import schema as S
@@ -152,7 +151,16 @@ def check_df(spark, sf_dir):
     qs = P.quantile_table(df, num).select(
         F.lit("quantiles").alias("section"), "column_name",
         F.format_string("q%.2f", F.col("prob")).alias("statistic"), "value")
-    return _r(shape.unionByName(types).unionByName(nulls).unionByName(qs))
+    report = shape.unionByName(types).unionByName(nulls).unionByName(qs)
+    for section, order in (("head", F.asc("ID")), ("tail", F.desc("ID"))):
+        five = df.orderBy(order).limit(5).withColumn("k", F.row_number().over(Window.orderBy(order)))
+        cells = ", ".join(f"'{c}', coalesce(CAST({c} AS STRING), 'NULL')" for c in df.columns)
+        report = report.unionByName(
+            five.selectExpr("k", f"stack({len(df.columns)}, {cells}) AS (column_name, cell)").select(
+                F.lit(section).alias("section"), "column_name",
+                F.concat(F.lit("row"), F.col("k").cast("string"), F.lit(": "), "cell").alias("statistic"),
+                F.lit(None).cast("double").alias("value")))
+    return _r(report)
 
 
 # ------------------------------------------------------- scalar / features ----
@@ -285,9 +293,9 @@ FIXED_ENSEMBLE = B.BoostedStumps(list(S.FEATURES), 1.0, len(FIXED_STUMPS), list(
 # Parameters of the registered (correctness-run) model queries; the library defaults
 # in ``schema`` hold the study's full grid for production runs.
 HOLDOUT_ROUNDS = S.ADABOOST_DEFAULTS["n_estimators"]
-GRID_N_ESTIMATORS = [10, 20, 30]
-GRID_LEARNING_RATES = [0.1, 1.0]
-GRID_FOLDS = 3
+GRID_N_ESTIMATORS = S.ADABOOST_GRID["n_estimators"]
+GRID_LEARNING_RATES = S.ADABOOST_GRID["learning_rate"]
+GRID_FOLDS = S.ADABOOST_GRID_FOLDS
 
 
 def _closed_form_scored(spark, sf_dir):
@@ -320,17 +328,14 @@ def roc_auc(spark, sf_dir):
     return _r(M.roc_auc(_closed_form_scored(spark, sf_dir)))
 
 
-@functools.lru_cache(maxsize=4)
-def _train_prep(app_id: str, sf_dir: str):
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def _train_prep(spark, sf_dir):
     raw = survey_view(spark, sf_dir)
     train, test = SP.train_test_split(raw, key="id")
     return PR.fit_prep(train)
 
 
 def _prepared_parts(spark, sf_dir):
-    model = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    model = _train_prep(spark, sf_dir)
     raw = survey_view(spark, sf_dir)
     train, test = SP.train_test_split(raw, key="id")
     return PR.apply_prep(train, model), PR.apply_prep(test, model), model
@@ -351,18 +356,33 @@ def adaboost_round1(spark, sf_dir):
         "feature string, threshold double, left_class int, right_class int, error double, alpha double"))
 
 
-@functools.lru_cache(maxsize=4)
-def _holdout_model(app_id: str, sf_dir: str, rounds: int):
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def _three_rounds(spark, sf_dir) -> B.BoostedStumps:
     train, _, _ = _prepared_parts(spark, sf_dir)
+    return B.fit_boosted_stumps(train, S.FEATURES, S.TARGET, [B.BoostSpec("r3", F.lit(True), 1.0, 3)])["r3"]
+
+
+def adaboost_round3(spark, sf_dir):
+    """The first three boosting rounds on the training part."""
+    rows = [(k + 1, st.feature, st.threshold, st.left, st.right, st.error, st.alpha)
+            for k, st in enumerate(_three_rounds(spark, sf_dir).stumps)]
+    return _r(spark.createDataFrame(rows, "round int, feature string, threshold double, left_class int, "
+                                          "right_class int, error double, alpha double"))
+
+
+def importance_round3(spark, sf_dir):
+    """Features that three rounds use, with their share of alpha."""
+    imp = [(f, v) for f, v in _three_rounds(spark, sf_dir).feature_importances().items() if v > 0]
+    return _r(spark.createDataFrame(imp, "feature string, importance double"))
+
+
+def _holdout_model(train, rounds: int):
     return B.fit_boosted_stumps(train, S.FEATURES, S.TARGET, [B.BoostSpec("m", F.lit(True), 1.0, rounds)])["m"]
 
 
 def adaboost_fit_holdout(spark, sf_dir):
     """Default booster (50 stumps, rate 1) fitted on 60 %; scores on train and holdout."""
     train, test, _ = _prepared_parts(spark, sf_dir)
-    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
+    model = _holdout_model(train, HOLDOUT_ROUNDS)
     rows = []
     for name, part in (("train", train), ("test", test)):
         scored = model.transform(part).select(F.col(S.TARGET).cast("int").alias("label"), "prediction",
@@ -376,9 +396,19 @@ def adaboost_fit_holdout(spark, sf_dir):
 
 
 def importance_top10(spark, sf_dir):
-    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
-    imp = sorted(model.feature_importances().items(), key=lambda kv: (-kv[1], kv[0]))[:10]
-    return _r(spark.createDataFrame(imp, "feature string, importance double"))
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    imp = list(_holdout_model(train, HOLDOUT_ROUNDS).feature_importances().items())
+    return _r(spark.createDataFrame(imp, "feature string, importance double")
+              .orderBy(F.desc("importance"), "feature").limit(10))
+
+
+def tree_importance(spark, sf_dir):
+    """Feature importances of the fitted tree models (CART, random forest, boosted trees)."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    data = ML.assemble(train, S.FEATURES)
+    rows = [(name, f, v) for name in ("CART", "RF", "gbt")
+            for f, v in ML.tree_importances(ML.make_estimator(name).fit(data), S.FEATURES)]
+    return _r(spark.createDataFrame(rows, "model string, feature string, importance double"))
 
 
 def adaboost_grid(spark, sf_dir):
@@ -389,19 +419,20 @@ def adaboost_grid(spark, sf_dir):
 
 
 def base_models_score(spark, sf_dir):
-    """The training job's comparison: AdaBoost and the LightGBM stand-in, 5-fold CV."""
+    """The training job's comparison: AdaBoost and boosted trees, 5-fold CV."""
     train, _, _ = _prepared_parts(spark, sf_dir)
     folded = SP.with_folds(train, S.COMPARISON_FOLDS)
     return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.TRAINING_JOB_MODELS,
-                                  params={"LightGBM": {"maxIter": 20}}, adaboost_rounds=HOLDOUT_ROUNDS))
+                                  adaboost_rounds=HOLDOUT_ROUNDS))
 
 
 def compare_models(spark, sf_dir):
-    """All built-in models of the study's comparison (light tree counts), 5-fold CV."""
+    """All built-in models of the study's comparison, 5-fold CV.  Tree counts are below the
+    defaults, see the README's figures."""
     train, _, _ = _prepared_parts(spark, sf_dir)
     folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-    light = {"RF": {"numTrees": 20}, "GBM": {"maxIter": 20}, "XGBoost": {"maxIter": 20},
-             "CatBoost": {"maxIter": 20}, "LightGBM": {"maxIter": 20}}
+    light = {"gbt": {"maxIter": 20}, "gbt_xgboost": {"maxIter": 20},
+             "gbt_catboost": {"maxIter": 20}, "gbt_lightgbm": {"maxIter": 20}}
     return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.MODEL_NAMES, params=light,
                                   adaboost_rounds=HOLDOUT_ROUNDS))
 
@@ -412,8 +443,8 @@ def tune_models(spark, sf_dir):
     folded = SP.with_folds(train, 3)
     grids = {"LR": {"maxIter": [200, 250, 300]},
              "CART": {"maxDepth": [3, 6, 9], "minInstancesPerNode": [2, 10]},
-             "GBM": {"stepSize": [0.1, 0.01], "maxDepth": [2, 5]}}
-    base = {"GBM": {"maxIter": 20}}
+             "gbt": {"stepSize": [0.1, 0.01], "maxDepth": [2, 5]}}
+    base = {"gbt": {"maxIter": 20}}
     rows = []
     for name, grid in grids.items():
         _, r = ML.tune(folded, S.FEATURES, S.TARGET, name, grid, folds=3, base_params=base.get(name))
@@ -423,14 +454,18 @@ def tune_models(spark, sf_dir):
 
 def model_params(spark, sf_dir):
     train, _, _ = _prepared_parts(spark, sf_dir)
-    lr = ML.make_estimator("LR").fit(ML.assemble(train, S.FEATURES))
-    return spark.createDataFrame(ML.model_params(lr), "param string, value string")
+    data = ML.assemble(train, S.FEATURES)
+    rows = []
+    for name in ("LR", "CART"):
+        model = ML.make_estimator(name).fit(data)
+        rows += [(name, *r) for r in ML.model_params(model) + ML.fitted_facts(model, S.FEATURES)]
+    return spark.createDataFrame(rows, "model string, param string, value string")
 
 
 def model_roundtrip(spark, sf_dir):
     """Fit, save to the shared folder, load, score the holdout; predictions must agree."""
     train, test, prep = _prepared_parts(spark, sf_dir)
-    model = _holdout_model(spark.sparkContext.applicationId, sf_dir, HOLDOUT_ROUNDS)
+    model = _holdout_model(train, HOLDOUT_ROUNDS)
     path = scratch_path(spark, "model")
     MS.save_model(spark, path, prep, model)
     prep2, model2 = MS.load_model(spark, path)
@@ -443,7 +478,7 @@ def model_roundtrip(spark, sf_dir):
 # ---------------------------------------------------------------- scoring ----
 
 def _requests(spark, sf_dir):
-    return SC.requests_from_survey(FR.survey_encoded(spark, sf_dir))
+    return SC.requests_from_survey(FR.survey_target_encoded(spark, sf_dir))
 
 
 def validate_ranges(spark, sf_dir):
@@ -451,14 +486,23 @@ def validate_ranges(spark, sf_dir):
 
 
 def score_requests(spark, sf_dir):
-    prep = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    prep = _train_prep(spark, sf_dir)
     return _r(SC.score_requests(_requests(spark, sf_dir), prep, FIXED_ENSEMBLE))
 
 
 def score_stream(spark, sf_dir):
     """The same requests landing as parquet files, scored by a streaming query."""
     from surveylens.streaming.scoring_stream import score_available
-    prep = _train_prep(spark.sparkContext.applicationId, sf_dir)
+    prep = _train_prep(spark, sf_dir)
     source = scratch_path(spark, "requests")
-    _requests(spark, sf_dir).repartition(4).write.parquet(source)
+    _requests(spark, sf_dir).write.parquet(source)
     return _r(score_available(spark, source, prep, FIXED_ENSEMBLE))
+
+
+def batch_predict(spark, sf_dir):
+    """A raw survey file scored by a saved and reloaded model; predictions written and read."""
+    _, prep = _prepared_full(spark, sf_dir)
+    source, model, sink = (scratch_path(spark, n) for n in ("survey-file", "saved-model", "predictions"))
+    IO.write_survey_csv(IO.to_raw_survey(survey_view(spark, sf_dir)), source)
+    MS.save_model(spark, model, prep, FIXED_ENSEMBLE)
+    return _r(SC.predict_file(spark, source, model, sink))

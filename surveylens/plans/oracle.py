@@ -7,6 +7,8 @@ Spark expressions shows up as a mismatch.
 
 from __future__ import annotations
 
+import re
+
 from surveylens import schema as S
 from surveylens.sources.tables import SURVEY_VIEW_SQL
 
@@ -207,7 +209,10 @@ FROM (SELECT n, g1, y, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS
         + [f"SELECT 'types', '{c}', '{types[c]}', CAST(NULL AS DOUBLE)" for c in UPPER_COLS]
         + [f"SELECT 'na', '{c}', 'n_null', CAST(count(*) - count({c}) AS DOUBLE) FROM u" for c in UPPER_COLS]
         + [f"SELECT 'quantiles', '{c}', 'q{p:.2f}', round(quantile_cont({c}, {p}), 6) FROM u"
-           for c in num_u for p in probs])
+           for c in num_u for p in probs]
+        + [f"SELECT '{part}', '{c}', 'row' || k || ': ' || coalesce(CAST({c} AS VARCHAR), 'NULL'), CAST(NULL AS DOUBLE) "
+           f"FROM (SELECT *, row_number() OVER (ORDER BY ID {way}) AS k FROM u ORDER BY ID {way} LIMIT 5)"
+           for part, way in (("head", "ASC"), ("tail", "DESC")) for c in UPPER_COLS])
 
     q["upper_values"] = _ctes("u") + (
         "SELECT ID, upper(GENDER) AS GENDER, upper(CUSTOMER_TYPE) AS CUSTOMER_TYPE, "
@@ -230,6 +235,9 @@ ENCODE_SQL = """SELECT * REPLACE (
   CAST(CASE WHEN CLASS = 'BUSINESS' THEN 2 WHEN CLASS = 'ECO PLUS' THEN 1 ELSE 0 END AS BIGINT) AS CLASS)
 FROM {src}"""
 
+# the same for requests, where an answer that was not given stays null
+ENCODE_NULLS_SQL = re.sub(r"CASE WHEN (\w+) =", r"CASE WHEN \1 IS NULL THEN NULL WHEN \1 =", ENCODE_SQL)
+
 SCALE_COLS = ["AGE", "FLIGHT_DISTANCE", "DEPARTURE_DELAY_IN_MINUTES", "ARRIVAL_DELAY_IN_MINUTES"]
 FEATURE_ORDER = S.FEATURES
 
@@ -363,8 +371,10 @@ FIXED_ENSEMBLE_SQL = """(CAST(1.2 AS DOUBLE) * CASE WHEN CLASS <= 1.5 THEN -1 EL
  + CAST(0.3 AS DOUBLE) * CASE WHEN FLIGHT_DISTANCE <= 0.25 THEN 1 ELSE -1 END)"""
 
 
-def _request_ok_sql() -> str:
-    return " AND ".join(f"({c} IS NOT NULL AND {c} BETWEEN {lo} AND {hi})" for c, (lo, hi) in S.REQUEST_RANGES.items())
+def _violations_sql() -> str:
+    parts = ", ".join(f"CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN '{c}' END"
+                      for c, (lo, hi) in S.REQUEST_RANGES.items())
+    return f"concat_ws(',', {parts})"
 
 
 def _scored_requests_sql() -> str:
@@ -374,19 +384,54 @@ def _scored_requests_sql() -> str:
               for i, c in enumerate(SCALE_COLS)}
     base = ", ".join(["ID", *S.BASE_FEATURES])
     return (_prep_ctes(train, "TRUE") + f""",
-e AS ({ENCODE_SQL.format(src="t")}),
-rq AS (SELECT {base} FROM e WHERE {_request_ok_sql()}),
+e AS ({ENCODE_NULLS_SQL.format(src="t")}),
+rq AS (SELECT {base}, {_violations_sql()} AS violations FROM e),
 rd AS (SELECT *, {DERIVED_SQL} FROM rq),
 rl AS (SELECT * REPLACE (ln(1 + FLIGHT_DISTANCE) AS FLIGHT_DISTANCE,
           ln(1 + DEPARTURE_DELAY_IN_MINUTES) AS DEPARTURE_DELAY_IN_MINUTES,
           ln(1 + ARRIVAL_DELAY_IN_MINUTES) AS ARRIVAL_DELAY_IN_MINUTES) FROM rd),
 rs AS (SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in scaled.items())}) FROM rl, st),
-dec AS (SELECT ID, {FIXED_ENSEMBLE_SQL} AS decision FROM rs)
-SELECT ID, round(decision, 6) AS decision, CASE WHEN decision > 0 THEN 1 ELSE 0 END AS prediction,
-       CASE WHEN decision > 0 THEN 'satisfied customer' ELSE 'unsatisfied customer' END AS outcome
+dec AS (SELECT ID, violations, CASE WHEN violations = '' THEN {FIXED_ENSEMBLE_SQL} END AS decision FROM rs)
+SELECT ID, round(decision, 6) AS decision, CASE WHEN decision > 0 THEN 1 WHEN decision IS NOT NULL THEN 0 END AS prediction,
+       CASE WHEN decision > 0 THEN 'satisfied customer' WHEN decision IS NOT NULL THEN 'unsatisfied customer' END AS outcome,
+       violations
 FROM dec""")
 
 
+def _rounds_sql(rounds: int) -> str:
+    """CTEs ending in ``fitted``: the first boosting rounds on the training part, by brute force
+    over every split of every feature."""
+    train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
+    feats = S.FEATURES
+    cast_cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
+    fidx = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feats))
+    value = "CASE b.feature " + " ".join(f"WHEN '{c}' THEN r.{c}" for c in feats) + " END"
+    out = _prep_ctes(train, train) + f""",
+r1 AS (SELECT {cast_cols}, SATISFACTION, CAST(1 AS DOUBLE) AS w FROM p)"""
+    for k in range(1, rounds + 1):
+        out += f""",
+u{k} AS (UNPIVOT (SELECT * FROM r{k}) ON {', '.join(feats)} INTO NAME feature VALUE value),
+g{k} AS (SELECT feature, value, sum(w * SATISFACTION) AS c1, sum(w * (1 - SATISFACTION)) AS c0
+         FROM u{k} GROUP BY feature, value),
+c{k} AS (SELECT feature, value, lead(value) OVER o AS nxt,
+           sum(c1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l1,
+           sum(c0) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l0,
+           sum(c1) OVER (PARTITION BY feature) AS t1, sum(c0) OVER (PARTITION BY feature) AS t0
+         FROM g{k} WINDOW o AS (PARTITION BY feature ORDER BY value)),
+s{k} AS (SELECT feature, (value + nxt) / 2 AS threshold, l1, l0, t1 - l1 AS x1, t0 - l0 AS x0,
+           round(((l1 * l1 + l0 * l0) / (l1 + l0) + ((t1 - l1) * (t1 - l1) + (t0 - l0) * (t0 - l0))
+             / ((t1 - l1) + (t0 - l0))) / (t1 + t0), 12) AS score, CASE feature {fidx} END AS fi
+         FROM c{k} WHERE nxt IS NOT NULL),
+b{k} AS (SELECT *, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS lc, CASE WHEN x1 > x0 THEN 1 ELSE 0 END AS rc,
+           (least(l1, l0) + least(x1, x0)) / (l1 + l0 + x1 + x0) AS err
+         FROM s{k} ORDER BY score DESC, fi, threshold LIMIT 1),
+a{k} AS (SELECT *, ln((1 - err) / err) AS alpha FROM b{k}),
+r{k + 1} AS (SELECT r.* REPLACE (r.w * exp(CASE WHEN (CASE WHEN {value} <= b.threshold THEN b.lc ELSE b.rc END)
+             <> r.SATISFACTION THEN b.alpha ELSE 0 END) AS w) FROM r{k} r, a{k} b)"""
+    return out + ",\nfitted AS (" + " UNION ALL ".join(
+        f"SELECT {k} AS round, feature, threshold, lc, rc, err, alpha FROM a{k}" for k in range(1, rounds + 1)) + ")"
+
+
 def model_queries() -> dict[str, str]:
     q: dict[str, str] = {}
     cf = _closed_form_sql()
@@ -445,12 +490,17 @@ e2 AS (SELECT *, ((CASE WHEN lc = 1 THEN l0 ELSE l1 END) + (CASE WHEN rc = 1 THE
 SELECT feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS left_class, CAST(rc AS INTEGER) AS right_class,
        round(err, 6) AS error, round(ln((1 - err) / err), 6) AS alpha FROM e2"""
 
-    viol = ", ".join(f"CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN '{c}' END"
-                     for c, (lo, hi) in S.REQUEST_RANGES.items())
+    q["adaboost_round3"] = _rounds_sql(3) + """
+SELECT round, feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS left_class,
+       CAST(rc AS INTEGER) AS right_class, round(err, 6) AS error, round(alpha, 6) AS alpha FROM fitted"""
+    q["importance_round3"] = _rounds_sql(3) + """
+SELECT feature, round(sum(alpha) / (SELECT sum(alpha) FROM fitted), 6) AS importance FROM fitted GROUP BY feature"""
     nv = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN 1 ELSE 0 END)"
                     for c, (lo, hi) in S.REQUEST_RANGES.items())
-    q["validate_ranges"] = _ctes("e") + f"""
-SELECT ID, concat_ws(',', {viol}) AS violations, CAST({nv} AS BIGINT) AS n_violations FROM e WHERE {nv} > 0"""
+    q["validate_ranges"] = _ctes("t") + f"""
+SELECT ID, {_violations_sql()} AS violations, CAST({nv} AS BIGINT) AS n_violations
+FROM ({ENCODE_NULLS_SQL.format(src="t")}) WHERE {nv} > 0"""
+    q["batch_predict"] = q["stump_ensemble_score"]
     q["score_requests"] = _scored_requests_sql()
     q["score_stream"] = _scored_requests_sql()
     return q

@@ -49,12 +49,9 @@ def _names_upper_normalised(df: DataFrame) -> DataFrame:
 
 
 def _stage_encoded_target(df: DataFrame, upper_cols: list[str], target: str, key: str) -> DataFrame:
-    df = C.upper_names(df)
+    df = C.drop_ids(_names_upper_normalised(df), keep_key=key)  # the model's names are normalised
     df = C.upper_values(df, [c for c in upper_cols if c in df.columns])
-    df = C.drop_ids(df, keep_key=key)
-    if target in df.columns:
-        df = C.encode_target(df, target)
-    return C.normalise_names(df)
+    return C.encode_target(df, target) if target in df.columns else df
 
 
 def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,8 +71,7 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_prep(raw: DataFrame, target: str = S.TARGET, key: str = "ID",
-             num_method: str = "median", outlier_report: bool = False,
-             exact: bool = True) -> PrepModel:
+             num_method: str = "median", outlier_report: bool = False) -> PrepModel:
     """Learn roles, fills and scaling statistics from ``raw`` with one scan of it.
 
     The scan builds the value-frequency profile of every non-key column; roles,
@@ -110,20 +106,19 @@ def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
     if outlier_report:
         out_cols = [c for c in numbers if raw_counts.get(c, 0) >= S.CAT_TH_OUTLIER]
         outliers = _outliers_from_profile(prof, out_cols)
-    # 3. fills for columns with nulls (never the target)
+    # 3. a fill for every column (never the target): rows scored later may have nulls elsewhere
     nulls = {r["column_name"]: r["n"] for r in prof.filter(~nonnull).collect()}
     fills: dict[str, Any] = {}
-    str_null = [c for c in strings if c != target and nulls.get(c, 0) > 0]
+    fillable = [c for c in strings if c != target and raw_counts.get(c, 0) > 0]
     sdist = {r["column_name"]: r["k"] for r in sprof.filter(F.col("s").isNotNull()).groupBy("column_name")
              .agg(F.count(F.lit(1)).alias("k")).collect()}
-    eligible = [c for c in str_null if sdist.get(c, 0) + 1 <= S.CAT_LENGTH]
+    eligible = [c for c in fillable if sdist.get(c, 0) + (nulls.get(c, 0) > 0) <= S.CAT_LENGTH]
     if eligible:
         best = (sprof.filter(F.col("column_name").isin(eligible) & F.col("s").isNotNull())
                 .groupBy("column_name").agg(F.min_by("s", F.struct((-F.col("n")).alias("nn"), F.col("s"))).alias("m")))
         fills.update({r["column_name"]: r["m"] for r in best.collect()})
-    num_null = [c for c in numbers if nulls.get(c, 0) > 0]
-    if num_null:
-        nprof = prof.filter(F.col("column_name").isin(num_null) & F.col("d").isNotNull())
+    if numbers:
+        nprof = prof.filter(F.col("column_name").isin(numbers) & F.col("d").isNotNull())
         if num_method == "median":
             agg = (P.quantiles_from_freq(nprof, ["column_name"], [0.5], value="d")
                    .select("column_name", F.col("value").alias("f")))
@@ -133,18 +128,22 @@ def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
             raise ValueError("num_method must be 'median' or 'mean'")
         fills.update({r["column_name"]: r["f"] for r in agg.collect()})
     # 4. numeric role at cat_th=20 (distinct values after filling), log1p, moments
-    dist_after = {}
-    for c in numbers:
-        k = raw_counts.get(c, 0)
-        dist_after[c] = k + (1 if c in fills and nulls.get(c, 0) > 0 and not _has_value(prof, c, fills[c]) else 0)
+    filled = {c: float(fills[c]) for c in numbers if c in fills and nulls.get(c, 0) > 0}
+    seen = _columns_with_value(prof, filled)
+    dist_after = {c: raw_counts.get(c, 0) + (c in filled and c not in seen) for c in numbers}
     scale_cols = [c for c in numbers if dist_after[c] >= S.CAT_TH_SCALE and c in S.BASE_FEATURES]
     means, stds = _moments_from_profile(prof, scale_cols, fills)
     return PrepModel(upper_string_cols=upper_cols, fills=fills, scale_cols=scale_cols,
                      means=means, stds=stds, target=target, key=key, outliers=outliers)
 
 
-def _has_value(prof: DataFrame, col: str, value) -> bool:
-    return prof.filter((F.col("column_name") == col) & (F.col("d") == F.lit(float(value)))).limit(1).count() > 0
+def _columns_with_value(prof: DataFrame, values: dict[str, float]) -> set[str]:
+    """The columns whose given value occurs among their rows (one job for all)."""
+    if not values:
+        return set()
+    name = F.col("column_name")
+    hits = prof.filter(name.isin(list(values)) & (F.col("d") == P.literal_lookup(name, values)))
+    return {r["column_name"] for r in hits.select("column_name").distinct().collect()}
 
 
 def _moments_from_profile(prof: DataFrame, cols: list[str], fills: dict[str, Any]):

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-SLOW = {"score_stream"}  # covered separately in test_stream
+SLOW = {"score_stream"}  # equals score_requests: test_prep_scoring.test_stream_equals_batch
 
 
 def _norm(v):

@@ -37,7 +37,7 @@ def test_apply_is_pure_and_model_roundtrips(fitted):
 
 
 def test_one_row_scoring_equals_batch(spark):
-    reqs = SC.requests_from_survey(FR.survey_encoded(spark, SF_SMALL))
+    reqs = SC.requests_from_survey(FR.survey_target_encoded(spark, SF_SMALL))
     prep = PR.fit_prep(survey_view(spark, SF_SMALL))
     batch = {r.ID: r.prediction for r in SC.score_requests(reqs, prep, catalog.FIXED_ENSEMBLE).collect()}
     one = reqs.orderBy("ID").limit(1).collect()[0]
@@ -92,7 +92,7 @@ def test_run_training_end_to_end(spark):
 def test_requests_json_and_prediction_sink(spark):
     from surveylens.session import scratch_path
     from surveylens.sources.survey_io import read_requests, write_predictions
-    reqs = SC.requests_from_survey(FR.survey_encoded(spark, SF_SMALL))
+    reqs = SC.requests_from_survey(FR.survey_target_encoded(spark, SF_SMALL))
     src, out = scratch_path(spark, "req-json"), scratch_path(spark, "pred")
     reqs.write.json(src)
     prep = PR.fit_prep(survey_view(spark, SF_SMALL))
@@ -121,3 +121,60 @@ def test_fit_is_partition_invariant_and_handles_a_hot_value(spark):
     pdf = skewed.select("age", "arrival_delay_in_minutes").toPandas()
     assert m.means["AGE"] == pytest.approx(pdf["age"].mean(), abs=1e-9)
     assert m.fills["ARRIVAL_DELAY_IN_MINUTES"] == pytest.approx(float(np.nanmedian(pdf["arrival_delay_in_minutes"])))
+
+
+def test_request_scoring_equals_batch_preparation_row_for_row(spark):
+    raw = survey_view(spark, SF_SMALL)
+    prep = PR.fit_prep(raw)
+    batch = {r.ID: r for r in catalog.FIXED_ENSEMBLE.transform(PR.apply_prep(raw, prep)).collect()}
+    reqs = SC.requests_from_survey(FR.survey_target_encoded(spark, SF_SMALL))
+    scored = SC.score_requests(reqs, prep, catalog.FIXED_ENSEMBLE).collect()
+    assert len(scored) == len(batch)  # rejected requests are emitted too
+    flips = [r.ID for r in scored if r.violations == "" and
+             (r.prediction != batch[r.ID].prediction or abs(r.decision - batch[r.ID].decision) > 1e-9)]
+    assert flips == []
+    assert all(r.prediction is None and r.outcome is None for r in scored if r.violations)
+
+
+def test_every_column_has_a_fill_for_rows_scored_later(spark):
+    raw = survey_view(spark, SF_SMALL)
+    prep = PR.fit_prep(raw)
+    one = raw.limit(1).withColumns({c: F.lit(None).cast(raw.schema[c].dataType) for c in
+                                    ("age", "seat_comfort", "gender", "class", "type_of_travel")})
+    row = PR.apply_prep(one, prep).first()
+    assert all(row[c] is not None for c in ("AGE", "SEAT_COMFORT", "GENDER", "CLASS", "TYPE_COMFORT"))
+
+
+def test_raw_file_headers_give_the_same_features(spark):
+    from surveylens.session import scratch_path
+    from surveylens.sources.survey_io import read_survey, to_raw_survey, write_survey_csv
+    view = survey_view(spark, SF_SMALL)
+    prep = PR.fit_prep(view)
+    path = scratch_path(spark, "raw-file")
+    write_survey_csv(to_raw_survey(view), path)
+    a, b = PR.apply_prep(read_survey(spark, path), prep), PR.apply_prep(view, prep)
+    score = lambda d: {(r.ID, round(r.decision, 9)) for r in catalog.FIXED_ENSEMBLE.transform(d).collect()}
+    assert score(a) == score(b)
+
+
+def test_edge_cases_of_the_first_review(spark):
+    from surveylens.operators import clean as CL
+    from surveylens.operators import models as ML
+    from surveylens.operators import profile as P
+    from surveylens.operators import split as SP
+    rows = spark.range(10_000).withColumnRenamed("id", "ID")
+    for fraction in (0.005, 0.001):
+        train, test = SP.train_test_split(rows, test_fraction=fraction)
+        assert 0 < test.count() < 200 and train.count() + test.count() == 10_000
+    small = spark.createDataFrame([(1.0, None, None), (2.0, None, "x"), (9.0, None, "x")],
+                                  "a double, b double, g string")
+    assert {r.column_name: r.z for r in P.skew_test(small, ["a"]).collect()} == {"a": None}
+    flags = {r.column_name: r for r in CL.outlier_flags(small, ["a", "b"]).collect()}
+    assert flags["b"].n_outliers == 0 and flags["b"].low_limit is None and not flags["b"].has_outlier
+    assert CL.outlier_rows(small, "b").count() == 0
+    assert {r.g for r in P.histogram(small, ["a"], 2, by=["g"]).collect()} == {"x"}
+    roles = {r.column_name: r.role for r in P.column_roles(spark.createDataFrame([(True,)], "f boolean")).collect()}
+    assert roles == {"f": "num_but_cat"}
+    assert ML.make_estimator("LR", regParam=0.5).getRegParam() == 0.5
+    with pytest.raises(ValueError):
+        ML.make_estimator("CART", bins=64)
