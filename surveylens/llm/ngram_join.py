@@ -19,10 +19,10 @@ are much alike.  They are grouped by shared prefix n-grams; a group's consensus
 n-grams of more than half of its nodes, and a node is kept as its difference from the
 consensus.  The node closest to the consensus is compared with all others.  Two sets
 without a common difference are apart by both their differences, so if they are similar
-both are similar to the closest node.  Other pairs have a common difference; so the
-lists of nodes per difference that hold a node not yet linked, a fraction of the group
-each, are compared in blocks, and each block returns a spanning forest instead of its
-pairs.
+both are similar to the closest node.  Other pairs have common differences, and the
+farther the nodes are from the consensus the more of them; so prefixes of the
+differences, rare ones first, find those pairs.  The lists of nodes per difference are
+compared in blocks, and each block returns a spanning forest instead of its pairs.
 
 Components of the links are found by label propagation with pointer jumping; each round
 is written to the shared checkpoint folder.
@@ -214,8 +214,9 @@ def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node of its component, for every node of a link."""
-    both = materialise(links.select("a", "b").unionByName(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    links = materialise(links.select("a", "b"), "links")
+    both = materialise(links.unionByName(
+        links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links-both-ways")
     labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
@@ -297,21 +298,37 @@ def alike_links(sets: DataFrame, measure: Measure, block: int = 512) -> DataFram
     closeness = (measure.den - measure.num) * F.col("size") - (measure.den + measure.num) * F.col("d")
     best = away.groupBy("group").agg(F.max(F.struct(closeness.alias("f"), "node", "size", "diff")).alias("best"))
     best = materialise(best.select("group", F.col("best.node").alias("hub"), F.col("best.size").alias("m"),
-                                   F.col("best.diff").alias("hub_diff")), "alike-hubs")
+                                   F.col("best.f").alias("hub_f"), F.col("best.diff").alias("hub_diff")),
+                       "alike-hubs")
     apart = F.col("d") + F.size("hub_diff") - 2 * F.size(F.array_intersect("diff", "hub_diff"))
     total = F.col("size") + F.col("m")
     common = (total - apart) / 2
     tested = materialise(away.join(small(best), "group").select(
-        "group", "node", "size", "diff", "hub",
+        "group", "node", "size", "diff", "d", "hub", "hub_f", closeness.alias("f"),
         (common * measure.den >= (total - common) * measure.num).alias("linked")), "alike-tested")
     star = tested.filter("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    # the others can only be similar to nodes with a common difference
-    listed = tested.select("group", "node", "size", "diff", "linked", F.explode("diff").alias("by"))
-    lists = (listed.groupBy("group", "by").agg(F.count(F.lit(1)).alias("all"),
-                                               F.count_if(~F.col("linked")).alias("new"))
-             .filter((F.col("all") > 1) & (F.col("new") > 0)).withColumn("blocks", F.ceil(F.col("all") / block)))
-    spread = listed.join(lists.select("group", "by", "blocks"), ["group", "by"]).withColumn(
-        "k", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # A node that is not linked to the hub is new.  It shares more differences with a similar node
+    # z than half of what the hub is closer than z by, and no fewer than both lack to 0.  So, with
+    # rare differences first, a new node is found by its leading ones among z's leading ones.
+    unit = 2 * (measure.den + measure.num)
+    listed = tested.select("group", "node", "d", "f", "hub_f", "linked", F.explode("diff").alias("by"))
+    several = listed.groupBy("group", "by").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > 1)
+    ranked = listed.join(several, ["group", "by"])
+    same = Window.partitionBy("group", "node")
+    ranked = ranked.withColumn("place", F.col("d") - F.count(F.lit(1)).over(same)  # single ones lead
+                               + F.row_number().over(same.orderBy("all", "by")))
+    shares = F.floor((F.col("hub_f") - F.col("f")) / unit) + 1
+    probes = F.greatest(F.lit(1), F.ceil((-F.col("f") - F.col("hub_f")) / unit))
+    ranked = (ranked.withColumn("probe", ~F.col("linked") & (F.col("place") <= F.col("d") - probes + 1))
+              .filter(F.col("probe") | (F.col("place") <= F.col("d") - shares + 1))
+              .select("group", "by", "node", "probe"))
+    lists = (ranked.groupBy("group", "by").agg(F.count(F.lit(1)).alias("all"),
+                                               F.count_if("probe").alias("probes"))
+             .filter((F.col("all") > 1) & (F.col("probes") > 0))
+             .select("group", "by", F.ceil(F.col("all") / block).alias("blocks")))
+    spread = (ranked.join(lists, ["group", "by"])
+              .join(tested.select("node", "size", "diff", "linked"), "node")
+              .withColumn("k", F.pmod(F.xxhash64("node"), F.col("blocks"))))
     pairs = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))) \
         .select("group", "by", "node", "size", "diff", "linked",
                 F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"))
