@@ -138,7 +138,9 @@ def tune(df: DataFrame, features: list[str], label: str, name: str, grid: dict[s
     cv = CrossValidator(numFolds=folds, estimator=Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features",
                                                                     handleInvalid="keep"), est]),
                         estimatorParamMaps=[{**m} for m in maps],
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC"),
+                        # a tree's raw prediction is a leaf's counts, which do not rank rows; its probability does
+                        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
+                                                                metricName="areaUnderROC"),
                         foldCol=fold_col, parallelism=parallelism, seed=S.MODEL_SEED)
     model = cv.fit(df.select(*features, label, fold_col))
     out = []
@@ -148,6 +150,20 @@ def tune(df: DataFrame, features: list[str], label: str, name: str, grid: dict[s
     return model.bestModel, out
 
 
+def tune_scores(df: DataFrame, features: list[str], label: str, name: str, grid: dict[str, list],
+                folds: int = S.COMPARISON_FOLDS, fold_col: str = "fold", parallelism: int = 8) -> DataFrame:
+    """(model, stage, metric, score): cross-validated roc_auc and f1 of a model's default
+    settings (before) and of the grid's best ones (after)."""
+    best, _ = tune(df, features, label, name, grid, folds, fold_col, parallelism)
+    chosen = {p: best.stages[-1].getOrDefault(p) for p in grid}
+    out = None
+    for stage, params in (("before", {}), ("after", chosen)):
+        part = cross_val_scores(df, features, label, [name], folds, fold_col, {name: params}, parallelism) \
+            .filter(F.col("metric").isin("roc_auc", "f1")).withColumn("stage", F.lit(stage))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tree_importances(model, features: list[str]) -> list[tuple[str, float]]:
     """(feature, importance) of a fitted MLlib tree model, largest first, ties by name."""
     return sorted(((f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)),

@@ -452,6 +452,15 @@ def tune_models(spark, sf_dir):
     return _r(spark.createDataFrame(rows, "model string, params string, mean_auc double"))
 
 
+def tune_before_after(spark, sf_dir):
+    """Cross-validated scores of a tree and of logistic regression before and after their grids."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    folded = SP.with_folds(train, 3)
+    return _r(ML.tune_scores(folded, S.FEATURES, S.TARGET, "CART", {"maxDepth": [3, 6, 9]}, folds=3)
+              .unionByName(ML.tune_scores(folded, S.FEATURES, S.TARGET, "LR", {"maxIter": [200, 250, 300]},
+                                          folds=3)))
+
+
 def model_params(spark, sf_dir):
     train, _, _ = _prepared_parts(spark, sf_dir)
     data = ML.assemble(train, S.FEATURES)
