@@ -133,7 +133,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     notices = aligned.groupBy("uid").agg(
         F.collect_set("label").alias("notice_labels"), F.count(F.lit(1)).alias("n_notices"),
         F.max(F.col("found") / F.col("size")).alias("coverage"))
-    base = None  # phrases whose words stand consecutively, counted per phrase
+    # phrases whose words stand consecutively, counted per phrase
     rows = [(p, label, len(text.split()), w, i) for p, (label, text) in enumerate(BASE_PHRASES)
             for i, w in enumerate(text.split())]
     phrases = spark.createDataFrame(rows, "phrase int, label string, size int, word string, place int")

@@ -48,8 +48,8 @@ def candidate_rows(docs: DataFrame, id_col: str, text_col: str, path_col: str |
     """id, path, at (number of the token), value, before, before2, after, assigned."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     words = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.filter(
-        F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([=:])(?=[\s\"'])", r" $1 "),
-                r"""[\s"'`,;|()<>\[\]{}]+|(?<=\w)=(?=\w)"""), lambda w: w != "").alias("w"))
+        F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([=:])(?=[\s\"'])|(?<=\w)(=)(?=\w)",
+                                 " $1$2 "), r"""[\s"'`,;|()<>\[\]{}]+"""), lambda w: w != "").alias("w"))
     core = CORE % (least - 2)
     sign = lambda x: x.isin("=", ":", ":=")
     found = F.filter(F.transform("w", lambda x, i: F.when(

@@ -198,12 +198,12 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
 
     schema = "list long, class long, v array<double>"
     posted = materialise(classes.select("class", "v").mapInPandas(post, schema), "vector-lists")
-    sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().collect()}  # a row a list
-    blocks = F.element_at(F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (
-        int(c), int(-(-m // block)))]), F.col("list"))
-    posted = posted.withColumn("block", F.pmod(F.xxhash64("class"), blocks))
-    probed = asked.mapInPandas(probe, schema).filter(F.col("list").isin([int(c) for c in sizes])).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    # a row a list, at most twice ``most_lists``
+    sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    posted = posted.join(sizes, "list").select("list", "class", "v", F.pmod(
+        F.xxhash64("class"), F.col("blocks")).alias("block"))
+    probed = asked.mapInPandas(probe, schema).join(sizes, "list").select(
+        "list", "class", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = {"class": [], "found": [], "score": []}
