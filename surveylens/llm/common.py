@@ -24,10 +24,28 @@ def ascii_lower(c: Column) -> Column:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to a new folder under the shared checkpoint folder and
     read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, name)
+
+
+class Tables:
+    """Written intermediate tables that can be dropped once nothing lazy reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.mode("errorifexists").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables' folders."""
+        context = self.spark.sparkContext
+        for path in self.paths:
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
 
 
 def fresh(df: DataFrame, name: str) -> str:

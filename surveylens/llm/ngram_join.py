@@ -12,7 +12,8 @@ none.  A node remains cheap while it has fewer expensive n-grams than any partne
 share with it: then a cheap n-gram is among the shared ones and finds the pair.  Nodes
 with more expensive ones take longer prefixes among themselves, asked to share
 correspondingly more, and at last their whole sets.  Pairs that share as many as they
-must are verified on whole sets.
+must are verified on whole sets: first each node's most promising pair, then those pairs
+that the links found so far do not join.
 
 Large groups of near copies: nodes that consist of expensive n-grams even as whole sets
 are much alike.  They are grouped by shared prefix n-grams; a group's consensus is the
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import columns_of, fresh, load, materialise, text_slices
+from surveylens.llm.common import Tables, columns_of, fresh, load, materialise, text_slices
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -170,7 +171,8 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, n: int, measure: Me
         run, f"id {id_type}, node long, size long, grams array<long>")
 
 
-def prefix_pairs(nodes: DataFrame, measure: Measure, level: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+def prefix_pairs(nodes: DataFrame, measure: Measure, level: int, frequent: int,
+                 tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b) by prefixes of this level, and the nodes that are not cheap.
     ``nodes``: node, size, grams in ascending unsigned order, at least the prefix."""
     size = F.col("size")
@@ -179,11 +181,11 @@ def prefix_pairs(nodes: DataFrame, measure: Measure, level: int, frequent: int)
     # at most frequent + 1 holders of each n-gram are kept, already before the shuffle
     few = prefixes.withColumn("k", F.row_number().over(
         Window.partitionBy("gram").orderBy("size", "node"))).filter(F.col("k") <= frequent + 1)
-    lists = materialise(few.groupBy("gram").agg(F.sort_array(F.collect_list(
+    lists = tables.write(few.groupBy("gram").agg(F.sort_array(F.collect_list(
         F.struct("size", "node"))).alias("held")).filter(F.size("held") > 1), "gram-lists")
     costly = lists.filter(F.size("held") > frequent).select("gram")
     side = F.broadcast(costly) if costly.count() <= 500_000 else costly
-    burden = materialise(prefixes.join(side, "gram").groupBy("node", "size").agg(
+    burden = tables.write(prefixes.join(side, "gram").groupBy("node", "size").agg(
         F.count(F.lit(1)).alias("costly")), "gram-burden")
     dear = burden.filter(F.col("costly") >= measure.expected_col(size, level)).select("node")
     cheap = lists.filter(F.size("held") <= frequent)
@@ -199,7 +201,7 @@ def prefix_pairs(nodes: DataFrame, measure: Measure, level: int, frequent: int)
     least = F.least(measure.longer_col(m, level) + 1, measure.longer_col(n, level) + 1,
                     measure.overlap_col(m, n))
     hidden = F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0)))
-    return pairs.filter(F.col("shared") + hidden >= least).select("a", "b"), dear
+    return pairs.filter(F.col("shared") + hidden >= least).select("a", "b", "shared"), dear
 
 
 def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
@@ -212,12 +214,25 @@ def verified(pairs: DataFrame, sets: DataFrame, measure: Measure) -> DataFrame:
     return both.filter(common * measure.den >= union * measure.num).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def joining_links(pairs: DataFrame, sets: DataFrame, measure: Measure, tables: Tables) -> DataFrame:
+    """Links that join all similar pairs: each node's pair with the most shared n-grams is
+    verified first; of the others those that are not joined yet."""
+    best = [pairs.groupBy(x).agg(F.max_by(y, F.struct("shared", y)).alias(y)).select("a", "b")
+            for x, y in (("a", "b"), ("b", "a"))]
+    first = tables.write(verified(best[0].unionByName(best[1]).distinct(), sets, measure), "first-links")
+    labels = components(first, tables)
+    rest = (pairs.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a", "left")
+            .join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+            .filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b"))
+    return first.unionByName(verified(rest, sets, measure))
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """node, label: the smallest node of its component, for every node of a link."""
-    links = materialise(links.select("a", "b"), "links")
-    both = materialise(links.unionByName(
+    links = tables.write(links.select("a", "b"), "links")
+    both = tables.write(links.unionByName(
         links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links-both-ways")
-    labels = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(
+    labels = tables.write(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = (both.join(labels.withColumnsRenamed({"node": "b", "label": "l"}), "b")
@@ -225,7 +240,7 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"),
                                                 F.least("label", "l").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialise(step.join(jump, "label").select(
+        step = tables.write(step.join(jump, "label").select(
             "node", F.least("label", "far").alias("label"), "old"), "labels")
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
@@ -260,35 +275,35 @@ def _forest(size, diffs, ids, is_new, measure) -> list[tuple[int, int]]:
     return [(int(ids[i]), int(ids[label[i]])) for i in np.flatnonzero(label != np.arange(len(ids)))]
 
 
-def alike_links(sets: DataFrame, measure: Measure, block: int = 512) -> DataFrame:
+def alike_links(sets: DataFrame, measure: Measure, tables: Tables, block: int = 512) -> DataFrame:
     """Links (a, b) that join all similar pairs of ``sets`` (node, size, grams), for large
     groups of sets that are much alike."""
     size = F.col("size")
     p = (size - measure.share_col(size) + 1).cast("int")
     held = sets.select("node", F.explode(F.slice("grams", F.lit(1), p)).alias("gram"))
     # groups: nodes that share prefix n-grams, directly or through others
-    held = materialise(held, "alike-prefixes")
-    labels = materialise(sets.select("node", F.col("node").alias("label")), "alike-labels")
+    held = tables.write(held, "alike-prefixes")
+    labels = tables.write(sets.select("node", F.col("node").alias("label")), "alike-labels")
     while True:
         by_gram = held.join(labels, "node").groupBy("gram").agg(F.min("label").alias("l"))
         low = held.join(by_gram, "gram").groupBy("node").agg(F.min("l").alias("l"))
         step = labels.join(low, "node").select("node", F.col("label").alias("old"),
                                                F.least("label", "l").alias("label"))
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialise(step.join(jump, "label").select(
+        step = tables.write(step.join(jump, "label").select(
             "node", F.least("label", "far").alias("label"), "old"), "alike-labels")
         labels = step.select("node", "label")
         if step.filter("label <> old").isEmpty():
             break
-    grouped = materialise(sets.join(labels, "node").withColumnRenamed("label", "group"), "alike-sets")
+    grouped = tables.write(sets.join(labels, "node").withColumnRenamed("label", "group"), "alike-sets")
     members = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     usual = (grouped.select("group", F.explode("grams").alias("gram")).groupBy("group", "gram")
              .agg(F.count(F.lit(1)).alias("n")).join(members, "group").filter(2 * F.col("n") > F.col("members"))
              .groupBy("group").agg(F.collect_list("gram").alias("usual")))
-    centre = materialise(members.join(usual, "group", "left").select(
+    centre = tables.write(members.join(usual, "group", "left").select(
         "group", F.coalesce("usual", F.array().cast("array<long>")).alias("usual")), "alike-centres")
     small = lambda df: F.broadcast(df) if df.count() <= 2_000 else df
-    away = materialise(
+    away = tables.write(
         grouped.join(small(centre), "group")
         .select("group", "node", "size", F.concat(F.array_except("grams", "usual"),
                                                   F.array_except("usual", "grams")).alias("diff"))
@@ -297,13 +312,13 @@ def alike_links(sets: DataFrame, measure: Measure, block: int = 512) -> DataFram
     # 0 or more; so what is similar to any set in that way is similar to the closest one
     closeness = (measure.den - measure.num) * F.col("size") - (measure.den + measure.num) * F.col("d")
     best = away.groupBy("group").agg(F.max(F.struct(closeness.alias("f"), "node", "size", "diff")).alias("best"))
-    best = materialise(best.select("group", F.col("best.node").alias("hub"), F.col("best.size").alias("m"),
+    best = tables.write(best.select("group", F.col("best.node").alias("hub"), F.col("best.size").alias("m"),
                                    F.col("best.f").alias("hub_f"), F.col("best.diff").alias("hub_diff")),
                        "alike-hubs")
     apart = F.col("d") + F.size("hub_diff") - 2 * F.size(F.array_intersect("diff", "hub_diff"))
     total = F.col("size") + F.col("m")
     common = (total - apart) / 2
-    tested = materialise(away.join(small(best), "group").select(
+    tested = tables.write(away.join(small(best), "group").select(
         "group", "node", "size", "diff", "d", "hub", "hub_f", closeness.alias("f"),
         (common * measure.den >= (total - common) * measure.num).alias("linked")), "alike-tested")
     star = tested.filter("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -346,52 +361,51 @@ def alike_links(sets: DataFrame, measure: Measure, block: int = 512) -> DataFram
 
 
 def similar_links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, n: int,
-                  measure: Measure, frequent: int) -> DataFrame:
+                  measure: Measure, frequent: int, tables: Tables) -> DataFrame:
     """Links (a, b) between nodes that join all similar nodes."""
-    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(
+    nodes = tables.write(signed.filter("node is not null").groupBy("node").agg(
         F.first("size").alias("size"), F.first("grams").alias("grams"), F.min("id").alias("id")), "gram-nodes")
-    pairs, dear = prefix_pairs(nodes, measure, 0, frequent)
-    pairs = materialise(pairs, "gram-pairs")
-    dear = materialise(dear, "gram-dear")
+    pairs, dear = prefix_pairs(nodes, measure, 0, frequent, tables)
+    pairs = tables.write(pairs, "gram-pairs")
+    dear = tables.write(dear, "gram-dear")
     # whole sets of the nodes that take part, from one of their texts
     wanted = dear.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(
         pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(nodes.select("node", "id").join(wanted, "node").select("node", "id"), "gram-wanted")
+    wanted = tables.write(nodes.select("node", "id").join(wanted, "node").select("node", "id"), "gram-wanted")
     ids = wanted.select(F.col("id").alias("_wanted")).distinct()
     side = F.broadcast(ids) if wanted.count() <= 1_000_000 else ids
     texts = docs.select(id_col, text_col).join(side, F.col(id_col).eqNullSafe(F.col("_wanted")), "left_semi")
-    sets = materialise(signed_sets(texts, id_col, text_col, n, None).join(wanted.select("node"), "node",
+    sets = tables.write(signed_sets(texts, id_col, text_col, n, None).join(wanted.select("node"), "node",
                                                                          "left_semi")
                        .groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")),
                        "gram-sets")
-    links = [verified(pairs, sets, measure)]
     for level in (1, 2):
         if dear.isEmpty():
             break
-        pairs, rest = prefix_pairs(sets.join(dear, "node", "left_semi"), measure, level, frequent)
-        links.append(verified(materialise(pairs, "gram-pairs"), sets, measure))
-        dear = materialise(rest, "gram-dear")
-    if not dear.isEmpty():
-        links.append(alike_links(sets.join(dear, "node", "left_semi"), measure))
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
+        more, rest = prefix_pairs(sets.join(dear, "node", "left_semi"), measure, level, frequent, tables)
+        pairs = pairs.unionByName(tables.write(more, "gram-pairs"))
+        dear = tables.write(rest, "gram-dear")
+    links = joining_links(pairs, sets, measure, tables)
+    if dear.isEmpty():
+        return links
+    return links.unionByName(alike_links(sets.join(dear, "node", "left_semi"), measure, tables))
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                           num: int = 80, den: int = 100, frequent: int = 50) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links) per row.  Sets of word
     ``n``-grams are linked when den * |intersection| >= num * |union|."""
-    measure = Measure(num, den)
+    measure, tables = Measure(num, den), Tables(docs.sparkSession)
     signed = materialise(signed_sets(docs, id_col, text_col, n, measure), "gram-signed")
-    labels = components(similar_links(docs, signed, id_col, text_col, n, measure, frequent))
-    rows = signed.select("id", "node", "size").join(labels, "node", "left").withColumn(
-        "label", F.coalesce("label", "node"))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("id").alias("least"))
-    return rows.join(least, "label", "left").select(
+    labels = components(similar_links(docs, signed, id_col, text_col, n, measure, frequent, tables), tables)
+    named = signed.filter("node is not null").groupBy("node").agg(F.min("id").alias("id")) \
+        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    found = materialise(named.join(least, "label").select("node", "component_id"), "gram-components")
+    tables.drop()
+    return signed.select("id", "node", "size").join(found, "node", "left").select(
         F.col("id").alias(id_col), F.col("size").alias("n_shingles"),
-        F.coalesce("least", "id").alias("component_id"))
+        F.coalesce("component_id", "id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
