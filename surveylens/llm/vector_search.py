@@ -35,12 +35,18 @@ def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0.0)
 
 
+def _nearest(x: np.ndarray, centroids: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """Nearest centroid of each row, a part of the rows at a time."""
+    return np.concatenate([_square_distances(x[i:i + rows], centroids).argmin(1)
+                           for i in range(0, len(x), rows)])
+
+
 def fit_centroids(x: np.ndarray, n_lists: int, rounds: int = 12, seed: int = 8) -> np.ndarray:
     """k-means; lists of more than twice the mean size are split in two, empty ones refilled."""
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), min(n_lists, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        owner = _square_distances(x, centroids).argmin(1)
+        owner = _nearest(x, centroids)
         sizes = np.bincount(owner, minlength=len(centroids))
         sums = np.zeros_like(centroids)
         np.add.at(sums, owner, x)
@@ -49,14 +55,14 @@ def fit_centroids(x: np.ndarray, n_lists: int, rounds: int = 12, seed: int = 8)
         large = np.argsort(-sizes)
         for empty, big in zip(np.flatnonzero(~full), large, strict=False):
             centroids[empty] = x[rng.choice(np.flatnonzero(owner == big))]
-    owner = _square_distances(x, centroids).argmin(1)
+    owner = _nearest(x, centroids)
     sizes = np.bincount(owner, minlength=len(centroids))
     extra = []
     for big in np.flatnonzero(sizes > 2 * max(1.0, sizes.mean())):
         own = x[owner == big]
         parts = own[rng.choice(len(own), 2, replace=False)].copy()
         for _ in range(5):
-            side = _square_distances(own, parts).argmin(1)
+            side = _nearest(own, parts)
             for s in (0, 1):
                 if (side == s).any():
                     parts[s] = own[side == s].mean(0)
@@ -87,8 +93,9 @@ class ListIndex:
         index = ListIndex(centroids, graph, 1.0)
         # the ratio at which the sample's own neighbours are found
         queries = x[:: max(1, len(x) // probes)]
-        best = np.argsort(_square_distances(queries, x), axis=1)[:, 1:k + 1]
-        lists = index.lists_of(x, replicas, near)
+        best = np.concatenate([np.argsort(_square_distances(queries[i:i + 32], x), axis=1)[:, 1:k + 1]
+                               for i in range(0, len(queries), 32)])
+        lists = [own for i in range(0, len(x), 1024) for own in index.lists_of(x[i:i + 1024], replicas, near)]
         reach = np.sqrt(_square_distances(queries, centroids))
         reach /= np.maximum(reach.min(1, keepdims=True), 1e-12)
         needed = [min(reach[q, c] for c in lists[v]) for q in range(len(queries)) for v in best[q]]
@@ -176,6 +183,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, id long, score double") \
             .withColumnRenamed("id", id_col)
     x = _matrix([r["v"] for r in taken])
+    del taken
     index = ListIndex.build(x, int(min(most_lists, max(1, len(x) // 8), max(1, n // list_size))), k=k,
                             replicas=replicas, near=near)
     queries = materialise(rows.filter(is_query).dropDuplicates(["id", "v"]).select("id", "v")
