@@ -157,22 +157,25 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: in
 
     tree = plan.mapInArrow(upper, ", ".join(
         f"{c} long" for c in [*names, "node", "low", "high", "first", "count"]))
+    # (joins with the slots are hinted: the planner takes their size for that of the sources)
     return tree.repartition("source_no", "node").mapInArrow(
         lower, "source_no long, shard long, slot long, epoch long, block long, words long")
 
 
-def block_pieces(rows: DataFrame, sources: DataFrame, block_words: int, bucket_rows: int = 20_000) -> DataFrame:
-    """One row per document and block of its source's stream: uid, source_no, block, low and
+def block_pieces(rows: DataFrame, sources: DataFrame, block_words: int, bucket_rows: int = 4_000) -> DataFrame:
+    """One row per document and block of its source's stream (documents in an order that
+    depends on ids and sizes alone, so reruns agree whatever the partitioning): uid, source_no, block, low and
     high (words of the block that are the document's), at (document word at ``low``)."""
     n = sources.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-n // bucket_rows))
     rows = (rows.filter("size > 0").join(source_side(sources.select("source", "source_no")),
                                          F.col("s").eqNullSafe(F.col("source")))
-            .select("uid", "source_no", "size", F.pmod(F.xxhash64("uid"), F.lit(buckets)).alias("bucket")))
+            .select("uid", "id", "source_no", "size",
+                    F.pmod(F.xxhash64("id", "size"), F.lit(buckets)).alias("bucket")))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("held"))
     before = sums.withColumn("begin", F.sum("held").over(
         Window.partitionBy("source_no").orderBy("bucket")) - F.col("held")).drop("held")
-    run = Window.partitionBy("source_no", "bucket").orderBy("uid")
+    run = Window.partitionBy("source_no", "bucket").orderBy("id", "size", "uid")
     placed = (rows.withColumn("upto", F.sum("size").over(run)).join(before, ["source_no", "bucket"])
               .select("uid", "source_no", "size", (F.col("begin") + F.col("upto") - F.col("size")).alias("a"),
                       (F.col("begin") + F.col("upto")).alias("z")))
@@ -209,7 +212,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
         F.sum(F.when(F.col("words") == block_words, 1).otherwise(0)).alias("whole"),
         F.collect_list(F.when(F.col("words") < block_words, F.col("words"))).alias("parts"))
     part = lambda w: F.greatest(F.least(w, F.col("high")) - F.col("low"), F.lit(0))
-    per = (block_pieces(rows, sources, block_words).join(taken, ["source_no", "block"])
+    per = (block_pieces(rows, sources, block_words).join(taken.hint("shuffle_merge"), ["source_no", "block"])
            .select("uid", (F.col("whole") * (F.col("high") - F.col("low")) + F.aggregate(
                "parts", F.lit(0).cast("long"), lambda acc, w: acc + part(w))).alias("taken"))
            .groupBy("uid").agg(F.sum("taken").alias("taken")))
@@ -230,12 +233,13 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     uid, size, source, got, cuts = (fresh(docs, c) for c in ("uid", "size", "s", "got", "spans"))
     kept = materialise(sized(docs, source_col, text_col, size, source)
                        .withColumn(uid, F.monotonically_increasing_id()), "mix-texts")
-    rows = kept.select(F.col(uid).alias("uid"), F.col(source).alias("s"), F.col(size).alias("size"))
+    rows = kept.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), F.col(source).alias("s"),
+                       F.col(size).alias("size"))
     sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
                           "mix-sources")
     slots = draw_slots(sources, block_words, shard_blocks, seed)
     spans = (block_pieces(rows, sources, block_words)
-             .join(slots, ["source_no", "block"]).filter("words > low")
+             .join(slots.hint("shuffle_merge"), ["source_no", "block"]).filter("words > low")
              .select("uid", "epoch", "at", (F.least("high", "words") - F.col("low")).alias("n"))
              .groupBy(F.col("uid").alias("_uid"), "epoch").agg(
                  F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_spans"), F.sum("n").alias("_got")))
