@@ -13,7 +13,7 @@ from surveylens.llm.packing import op4_curve_packing
 from surveylens.llm.page_text import op10_html_extraction
 from surveylens.llm.quality import op1_quality_classifier
 from surveylens.llm.secrets import op9_secret_scans
-from surveylens.llm.spotsigs import op5_spot_signatures
+from surveylens.llm.spotsigs import op5_near_duplicates, op5_spot_signatures
 from surveylens.llm.token_counts import op6_token_counts
 from surveylens.llm.vector_search import op8_posting_lists
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mixing": op3_source_mixing,
     "op4_curve_packing": op4_curve_packing,
     "op5_spot_signatures": op5_spot_signatures,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_join": op7_ngram_join,
     "op8_posting_lists": op8_posting_lists,

@@ -3,9 +3,16 @@
 Common words (articles and auxiliaries of four languages) are anchors; the content words
 that follow an anchor form a chain, and anchor + chain is a signature.  A document's
 fingerprint is the set of its signatures (32-bit hashes, sorted, in hexadecimal), led by
-the set's size.  Two sets are compared by Jaccard similarity; since that is at most the
-smaller size over the larger one, pairs of unlike sizes need no comparison, and near
-duplicates are joined inside partitions by size through their rarest-hash signatures.
+the set's size.  Two sets are compared by Jaccard similarity.
+
+Near duplicates (``near_duplicates``) are all pairs of sets whose similarity reaches a
+threshold t.  It is at most the smaller size over the larger one, so sizes are cut into
+length partitions in which a set's partners lie in its own partition or in the next.
+Inside a partition sets are indexed by their rarest signatures: in an order common to all
+sets, by the number of sets that hold a signature, a pair's first common signature is among
+the first ones of both.  The pair is a candidate there only, if its sizes and what follows
+in both sets still allow t, and is verified on the whole sets.  Equal sets are compared once.
+The query ``op5_spot_signatures`` compares given pairs; ``op5_near_duplicates`` is the join.
 
 The next document of a document, in ascending order of ids, is found without a global
 sort: ids are cut into buckets at quantiles, every bucket also gets the first document of
@@ -22,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from surveylens.llm.common import load, shuffle_partitions
+from surveylens.llm.common import load, materialise, shuffle_partitions
 
 # Anchors, and further common words that chains pass over (en, de, fr, es).
 ANCHORS = ("a an the is are was be der die das ist ein eine und le la les un une est et el los las es y "
@@ -58,13 +65,10 @@ def fingerprint(signature_set: Column) -> Column:
         ""))
 
 
-def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard similarity of two signature sets; 0 without a comparison where the sizes alone
-    keep it at or below ``least``."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two signature sets."""
     common = F.size(F.array_intersect(a, b))
-    return F.when(small <= large * F.lit(least), 0.0).otherwise(
-        common / (F.size(a) + F.size(b) - common))
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
@@ -122,5 +126,78 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"))
 
 
+def length_bounds(most: int, num: int, den: int) -> list[int]:
+    """Least size of each length partition, for sets of at most ``most`` signatures.  A set's
+    partners of its own size or more lie in its partition or the next."""
+    bounds = [1]
+    while bounds[-1] * den // num < most:
+        bounds.append(bounds[-1] * den // num + 1)
+    return bounds
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80,
+                    den: int = 100) -> DataFrame:
+    """<id>, other_<id>, likeness, copy: the pairs of documents whose signature sets have a
+    Jaccard similarity of num / den or more.
+
+    Documents of equal sets stand behind the one of the least id: each other one has a row
+    with it (``copy``, likeness 1), and only it is paired with other sets, the smaller set first.
+    """
+    rows = materialise(fingerprints(docs, id_col, text_col).select(
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), "signatures"), "spot-rows")
+    first = F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("order"), "uid", "id"))
+    sets = materialise(rows.groupBy("signatures").agg(first.alias("m")).select(
+        "m.uid", "m.id", "signatures", F.size("signatures").alias("size")), "spot-sets")
+    copies = (rows.alias("r").join(sets.alias("s"), "signatures").filter(F.col("r.uid") != F.col("s.uid"))
+              .select(F.col("s.id").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("likeness"),
+                      F.lit(True).alias("copy")))
+    bounds = length_bounds(sets.agg(F.max("size")).first()[0] or 1, num, den)
+
+    # the signatures of each set, those of few sets first
+    each = sets.select("uid", F.explode("signatures").alias("signature"))
+    held = each.groupBy("signature").agg(F.count(F.lit(1)).alias("held"))
+    ordered = (each.join(held.hint("shuffle_merge"), "signature").groupBy("uid").agg(
+        F.array_sort(F.collect_list(F.struct("held", "signature"))).alias("o"))
+        .select("uid", F.col("o.signature").alias("o")))
+    ordered = materialise(ordered.select("uid", "o", F.size("o").alias("size")), "spot-orders")
+
+    def posted(shared: Column, name: str) -> DataFrame:
+        """A row for each signature of a prefix that meets every partner, of which at least
+        ``shared`` signatures are the partner's too."""
+        prefix = F.slice("o", F.lit(1), F.col("size") - shared.cast("int") + 1)
+        own = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("size")))
+        cut = ordered.select("uid", "size", own.alias("own"), F.col("o").alias("all"), F.posexplode(prefix).alias(
+            "place", "signature"))
+        return cut.select("signature", "own", *[c.alias(f"{name}_{n}") for n, c in (
+            ("uid", F.col("uid")), ("size", F.col("size")), ("place", F.col("place")),
+            ("earlier", F.slice("all", F.lit(1), F.col("place"))))])
+
+    size = F.col("size")
+    large = posted(F.ceil(size * num / den), "b").withColumnRenamed("own", "part")
+    small = posted(F.ceil(size * (2 * num) / (num + den)), "a").withColumn(
+        "part", F.explode(F.array(F.col("own"), F.col("own") + 1))).drop("own")
+    sizes = F.col("a_size") + F.col("b_size")
+    left = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    pairs = small.hint("shuffle_merge").join(large, ["part", "signature"]).filter(
+        (F.struct("a_size", "a_uid") < F.struct("b_size", "b_uid"))
+        & (F.col("a_size") * den >= F.col("b_size") * num)
+        & (left * (num + den) >= sizes * num)
+        & ~F.arrays_overlap("a_earlier", "b_earlier")).select("a_uid", "b_uid")
+    side = {n: sets.select(F.col("uid").alias(f"{n}_uid"), F.col("id").alias(n),
+                           F.col("signatures").alias(f"{n}_set")) for n in ("a", "b")}
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    found = (pairs.join(side["a"], "a_uid").join(side["b"], "b_uid")
+             .withColumn("common", common)
+             .withColumn("either", F.size("a_set") + F.size("b_set") - F.col("common"))
+             .filter(F.col("common") * den >= F.col("either") * num)
+             .select("a", "b", (F.col("common") / F.col("either")).alias("likeness"), F.lit(False).alias("copy")))
+    return found.unionByName(copies).select(F.col("a").alias(id_col), F.col("b").alias(f"other_{id_col}"),
+                                            "likeness", "copy")
+
+
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))

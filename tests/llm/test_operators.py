@@ -214,6 +214,38 @@ def test_signatures_follow_anchors(spark):
     assert n == [3, 1, 1]  # the:old:mill, was:near:quiet, the:quiet:river
 
 
+@pytest.mark.parametrize("num", [44, 80, 100])
+def test_near_duplicates_equal_brute_force(spark, make_docs, documents, num):
+    rng = random.Random(num)
+    common = "the is a was der und le es".split()
+    base = [[rng.choice(common) + " " + " ".join(rng.choices(WORDS, k=2)) for _ in range(rng.randrange(1, 40))]
+            for _ in range(30)]
+    texts = [" ".join(b[:k] + rng.choices(rng.choice(base), k=len(b) - k))
+             for b in base for k in {len(b), len(b) * 9 // 10, len(b) * 3 // 4, len(b) // 2}]
+    texts += texts[:9] + ["", "", "no anchors"] + [r.text or "" for r in documents.limit(60).collect()]
+    docs = make_docs(list(zip(rng.sample(range(1000), len(texts)), texts, ["s"] * len(texts))))
+    sets = {r.doc_id: frozenset(r.signatures) for r in spotsigs.fingerprints(docs).collect()}
+    head = {}
+    for i in sorted(sets):
+        head.setdefault(sets[i], i)
+    want = {(head[s], i): 1.0 for i, s in sets.items() if head[s] != i}
+    for (a, i), (b, j) in itertools.combinations(head.items(), 2):
+        if len(a & b) * 100 >= len(a | b) * num:
+            want[min(i, j), max(i, j)] = len(a & b) / len(a | b)
+    out = spotsigs.near_duplicates(docs, num=num).collect()
+    got = {(min(r[:2]), max(r[:2])): r.likeness for r in out}
+    assert len(got) == len(out) and got.keys() == want.keys()
+    assert all(got[p] == pytest.approx(want[p]) for p in want)
+    assert num == 100 or any(not r.copy for r in out)
+
+
+def test_partners_are_in_the_own_or_the_next_partition():
+    for num in (1, 44, 80, 99, 100):
+        bounds = spotsigs.length_bounds(300, num, 100)
+        part = [sum(b <= n for b in bounds) for n in range(301)]
+        assert all(part[z] <= part[a] + 1 for a in range(1, 301) for z in range(a, 301) if a * 100 >= z * num)
+
+
 # ---- 6 token counts ----
 
 def brute_sections(text, tokenizer):
