@@ -1,17 +1,19 @@
 """Secret scans with a random forest that removes false positives (DataFrame operations and
 Spark ML only).
 
-Every whole text is cut into tokens; long tokens are candidates.  Each has features of
-its length, character transitions, dictionary coverage (letter triples that ordinary
-words of the corpus use), of the path (the document's source) and of the neighbouring
-words.  A forest trained on labelled findings scores all candidates.
+Every whole text is cut into tokens; long runs of key characters in them are candidates,
+and shorter ones after an assignment or a credential name.  Each has features of its
+length, character transitions, dictionary coverage (letter triples that ordinary words of
+the corpus use), of the path (the document's source) and of the neighbouring words.  A
+forest trained on labelled findings scores all candidates.
 
 Labelled findings are a parameter; the registered query labels those candidates whose
 surroundings leave no doubt (an assignment to a credential word on the one hand; plain
 words, plain numbers and checksums on the other) and trains on a bounded sample of them,
 ``sample`` per class, drawn by hash.  Candidates of all documents are scored.
 
-Work: one scan of the texts that writes only the candidates; everything later is narrow.
+Work: one scan of the texts that writes only the candidates, one that counts letter triples
+(at most 26**3 rows a task leave it); everything later is narrow.
 
 Edge cases: a null or empty text has no candidates; a null path is an empty one; equal
 candidates at several places are separate rows; with findings of one class only, every
@@ -28,45 +30,58 @@ from pyspark.sql import functions as F
 
 from surveylens.llm.common import columns_of, fresh, load, materialise
 
-# Words that announce a credential, and words that announce a harmless digest.
-CREDENTIAL = ("token secret password passwd pwd passphrase apikey api_key api-key key access_key "
-              "secret_key private_key client_secret auth authorization bearer credential credentials "
-              "access_token auth_token aws_secret_access_key").split()
+# Names that announce a credential as a part of a key's name (github_token,
+# dbPassword, aws_access_key_id), and words that announce a harmless digest.
+PARTS = "token|secret|password|passwd|passphrase|apikey|credential|(?:access|secret|private|api|auth|signing)[-]?key"
+WHOLE = "key|pwd|pass|auth|authorization|bearer"  # short or common ones stand alone between separators
+CREDENTIAL = rf"(?:{PARTS})s?(?:id)?(?:[_\-.0-9]|$)|(?:^|[_\-.])(?:{WHOLE})s?(?:[_\-.0-9]|$)"
 HARMLESS = ("sha sha1 sha256 sha512 md5 commit revision checksum digest hash etag uuid guid "
             "fingerprint integrity version").split()
 PLAIN_PATH = r"(?i)(test|example|sample|fixture|mock|docs?|readme|lock)"
 
+# an assignment sign before a blank or a quote, = inside a token, : after a credential's name
+SIGNS = (r"([=:])(?=[\s\"'])|(?<=\w)(=)(?=\w)"
+         r"|(:)(?<=(?i:token|secret|password|passwd|passphrase|pwd|key):)(?=\w)")
 CORE = r"([A-Za-z0-9](?:[A-Za-z0-9_+/.~:@-]{%d,})[A-Za-z0-9=])"
 FEATURES = ["length", "classes", "runs", "digits", "uppers", "letters", "hex", "distinct",
             "vowels", "switches", "coverage", "plain_path", "credential", "harmless", "near_credential",
             "next_word"]
+WORD = r"""(?<![^\s"'(,;])([a-z]{3,})(?![^\s"'),;.:!?])"""
 MARK = "[SECRET]"
 
 
+def _bare(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"[^a-z0-9_\-.]|\.+$", "")
+
+
+def _names_credential(c: Column) -> Column:
+    return F.coalesce(_bare(c).rlike(CREDENTIAL), F.lit(False))
+
+
 def candidate_rows(docs: DataFrame, id_col: str, text_col: str, path_col: str | None,
-                   least: int = 16) -> DataFrame:
-    """id, path, at (number of the token), value, before, before2, after, assigned."""
+                   least: int = 16, least_named: int = 8) -> DataFrame:
+    """id, path, at (number of the token), value, before, before2, after, assigned: every run
+    of ``least`` key characters in a token, of ``least_named`` where the token is assigned or
+    one of the two words before it names a credential."""
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     words = docs.select(F.col(id_col).alias("id"), path.alias("path"), F.filter(
-        F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"([=:])(?=[\s\"'])|(?<=\w)(=)(?=\w)",
-                                 " $1$2 "), r"""[\s"'`,;|()<>\[\]{}]+"""), lambda w: w != "").alias("w"))
-    core = CORE % (least - 2)
-    sign = lambda x: x.isin("=", ":", ":=")
+        F.split(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SIGNS, " $1$2$3 "),
+                r"""[\s"'`,;|()<>\[\]{}]+"""), lambda w: w != "").alias("w"))
+    core = CORE % (least_named - 2)
+    sign = lambda x: F.coalesce(x.isin("=", ":", ":="), F.lit(False))
     found = F.filter(F.transform("w", lambda x, i: F.when(
-        (F.length(x) >= least) & x.rlike(core), F.struct(
-            i.cast("long").alias("at"), F.regexp_extract(x, core, 1).alias("value"),
+        (F.length(x) >= least_named) & x.rlike(core), F.struct(
+            i.cast("long").alias("at"), F.regexp_extract_all(x, F.lit(core), F.lit(1)).alias("values"),
             sign(F.get("w", i - 1)).alias("assigned"),
             F.when(sign(F.get("w", i - 1)), F.get("w", i - 2)).otherwise(F.get("w", i - 1)).alias("before"),
             F.when(sign(F.get("w", i - 1)), F.get("w", i - 3)).otherwise(F.get("w", i - 2)).alias("before2"),
             F.get("w", i + 1).alias("after")))), lambda m: m.isNotNull())
+    named = F.col("assigned") | _names_credential(F.col("before")) | _names_credential(F.col("before2"))
     return (words.select("id", "path", F.explode(found).alias("m"))
-            .select("id", "path", "m.at", "m.value", F.coalesce("m.assigned", F.lit(False)).alias("assigned"),
+            .select("id", "path", "m.at", F.explode("m.values").alias("value"), "m.assigned",
                     *[F.coalesce(F.lower(f"m.{c}"), F.lit("")).alias(c)
-                      for c in ("before", "before2", "after")]))
-
-
-def _letters(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z]", "")
+                      for c in ("before", "before2", "after")])
+            .filter((F.length("value") >= least) | named))
 
 
 def _triples(word: Column) -> Column:
@@ -76,13 +91,11 @@ def _triples(word: Column) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def dictionary(rows: DataFrame, share: float = 1e-4) -> list[str]:
-    """Letter triples that make up at least ``share`` of all triples of the candidates'
-    neighbouring words and of candidates of letters only.  At most 26**3 triples exist."""
-    words = rows.select(F.explode(F.array(
-        "before", "after", F.when(F.col("value").rlike("^[A-Za-z]+$"), F.lower("value")))).alias("w")) \
-        .filter(F.col("w").rlike("^[a-z]{3,}$"))
-    counts = words.select(F.explode(_triples(F.col("w"))).alias("t")).groupBy("t").agg(
+def dictionary(docs: DataFrame, text_col: str, share: float = 1e-4) -> list[str]:
+    """Letter triples that make up at least ``share`` of all triples of the words of letters
+    only in all texts.  At most 26**3 triples exist."""
+    words = F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(1))
+    counts = docs.select(F.explode(F.flatten(F.transform(words, _triples))).alias("t")).groupBy("t").agg(
         F.count(F.lit(1)).alias("n")).collect()
     total = sum(r["n"] for r in counts)
     return sorted(r["t"] for r in counts if r["n"] >= share * total)
@@ -95,7 +108,8 @@ def add_features(rows: DataFrame, triples: list[str]) -> DataFrame:
         return F.regexp_count("value", F.lit(pattern)) / n
 
     own = _triples(F.lower("value"))
-    bare = lambda c: F.regexp_replace(c, r"[^a-z0-9_\-]", "")
+    harmless = lambda c: F.regexp_replace(c, r"[^a-z0-9_\-]", "").isin(HARMLESS)
+    before, before2 = F.col("before"), F.col("before2")
     known = F.size(F.filter(own, lambda t: t.isin(triples))) if triples else F.lit(0)
     return rows.select(
         "*", n.cast("double").alias("length"),
@@ -109,11 +123,9 @@ def add_features(rows: DataFrame, triples: list[str]) -> DataFrame:
         part("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])").alias("switches"),
         (known / F.greatest(F.size(own), F.lit(1))).alias("coverage"),
         F.col("path").rlike(PLAIN_PATH).cast("double").alias("plain_path"),
-        (bare(F.col("before")).isin(CREDENTIAL) & F.col("assigned")).cast("double").alias("credential"),
-        (bare(F.col("before")).isin(HARMLESS) | bare(F.col("before2")).isin(HARMLESS))
-        .cast("double").alias("harmless"),
-        (bare(F.col("before")).isin(CREDENTIAL) | bare(F.col("before2")).isin(CREDENTIAL))
-        .cast("double").alias("near_credential"),
+        (_names_credential(before) & F.col("assigned")).cast("double").alias("credential"),
+        (harmless(before) | harmless(before2)).cast("double").alias("harmless"),
+        (_names_credential(before) | _names_credential(before2)).cast("double").alias("near_credential"),
         F.col("after").rlike("^[a-z]").cast("double").alias("next_word"))
 
 
@@ -159,7 +171,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     findings to train on; unset, the candidates that leave no doubt.
     """
     rows = materialise(candidate_rows(docs, id_col, text_col, path_col), "secret-candidates")
-    triples = dictionary(rows)
+    triples = dictionary(docs, text_col)
     featured = add_features(rows, triples)
     known = clear_findings(featured) if findings is None else add_features(
         findings.withColumn("id", F.lit(0)).withColumn("at", F.lit(0)), triples)

@@ -382,6 +382,43 @@ def test_forest_drops_false_positives(spark, make_docs):
     assert marked[100] == rows[30][1] and marked[200] == rows[60][1]
 
 
+def test_short_values_and_all_matches_are_candidates(make_docs):
+    docs = make_docs([(1, "password = hunter2xY9 is set", "s"), (2, 'the github_token: "ab12cd34ef"', "s"),
+                      (3, "the password is q8w7e6r5t4", "s"), (4, "a shortword and plain words", "s"),
+                      (5, "db.password:hunter3xY9 here", "s"), (6, "see 1234567890abcdefg%zyx9876543210abcd end", "s"),
+                      (7, "key$3x4mpl3one$4nother2two", "s"), (8, "secret = 3x4mpl3one$4nother2two", "s")])
+    got = {}
+    for r in secrets.candidate_rows(docs, "doc_id", "text", "source").collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert got == {1: ["hunter2xY9"], 2: ["ab12cd34ef"], 3: ["q8w7e6r5t4"], 5: ["hunter3xY9"],
+                   6: ["1234567890abcdefg", "zyx9876543210abcd"], 8: ["3x4mpl3one", "4nother2two"]}
+
+
+def test_credential_names_are_parts_of_key_names(make_docs):
+    yes = ["github_token", "db_password", "aws_access_key_id", "API-KEY", "accessKeyId", "clientSecret", "key", "auth"]
+    no = ["tokenizer", "secretary", "monkey", "keyboard", "author", "commit", "passenger"]
+    docs = make_docs([(i, f'{n} = "k3J9x2L8q4W7z1"', "s") for i, n in enumerate(yes + no)])
+    rows = secrets.add_features(secrets.candidate_rows(docs, "doc_id", "text", "source"), [])
+    got = {r.id: (r.credential, r.near_credential) for r in rows.collect()}
+    assert got == {i: (1.0, 1.0) if i < len(yes) else (0.0, 0.0) for i in range(len(yes + no))}
+
+
+def test_dictionary_counts_the_words_of_all_documents(make_docs):
+    docs = make_docs([(1, "the river (meadow) ran.", "s"), (2, None, "s"), (3, "x9abc/def abcd1 wxyz-q", "s")])
+    triples = {w[k:k + 3] for w in ("the", "river", "meadow", "ran") for k in range(len(w) - 2)}
+    assert secrets.dictionary(docs, "text") == sorted(triples)
+
+
+def test_short_passwords_are_redacted(make_docs):
+    rng = random.Random(4)
+    keys = ["".join(rng.choices("abcdefghjkmnpqrstuvwxyz", k=6)) + "".join(rng.choices("0123456789", k=3)) + "X" for _ in range(40)]
+    rows = [(i, f"{rng.choice(['db_password', 'github_token'])} = {k} in a file", "s") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"Note: {' '.join(rng.choices(WORDS, k=30))} of thingstouring", "s") for i in range(40)]
+    marked = {r.doc_id: r.text for r in secrets.redact_secrets(make_docs(rows)).collect()}
+    assert all(keys[i] not in marked[i] and secrets.MARK in marked[i] for i in range(40))
+    assert all(marked[100 + i] == rows[40 + i][1] for i in range(40))
+
+
 # ---- 10 pages ----
 
 def test_page_text():
