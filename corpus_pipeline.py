@@ -8,7 +8,7 @@ stages but the last return the columns of ``documents``:
 2. ngram_join keeps one document of each group of near duplicates (five-word n-grams,
    Jaccard 0.8 or more);
 3. secret_scans replaces the secrets that the forest accepts by a mark;
-4. source_mixing returns what the mix takes of every document, one row per epoch;
+4. source_mixing returns what each shard takes of every document, one row per epoch;
 5. curve_packing cuts the mix into sequences of 4096 tokens.
 
 A table without rows passes through all stages; extra columns are kept up to the last.

@@ -7,7 +7,8 @@ binomial draw seeded with (seed, source, node), so that any node's count and fir
 number follow from its parent's and no running sum over shards is needed.  Slot j of a
 source is block perm(j) of its stream, ``perm`` being a pseudorandom permutation of the
 block numbers (a Feistel network) that differs per source and epoch; joining slots and
-documents' block pieces by (source, block) gives what the mix takes of every document.
+documents' block pieces by (source, block) gives the output shards (``mixed_shards``), and
+from the same rows what the mix takes of every document and its texts in every shard.
 
 Totals are exact: a source's slots add up to its rounded target, its last slot being
 taken in part.  No block is taken twice before all were taken once.
@@ -164,7 +165,7 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: in
 
 def block_pieces(rows: DataFrame, sources: DataFrame, block_words: int, bucket_rows: int = 4_000) -> DataFrame:
     """One row per document and block of its source's stream (documents in an order that
-    depends on ids and sizes alone, so reruns agree whatever the partitioning): uid, source_no, block, low and
+    depends on ids and sizes alone, so reruns agree whatever the partitioning): uid, id, source_no, block, low and
     high (words of the block that are the document's), at (document word at ``low``)."""
     n = sources.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-n // bucket_rows))
@@ -177,13 +178,13 @@ def block_pieces(rows: DataFrame, sources: DataFrame, block_words: int, bucket_r
         Window.partitionBy("source_no").orderBy("bucket")) - F.col("held")).drop("held")
     run = Window.partitionBy("source_no", "bucket").orderBy("id", "size", "uid")
     placed = (rows.withColumn("upto", F.sum("size").over(run)).join(before, ["source_no", "bucket"])
-              .select("uid", "source_no", "size", (F.col("begin") + F.col("upto") - F.col("size")).alias("a"),
+              .select("uid", "id", "source_no", "size", (F.col("begin") + F.col("upto") - F.col("size")).alias("a"),
                       (F.col("begin") + F.col("upto")).alias("z")))
     cut = placed.withColumn("block", F.explode(F.sequence(
         F.floor(F.col("a") / block_words), F.floor((F.col("z") - 1) / block_words))))
     base = F.col("block") * block_words
     low = F.greatest(F.col("a") - base, F.lit(0))
-    return cut.select("uid", "source_no", "block", low.alias("low"),
+    return cut.select("uid", "id", "source_no", "block", low.alias("low"),
                       F.least(F.col("z") - base, F.lit(block_words)).alias("high"),
                       (base + low - F.col("a")).alias("at"))
 
@@ -199,23 +200,44 @@ def sized(docs: DataFrame, source_col: str, text_col: str, size: str = "size", s
                        F.col(source_col).alias(source))
 
 
+def shard_pieces(rows: DataFrame, sources: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
+    """One row per slot and document that it takes words of: shard, slot, epoch, source_no, block,
+    uid, id, at, low (the block's word that is the document's word ``at``) and n (words)."""
+    slots = draw_slots(sources, block_words, shard_blocks, seed)
+    return (block_pieces(rows, sources, block_words).join(slots.hint("shuffle_merge"), ["source_no", "block"])
+            .filter("words > low").select("shard", "slot", "epoch", "source_no", "block", "uid", "id", "at",
+                                          "low", (F.least("high", "words") - F.col("low")).alias("n")))
+
+
+def prepared(docs: DataFrame, id_col: str, source_col: str, text_col: str, weights, share: float,
+             most: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (uid, id, s, size) and sources with their targets, both written."""
+    rows = materialise(sized(docs.select(id_col, source_col, text_col), source_col, text_col).select(
+        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), "s", "size"), "mix-rows")
+    return rows, materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
+                             "mix-sources")
+
+
+def mixed_shards(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
+                 text_col: str = "text", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
+                 block_words: int = 256, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
+    """The output shards, one row per slot: shard, slot (the source's), source, block, pieces
+    (array of <id>, at, n in the block's order).  A shard's slots of a source follow each other."""
+    rows, sources = prepared(docs, id_col, source_col, text_col, weights, share, most)
+    cut = shard_pieces(rows, sources, block_words, shard_blocks, seed)
+    per = cut.groupBy("shard", "slot", "source_no", "block").agg(
+        F.sort_array(F.collect_list(F.struct("low", "uid", "id", "at", "n"))).alias("p"))
+    return (per.join(source_side(sources.select("source_no", "source")), "source_no")
+            .select("shard", "slot", "source", "block", F.transform("p", lambda x: F.struct(
+                x["id"].alias(id_col), x["at"].alias("at"), x["n"].alias("n"))).alias("pieces")))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
                 block_words: int = 256, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken."""
-    rows = materialise(sized(docs.select(id_col, source_col, text_col), source_col, text_col).select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), "s", "size"), "mix-rows")
-    sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
-                          "mix-sources")
-    slots = draw_slots(sources, block_words, shard_blocks, seed)
-    taken = slots.groupBy("source_no", "block").agg(
-        F.sum(F.when(F.col("words") == block_words, 1).otherwise(0)).alias("whole"),
-        F.collect_list(F.when(F.col("words") < block_words, F.col("words"))).alias("parts"))
-    part = lambda w: F.greatest(F.least(w, F.col("high")) - F.col("low"), F.lit(0))
-    per = (block_pieces(rows, sources, block_words).join(taken.hint("shuffle_merge"), ["source_no", "block"])
-           .select("uid", (F.col("whole") * (F.col("high") - F.col("low")) + F.aggregate(
-               "parts", F.lit(0).cast("long"), lambda acc, w: acc + part(w))).alias("taken"))
-           .groupBy("uid").agg(F.sum("taken").alias("taken")))
+    """One row per document: id, size, source_size, target, taken (over all shards)."""
+    rows, sources = prepared(docs, id_col, source_col, text_col, weights, share, most)
+    per = shard_pieces(rows, sources, block_words, shard_blocks, seed).groupBy("uid").agg(F.sum("n").alias("taken"))
     return (rows.join(per, "uid", "left")
             .join(source_side(sources), F.col("s").eqNullSafe(F.col("source")))
             .select(F.col("id").alias(id_col), "size", F.col("source_size").cast("long"), "target",
@@ -225,10 +247,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                     text_col: str = "text", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
                     block_words: int = 256, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: one row per document and epoch that takes
-    words of it.  A document taken whole keeps its text; of one taken in part the rows of
-    words that were taken follow each other, joined by a line break.  Documents without
-    words are not taken."""
+    """The mix itself, with the columns of ``docs``: one row per shard, document and epoch that
+    takes words of it.  Where a shard takes a document whole, the text stays; of one taken in part
+    the rows of words that the shard takes follow each other, joined by a line break.  Documents
+    without words are not taken."""
     columns = docs.columns
     uid, size, source, got, cuts = (fresh(docs, c) for c in ("uid", "size", "s", "got", "spans"))
     kept = materialise(sized(docs, source_col, text_col, size, source)
@@ -237,11 +259,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
                        F.col(size).alias("size"))
     sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
                           "mix-sources")
-    slots = draw_slots(sources, block_words, shard_blocks, seed)
-    spans = (block_pieces(rows, sources, block_words)
-             .join(slots.hint("shuffle_merge"), ["source_no", "block"]).filter("words > low")
-             .select("uid", "epoch", "at", (F.least("high", "words") - F.col("low")).alias("n"))
-             .groupBy(F.col("uid").alias("_uid"), "epoch").agg(
+    spans = (shard_pieces(rows, sources, block_words, shard_blocks, seed)
+             .groupBy(F.col("uid").alias("_uid"), "epoch", "shard").agg(
                  F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_spans"), F.sum("n").alias("_got")))
     spans = spans.select(F.col("_uid").alias(uid), F.col("_spans").alias(cuts), F.col("_got").alias(got))
     found = kept.join(spans, uid).select(*columns_of(docs), size, got, cuts)

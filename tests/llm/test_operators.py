@@ -125,6 +125,41 @@ def test_mix_reaches_its_targets(make_docs):
     assert all(abs(words[s] - want[s]) <= 1 for s in want)
 
 
+def test_shards_hold_the_drawn_counts_of_whole_blocks(make_docs):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(rng.randrange(0, 300))), rng.choice(["a", "a", "b", None]))
+            for i in range(150)]
+    docs, size = make_docs(rows), Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    out = mixing.mixed_shards(docs, block_words=16, shard_blocks=100).collect()
+    slots = Counter(r.source for r in out)
+    shards = -(-sum(slots.values()) // 100)
+    drawn = {}
+    for no, s in enumerate(["a", "b", None]):
+        for _, low, _, first, count in mixing.descend(20, no, 1, 0, shards, 0, slots[s], 1):
+            drawn |= {(s, j): low for j in range(first, first + count)}
+    assert {(r.source, r.slot): r.shard for r in out} == drawn and len(out) == len(drawn)
+    per = Counter((r.shard, r.source) for r in out)
+    assert shards > 5 and len({per[k, "a"] for k in range(shards)}) > 1  # not an even deal
+    texts, source = {i: t.split() for i, t, _ in rows}, {i: s for i, _, s in rows}
+    taken, held = Counter(), {}
+    for r in out:
+        words = [w for p in r.pieces for w in texts[p.doc_id][p["at"]:p["at"] + p.n]]
+        assert len(words) == sum(p.n for p in r.pieces) <= 16 and {source[p.doc_id] for p in r.pieces} == {r.source}
+        for p in r.pieces:
+            taken[p.doc_id] += p.n
+        whole = held.setdefault((r.source, r.block), words)
+        longer, shorter = max(whole, words, key=len), min(whole, words, key=len)
+        assert longer[:len(shorter)] == shorter
+    assert {r.doc_id: r.taken for r in mixing.mix_sources(docs, block_words=16, shard_blocks=100).collect()} == {
+        i: taken[i] for i in texts}
+    got = Counter(w for r in mixing.mixed_documents(docs, block_words=16, shard_blocks=100).collect() for w in r.text.split())
+    assert got == Counter(w for r in out for p in r.pieces for w in texts[p.doc_id][p["at"]:p["at"] + p.n])
+    parts = {(r.shard, p.doc_id, r.slot // -(-size[r.source] // 16)) for r in out for p in r.pieces}
+    assert mixing.mixed_documents(docs, block_words=16, shard_blocks=100).count() == len(parts)
+
+
 def test_reruns_agree(documents):
     a, b = (sorted(map(tuple, mixing.mix_sources(d).collect())) for d in (documents, documents.repartition(7)))
     assert a == b
