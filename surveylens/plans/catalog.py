@@ -427,38 +427,44 @@ def base_models_score(spark, sf_dir):
 
 
 def compare_models(spark, sf_dir):
-    """All built-in models of the study's comparison, 5-fold CV.  Tree counts are below the
-    defaults, see the README's figures."""
+    """All built-in models of the study's comparison, 5-fold CV, default tree counts."""
     train, _, _ = _prepared_parts(spark, sf_dir)
     folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-    light = {"gbt": {"maxIter": 20}, "gbt_xgboost": {"maxIter": 20},
-             "gbt_catboost": {"maxIter": 20}, "gbt_lightgbm": {"maxIter": 20}}
-    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.MODEL_NAMES, params=light,
+    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.MODEL_NAMES,
                                   adaboost_rounds=HOLDOUT_ROUNDS))
 
 
-def tune_models(spark, sf_dir):
-    """Grid search with cross-validated AUC for the built-in models (reduced grids)."""
+def _tuned(spark, sf_dir, jobs):
+    """(model, params, mean_auc) of the grids of ``jobs``: (model, grid, folds)."""
     train, _, _ = _prepared_parts(spark, sf_dir)
-    folded = SP.with_folds(train, 3)
-    grids = {"LR": {"maxIter": [200, 250, 300]},
-             "CART": {"maxDepth": [3, 6, 9], "minInstancesPerNode": [2, 10]},
-             "gbt": {"stepSize": [0.1, 0.01], "maxDepth": [2, 5]}}
-    base = {"gbt": {"maxIter": 20}}
     rows = []
-    for name, grid in grids.items():
-        _, r = ML.tune(folded, S.FEATURES, S.TARGET, name, grid, folds=3, base_params=base.get(name))
+    for name, grid, folds in jobs:
+        _, r = ML.tune(SP.with_folds(train, folds), S.FEATURES, S.TARGET, name, grid, folds=folds)
         rows.extend(r)
     return _r(spark.createDataFrame(rows, "model string, params string, mean_auc double"))
 
 
+def tune_models(spark, sf_dir):
+    """The published grids of the single models with their folds, and CART's of the comparison."""
+    jobs = [(name, *job) for name, job in S.MODEL_GRIDS.items()]
+    return _tuned(spark, sf_dir, [*jobs, ("CART", S.COMPARISON_GRIDS["CART"], S.COMPARISON_FOLDS)])
+
+
+def tune_lr(spark, sf_dir):
+    """The published grid of logistic regression alone."""
+    return _tuned(spark, sf_dir, [("LR", *S.MODEL_GRIDS["LR"])])
+
+
 def tune_before_after(spark, sf_dir):
-    """Cross-validated scores of a tree and of logistic regression before and after their grids."""
+    """Cross-validated scores before and after the published grids of the comparison and
+    logistic regression's."""
     train, _, _ = _prepared_parts(spark, sf_dir)
-    folded = SP.with_folds(train, 3)
-    return _r(ML.tune_scores(folded, S.FEATURES, S.TARGET, "CART", {"maxDepth": [3, 6, 9]}, folds=3)
-              .unionByName(ML.tune_scores(folded, S.FEATURES, S.TARGET, "LR", {"maxIter": [200, 250, 300]},
-                                          folds=3)))
+    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
+    out = None
+    for name, grid in (S.COMPARISON_GRIDS | {"LR": S.MODEL_GRIDS["LR"][0]}).items():
+        part = ML.tune_scores(folded, S.FEATURES, S.TARGET, name, grid, folds=S.COMPARISON_FOLDS)
+        out = part if out is None else out.unionByName(part)
+    return _r(out)
 
 
 def model_params(spark, sf_dir):
