@@ -167,7 +167,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
                        vector_col: str = "embedding", k: int = 10, sample: int = 20_000,
                        list_size: int = 256, most_lists: int = 4096, block: int = 4096,
-                       replicas: int = 3, near: float = 1.03) -> DataFrame:
+                       query_block: int = 4096, replicas: int = 3, near: float = 1.03) -> DataFrame:
     """query_id, rank, id, score: the ``k`` nearest rows found for each row that ``is_query``
     selects (a condition on the column "id")."""
     spark = vectors.sparkSession
@@ -210,8 +210,14 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
     sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
     posted = posted.join(sizes, "list").select("list", "class", "v", F.pmod(
         F.xxhash64("class"), F.col("blocks")).alias("block"))
-    probed = asked.mapInPandas(probe, schema).join(sizes, "list").select(
-        "list", "class", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    probing = materialise(asked.mapInPandas(probe, schema).join(sizes, "list"), "vector-probes")
+    parts = F.broadcast(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts")))
+    probed = probing.join(parts, "list").select(
+        "list", "class", "v", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    # every block of a list's vectors meets every block of its queries
+    posted = posted.join(parts, "list").select("list", "class", "v", "block", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = {"class": [], "found": [], "score": []}
@@ -234,7 +240,7 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
                     out["score"].append(exact[order])
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in out.items()})
 
-    near_by = (probed.groupBy("list", "block").cogroup(posted.groupBy("list", "block"))
+    near_by = (probed.groupBy("list", "block", "part").cogroup(posted.groupBy("list", "block", "part"))
                .applyInPandas(search, "class long, found long, score double"))
     best = (near_by.groupBy("class", "found").agg(F.min("score").alias("score"))
             .withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("score", "found")))

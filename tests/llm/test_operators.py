@@ -394,6 +394,26 @@ def test_recall_and_exact_scores(spark):
     assert hits / (10 * len(got)) >= 0.9
 
 
+def test_query_blocks_are_bounded_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))],
+                               "vec_id long, embedding array<double>")
+    whole = vector_search.nearest_neighbours(df, F.col("id") % 2 == 0, list_size=200, block=64).collect()
+    sizes = spark.sparkContext.accumulator(0)
+    plain = type(df.groupBy("vec_id").cogroup(df.groupBy("vec_id"))).applyInPandas
+
+    def checked(groups, search, schema):
+        def counted(q, p):
+            sizes.add(int(len(q) > 60))
+            return search(q, p)
+        return plain(groups, counted, schema)
+
+    monkeypatch.setattr(type(df.groupBy("vec_id").cogroup(df.groupBy("vec_id"))), "applyInPandas", checked)
+    parts = vector_search.nearest_neighbours(df, F.col("id") % 2 == 0, list_size=200, block=64, query_block=30).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, parts)) and len(parts) == 3000
+    assert sizes.value == 0
+
+
 def test_few_vectors_are_all_returned(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     out = vector_search.nearest_neighbours(df, F.col("id") % 100 == 0).collect()
