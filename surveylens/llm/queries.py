@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surveylens.llm import licenses
+from surveylens.llm import lexical_search, licenses, spelling
+from surveylens.llm.language_id import op11_language_id
 from surveylens.llm.mixing import op3_source_mixing
 from surveylens.llm.ngram_join import op7_ngram_join
 from surveylens.llm.packing import op4_curve_packing
@@ -29,8 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_posting_lists": op8_posting_lists,
     "op9_secret_scans": op9_secret_scans,
     "op10_html_extraction": op10_html_extraction,
+    "op11_language_id": op11_language_id,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_license_scans": licenses.oracle()}
+    return {"op2_license_scans": licenses.oracle(), "op12_lexical_search": lexical_search.oracle(),
+            "op13_spelling_variants": spelling.oracle()}
