@@ -267,9 +267,9 @@ class CodedTable:
         return (self.rows.mapInArrow(run, "m int, fi int, bin int, w1 double, w0 double")
                 .groupBy("m", "fi", "bin").agg(F.sum("w1").alias("w1"), F.sum("w0").alias("w0")))
 
-    def accuracies(self, decisions: dict[tuple, np.ndarray], model_of: dict[tuple, int]) -> dict[tuple, float]:
-        """Accuracy on the rows outside a model's training part, for each key's table of votes
-        (the constant first, then one per slot); all in one scan."""
+    def hits(self, decisions: dict[tuple, np.ndarray], model_of: dict[tuple, int]) -> dict[tuple, tuple[int, int]]:
+        """Right predictions and rows outside a model's training part, for each key's table of
+        votes (the constant first, then one per slot); all in one scan."""
         keys, width, models = list(decisions), len(self.bins.edges), self.models
 
         def run(batches):
@@ -290,7 +290,10 @@ class CodedTable:
 
         rows = (self.rows.mapInArrow(run, "k int, hit long, n long").groupBy("k")
                 .agg(F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect())
-        return {keys[r["k"]]: r["hit"] / r["n"] for r in rows if r["n"]}
+        return {keys[r["k"]]: (r["hit"], r["n"]) for r in rows if r["n"]}
+
+    def accuracies(self, decisions: dict[tuple, np.ndarray], model_of: dict[tuple, int]) -> dict[tuple, float]:
+        return {k: hit / n for k, (hit, n) in self.hits(decisions, model_of).items()}
 
     def votes(self, stumps: list[Stump]) -> np.ndarray:
         """Signed alphas: a constant, then one number per slot."""

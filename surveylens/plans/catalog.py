@@ -15,6 +15,7 @@ from surveylens import schema as S
 from surveylens.functions import columns as C
 from surveylens.operators import boost as B
 from surveylens.operators import clean as CL
+from surveylens.operators import grids as GR
 from surveylens.operators import metrics as M
 from surveylens.operators import models as ML
 from surveylens.operators import profile as P
@@ -426,47 +427,87 @@ def base_models_score(spark, sf_dir):
                                   adaboost_rounds=HOLDOUT_ROUNDS))
 
 
-def compare_models(spark, sf_dir):
-    """All built-in models of the study's comparison, 5-fold CV, default tree counts."""
+def _grid_tables(spark, sf_dir, folds: int) -> GR.Tables:
     train, _, _ = _prepared_parts(spark, sf_dir)
-    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.MODEL_NAMES,
-                                  adaboost_rounds=HOLDOUT_ROUNDS))
+    return GR.Tables(SP.with_folds(train, folds), S.FEATURES, S.TARGET)
 
 
-def _tuned(spark, sf_dir, jobs):
-    """(model, params, mean_auc) of the grids of ``jobs``: (model, grid, folds)."""
-    train, _, _ = _prepared_parts(spark, sf_dir)
-    rows = []
-    for name, grid, folds in jobs:
-        _, r = ML.tune(SP.with_folds(train, folds), S.FEATURES, S.TARGET, name, grid, folds=folds)
-        rows.extend(r)
-    return _r(spark.createDataFrame(rows, "model string, params string, mean_auc double"))
+def compare_models(spark, sf_dir):
+    """The nine models of the study's comparison with their default parameters, 5-fold CV."""
+    tables = _grid_tables(spark, sf_dir, S.COMPARISON_FOLDS)
+    out = GR.compare(tables, {m: (m, {}) for m in GR.MODELS})
+    tables.drop()  # the scores are in the store
+    return _r(out)
+
+
+def _tuned(spark, sf_dir, model: str, grid: dict, folds: int):
+    """(model, params, mean_accuracy, std_accuracy) of every point of the grid."""
+    tables = _grid_tables(spark, sf_dir, folds)
+    out = GR.tune(tables, model, grid, folds)
+    tables.drop()
+    return _r(out.drop("place"))
+
+
+def tune_cart(spark, sf_dir):
+    """CART's published grid: 532 points from one tree a fold."""
+    return _tuned(spark, sf_dir, "CART", S.COMPARISON_GRIDS["CART"], S.COMPARISON_FOLDS)
+
+
+def tune_knn(spark, sf_dir):
+    """The published numbers of neighbours: 48 points from one table of votes."""
+    return _tuned(spark, sf_dir, "KNN", S.COMPARISON_GRIDS["KNN"], S.COMPARISON_FOLDS)
+
+
+def tune_rf(spark, sf_dir):
+    """The published grid of the random forest: 180 points from one forest a fold and feature count."""
+    return _tuned(spark, sf_dir, "RF", *S.MODEL_GRIDS["RF"])
+
+
+def tune_xgboost(spark, sf_dir):
+    return _tuned(spark, sf_dir, "XGBoost", *S.MODEL_GRIDS["XGBoost"])
 
 
-def tune_models(spark, sf_dir):
-    """The published grids of the single models with their folds, and CART's of the comparison."""
-    jobs = [(name, *job) for name, job in S.MODEL_GRIDS.items()]
-    return _tuned(spark, sf_dir, [*jobs, ("CART", S.COMPARISON_GRIDS["CART"], S.COMPARISON_FOLDS)])
+def tune_catboost(spark, sf_dir):
+    return _tuned(spark, sf_dir, "CatBoost", *S.MODEL_GRIDS["CatBoost"])
+
+
+def tune_lightgbm(spark, sf_dir):
+    return _tuned(spark, sf_dir, "LightGBM", *S.MODEL_GRIDS["LightGBM"])
 
 
 def tune_lr(spark, sf_dir):
-    """The published grid of logistic regression alone."""
-    return _tuned(spark, sf_dir, [("LR", *S.MODEL_GRIDS["LR"])])
+    """The published iteration counts of logistic regression, ten folds in one scan an iteration."""
+    return _tuned(spark, sf_dir, "LR", *S.MODEL_GRIDS["LR"])
 
 
-def tune_before_after(spark, sf_dir):
-    """Cross-validated scores before and after the published grids of the comparison and
-    logistic regression's."""
-    train, _, _ = _prepared_parts(spark, sf_dir)
-    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-    out = None
-    for name, grid in (S.COMPARISON_GRIDS | {"LR": S.MODEL_GRIDS["LR"][0]}).items():
-        part = ML.tune_scores(folded, S.FEATURES, S.TARGET, name, grid, folds=S.COMPARISON_FOLDS)
-        out = part if out is None else out.unionByName(part)
+def _before_after(spark, sf_dir, model: str):
+    tables = _grid_tables(spark, sf_dir, S.COMPARISON_FOLDS)
+    out = GR.before_after(tables, model, S.COMPARISON_GRIDS[model])
+    tables.drop()
     return _r(out)
 
 
+def before_after_knn(spark, sf_dir):
+    """Cross-validated roc_auc and f1 before and after the comparison's grid; so the next four."""
+    return _before_after(spark, sf_dir, "KNN")
+
+
+def before_after_cart(spark, sf_dir):
+    return _before_after(spark, sf_dir, "CART")
+
+
+def before_after_rf(spark, sf_dir):
+    return _before_after(spark, sf_dir, "RF")
+
+
+def before_after_xgboost(spark, sf_dir):
+    return _before_after(spark, sf_dir, "XGBoost")
+
+
+def before_after_lightgbm(spark, sf_dir):
+    return _before_after(spark, sf_dir, "LightGBM")
+
+
 def model_params(spark, sf_dir):
     train, _, _ = _prepared_parts(spark, sf_dir)
     data = ML.assemble(train, S.FEATURES)

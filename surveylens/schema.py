@@ -56,6 +56,25 @@ ADABOOST_GRID = {"n_estimators": [250, 300, 400], "learning_rate": [0.01, 0.1, 1
 ADABOOST_DEFAULTS = {"n_estimators": 50, "learning_rate": 1.0}
 ADABOOST_GRID_FOLDS = 10
 
+# grids of the comparison before and after tuning, and of the single models with their folds
+COMPARISON_GRIDS = {
+    "KNN": {"n_neighbors": list(range(2, 50))},
+    "CART": {"max_depth": list(range(1, 20)), "min_samples_split": list(range(2, 30))},
+    "RF": {"max_depth": [8, 15, None], "max_features": [5, 7, "sqrt"], "min_samples_split": [15, 20],
+           "n_estimators": [200, 300, 500, 700]},
+    "XGBoost": {"learning_rate": [0.1, 0.01], "max_depth": [5, 8, 10], "n_estimators": [100, 200, 300, 400]},
+    "LightGBM": {"learning_rate": [0.01, 0.1], "n_estimators": [300, 500, 700, 900]},
+}
+MODEL_GRIDS = {
+    "Adaboost": (ADABOOST_GRID, 10),
+    "XGBoost": ({"learning_rate": [0.1, 0.01], "max_depth": [2, 8], "n_estimators": [100, 200]}, 10),
+    "LR": ({"max_iter": [200, 250, 300]}, 10),
+    "CatBoost": ({"iterations": [400, 500, 600], "learning_rate": [0.1, 0.5, 1.0], "depth": [4, 6, 8]}, 10),
+    "RF": ({"max_depth": [5, 8, None], "max_features": [3, 5, 7, "auto"], "min_samples_split": [2, 5, 8, 15, 20],
+            "n_estimators": [100, 200, 400]}, 5),
+    "LightGBM": ({"learning_rate": [0.01, 0.1], "n_estimators": [300, 500, 700, 900]}, 10),
+}
+
 # scores of the model comparison
 COMPARISON_METRICS = ["roc_auc", "f1", "precision", "recall", "accuracy"]
 COMPARISON_FOLDS = 5
@@ -98,25 +117,6 @@ REQUEST_SCHEMA = T.StructType(
     + [T.StructField(c, T.LongType(), True) for c in BASE_FEATURES]
 )
 
-# The published grids, in MLlib's settings (minInstancesPerNode stands for min_samples_split,
-# maxDepth 30, MLlib's most, for an unlimited depth, sqrt for the forest's "auto"): those of the
-# comparison before and after tuning, and those of the single models with their folds.
-COMPARISON_GRIDS = {
-    "CART": {"maxDepth": list(range(1, 20)), "minInstancesPerNode": list(range(2, 30))},
-    "RF": {"maxDepth": [8, 15, 30], "featureSubsetStrategy": ["5", "7", "sqrt"],
-           "minInstancesPerNode": [15, 20], "numTrees": [200, 300, 500, 700]},
-    "gbt_xgboost": {"stepSize": [0.1, 0.01], "maxDepth": [5, 8, 10], "maxIter": [100, 200, 300, 400]},
-    "gbt_lightgbm": {"stepSize": [0.01, 0.1], "maxIter": [300, 500, 700, 900]},
-}
-MODEL_GRIDS = {
-    "LR": ({"maxIter": [200, 250, 300]}, 10),
-    "RF": ({"maxDepth": [5, 8, 30], "featureSubsetStrategy": ["3", "5", "7", "sqrt"],
-            "minInstancesPerNode": [2, 5, 8, 15, 20], "numTrees": [100, 200, 400]}, 5),
-    "gbt_xgboost": ({"stepSize": [0.1, 0.01], "maxDepth": [2, 8], "maxIter": [100, 200]}, 10),
-    "gbt_catboost": ({"maxIter": [400, 500, 600], "stepSize": [0.1, 0.5, 1.0], "maxDepth": [4, 6, 8]}, 10),
-    "gbt_lightgbm": ({"stepSize": [0.01, 0.1], "maxIter": [300, 500, 700, 900]}, 10),
-}
-
 # raw survey file as the study reads it (spaced names, strings not yet encoded)
 RAW_SURVEY_COLUMNS = [
     ("Unnamed: 0", T.LongType()), ("id", T.LongType()), ("Gender", T.StringType()),

@@ -85,29 +85,10 @@ def test_fitted_facts_and_importances(folded):
         "intercept", "coefficient a", "coefficient b"}
 
 
-def test_queries_run_the_published_grids(spark, monkeypatch):
-    from math import prod
-
-    from surveylens.plans import catalog as C
-    tuned, scored = [], []
-    frame = spark.createDataFrame([("LR", "p", 0.5)], "model string, params string, mean_auc double")
-    monkeypatch.setattr(C, "_prepared_parts", lambda *a: (frame.withColumn("id", F.lit(1)), None, None))
-    monkeypatch.setattr(C.SP, "with_folds", lambda df, folds: df)
-
-    def tune(df, features, label, name, grid, folds=None, **more):
-        tuned.append((name, prod(map(len, grid.values())), folds, more))
-        assert all(C.ML.make_estimator(name).getParam(p) for p in grid)
-        return None, [(name, "p", 0.5)]
-
-    monkeypatch.setattr(C.ML, "tune", tune)
-    monkeypatch.setattr(C.ML, "tune_scores", lambda *a, **more: tune(*a, **more) and frame)
-    monkeypatch.setattr(C.ML, "cross_val_scores", lambda *a, **more: scored.append(more) or frame)
-    C.tune_models(spark, "")
-    assert tuned == [("LR", 3, 10, {}), ("RF", 180, 5, {}), ("gbt_xgboost", 8, 10, {}), ("gbt_catboost", 27, 10, {}),
-                     ("gbt_lightgbm", 8, 10, {}), ("CART", 532, 5, {})]
-    tuned.clear()
-    C.tune_before_after(spark, "")
-    assert tuned == [("CART", 532, 5, {}), ("RF", 72, 5, {}), ("gbt_xgboost", 24, 5, {}), ("gbt_lightgbm", 8, 5, {}),
-                     ("LR", 3, 5, {})]
-    C.compare_models(spark, "")
-    assert all("params" not in more for more in scored)
+@pytest.mark.parametrize("name,points", [("tune_cart", 532), ("tune_knn", 48), ("tune_lr", 3), ("tune_xgboost", 8)])
+def test_queries_run_the_published_grids(spark, name, points):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    rows = E.queries()[name](spark, SF_SMALL).collect()
+    assert len({r.params for r in rows}) == points == len(rows)
+    assert all(0.5 < r.mean_accuracy <= 1 for r in rows)
