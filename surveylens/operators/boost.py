@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from surveylens.session import scratch_path
+from surveylens.session import drop_folder, scratch_path
 
 MAX_BINS = 8192        # candidate thresholds per feature; more distinct values share bins
-GRID_MAX_BINS = 256    # the same for grids, where many models are boosted side by side
+MOST_CELLS = 1 << 22   # models x bins of one scan's sums
 
 
 @dataclass
@@ -90,6 +90,35 @@ class BoostedStumps:
         return BoostedStumps(**d)
 
 
+@dataclass
+class RealStump:
+    """A stump whose leaves hold half the log odds of class 1."""
+    feature: str | None          # None: a leaf of ``left_odds`` for every row
+    threshold: float
+    left_odds: float             # for value <= threshold
+    right_odds: float            # for value > threshold (or null)
+    error: float
+
+
+@dataclass
+class RealBoostedStumps:
+    """SAMME.R: the prediction is the sign of the sum of the leaves' odds."""
+    features: list[str]
+    learning_rate: float
+    stumps: list[RealStump] = field(default_factory=list)
+
+    def transform(self, df: DataFrame, n: int | None = None) -> DataFrame:
+        # odds are signed weights: a stump that votes (odds) for class 1 on either side
+        halves = []
+        for s in self.stumps[: n if n is not None else len(self.stumps)]:
+            mean, half = (s.left_odds + s.right_odds) / 2, (s.left_odds - s.right_odds) / 2
+            halves.append(Stump(None, 0.0, 1, 1, mean if s.feature else s.left_odds, 0.0))
+            if s.feature:
+                halves.append(Stump(s.feature, s.threshold, 1, 0, half, 0.0))
+        return df.withColumn("decision", decision_expr(halves)).withColumn(
+            "prediction", F.when(F.col("decision") > 0, 1).otherwise(0).cast("int"))
+
+
 def stump_class(s: Stump) -> Column:
     if s.feature is None:
         return F.lit(s.left)
@@ -217,9 +246,13 @@ class CodedTable:
                      pa.array([r.tobytes() for r in used], pa.binary())], names=["y", "slots", "used"])
 
         coded = base.filter("__y IS NOT NULL").mapInArrow(code, "y int, slots binary, used binary")
-        path = scratch_path(df.sparkSession, "boost-codes")
-        coded.write.parquet(path)
-        self.rows = df.sparkSession.read.schema(coded.schema).parquet(path)
+        self.spark, self.path = df.sparkSession, scratch_path(df.sparkSession, "boost-codes")
+        coded.write.parquet(self.path)
+        self.rows = self.spark.read.schema(coded.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        """Delete the written table."""
+        drop_folder(self.spark, self.path)
 
     def misses(self, model: int, stumps: list[Stump], table: np.ndarray) -> None:
         """Add alpha to the (class, slot) cells that the stumps get wrong."""
@@ -315,7 +348,10 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str, specs: li
     ``max_bins`` bounds the candidate thresholds of a feature: with at most that many
     distinct values its splits are exact, else at that many quantiles.
     """
-    return boost_coded(CodedTable(df, features, label, specs, max_bins), specs)
+    coded = CodedTable(df, features, label, specs, max_bins)
+    fitted = boost_coded(coded, specs)
+    coded.drop()
+    return fitted
 
 
 def boost_coded(coded: CodedTable, specs: list[BoostSpec]) -> dict[str, BoostedStumps]:
@@ -354,7 +390,22 @@ def boost_coded(coded: CodedTable, specs: list[BoostSpec]) -> dict[str, BoostedS
 
 def _best_stumps(coded: CodedTable, tables: dict[int, np.ndarray],
                  shift: dict[int, float]) -> dict[int, tuple[Stump, float]]:
-    """Best stump and its weighted error for each model; one row per model comes back."""
+    """Best stump and its weighted error for each model."""
+    return {m: _discrete(coded, b) for m, b in _best_splits(coded, tables, shift).items()}
+
+
+def _best_splits(coded: CodedTable, tables: dict[int, np.ndarray], shift: dict[int, float]) -> dict[int, dict]:
+    """Best split of each model; one row per model comes back.  A scan sums for as many models
+    as its cells allow."""
+    most, models = max(1, MOST_CELLS // (3 * int(coded.bins.offsets[-1]))), sorted(tables)
+    out: dict[int, dict] = {}
+    for low in range(0, len(models), most):
+        own = models[low:low + most]
+        out |= _best_of(coded, {m: tables[m] for m in own}, shift)
+    return out
+
+
+def _best_of(coded: CodedTable, tables: dict[int, np.ndarray], shift: dict[int, float]) -> dict[int, dict]:
     agg = coded.sums(tables, shift)
     part = Window.partitionBy("m", "fi")
     ordered = part.orderBy(F.col("bin").asc_nulls_first())
@@ -376,20 +427,73 @@ def _best_stumps(coded: CodedTable, tables: dict[int, np.ndarray],
     key = F.struct(F.col("score"), (-F.col("fi")).alias("nfi"), (-F.coalesce("bin", F.lit(-1))).alias("nb"))
     pick = cand.groupBy("m").agg(F.max_by(F.struct(
         "fi", "bin", "nxt", "l1", "l0", "r1", "r0", "t1", "t0", "score"), key).alias("b"))
-    out: dict[int, tuple[Stump, float]] = {}
-    for r in pick.collect():
-        b = r["b"]
-        total = b["t1"] + b["t0"]
-        if b["score"] < 0:  # every feature is constant: a leaf
-            cls = 1 if b["t1"] > b["t0"] else 0
-            out[r["m"]] = (Stump(None, 0.0, cls, cls, 0.0, 0.0), (b["t0"] if cls == 1 else b["t1"]) / total)
-            continue
-        left = 1 if b["l1"] > b["l0"] else 0
-        right = 1 if b["r1"] > b["r0"] else 0
-        miss = (b["l0"] if left == 1 else b["l1"]) + (b["r0"] if right == 1 else b["r1"])
-        out[r["m"]] = (Stump(coded.bins.features[b["fi"]], coded.bins.threshold(b["fi"], b["bin"], b["nxt"]),
-                             left, right, 0.0, 0.0), miss / total)
-    return out
+    return {r["m"]: r["b"].asDict() for r in pick.collect()}
+
+
+def _discrete(coded: CodedTable, b: dict) -> tuple[Stump, float]:
+    """Stump of class votes, and its weighted error."""
+    total = b["t1"] + b["t0"]
+    if b["score"] < 0:  # every feature is constant: a leaf
+        cls = 1 if b["t1"] > b["t0"] else 0
+        return Stump(None, 0.0, cls, cls, 0.0, 0.0), (b["t0"] if cls == 1 else b["t1"]) / total
+    left = 1 if b["l1"] > b["l0"] else 0
+    right = 1 if b["r1"] > b["r0"] else 0
+    miss = (b["l0"] if left == 1 else b["l1"]) + (b["r0"] if right == 1 else b["r1"])
+    return Stump(coded.bins.features[b["fi"]], coded.bins.threshold(b["fi"], b["bin"], b["nxt"]),
+                 left, right, 0.0, 0.0), miss / total
+
+
+SMALLEST_SHARE = 2.0 ** -52  # of a class in a leaf, so that odds are finite
+
+
+def _odds(w1: float, w0: float) -> float:
+    share = min(max(w1 / (w1 + w0), SMALLEST_SHARE), 1 - SMALLEST_SHARE)
+    return 0.5 * (math.log(share) - math.log(1 - share))
+
+
+def _real(coded: CodedTable, b: dict) -> RealStump:
+    total = b["t1"] + b["t0"]
+    if b["score"] < 0:
+        odds = _odds(b["t1"], b["t0"])
+        return RealStump(None, 0.0, odds, odds, min(b["t1"], b["t0"]) / total)
+    miss = min(b["l1"], b["l0"]) + min(b["r1"], b["r0"])
+    return RealStump(coded.bins.features[b["fi"]], coded.bins.threshold(b["fi"], b["bin"], b["nxt"]),
+                     _odds(b["l1"], b["l0"]), _odds(b["r1"], b["r0"]), miss / total)
+
+
+def fit_real_stumps(df: DataFrame, features: list[str], label: str, specs: list[BoostSpec],
+                    max_bins: int = MAX_BINS) -> dict[str, RealBoostedStumps]:
+    """SAMME.R for every spec, one scan a round: a row's log weight falls by learning rate x odds
+    of its own class.  Boosting ends with a stump that makes no error, which is kept."""
+    coded = CodedTable(df, features, label, specs, max_bins)
+    models = {i: RealBoostedStumps(list(features), s.learning_rate) for i, s in enumerate(specs)}
+    tables = {i: np.zeros((2, coded.bins.offsets[-1])) for i in models}
+    shift, active = {i: 0.0 for i in models}, set(models)
+    while act := sorted(i for i in active if len(models[i].stumps) < specs[i].n_estimators):
+        best = _best_splits(coded, {i: tables[i] for i in act}, shift)
+        for i in act:
+            if i not in best:
+                active.discard(i)
+                continue
+            stump = _real(coded, best[i])
+            models[i].stumps.append(stump)
+            if stump.error <= 0:
+                active.discard(i)
+                continue
+            rate, at = specs[i].learning_rate, coded.bins.offsets
+            if stump.feature is None:
+                cells, odds = slice(0, at[1]), stump.left_odds
+            else:
+                f = coded.bins.features.index(stump.feature)
+                cells = slice(at[f], at[f + 1])
+                left = np.append(coded.bins.edges[f] <= stump.threshold, False)
+                odds = np.where(left, stump.left_odds, stump.right_odds)
+            tables[i][1, cells] -= rate * odds
+            tables[i][0, cells] += rate * odds
+            # weights are divided by the largest that any row could have
+            shift[i] = float(sum(tables[i][:, at[k]:at[k + 1]].max() for k in range(len(at) - 1)))
+    coded.drop()
+    return {specs[i].name: m for i, m in models.items()}
 
 
 def try_ratio(a: Column, b: Column) -> Column:
@@ -401,7 +505,7 @@ def try_ratio(a: Column, b: Column) -> Column:
 
 def grid_search(df: DataFrame, features: list[str], label: str, n_estimators: list[int],
                 learning_rates: list[float], folds: int, fold_col: str = "fold",
-                max_bins: int = GRID_MAX_BINS) -> tuple[DataFrame, dict]:
+                max_bins: int = MAX_BINS) -> tuple[DataFrame, dict]:
     """Cross-validated accuracy for every (n_estimators, learning_rate).
 
     Rounds are nested, so each (fold, rate) model is boosted once to
@@ -418,6 +522,7 @@ def grid_search(df: DataFrame, features: list[str], label: str, n_estimators: li
     keys = {(k, lr, n): f"{k}|{lr}" for k in range(folds) for lr in learning_rates for n in n_estimators}
     scores = coded.accuracies({key: coded.votes(fitted[name].stumps[:key[2]]) for key, name in keys.items()},
                               {key: number[name] for key, name in keys.items()})
+    coded.drop()
     rows = [(float(lr), int(n), float(a)) for (_, lr, n), a in scores.items()]
     long = df.sparkSession.createDataFrame(rows, "learning_rate double, n_estimators long, accuracy double")
     result = (long.groupBy("learning_rate", "n_estimators")

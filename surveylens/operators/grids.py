@@ -34,6 +34,7 @@ from surveylens.operators import neighbours as K
 from surveylens.operators import trees as T
 from surveylens.session import scratch_path
 
+TRAINING_JOB_MODELS = ["Adaboost", "LightGBM"]
 MODELS = ["LR", "KNN", "CART", "RF", "Adaboost", "GBM", "XGBoost", "CatBoost", "LightGBM"]
 
 # --------------------------------------------------------------------------
@@ -223,6 +224,7 @@ def grid_jobs(tables: Tables, model: str, points: list[dict], folds: list[int])
         wanted = {(k, r, n): f"{k}|{r}" for k in folds for r in rates for n in counts}
         got = coded.hits({key: coded.votes(fitted[name].stumps[:key[2]]) for key, name in wanted.items()},
                          {key: number[name] for key, name in wanted.items()})
+        coded.drop()
         keys = places(lambda p: p["learning_rate"], lambda p: p["n_estimators"])
         return spark.createDataFrame([(place, k, hit, n) for (k, r, c), (hit, n) in got.items()
                                       for place in keys.get((r, c), [])], RESULT)

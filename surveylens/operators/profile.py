@@ -15,6 +15,8 @@ Design rules used throughout:
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -488,9 +490,8 @@ def skew_z(n: Column, g1: Column) -> Column:
 def skew_test(df: DataFrame, columns: list[str], with_p: bool = True) -> DataFrame:
     """(column_name, n, skew, z[, p]): skewness test on every column.
 
-    The heavy part (moments) is one aggregation; z is column arithmetic on the one
-    row per column; the two-sided p-value needs erfc, evaluated by a vectorised
-    pandas UDF on that small result only.
+    The heavy part (moments) is one aggregation; z and the two-sided p-value are column
+    arithmetic on the one row per column.
     """
     out = skewness_table(df, columns).withColumn("z", skew_z(F.col("n"), F.col("skew")))
     if with_p:
@@ -498,8 +499,22 @@ def skew_test(df: DataFrame, columns: list[str], with_p: bool = True) -> DataFra
     return out
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_two_sided_p(z):  # pragma: no cover - executed inside Python workers
-    import numpy as np
-    from math import erfc, sqrt
-    return z.abs().map(lambda v: erfc(v / sqrt(2.0)) if v == v else np.nan)
+ERFC_TERMS = 80    # enough for full double precision on both sides of ERFC_SWITCH
+ERFC_SWITCH = 2.0
+
+
+def normal_two_sided_p(z: Column) -> Column:
+    """erfc(|z| / sqrt 2): below ERFC_SWITCH by the series of erf, above by the continued
+    fraction of erfc, whose terms are folded from the last to the first."""
+    x = F.abs(z) / math.sqrt(2.0)
+    steps = F.sequence(F.lit(1), F.lit(ERFC_TERMS))
+    state = F.struct(x.alias("term"), x.alias("total"))
+
+    def longer(acc, k):
+        term = acc["term"] * 2.0 * x * x / (2 * k + 1)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    near = 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * F.aggregate(steps, state, longer, lambda acc: acc["total"])
+    fold = F.aggregate(F.reverse(steps), F.lit(1.0), lambda acc, k: 1 + k / (2.0 * x * x) / acc)
+    far = F.exp(-x * x) / (x * math.sqrt(math.pi)) / fold
+    return F.when(z.isNull() | F.isnan(z), z).when(x < ERFC_SWITCH, near).otherwise(far)

@@ -20,6 +20,7 @@ from surveylens.operators import metrics as M
 from surveylens.operators import models as ML
 from surveylens.operators import profile as P
 from surveylens.operators import split as SP
+from surveylens.operators import trees as T
 from surveylens.plans import frames as FR
 from surveylens.plans import prep as PR
 from surveylens.plans import scoring as SC
@@ -132,7 +133,7 @@ def skewness_table(spark, sf_dir):
 
 def skew_test(spark, sf_dir):
     df = FR.survey_upper(spark, sf_dir)
-    return _r(P.skew_test(df, S.LOG1P_COLUMNS, with_p=False))
+    return _r(P.skew_test(df, S.LOG1P_COLUMNS))
 
 
 def check_df(spark, sf_dir):
@@ -255,6 +256,18 @@ def fold_sizes(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.TARGET).cast("long").alias("n_satisfied")))
 
 
+def exact_split(spark, sf_dir):
+    """Part of every respondent in the exact 60/40 split."""
+    train = SP.exact_train(FR.survey_target_encoded(spark, sf_dir), "in_train")
+    return train.select("ID", F.when(F.col("in_train"), "train").otherwise("test").alias("part"))
+
+
+def stratified_folds(spark, sf_dir):
+    """Stratified fold of every respondent."""
+    return SP.with_stratified_folds(FR.survey_target_encoded(spark, sf_dir), S.COMPARISON_FOLDS, S.TARGET) \
+        .select("ID", S.TARGET, "fold")
+
+
 def sample_one(spark, sf_dir):
     return SP.sample_one(FR.survey_upper(spark, sf_dir))
 
@@ -370,6 +383,36 @@ def adaboost_round3(spark, sf_dir):
                                           "right_class int, error double, alpha double"))
 
 
+def adaboost_real_round3(spark, sf_dir):
+    """The first three rounds of the real variant (leaves with class odds) on the training part."""
+    train, _, _ = _prepared_parts(spark, sf_dir)
+    model = B.fit_real_stumps(train, S.FEATURES, S.TARGET, [B.BoostSpec("r3", F.lit(True), 1.0, 3)])["r3"]
+    rows = [(k + 1, st.feature, st.threshold, st.left_odds, st.right_odds, st.error)
+            for k, st in enumerate(model.stumps)]
+    return _r(spark.createDataFrame(rows, "round int, feature string, threshold double, left_odds double, "
+                                          "right_odds double, error double"))
+
+
+def adaboost_real_holdout(spark, sf_dir):
+    """The study's default booster (real variant, 50 stumps, rate 1): scores on train and holdout."""
+    train, test, _ = _prepared_parts(spark, sf_dir)
+    model = B.fit_real_stumps(train, S.FEATURES, S.TARGET,
+                              [B.BoostSpec("m", F.lit(True), 1.0, HOLDOUT_ROUNDS)])["m"]
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    scored = model.transform(both).select("part", F.col(S.TARGET).cast("int").alias("label"), "prediction",
+                                          F.col("decision").alias("score"))
+    return _r(M.grouped_binary_metrics(scored, ["part"]))
+
+
+def cart_depth3(spark, sf_dir):
+    """The nodes of a tree of depth 3 on the training part, grown level by level; the root is node
+    1, a node's children are 2 node and 2 node + 1; ``cut`` is the largest value that goes left."""
+    tables = _grid_tables(spark, sf_dir, 1)
+    nodes = T.tree_nodes(tables.coded(), T.ForestSpec(None, max_depth=3))
+    tables.drop()
+    return _r(spark.createDataFrame(nodes, "node long, feature string, cut double, n long, share double"))
+
+
 def importance_round3(spark, sf_dir):
     """Features that three rounds use, with their share of alpha."""
     imp = [(f, v) for f, v in _three_rounds(spark, sf_dir).feature_importances().items() if v > 0]

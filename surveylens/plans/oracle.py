@@ -192,14 +192,19 @@ GROUP BY SATISFACTION, q1, med, q3""" for c in NUM_COLS])
     q["skewness_table"] = _ctes("u") + _union([
         f"SELECT '{c}' AS column_name, n, round(g1, 6) AS skew FROM {moments(c)}" for c in S.LOG1P_COLUMNS])
 
+    # two-sided p by Simpson's rule on the normal density, up to 40 standard deviations
+    density = "exp(-0.5 * power(abs(z) + i * (40 - abs(z)) / 20000, 2))"
+    p = (f"CASE WHEN abs(z) >= 40 THEN 0.0 ELSE 2 * (SELECT sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 "
+         f"ELSE 2 END * {density}) FROM range(20001) t(i)) * (40 - abs(z)) / 60000 / sqrt(2 * pi()) END")
     q["skew_test"] = _ctes("u") + _union([f"""
+SELECT column_name, n, skew, round(z, 6) AS z, round({p}, 6) AS p FROM (
 SELECT '{c}' AS column_name, n, round(g1, 6) AS skew,
-  round(CASE WHEN y = 0 THEN 0.0 ELSE delta * ln(y / a + sqrt((y / a) * (y / a) + 1)) END, 6) AS z
+  CASE WHEN y = 0 THEN 0.0 ELSE delta * ln(y / a + sqrt((y / a) * (y / a) + 1)) END AS z
 FROM (SELECT n, g1, y, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS a FROM (
   SELECT n, g1, y, sqrt(2.0 * (b2 - 1)) - 1 AS w2 FROM (
     SELECT n, g1, g1 * sqrt((n + 1.0) * (n + 3) / (6.0 * (n - 2))) AS y,
       3.0 * (n * n + 27.0 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0) * (n + 5) * (n + 7) * (n + 9)) AS b2
-    FROM {moments(c)})))""" for c in S.LOG1P_COLUMNS])
+    FROM {moments(c)}))))""" for c in S.LOG1P_COLUMNS])
 
     num_u = NUMERIC_UPPER
     types = {c: ("string" if c in CAT_STRINGS + ["SATISFACTION"] else "bigint") for c in UPPER_COLS}
@@ -335,6 +340,16 @@ FROM t GROUP BY 1"""
 SELECT CAST({md5_bucket_sql('ID', S.MODEL_SEED, S.COMPARISON_FOLDS)} AS INTEGER) AS fold, count(*) AS n_rows,
        CAST(sum(SATISFACTION) AS BIGINT) AS n_satisfied
 FROM t WHERE {train} GROUP BY 1"""
+    def rank(seed: int, by: str = "") -> str:
+        digest = f"CAST(('0x' || substr(md5('{seed}:' || CAST(ID AS VARCHAR)), 1, 15)) AS BIGINT)"
+        return f"row_number() OVER ({by} ORDER BY {digest}, ID) - 1"
+
+    q["exact_split"] = _ctes("t") + f"""
+SELECT ID, CASE WHEN {rank(S.SPLIT_SEED)} < floor((SELECT count(*) FROM t) * 6 / 10) THEN 'train' ELSE 'test' END AS part
+FROM t"""
+    q["stratified_folds"] = _ctes("t") + f"""
+SELECT ID, SATISFACTION, CAST({rank(S.MODEL_SEED, 'PARTITION BY SATISFACTION')} AS INTEGER) % {S.COMPARISON_FOLDS} AS fold
+FROM t"""
     h = md5_hash_sql("ID", S.MODEL_SEED)
     q["sample_one"] = _ctes("u") + f"SELECT * FROM u ORDER BY {h}, ID LIMIT 1"
     q["lookup_row"] = _ctes("u") + f"SELECT * FROM u WHERE ID IN (SELECT ID FROM u ORDER BY {h}, ID LIMIT 1)"
@@ -398,9 +413,11 @@ SELECT ID, round(decision, 6) AS decision, CASE WHEN decision > 0 THEN 1 WHEN de
 FROM dec""")
 
 
-def _rounds_sql(rounds: int) -> str:
+def _rounds_sql(rounds: int, real: bool = False) -> str:
     """CTEs ending in ``fitted``: the first boosting rounds on the training part, by brute force
-    over every split of every feature."""
+    over every split of every feature; ``real``: leaves with half the log odds of class 1."""
+    odds = [f"0.5 * (ln(greatest({a}, 0.0) / ({a} + {b})) - ln(greatest({b}, 0.0) / ({a} + {b})))"
+            for a, b in (("l1", "l0"), ("x1", "x0"))]
     train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
     feats = S.FEATURES
     cast_cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
@@ -425,11 +442,48 @@ s{k} AS (SELECT feature, (value + nxt) / 2 AS threshold, l1, l0, t1 - l1 AS x1,
 b{k} AS (SELECT *, CASE WHEN l1 > l0 THEN 1 ELSE 0 END AS lc, CASE WHEN x1 > x0 THEN 1 ELSE 0 END AS rc,
            (least(l1, l0) + least(x1, x0)) / (l1 + l0 + x1 + x0) AS err
          FROM s{k} ORDER BY score DESC, fi, threshold LIMIT 1),
-a{k} AS (SELECT *, ln((1 - err) / err) AS alpha FROM b{k}),
-r{k + 1} AS (SELECT r.* REPLACE (r.w * exp(CASE WHEN (CASE WHEN {value} <= b.threshold THEN b.lc ELSE b.rc END)
-             <> r.SATISFACTION THEN b.alpha ELSE 0 END) AS w) FROM r{k} r, a{k} b)"""
+a{k} AS (SELECT *, ln((1 - err) / err) AS alpha, {odds[0]} AS lo, {odds[1]} AS ro FROM b{k}),"""
+        change = "(1 - 2 * r.SATISFACTION) * CASE WHEN {v} <= b.threshold THEN b.lo ELSE b.ro END" if real else \
+            "CASE WHEN (CASE WHEN {v} <= b.threshold THEN b.lc ELSE b.rc END) <> r.SATISFACTION THEN b.alpha ELSE 0 END"
+        out += f"""
+r{k + 1} AS (SELECT r.* REPLACE (r.w * exp({change.format(v=value)}) AS w) FROM r{k} r, a{k} b)"""
     return out + ",\nfitted AS (" + " UNION ALL ".join(
-        f"SELECT {k} AS round, feature, threshold, lc, rc, err, alpha FROM a{k}" for k in range(1, rounds + 1)) + ")"
+        f"SELECT {k} AS round, feature, threshold, lc, rc, err, alpha, lo, ro FROM a{k}" for k in range(1, rounds + 1)) + ")"
+
+
+def _tree_sql(depth: int) -> str:
+    """The nodes of a Gini tree on the training part, by brute force over every split."""
+    train = f"{md5_bucket_sql('ID', S.SPLIT_SEED, 100)} < 60"
+    feats = S.FEATURES
+    cast_cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in feats)
+    fidx = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(feats))
+    value = "CASE b.feature " + " ".join(f"WHEN '{c}' THEN r.{c}" for c in feats) + " END"
+    out = _prep_ctes(train, train) + f""",
+r1 AS (SELECT {cast_cols}, SATISFACTION, CAST(1 AS BIGINT) AS node FROM p)"""
+    for k in range(1, depth + 1):
+        out += f""",
+n{k} AS (SELECT node, count(*) AS n, avg(SATISFACTION) AS share FROM r{k} GROUP BY node),
+u{k} AS (UNPIVOT (SELECT * FROM r{k}) ON {', '.join(feats)} INTO NAME feature VALUE value),
+g{k} AS (SELECT node, feature, value, CAST(sum(SATISFACTION) AS DOUBLE) AS c1,
+           CAST(sum(1 - SATISFACTION) AS DOUBLE) AS c0 FROM u{k} GROUP BY node, feature, value),
+c{k} AS (SELECT node, feature, value, lead(value) OVER o AS nxt,
+           sum(c1) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l1,
+           sum(c0) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS l0,
+           sum(c1) OVER (PARTITION BY node, feature) AS t1, sum(c0) OVER (PARTITION BY node, feature) AS t0
+         FROM g{k} WINDOW o AS (PARTITION BY node, feature ORDER BY value)),
+s{k} AS (SELECT node, feature, value AS cut, CASE feature {fidx} END AS fi,
+           (l1 * l1 + l0 * l0) / (l1 + l0) + ((t1 - l1) * (t1 - l1) + (t0 - l0) * (t0 - l0))
+             / ((t1 - l1) + (t0 - l0)) AS score
+         FROM c{k} WHERE nxt IS NOT NULL AND t1 > 0 AND t0 > 0),
+b{k} AS (SELECT * FROM s{k} QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, fi, cut) = 1),
+r{k + 1} AS (SELECT r.* REPLACE (2 * r.node + CASE WHEN {value} <= b.cut THEN 0 ELSE 1 END AS node)
+             FROM r{k} r JOIN b{k} b ON r.node = b.node)"""
+    out += f""",
+n{depth + 1} AS (SELECT node, count(*) AS n, avg(SATISFACTION) AS share FROM r{depth + 1} GROUP BY node)
+"""
+    levels = [f"SELECT n.node, b.feature, b.cut, n.n, n.share FROM n{k} n LEFT JOIN b{k} b ON n.node = b.node"
+              for k in range(1, depth + 1)] + [f"SELECT node, NULL, NULL, n, share FROM n{depth + 1}"]
+    return out + f"SELECT node, feature, round(cut, 6) AS cut, n, round(share, 6) AS share FROM ({' UNION ALL '.join(levels)})"
 
 
 def model_queries() -> dict[str, str]:
@@ -493,6 +547,10 @@ SELECT feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS left_cl
     q["adaboost_round3"] = _rounds_sql(3) + """
 SELECT round, feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS left_class,
        CAST(rc AS INTEGER) AS right_class, round(err, 6) AS error, round(alpha, 6) AS alpha FROM fitted"""
+    q["adaboost_real_round3"] = _rounds_sql(3, real=True) + """
+SELECT round, feature, round(threshold, 6) AS threshold, round(lo, 6) AS left_odds, round(ro, 6) AS right_odds,
+       round(err, 6) AS error FROM fitted"""
+    q["cart_depth3"] = _tree_sql(3)
     q["importance_round3"] = _rounds_sql(3) + """
 SELECT feature, round(sum(alpha) / (SELECT sum(alpha) FROM fitted), 6) AS importance FROM fitted GROUP BY feature"""
     nv = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN 1 ELSE 0 END)"

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from surveylens import schema as S
 from surveylens.operators import boost as B
+from surveylens.operators import grids as GR
 from surveylens.operators import metrics as M
-from surveylens.operators import models as ML
 from surveylens.operators import split as SP
 from surveylens.plans import prep as PR
 from surveylens.sources import model_store as MS
@@ -36,7 +36,9 @@ def adaboost_predict_model(raw: DataFrame, key: str = "id",
                            learning_rates: list[float] | None = None,
                            folds: int = S.ADABOOST_GRID_FOLDS,
                            compare: list[str] | None = None) -> TrainingResult:
-    """60/40 split, model comparison on the training part, grid search, refit, holdout score."""
+    """60/40 split, model comparison on the training part (unset: the job's own models; empty:
+    none), grid search, refit, holdout score."""
+    compare = GR.TRAINING_JOB_MODELS if compare is None else compare
     n_estimators = n_estimators or S.ADABOOST_GRID["n_estimators"]
     learning_rates = learning_rates or S.ADABOOST_GRID["learning_rate"]
     train_raw, test_raw = SP.train_test_split(raw, key=key)
@@ -45,8 +47,9 @@ def adaboost_predict_model(raw: DataFrame, key: str = "id",
     test = PR.apply_prep(test_raw, prep)
     result_cmp: list[dict] = []
     if compare:
-        folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-        result_cmp = [r.asDict() for r in ML.cross_val_scores(folded, S.FEATURES, S.TARGET, compare).collect()]
+        tables = GR.Tables(SP.with_folds(train, S.COMPARISON_FOLDS), S.FEATURES, S.TARGET)
+        result_cmp = [r.asDict() for r in GR.compare(tables, {m: (m, {}) for m in compare}).collect()]
+        tables.drop()
     grid, _ = B.grid_search(SP.with_folds(train, folds), S.FEATURES, S.TARGET,
                             n_estimators, learning_rates, folds)
     rows = [r.asDict() for r in grid.collect()]

@@ -78,7 +78,9 @@ def test_run_training_end_to_end(spark):
     from surveylens.sources.model_store import load_model
     raw = survey_view(spark, SF_SMALL)
     path = scratch_path(spark, "test-model")
-    res = run_training(spark, raw, path, n_estimators=[2, 4], learning_rates=[0.5, 1.0], folds=2)
+    res = run_training(spark, raw, path, n_estimators=[2, 4], learning_rates=[0.5, 1.0], folds=2,
+                       compare=["LightGBM"])
+    assert {r["metric"] for r in res.comparison} == set(S.COMPARISON_METRICS)
     assert res.best_params["n_estimators"] in (2, 4) and len(res.grid) == 4
     assert len(res.model.stumps) <= res.best_params["n_estimators"]
     assert 0.5 < res.scores["test"]["accuracy"] <= 1.0
