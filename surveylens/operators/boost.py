@@ -7,8 +7,9 @@ MLlib has no AdaBoost, so the booster is written as DataFrame jobs:
   ``max_bins`` distinct values has a bin per value, so its splits are exact; one with more
   has its quantiles as upper bin edges.  A split keeps the rows of the same bins on the
   same side in training and in scoring.
-* **one scan per round for many models.**  Several models (e.g. every fold x
-  learning-rate pair of a grid search) are boosted side by side.  A task sums, per model
+* **small models in one task.**  A model of at most ``TASK_ROWS`` training rows is boosted by
+  one task with the same rules; many of them run side by side.
+* **one scan per round for many large models.**  They are boosted side by side.  A task sums, per model
   and bin, the weights of both classes with numpy; Spark adds the tasks' sums, whose
   number is bounded by models x features x bins, whatever the data and their skew.
 * **exact best split in Spark.**  Windows over the bins of one (model, feature), at most
@@ -37,6 +38,7 @@ from surveylens.session import drop_folder, scratch_path
 
 MAX_BINS = 8192        # candidate thresholds per feature; more distinct values share bins
 MOST_CELLS = 1 << 22   # models x bins of one scan's sums
+TASK_ROWS = 50_000     # training rows of a model that one task boosts
 
 
 @dataclass
@@ -254,6 +256,22 @@ class CodedTable:
         """Delete the written table."""
         drop_folder(self.spark, self.path)
 
+    def training_rows(self) -> list[int]:
+        """Number of training rows of each model."""
+        models = self.models
+
+        def run(batches):
+            total = np.zeros(models, np.int64)
+            for b in batches:
+                if b.num_rows:
+                    total += np.frombuffer(b"".join(b.column("used").to_pylist()), np.uint8).reshape(-1, models).sum(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(models), pa.int32()), pa.array(total)], names=["m", "n"])
+
+        out = [0] * models
+        for r in self.rows.select("used").mapInArrow(run, "m int, n long").groupBy("m").agg(F.sum("n").alias("n")).collect():
+            out[r["m"]] = r["n"]
+        return out
+
     def misses(self, model: int, stumps: list[Stump], table: np.ndarray) -> None:
         """Add alpha to the (class, slot) cells that the stumps get wrong."""
         at = self.bins.offsets
@@ -355,43 +373,122 @@ def fit_boosted_stumps(df: DataFrame, features: list[str], label: str, specs: li
 
 
 def boost_coded(coded: CodedTable, specs: list[BoostSpec]) -> dict[str, BoostedStumps]:
-    features = coded.bins.features
-    models = {i: BoostedStumps(list(features), s.learning_rate, s.n_estimators) for i, s in enumerate(specs)}
+    """Each model in a task if its training rows are few, the others side by side by scans."""
+    size = coded.training_rows()
+    models = {i: BoostedStumps(list(coded.bins.features), s.learning_rate, s.n_estimators)
+              for i, s in enumerate(specs)}
+    small = [i for i in models if 0 < size[i] <= TASK_ROWS]
+    if small:
+        _boost_in_tasks(coded, specs, {i: models[i] for i in small})
+    _boost_by_scans(coded, specs, {i: m for i, m in models.items() if i not in set(small)})
+    return {specs[i].name: m for i, m in models.items()}
+
+
+def _next_stump(model: BoostedStumps, spec: BoostSpec, stump: Stump, err: float) -> bool:
+    """Give the stump its weight and add it to the model; whether boosting goes on."""
+    if err <= 0:
+        stump.alpha, stump.error = 1.0, 0.0
+        model.stumps.append(stump)
+        model.stopped = "perfect"
+    elif err >= 0.5:
+        model.stopped = "worse_than_random"
+    else:
+        stump.alpha, stump.error = spec.learning_rate * math.log((1 - err) / err), err
+        model.stumps.append(stump)
+    return not model.stopped
+
+
+def _boost_by_scans(coded: CodedTable, specs: list[BoostSpec], models: dict[int, BoostedStumps]) -> None:
     tables = {i: np.zeros((2, coded.bins.offsets[-1])) for i in models}
     active = set(models)
-    while True:
-        act = sorted(i for i in active if len(models[i].stumps) < specs[i].n_estimators)
-        if not act:
-            break
+    while act := sorted(i for i in active if len(models[i].stumps) < specs[i].n_estimators):
         shift = {i: sum(s.alpha for s in models[i].stumps) / 2 for i in act}
         best = _best_stumps(coded, {i: tables[i] for i in act}, shift)
         for i in act:
-            spec, model = specs[i], models[i]
             if i not in best:
                 active.discard(i)
-                model.stopped = model.stopped or "no_rows"
-                continue
-            stump, err = best[i]
-            if err <= 0:
-                stump.alpha, stump.error = 1.0, 0.0
-                model.stumps.append(stump)
-                model.stopped = "perfect"
-                active.discard(i)
-            elif err >= 0.5:
-                model.stopped = "worse_than_random"
+                models[i].stopped = models[i].stopped or "no_rows"
+            elif _next_stump(models[i], specs[i], *best[i]):
+                coded.misses(i, models[i].stumps[-1:], tables[i])
+            else:
                 active.discard(i)
+
+
+class _TaskRounds:
+    """The splits of one model's rows, round by round, in numpy."""
+
+    def __init__(self, bins: Bins, y: np.ndarray, slots: np.ndarray) -> None:
+        self.bins, self.y, self.slots, at = bins, y, slots, bins.offsets
+        there = np.bincount(slots.ravel(), minlength=at[-1]) > 0
+        there[at[1:] - 1] = False                                 # nulls are on no split's left
+        self.place = np.flatnonzero(there)                        # bins with rows
+        self.feature = np.searchsorted(at, self.place, "right") - 1
+        self.first = np.flatnonzero(np.append(True, np.diff(self.feature) != 0)) if len(self.place) else self.place
+        self.runs = np.diff(np.append(self.first, len(self.place)))
+        self.inner = np.append(np.diff(self.feature) == 0, False) if len(self.place) else np.zeros(0, bool)
+
+    def best(self, w: np.ndarray) -> dict:
+        width = self.slots.shape[1]
+        by_class = [np.bincount(self.slots.ravel(), np.repeat(w * (self.y == c), width), self.bins.offsets[-1])
+                    for c in (1, 0)]
+        t1, t0 = (float(w[self.y == c].sum()) for c in (1, 0))
+        lefts = []
+        for sums in by_class:
+            run = np.cumsum(sums[self.place])
+            lefts.append(run - np.repeat(run[self.first] - sums[self.place][self.first], self.runs))
+        l1, l0 = lefts
+        r1, r0 = t1 - l1, t0 - l0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            left = np.where(l1 + l0 != 0, (l1 ** 2 + l0 ** 2) / (l1 + l0), 0.0)
+            right = np.where(r1 + r0 != 0, (r1 ** 2 + r0 ** 2) / (r1 + r0), 0.0)
+        score = np.where(self.inner, np.round((left + right) / (t1 + t0), 12), -1.0)
+        if not self.inner.any():
+            return {"score": -1.0, "t1": t1, "t0": t0}
+        k = int(score.argmax())  # the lowest feature, then the lowest bin
+        f = int(self.feature[k])
+        start = self.bins.offsets[f]
+        return {"score": float(score[k]), "fi": f, "bin": int(self.place[k] - start),
+                "nxt": int(self.place[k + 1] - start), "l1": float(l1[k]), "l0": float(l0[k]),
+                "r1": float(r1[k]), "r0": float(r0[k]), "t1": t1, "t0": t0}
+
+
+def _boost_in_tasks(coded: CodedTable, specs: list[BoostSpec], models: dict[int, BoostedStumps]) -> None:
+    """Boost each model in one task; the stumps come back, models x rounds of them at most."""
+    bins, width = coded.bins, len(coded.bins.edges)
+    wanted = {i: (specs[i].learning_rate, specs[i].n_estimators) for i in models}
+
+    def run(key, table):
+        m = key[0].as_py()
+        rate, rounds = wanted[m]
+        spec, model = BoostSpec("", None, rate, rounds), BoostedStumps([], rate, rounds)
+        y = table.column("y").to_numpy()
+        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), np.int32).reshape(-1, width).astype(np.int64)
+        task, log_w = _TaskRounds(bins, y, slots), np.zeros(len(y))
+        while len(model.stumps) < rounds:
+            shift = sum(s.alpha for s in model.stumps) / 2
+            if not _next_stump(model, spec, *_discrete(bins, task.best(np.exp(log_w - shift)))):
+                break
+            stump = model.stumps[-1]
+            if stump.feature is None:
+                miss = y != stump.left
             else:
-                stump.alpha = spec.learning_rate * math.log((1 - err) / err)
-                stump.error = err
-                model.stumps.append(stump)
-                coded.misses(i, [stump], tables[i])
-    return {specs[i].name: models[i] for i in models}
+                f, given = bins.side(stump)
+                miss = given[slots[:, f] - bins.offsets[f]] != y
+            log_w += stump.alpha * miss
+        return pa.table([pa.array([m], pa.int32()), pa.array([model.to_json()])], names=["m", "model"])
+
+    sent = coded.rows.withColumn("m", F.explode(F.array(*[F.lit(i) for i in models]))) \
+        .filter(F.expr("substring(used, m + 1, 1) = X'01'")).select("m", "y", "slots")
+    # a task a model: few models must not be put together
+    for r in sent.repartition(2 * len(models), "m").groupBy("m").applyInArrow(run, "m int, model string").collect():
+        found = BoostedStumps.from_json(r["model"])
+        models[r["m"]].stumps, models[r["m"]].stopped = found.stumps, found.stopped
 
 
 def _best_stumps(coded: CodedTable, tables: dict[int, np.ndarray],
                  shift: dict[int, float]) -> dict[int, tuple[Stump, float]]:
     """Best stump and its weighted error for each model."""
-    return {m: _discrete(coded, b) for m, b in _best_splits(coded, tables, shift).items()}
+    return {m: _discrete(coded.bins, b) for m, b in _best_splits(coded, tables, shift).items()}
 
 
 def _best_splits(coded: CodedTable, tables: dict[int, np.ndarray], shift: dict[int, float]) -> dict[int, dict]:
@@ -430,7 +527,7 @@ def _best_of(coded: CodedTable, tables: dict[int, np.ndarray], shift: dict[int,
     return {r["m"]: r["b"].asDict() for r in pick.collect()}
 
 
-def _discrete(coded: CodedTable, b: dict) -> tuple[Stump, float]:
+def _discrete(bins: Bins, b: dict) -> tuple[Stump, float]:
     """Stump of class votes, and its weighted error."""
     total = b["t1"] + b["t0"]
     if b["score"] < 0:  # every feature is constant: a leaf
@@ -439,7 +536,7 @@ def _discrete(coded: CodedTable, b: dict) -> tuple[Stump, float]:
     left = 1 if b["l1"] > b["l0"] else 0
     right = 1 if b["r1"] > b["r0"] else 0
     miss = (b["l0"] if left == 1 else b["l1"]) + (b["r0"] if right == 1 else b["r1"])
-    return Stump(coded.bins.features[b["fi"]], coded.bins.threshold(b["fi"], b["bin"], b["nxt"]),
+    return Stump(bins.features[b["fi"]], bins.threshold(b["fi"], b["bin"], b["nxt"]),
                  left, right, 0.0, 0.0), miss / total
 
 

@@ -45,6 +45,12 @@ def brute_force_samme(X: pd.DataFrame, y: np.ndarray, rounds: int, lr: float):
     return out
 
 
+@pytest.fixture(autouse=True, params=[50_000, 0], ids=["task", "scans"])
+def both_ways(request, monkeypatch):
+    """Every test boosts in a task and by scans."""
+    monkeypatch.setattr(B, "TASK_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def fixture(spark):
     rng = np.random.default_rng(7)
