@@ -12,8 +12,8 @@ styles and reader comments inside it do not.
 A page is one row and is parsed whole in the task that reads it; nothing is shuffled.
 
 Edge cases: null or empty html and pages without text give an empty text; truncated
-pages are parsed to their end; repeated rows give repeated rows; extra columns are
-ignored.
+pages are parsed to their end; elements may be nested to any depth (each event's work does not
+grow with it); repeated rows give repeated rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ CLOSED_BY = {"p": frozenset("p div ul ol table article section h1 h2 h3 h4 h5 h6
                             "aside nav header footer form main dl hr address figure".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"])}
+BARRIERS = ("table", "article", "main", "body")  # an end tag outside them closes nothing inside
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|"
     r"overlay|newsletter|subscribe|signup|menu|nav|navbar|navigation|breadcrumbs?|sidebar|side-?bar|widget|"
@@ -56,6 +57,8 @@ class _Lines(HTMLParser):
         self.parents: list[int] = [-1]   # of each element; element 0 is the page
         self.names: list[str] = [""]
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        self.open: dict[str, list[int]] = {}  # places of each name's open elements in the stack
+        self.blocks: list[int] = []           # places of the open block elements
         self.lines: list[tuple[str, int, int]] = []  # text, tags, element
         self._text: list[str] = []
         self._tags = 0
@@ -72,16 +75,26 @@ class _Lines(HTMLParser):
             self.lines.append(("", self._tags, self.stack[-1][1]))
             self._tags = 0
 
+    def push(self, tag: str, element: int, skipped: bool) -> None:
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, element, skipped))
+
+    def close_from(self, depth: int) -> None:
+        """Close the element at ``depth`` and all inside it."""
+        while len(self.stack) > depth:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE:
             self.cut()
-            for depth in range(len(self.stack) - 1, 0, -1):  # elements whose end tag may be left out
-                name = self.stack[depth][0]
-                if name in CLOSED_BY and tag in CLOSED_BY[name]:
-                    del self.stack[depth:]
-                    break
-                if name not in INLINE:
-                    break
+            # the innermost block element, if its end tag may be left out here
+            if self.blocks and tag in CLOSED_BY.get(self.stack[self.blocks[-1]][0], ()):
+                self.close_from(self.blocks[-1])
         self._tags += 1
         if tag in VOID:
             return
@@ -90,14 +103,14 @@ class _Lines(HTMLParser):
             if not skipped and tag == "span" and attrs and self._boilerplate(attrs):
                 skipped = True
             if skipped == self.stack[-1][2]:
-                self.stack.append((tag, self.stack[-1][1], skipped))
+                self.push(tag, self.stack[-1][1], skipped)
                 return
         else:
             skipped = self.stack[-1][2] or tag in SKIPPED or (
                 tag not in ("body", "html") and bool(attrs) and self._boilerplate(attrs))
         self.parents.append(self.stack[-1][1])
         self.names.append(tag)
-        self.stack.append((tag, len(self.parents) - 1, skipped))
+        self.push(tag, len(self.parents) - 1, skipped)
 
     @staticmethod
     def _boilerplate(attrs) -> bool:
@@ -119,12 +132,12 @@ class _Lines(HTMLParser):
         if tag not in INLINE:
             self.cut()
         self._tags += 1
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.stack[depth][0] == tag:
-                if tag in INLINE or not any(x[0] in ("table", "article", "main", "body")
-                                            for x in self.stack[depth + 1:]) or tag in ("html", "body"):
-                    del self.stack[depth:]
-                break
+        if not self.open.get(tag):
+            return
+        depth = self.open[tag][-1]
+        barrier = max((self.open[name][-1] for name in BARRIERS if self.open.get(name)), default=0)
+        if tag in INLINE or tag in ("html", "body") or barrier <= depth:
+            self.close_from(depth)
 
     def handle_data(self, data):
         if not self.stack[-1][2]:
