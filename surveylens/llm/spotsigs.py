@@ -2,7 +2,7 @@
 
 Common words (articles and auxiliaries of four languages) are anchors; the content words
 that follow an anchor form a chain, and anchor + chain is a signature.  A document's
-fingerprint is the set of its signatures (32-bit hashes, sorted, in hexadecimal), led by
+fingerprint is the set of its signatures (64-bit hashes, sorted, in hexadecimal), led by
 the set's size.  Two sets are compared by Jaccard similarity.
 
 Near duplicates (``near_duplicates``) are all pairs of sets whose similarity reaches a
@@ -12,10 +12,11 @@ Inside a partition sets are indexed by their rarest signatures: in an order comm
 sets, by the number of sets that hold a signature, a pair's first common signature is among
 the first ones of both.  The pair is a candidate there only, if its sizes and what follows
 in both sets still allow t, and is verified on the whole sets.  Equal sets are compared once.
-The query ``op5_spot_signatures`` compares given pairs; ``op5_near_duplicates`` is the join.
+The query ``op5_spot_signatures`` compares given pairs; ``op5_near_duplicates`` is the join, a
+row a document with its class of equal sets and that class's number of similar classes.
 
 The next document of a document, in ascending order of ids, is found without a global
-sort: ids are cut into buckets at quantiles, every bucket also gets the first document of
+sort: ids, of any type with an order, are cut into ranges, every range also gets the first document of
 the next one, and a window runs inside a bucket.
 
 Edge cases: a null text counts as empty; a text without signatures has a single one, the
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from surveylens.llm.common import load, materialise, shuffle_partitions
 
@@ -51,17 +53,17 @@ def with_signatures(docs: DataFrame, text: Column, name: str, chain: int = 2) ->
     # an anchor is followed by the chain that begins at the next content word
     chains = F.transform(c, lambda m, k: F.when(
         F.get(w, m["i"] - 1).isin(ANCHORS) & (k + chain <= F.size(c)),
-        F.hash(F.get(w, m["i"] - 1), m["x"], *[F.get(c, k + j)["x"] for j in range(1, chain)])))
+        F.xxhash64(F.get(w, m["i"] - 1), m["x"], *[F.get(c, k + j)["x"] for j in range(1, chain)])))
     found = F.array_sort(F.array_distinct(F.filter(chains, lambda h: h.isNotNull())))
     df = df.withColumn(name, found)
     return df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(
-        F.array(F.hash(s)))).drop(w, c, s)
+        F.array(F.xxhash64(s)))).drop(w, c, s)
 
 
 def fingerprint(signature_set: Column) -> Column:
-    """Set size, then the signatures as eight hexadecimal digits each."""
+    """Set size, then the signatures as sixteen hexadecimal digits each."""
     return F.concat(F.size(signature_set).cast("string"), F.lit(":"), F.array_join(
-        F.transform(signature_set, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")),
+        F.transform(signature_set, lambda h: F.lpad(F.hex(h), 16, "0")),
         ""))
 
 
@@ -74,19 +76,20 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, id_col: str, text_col: str, carried: list[str]) -> DataFrame:
     """Rows of ``docs`` with next_<column> for every carried column: those of the next row
     in ascending order of (id, text), the first row's after the last."""
-    ids = F.coalesce(F.col(id_col), F.lit(-(2**63)))
     n = 4 * shuffle_partitions(docs.sparkSession)
-    bounds = docs.agg(F.percentile_approx(ids, [k / n for k in range(n)], 10 * n)).first()[0]
-    bounds = sorted(set(bounds or []))  # ids that begin a bucket; the least id first
-    if not bounds:
-        bounds = [0]
-    starts = F.array(*[F.lit(b).cast("long") for b in bounds])
-    last = len(bounds) - 1
-    bucket = F.size(F.filter(starts, lambda b: b <= F.col("_id"))) - 1
-    rows = docs.withColumn("_id", ids)
-    rows = rows.withColumn("_bucket", F.greatest(bucket, F.lit(0)))
+    ids = docs.select(F.col(id_col).alias("i"))
+    # ids that begin a range, whatever their type; the least id first, nulls in a range before it
+    ranged = ids.filter("i IS NOT NULL").repartitionByRange(n, "i").withColumn("part", F.spark_partition_id())
+    bounds = sorted(r["i"] for r in ranged.groupBy("part").agg(F.min("i").alias("i")).collect())
+    nulls = 0 if ids.filter("i IS NULL").isEmpty() else 1
+    kind = docs.schema[id_col].dataType
+    starts = F.array(*[F.lit(b).cast(kind) for b in bounds]).cast(T.ArrayType(kind))
+    last = max(0, len(bounds) - 1 + nulls)
+    before = F.size(F.filter(starts, lambda b: b <= F.col("_id")))
+    bucket = F.when(F.col("_id").isNull(), 0).otherwise(F.greatest(before - 1 + nulls, F.lit(0)))
+    rows = docs.withColumn("_id", F.col(id_col)).withColumn("_bucket", bucket)
     # the rows that begin a bucket also close the one before it
-    begins = F.array_contains(starts, F.col("_id"))
+    begins = F.col("_id").isNull() | F.coalesce(F.array_contains(starts, F.col("_id")), F.lit(False))
     homes = F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("ghost")))
     ghosts = F.array(F.struct(F.when(F.col("_bucket") == 0, last).otherwise(F.col("_bucket") - 1).alias("b"),
                               F.lit(True).alias("ghost")))
@@ -135,22 +138,16 @@ def length_bounds(most: int, num: int, den: int) -> list[int]:
     return bounds
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80,
-                    den: int = 100) -> DataFrame:
-    """<id>, other_<id>, likeness, copy: the pairs of documents whose signature sets have a
-    Jaccard similarity of num / den or more.
-
-    Documents of equal sets stand behind the one of the least id: each other one has a row
-    with it (``copy``, likeness 1), and only it is paired with other sets, the smaller set first.
-    """
+def similar_sets(docs: DataFrame, id_col: str, text_col: str, num: int,
+                 den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (uid, id, signatures); distinct sets (uid, id, signatures, size) with the least
+    id of their documents; pairs (a_uid, a, b_uid, b, likeness) of sets whose Jaccard similarity
+    is num / den or more, the smaller set first."""
     rows = materialise(fingerprints(docs, id_col, text_col).select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), "signatures"), "spot-rows")
-    first = F.min(F.struct(F.coalesce("id", F.lit(-(2**63))).alias("order"), "uid", "id"))
+    first = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "uid"))  # a null id is the least
     sets = materialise(rows.groupBy("signatures").agg(first.alias("m")).select(
         "m.uid", "m.id", "signatures", F.size("signatures").alias("size")), "spot-sets")
-    copies = (rows.alias("r").join(sets.alias("s"), "signatures").filter(F.col("r.uid") != F.col("s.uid"))
-              .select(F.col("s.id").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("likeness"),
-                      F.lit(True).alias("copy")))
     bounds = length_bounds(sets.agg(F.max("size")).first()[0] or 1, num, den)
 
     # the signatures of each set, those of few sets first
@@ -190,9 +187,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .withColumn("common", common)
              .withColumn("either", F.size("a_set") + F.size("b_set") - F.col("common"))
              .filter(F.col("common") * den >= F.col("either") * num)
-             .select("a", "b", (F.col("common") / F.col("either")).alias("likeness"), F.lit(False).alias("copy")))
-    return found.unionByName(copies).select(F.col("a").alias(id_col), F.col("b").alias(f"other_{id_col}"),
-                                            "likeness", "copy")
+             .select("a_uid", "a", "b_uid", "b", (F.col("common") / F.col("either")).alias("likeness")))
+    return rows, sets, found
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80,
+                    den: int = 100) -> DataFrame:
+    """<id>, other_<id>, likeness, copy: the pairs of documents whose signature sets have a
+    Jaccard similarity of num / den or more.
+
+    Documents of equal sets stand behind the one of the least id: each other one has a row
+    with it (``copy``, likeness 1), and only it is paired with other sets, the smaller set first.
+    """
+    rows, sets, found = similar_sets(docs, id_col, text_col, num, den)
+    copies = (rows.alias("r").join(sets.alias("s"), "signatures").filter(F.col("r.uid") != F.col("s.uid"))
+              .select(F.col("s.id").alias("a"), F.col("r.id").alias("b"), F.lit(1.0).alias("likeness"),
+                      F.lit(True).alias("copy")))
+    pairs = found.select("a", "b", "likeness", F.lit(False).alias("copy")).unionByName(copies)
+    return pairs.select(F.col("a").alias(id_col), F.col("b").alias(f"other_{id_col}"), "likeness", "copy")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80,
+                           den: int = 100) -> DataFrame:
+    """<id>, class_<id>, n_links: a row for each document.  Documents of equal signature sets are
+    a class, named by their least id; n_links counts the other classes whose sets have a Jaccard
+    similarity of num / den or more with its own."""
+    rows, sets, found = similar_sets(docs, id_col, text_col, num, den)
+    ends = found.select(F.explode(F.array("a_uid", "b_uid")).alias("uid"))
+    links = ends.groupBy("uid").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = sets.join(links, "uid", "left").select(
+        "signatures", F.col("id").alias(f"class_{id_col}"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.join(classes, "signatures").select(F.col("id").alias(id_col), f"class_{id_col}", "n_links")
 
 
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +225,4 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicate_classes(load(spark, sf_dir, "documents", "doc_id", "text"))

@@ -1,10 +1,13 @@
 """Every operator and stage on odd rows, on an empty table, and with clashing column names."""
 
+import time
+
 import corpus_pipeline as pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from surveylens.llm import licenses, mixing, ngram_join, packing, quality, secrets, spotsigs, token_counts
+from surveylens.llm import (licenses, mixing, ngram_join, packing, page_text, quality, secrets, spotsigs,
+                            token_counts)
 
 CLASHES = ("uid", "id", "size", "s", "spans", "got", "node", "grams", "label", "quality_score", "group_id",
            "group_least", "group_rows", "secret_id", "secret_values", "value", "path", "score", "n", "w",
@@ -20,6 +23,10 @@ OPERATORS = {
     "token_counts": token_counts.count_tokens,
     "ngram_join": lambda d: ngram_join.near_duplicate_groups(d, n=3, num=90),
     "secrets": secrets.scan_secrets,
+    "near_duplicates": spotsigs.near_duplicates,
+    "near_duplicate_classes": spotsigs.near_duplicate_classes,
+    "mixed_shards": mixing.mixed_shards,
+    "pages": lambda d: page_text.extract_pages(d, "text", ("doc_id", "source")),
 }
 
 
@@ -40,6 +47,30 @@ def test_empty_table(odd_docs, name):
     assert OPERATORS[name](odd_docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "quality"])
+def test_string_ids(odd_docs, name):
+    named = odd_docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert len(rows(OPERATORS[name](named))) == len(rows(OPERATORS[name](odd_docs)))
+
+
+def test_next_document_by_string_ids(odd_docs):
+    named = odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]) \
+        .withColumn("doc_id", F.chr(F.lit(96) + F.col("doc_id")))  # the same order
+    plain = odd_docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    strip = [c for c in spotsigs.edited_likeness(plain).columns if c != "doc_id"]
+    assert rows(spotsigs.edited_likeness(named).select(strip)) == rows(spotsigs.edited_likeness(plain).select(strip))
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "x", "<div>" * 100_000 + "</q>" * 100_000 + "x", "<b>" * 100_000 + "<hr>" * 100_000 + "x",
+    "<table>" + "<i>" * 50_000 + "</div>" * 50_000 + "x", "<div>" * 50_000 + "<table>" + "</div>" * 100_000 + "x",
+    "<p><b>" * 50_000 + "x"])
+def test_deep_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    assert page_text.main_text(page) == "x"
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize("name", ["ngram_join", "secret_scans", "source_mixing"])
 def test_stage_keeps_columns(spark, odd_docs, name):
     stage = dict(pipeline.STAGES)[name]

@@ -229,7 +229,7 @@ def test_hilbert_neighbours_touch():
 def test_edited_texts_and_likeness(documents):
     rows = sorted((r.doc_id, r.text or "") for r in documents.collect())
     got = {r.doc_id: r for r in spotsigs.edited_likeness(documents).collect()}
-    parts = {i: (lambda h: {h[k:k + 8] for k in range(0, len(h), 8)})(r.fingerprint.split(":")[1]) for i, r in got.items()}
+    parts = {i: (lambda h: {h[k:k + 16] for k in range(0, len(h), 16)})(r.fingerprint.split(":")[1]) for i, r in got.items()}
     by_text = {}
     for k, (i, t) in enumerate(rows):
         j, following = rows[(k + 1) % len(rows)]
@@ -272,6 +272,9 @@ def test_near_duplicates_equal_brute_force(spark, make_docs, documents, num):
     assert len(got) == len(out) and got.keys() == want.keys()
     assert all(got[p] == pytest.approx(want[p]) for p in want)
     assert num == 100 or any(not r.copy for r in out)
+    links = Counter(x for p in want if sets[p[0]] != sets[p[1]] for x in p)
+    classes = {r.doc_id: (r.class_doc_id, r.n_links) for r in spotsigs.near_duplicate_classes(docs, num=num).collect()}
+    assert classes == {i: (head[s], links[head[s]]) for i, s in sets.items()}
 
 
 def test_partners_are_in_the_own_or_the_next_partition():
