@@ -183,10 +183,14 @@ def grab_col_names(df: DataFrame, cat_th: int = 10, car_th: int = 20,
 
 def frequency_table(df: DataFrame, columns: list[str], value_type: str = "double",
                     by: list[str] | None = None) -> DataFrame:
-    """(by..., column_name, value, n) over non-null values; pre-aggregated map-side."""
+    """(by..., column_name, value, n) over non-null values (NaN counts as null); pre-aggregated
+    map-side."""
     by = by or []
+    there = F.col("value").isNotNull()
+    if value_type in ("double", "float"):
+        there &= ~F.isnan("value")
     return (melt(df, columns, value_type, ids=by)
-            .filter(F.col("value").isNotNull())
+            .filter(there)
             .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -8,6 +8,7 @@ compares stably with the SQL oracle.
 from __future__ import annotations
 
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from surveylens.operators import profile as P
 from surveylens.operators import split as SP
 from surveylens.operators import trees as T
 from surveylens.plans import frames as FR
+from surveylens.plans import pipeline as PL
 from surveylens.plans import prep as PR
 from surveylens.plans import scoring as SC
 from surveylens.session import scratch_path
@@ -605,3 +607,14 @@ def batch_predict(spark, sf_dir):
     IO.write_survey_csv(IO.to_raw_survey(survey_view(spark, sf_dir)), source)
     MS.save_model(spark, model, prep, FIXED_ENSEMBLE)
     return _r(SC.predict_file(spark, source, model, sink))
+
+
+def pipeline_model_predict(spark, sf_dir):
+    """One saved pipeline (preparation and three boosting rounds, fitted on the training part)
+    scores the raw file of that part."""
+    train, _ = SP.train_test_split(survey_view(spark, sf_dir), key="id")
+    source, path = (scratch_path(spark, n) for n in ("survey-file", "pipeline-model"))
+    Pipeline(stages=[PL.SurveyPrep(), PL.StumpBooster(nEstimators=3)]).fit(train).write().save(path)
+    IO.write_survey_csv(IO.to_raw_survey(train), source)
+    scored = PipelineModel.load(path).transform(IO.read_survey(spark, source))
+    return _r(scored.select("ID", "decision", "prediction"))

@@ -551,6 +551,12 @@ SELECT round, feature, round(threshold, 6) AS threshold, CAST(lc AS INTEGER) AS
 SELECT round, feature, round(threshold, 6) AS threshold, round(lo, 6) AS left_odds, round(ro, 6) AS right_odds,
        round(err, 6) AS error FROM fitted"""
     q["cart_depth3"] = _tree_sql(3)
+    value = "CASE f.feature " + " ".join(f"WHEN '{c}' THEN CAST(p.{c} AS DOUBLE)" for c in feats) + " END"
+    q["pipeline_model_predict"] = _rounds_sql(3) + f""",
+scored AS (SELECT ID, sum(alpha * (2 * CASE WHEN {value} <= threshold THEN lc ELSE rc END - 1)) AS decision
+           FROM p, fitted f GROUP BY ID)
+SELECT ID, round(decision, 6) AS decision, CAST(CASE WHEN decision > 0 THEN 1 ELSE 0 END AS INTEGER) AS prediction
+FROM scored"""
     q["importance_round3"] = _rounds_sql(3) + """
 SELECT feature, round(sum(alpha) / (SELECT sum(alpha) FROM fitted), 6) AS importance FROM fitted GROUP BY feature"""
     nv = " + ".join(f"(CASE WHEN {c} IS NULL OR {c} < {lo} OR {c} > {hi} THEN 1 ELSE 0 END)"

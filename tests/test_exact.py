@@ -115,3 +115,31 @@ def test_many_models_in_groups_equal_one_group(spark, monkeypatch):
     whole = B.fit_boosted_stumps(df, ["a", "b"], "y", specs)
     monkeypatch.setattr(B, "MOST_CELLS", 1)
     assert B.fit_boosted_stumps(df, ["a", "b"], "y", specs) == whole
+
+
+def test_nan_is_no_value_of_a_quantile(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert P.quantiles(df, ["x"], [0.5]).first().value == 2.0
+
+
+def test_a_saved_pipeline_scores_alike(spark):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from conftest import SF_SMALL
+    from surveylens.plans.pipeline import StumpBooster, SurveyPrep
+    from surveylens.session import scratch_path
+    from surveylens.sources.tables import survey_view
+    raw = survey_view(spark, SF_SMALL)
+    plan, fitted = scratch_path(spark, "pipeline"), scratch_path(spark, "pipeline-model")
+    Pipeline(stages=[SurveyPrep(), StumpBooster(nEstimators=2, learningRate=0.5)]).write().save(plan)
+    again = Pipeline.load(plan)
+    assert again.getStages()[1].getOrDefault("nEstimators") == 2
+    model = again.fit(raw)
+    model.write().save(fitted)
+    loaded = PipelineModel.load(fitted)
+    assert [s.fitted for s in loaded.stages] == [s.fitted for s in model.stages]
+    assert len(loaded.stages[1].fitted.stumps) == 2
+    unlabelled = raw.drop("satisfaction")
+    assert loaded.transform(unlabelled).select("ID", "decision").exceptAll(
+        model.transform(raw).select("ID", "decision")).count() == 0
+    assert loaded.transform(raw.limit(0)).collect() == []
