@@ -85,7 +85,7 @@ def test_fitted_facts_and_importances(folded):
         "intercept", "coefficient a", "coefficient b"}
 
 
-@pytest.mark.parametrize("name,points", [("tune_cart", 532), ("tune_knn", 48), ("tune_lr", 3), ("tune_xgboost", 8)])
+@pytest.mark.parametrize("name,points", [("tune_cart", 532), ("tune_knn", 48), ("tune_lr", 3)])
 def test_queries_run_the_published_grids(spark, name, points):
     import __spark_entry__ as E
     from conftest import SF_SMALL
