@@ -102,24 +102,26 @@ def cross_val_scores(df: DataFrame, features: list[str], label: str, names: list
     except BaseException:
         data.unpersist()
         raise
-    preds = []
-    for name, k, model in fitted:
-        valid = data.filter(F.col(fold_col) == k)
-        preds.append(_score_frame(model.transform(valid), label)
-                     .withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)))
-    for k in range(folds) if boosted else []:
-        valid = data.filter(F.col(fold_col) == k)
-        preds.append(boosted[str(k)].transform(valid).select(
-            F.col(label).cast("int").alias("label"), "prediction", F.col("decision").alias("score"),
-            F.lit("Adaboost").alias("model"), F.lit(k).alias("fold")))
-    allp = preds[0]
-    for p in preds[1:]:
-        allp = allp.unionByName(p)
-    per_fold = M.grouped_binary_metrics(allp, ["model", "fold"])
-    stack = ", ".join(f"'{m}', {m}" for m in S.COMPARISON_METRICS)
-    long = per_fold.selectExpr("model", "fold", f"stack({len(S.COMPARISON_METRICS)}, {stack}) AS (metric, score)")
-    out = long.groupBy("model", "metric").agg(F.avg("score").alias("score")).collect()
-    data.unpersist()
+    try:
+        preds = []
+        for name, k, model in fitted:
+            valid = data.filter(F.col(fold_col) == k)
+            preds.append(_score_frame(model.transform(valid), label)
+                         .withColumn("model", F.lit(name)).withColumn("fold", F.lit(k)))
+        for k in range(folds) if boosted else []:
+            valid = data.filter(F.col(fold_col) == k)
+            preds.append(boosted[str(k)].transform(valid).select(
+                F.col(label).cast("int").alias("label"), "prediction", F.col("decision").alias("score"),
+                F.lit("Adaboost").alias("model"), F.lit(k).alias("fold")))
+        allp = preds[0]
+        for p in preds[1:]:
+            allp = allp.unionByName(p)
+        per_fold = M.grouped_binary_metrics(allp, ["model", "fold"])
+        stack = ", ".join(f"'{m}', {m}" for m in S.COMPARISON_METRICS)
+        long = per_fold.selectExpr("model", "fold", f"stack({len(S.COMPARISON_METRICS)}, {stack}) AS (metric, score)")
+        out = long.groupBy("model", "metric").agg(F.avg("score").alias("score")).collect()
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame(out, "model string, metric string, score double")
 
 

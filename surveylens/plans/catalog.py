@@ -65,7 +65,8 @@ def missing_table(spark, sf_dir):
 
 def column_roles(spark, sf_dir):
     df = FR.survey_upper(spark, sf_dir)
-    counts = P.distinct_counts(df).cache()
+    counts = P.distinct_counts(df)
+    counts = spark.createDataFrame(counts.collect(), counts.schema)  # a row a column, counted once
     out = None
     for th in (S.CAT_TH_UPPER, S.CAT_TH_OUTLIER, S.CAT_TH_SCALE):
         part = P.column_roles(df, cat_th=th, car_th=S.CAR_TH, counts=counts)
@@ -465,11 +466,11 @@ def adaboost_grid(spark, sf_dir):
 
 
 def base_models_score(spark, sf_dir):
-    """The training job's comparison: AdaBoost and boosted trees, 5-fold CV."""
-    train, _, _ = _prepared_parts(spark, sf_dir)
-    folded = SP.with_folds(train, S.COMPARISON_FOLDS)
-    return _r(ML.cross_val_scores(folded, S.FEATURES, S.TARGET, ML.TRAINING_JOB_MODELS,
-                                  adaboost_rounds=HOLDOUT_ROUNDS))
+    """The training job's comparison: AdaBoost and the LightGBM settings, 5-fold CV."""
+    tables = _grid_tables(spark, sf_dir, S.COMPARISON_FOLDS)
+    out = GR.compare(tables, {m: (m, {}) for m in GR.TRAINING_JOB_MODELS})
+    tables.drop()
+    return _r(out)
 
 
 def _grid_tables(spark, sf_dir, folds: int) -> GR.Tables:
