@@ -174,11 +174,30 @@ def roles_from_counts(df: DataFrame, counts: dict[str, int], cat_th: int = 10,
 
 def grab_col_names(df: DataFrame, cat_th: int = 10, car_th: int = 20,
                    exact: bool = True) -> dict[str, list[str]]:
-    counts = {r["column_name"]: r["n_distinct"]
-              for r in distinct_counts(df, exact=exact).collect()}
+    """The four role lists.  Exact: by ``bounded_counts``; otherwise by sketches."""
+    counts = bounded_counts(df) if exact else {
+        r["column_name"]: r["n_distinct"] for r in distinct_counts(df, exact=False).collect()}
     return roles_from_counts(df, counts, cat_th, car_th)
 
 
+def bounded_counts(df: DataFrame, buckets: int = 1 << 16) -> dict[str, int]:
+    """Distinct non-null values by column, for comparison with small thresholds.
+
+    One scan groups 64-bit value hashes into ``buckets`` a column and keeps each bucket's
+    smallest and largest, so a task ships at most ``buckets`` rows a column however many
+    values there are.  A bucket counts 1, or 2 if they differ: the count is exact unless three
+    values meet in one bucket (20 values: less than once in a million columns), and far
+    above any role threshold, though too low, for columns of many values.
+    """
+    hashed = df.select(*[F.when(F.col(_q(c)).isNotNull(), F.xxhash64(_q(c))).alias(c) for c in df.columns])
+    held = (hashed.unpivot([], list(map(_q, df.columns)), "column_name", "h").filter(F.col("h").isNotNull())
+            .groupBy("column_name", F.pmod("h", F.lit(buckets)).alias("bucket"))
+            .agg(F.min("h").alias("least"), F.max("h").alias("most")))
+    counted = held.groupBy("column_name").agg(
+        F.sum(F.when(F.col("least") == F.col("most"), 1).otherwise(2)).alias("n")).collect()
+    return dict.fromkeys(df.columns, 0) | {r["column_name"]: r["n"] for r in counted}
+
+
 # --------------------------------------------------------------- quantiles ----
 
 def frequency_table(df: DataFrame, columns: list[str], value_type: str = "double",
@@ -194,6 +213,14 @@ def frequency_table(df: DataFrame, columns: list[str], value_type: str = "double
             .groupBy(*by, "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
 
 
+def count_below(cuts: Column, v: Column, most: int) -> Column:
+    """How many of the ascending ``cuts`` (at most ``most``; null: none) are smaller than ``v``:
+    a binary search, so a row costs the logarithm of the number of cuts."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(cuts, at + step - 1) < v, at + step).otherwise(at))
+
+
 def quantiles_from_freq(freq: DataFrame, keys: list[str], probs: list[float],
                         value: str = "value", n: str = "n", buckets: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) from a (keys..., value, n) frequency table.
@@ -201,47 +228,51 @@ def quantiles_from_freq(freq: DataFrame, keys: list[str], probs: list[float],
     Two-level order-statistic search, so no task ever holds all values of a key:
     distinct values are cut into ``buckets`` ranges (unset: as many as the session has
     shuffle partitions, so they stay small as data and partitions grow) at approximate
-    quantiles of the distinct values (one row
-    of cuts per key), bucket offsets come from a window over the small
-    (key, bucket) totals, each target rank is located in its bucket, and only the rows
-    of the buckets that hold a target rank are ordered by a window inside that bucket.
-    Returns (keys..., prob, value).
+    quantiles of the distinct values (one row of cuts per key).  Offsets come from a window
+    over the small (key, bucket) totals, where each bucket also takes the target ranks that
+    lie in it; only rows of buckets with a target are ordered, by a window inside the bucket.
+    Values and results are doubles (integers beyond 2**53 are rounded, as in a data frame's
+    ``quantile``).  Returns (keys..., prob, value).
     """
     buckets = buckets or max(16, int(freq.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # per-column figures are a row per column: broadcast, so that no key meets in one task
+    # per-column figures are a row per column: broadcast, so that no key meets in one task;
+    # those of groups are left to the measured sizes of the adaptive plan
     small = F.broadcast if keys == ["column_name"] else lambda df: df
     f = freq.select(*keys, F.col(value).cast("double").alias("v"), F.col(n).cast("long").alias("c"))
-    cut_probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    stats = f.groupBy(*keys).agg(F.sum("c").alias("N"),
-                                 F.percentile_approx("v", cut_probs, 20 * buckets).alias("cuts"))
-    fb = (f.join(small(stats.select(*keys, "cuts")), keys)
-          .withColumn("b", F.size(F.filter("cuts", lambda x: x < F.col("v")))).drop("cuts"))
-    bt = fb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
-    ow = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("off", F.coalesce(F.sum("bn").over(ow), F.lit(0)))
-    parr = F.array(*[F.lit(float(p)) for p in probs])
-    tg = (stats.select(*keys, "N", F.posexplode(parr).alias("pi", "prob"))
-          .withColumn("pos", F.col("prob") * (F.col("N") - 1))
-          .withColumn("lo", F.floor("pos")).withColumn("frac", F.col("pos") - F.col("lo"))
-          .withColumn("hi", F.least(F.col("lo") + 1, F.col("N") - 1)))
-    ranks = tg.select(*keys, "pi", F.inline(F.array(
-        F.struct(F.lit(0).alias("which"), F.col("lo").cast("long").alias("r")),
-        F.struct(F.lit(1).alias("which"), F.col("hi").cast("long").alias("r")))))
-    located = (ranks.join(bt, keys)
-               .filter((F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("bn")))
-               .select(*keys, "pi", "which", "r", "b", "off"))
-    iw = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = fb.join(small(located.select(*keys, "b").distinct()), [*keys, "b"], "left_semi")
-    cum = wanted.withColumn("cum", F.sum("c").over(iw))
-    rel = F.col("r") - F.col("off")
-    hit = (cum.join(small(located), [*keys, "b"])
-           .filter((F.col("cum") - F.col("c") <= rel) & (rel < F.col("cum"))))
-    vals = hit.groupBy(*keys, "pi").agg(F.max(F.when(F.col("which") == 0, F.col("v"))).alias("vlo"),
-                                        F.max(F.when(F.col("which") == 1, F.col("v"))).alias("vhi"))
+    cuts = f.groupBy(*keys).agg(F.percentile_approx(
+        "v", F.lit([i / buckets for i in range(1, buckets)]), 20 * buckets).alias("cuts"))
+    fb = f.join(small(cuts), keys).select(
+        *keys, "v", "c", count_below(F.col("cuts"), F.col("v"), buckets).alias("b"))
+    own = Window.partitionBy(*keys)
+    before = own.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def rank(i: int, prob: float) -> Column:
+        pos = F.lit(float(prob)) * (F.col("N") - 1)
+        return F.struct(F.lit(i).alias("i"), F.floor(pos).alias("lo"), (pos - F.floor(pos)).alias("frac"),
+                        F.least(F.floor(pos) + 1, F.col("N") - 1).alias("hi"))
+
+    inside = lambda r, start, end: (r >= start) & (r < end)
+    end = F.col("off") + F.col("bn")
+    wanted = (fb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
+              .withColumns({"N": F.sum("bn").over(own), "off": F.coalesce(F.sum("bn").over(before), F.lit(0))})
+              .select(*keys, "b", "off", F.filter(
+                  F.array(*[rank(i, p) for i, p in enumerate(probs)]),
+                  lambda t: inside(t.lo, F.col("off"), end) | inside(t.hi, F.col("off"), end)).alias("targets"))
+              .filter(F.size("targets") > 0))
+    upto = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (fb.join(small(wanted), [*keys, "b"])
+           .withColumn("end", F.col("off") + F.sum("c").over(upto))
+           .withColumn("start", F.col("end") - F.col("c")))
+    at = lambda r: F.when(inside(r, F.col("start"), F.col("end")), F.col("v"))
+    hits = cum.select(*keys, F.inline(F.filter(
+        F.transform("targets", lambda t: F.struct(
+            t.i.alias("i"), t.frac.alias("frac"), at(t.lo).alias("vlo"), at(t.hi).alias("vhi"))),
+        lambda t: t.vlo.isNotNull() | t.vhi.isNotNull())))
     interp = F.when(F.col("frac") == 0, F.col("vlo")).otherwise(
         (1 - F.col("frac")) * F.col("vlo") + F.col("frac") * F.col("vhi"))
-    return vals.join(tg.select(*keys, "pi", "prob", "frac"), [*keys, "pi"]).select(
-        *keys, "prob", interp.alias("value"))
+    return (hits.groupBy(*keys, "i", "frac").agg(F.max("vlo").alias("vlo"), F.max("vhi").alias("vhi"))
+            .select(*keys, F.get(F.lit([float(p) for p in probs]), F.col("i")).alias("prob"),
+                    interp.alias("value")))
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], by: list[str] | None = None,

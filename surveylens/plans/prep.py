@@ -95,8 +95,10 @@ def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
     numbers = [c for c in up.columns if c not in (key, target) and P.is_numeric(up, c)]
     nonnull = F.col("s").isNotNull() | F.col("d").isNotNull()
     # 1. upper-case strings with at most car_th distinct values
-    raw_counts = {r["column_name"]: r["k"] for r in prof.filter(nonnull).groupBy("column_name")
-                  .agg(F.count(F.lit(1)).alias("k")).collect()}
+    tally = prof.groupBy("column_name").agg(
+        F.count_if(nonnull).alias("k"), F.sum(F.when(~nonnull, F.col("n"))).alias("nulls")).collect()
+    raw_counts = {r["column_name"]: r["k"] for r in tally if r["k"]}
+    nulls = {r["column_name"]: r["nulls"] for r in tally if r["nulls"]}
     upper_cols = [c for c in strings if raw_counts.get(c, 0) <= S.CAR_TH]
     sprof = (prof.filter(F.col("column_name").isin(strings))
              .withColumn("s", F.when(F.col("column_name").isin(upper_cols), F.upper("s")).otherwise(F.col("s")))
@@ -107,16 +109,14 @@ def _fit_from_profile(up: DataFrame, prof: DataFrame, target: str, key: str,
         out_cols = [c for c in numbers if raw_counts.get(c, 0) >= S.CAT_TH_OUTLIER]
         outliers = _outliers_from_profile(prof, out_cols)
     # 3. a fill for every column (never the target): rows scored later may have nulls elsewhere
-    nulls = {r["column_name"]: r["n"] for r in prof.filter(~nonnull).collect()}
     fills: dict[str, Any] = {}
     fillable = [c for c in strings if c != target and raw_counts.get(c, 0) > 0]
-    sdist = {r["column_name"]: r["k"] for r in sprof.filter(F.col("s").isNotNull()).groupBy("column_name")
-             .agg(F.count(F.lit(1)).alias("k")).collect()}
-    eligible = [c for c in fillable if sdist.get(c, 0) + (nulls.get(c, 0) > 0) <= S.CAT_LENGTH]
-    if eligible:
-        best = (sprof.filter(F.col("column_name").isin(eligible) & F.col("s").isNotNull())
-                .groupBy("column_name").agg(F.min_by("s", F.struct((-F.col("n")).alias("nn"), F.col("s"))).alias("m")))
-        fills.update({r["column_name"]: r["m"] for r in best.collect()})
+    if fillable:
+        best = (sprof.filter(F.col("column_name").isin(fillable) & F.col("s").isNotNull()).groupBy("column_name")
+                .agg(F.min_by("s", F.struct((-F.col("n")).alias("nn"), F.col("s"))).alias("m"),
+                     F.count(F.lit(1)).alias("k")))
+        fills.update({r["column_name"]: r["m"] for r in best.collect()
+                      if r["k"] + (nulls.get(r["column_name"], 0) > 0) <= S.CAT_LENGTH})
     if numbers:
         nprof = prof.filter(F.col("column_name").isin(numbers) & F.col("d").isNotNull())
         if num_method == "median":

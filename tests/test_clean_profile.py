@@ -135,3 +135,40 @@ def test_corr_pairwise_complete_matches_pandas(spark):
     want = pdf.corr()
     for (x, y), v in got.items():
         assert v == pytest.approx(want.loc[x, y], abs=1e-12)
+
+
+def test_count_below_equals_bisect(spark):
+    from bisect import bisect_left
+
+    from pyspark.sql import functions as F
+    cuts = [[], [1.0], [1.0, 1.0, 2.0], [float(i // 2) for i in range(17)], None]
+    rows = [(c, v) for c in cuts for v in (-1.0, 0.0, 1.0, 1.5, 2.0, 8.0, 99.0)]
+    got = spark.createDataFrame(rows, "cuts array<double>, v double").select(
+        "cuts", "v", P.count_below(F.col("cuts"), F.col("v"), 17).alias("b")).collect()
+    assert [r.b for r in got] == [bisect_left(r.cuts or [], r.v) for r in got]
+
+
+@pytest.mark.parametrize("buckets", [2, 16, 300])
+def test_quantiles_equal_numpy_in_any_number_of_buckets(spark, buckets):
+    import numpy as np
+    rng = np.random.default_rng(buckets)
+    values = {"a": np.r_[rng.normal(size=200), np.full(100, 0.25)], "b": rng.integers(0, 5, 77) * 1.0,
+              "c": np.array([3.5])}
+    rows = [(k, int(i % 2), float(x)) for k, v in values.items() for i, x in enumerate(v)]
+    freq = spark.createDataFrame(rows, "column_name string, g int, value double").groupBy(
+        "column_name", "g", "value").count().withColumnRenamed("count", "n")
+    probs = [0.0, 0.05, 0.5, 0.5, 0.99, 1.0]
+    out = P.quantiles_from_freq(freq, ["g", "column_name"], probs, buckets=buckets).collect()
+    want = [(g, k, p, np.quantile(v[g::2], p)) for k, v in values.items() for g in (0, 1)
+            if len(v[g::2]) for p in probs]
+    key = lambda r: (r[1], r[0], r[2])
+    assert [tuple(r)[:3] for r in sorted(out, key=key)] == [r[:3] for r in sorted(want, key=key)]
+    assert [r[3] for r in sorted(out, key=key)] == pytest.approx([r[3] for r in sorted(want, key=key)])
+
+
+def test_bounded_counts_are_exact_for_few_values_and_large_for_many(spark):
+    rows = [(i, f"s{i % 20}", float(i % 3) if i % 2 else None, None, i % 2 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "`ID` long, `it's` string, `x.y` double, none int, flag boolean")
+    assert P.bounded_counts(df) == {"ID": 3000, "it's": 20, "x.y": 3, "none": 0, "flag": 2}
+    assert P.bounded_counts(df.filter("flag IS NULL")) == dict.fromkeys(df.columns, 0)
+    assert P.bounded_counts(df.select("ID"), buckets=64)["ID"] == 128  # two a bucket, of 3000
