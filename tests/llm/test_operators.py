@@ -461,6 +461,33 @@ def test_credential_names_are_parts_of_key_names(make_docs):
     assert got == {i: (1.0, 1.0) if i < len(yes) else (0.0, 0.0) for i in range(len(yes + no))}
 
 
+def test_forest_from_findings_on_held_out_findings(make_docs):
+    """Credential names stand before placeholders as well as secrets, and some secrets have none."""
+    rng = random.Random(11)
+    signs = "abcdefghjkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+
+    def key(n):
+        return "".join(rng.choices(signs, k=n - 2)) + "7Q"
+
+    kinds = [(1, lambda: f"{rng.choice(['db_password', 'api_key'])} = {key(14)} in the file"),
+             (1, lambda: f"please call it with {key(24)} for now"),
+             (0, lambda: f"{rng.choice(['db_password', 'api_key'])} = {'_'.join(rng.choices(WORDS, k=3))}_{rng.randrange(9)} in the file"),
+             (0, lambda: "commit " + "".join(rng.choices("0123456789abcdef", k=40)) + " fixed the build"),
+             (0, lambda: f"see {'/'.join(rng.choices(WORDS, k=4))}.py for now")]
+    rows = [(i, f"{' '.join(rng.choices(WORDS, k=20))} {kinds[i % 5][1]()}", "s") for i in range(400)]
+    docs, truth = make_docs(rows), F.element_at(F.array(*[F.lit(float(y)) for y, _ in kinds]),
+                                                (F.col("id") % 5 + 1).cast("int"))
+    findings = (secrets.candidate_rows(docs.filter("doc_id % 2 = 0"), "doc_id", "text", "source")
+                .withColumn("label", truth).drop("id", "at"))
+    out = [r for r in secrets.scan_secrets(docs, findings=findings).collect() if r.doc_id % 2]
+    assert {r.doc_id for r in out if kinds[r.doc_id % 5][0]} == {i for i in range(1, 400, 2) if kinds[i % 5][0]}
+    said = [(r.is_secret, kinds[r.doc_id % 5][0] == 1, r.credential == 1) for r in out]
+    right = sum(a and b for a, b, _ in said)
+    assert right >= 0.95 * sum(a for a, _, _ in said) and right >= 0.95 * sum(b for _, b, _ in said)
+    # a rule on the name alone would be wrong on both kinds
+    assert any(a and not c for a, _, c in said) and any(c and not a for a, _, c in said)
+
+
 def test_dictionary_counts_the_words_of_all_documents(make_docs):
     docs = make_docs([(1, "the river (meadow) ran.", "s"), (2, None, "s"), (3, "x9abc/def abcd1 wxyz-q", "s")])
     triples = {w[k:k + 3] for w in ("the", "river", "meadow", "ran") for k in range(len(w) - 2)}
