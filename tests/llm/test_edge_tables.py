@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveylens.llm import (licenses, mixing, ngram_join, packing, page_text, quality, secrets, spotsigs,
-                            token_counts)
+                            token_counts, vector_search)
 
 CLASHES = ("uid", "id", "size", "s", "spans", "got", "node", "grams", "label", "quality_score", "group_id",
            "group_least", "group_rows", "secret_id", "secret_values", "value", "path", "score", "n", "w",
@@ -84,6 +84,48 @@ def test_stage_keeps_columns(spark, odd_docs, name):
     assert stage(spark, odd_docs.limit(0), "").collect() == []
 
 
+def test_quality_stage_keeps_columns_and_clean_rows(spark, odd_docs):
+    stage = dict(pipeline.STAGES)["quality_classifier"]
+    sf_dir = "/root/testdata/sf0.001"
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").select(odd_docs.columns)
+    docs = some.unionByName(odd_docs.withColumn("doc_id", -F.col("doc_id")))
+    base = stage(spark, docs, sf_dir)
+    assert base.schema.simpleString() == docs.schema.simpleString()
+    kept = rows(base)
+    clashing = docs.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
+    out = stage(spark, clashing, sf_dir)
+    assert out.columns == clashing.columns and rows(out.select(*docs.columns)) == kept
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    good = {r.doc_id for r in some.collect() if labels.get(r.doc_id) == 1}
+    left = {r.doc_id for r in base.select("doc_id").collect()}
+    assert len(good & left) >= 0.95 * len(good)
+    assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_packing_stage_on_clashing_columns_and_no_rows(spark, odd_docs):
+    stage = dict(pipeline.STAGES)["curve_packing"]
+    clashing = odd_docs.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
+    assert rows(stage(spark, clashing, "")) == rows(stage(spark, odd_docs, ""))
+    assert stage(spark, odd_docs.limit(0), "").collect() == []
+
+
+def test_vectors_odd_rows_and_clashing_columns(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, -1.0]), (4, None),
+           (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 2.0, 3.0]), (9, [1.0]),
+           (None, [1.0, 0.0]), (100, None), (200, [0.0, 0.5])]
+    table = spark.createDataFrame(odd, "vec_id long, embedding array<double>")
+    find = lambda t: rows(vector_search.nearest_neighbours(t, F.col("id") % 100 == 0))
+    got = vector_search.nearest_neighbours(table, F.col("id") % 100 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == [
+        (0, 1, 1, 0.0), (0, 2, 200, round(1.25 ** 0.5, 9)), (0, 3, 2, round(2 ** 0.5, 9)),
+        (0, 4, 3, round(2 ** 0.5, 9)), (200, 1, 2, 0.5), (200, 2, 0, round(1.25 ** 0.5, 9)),
+        (200, 3, 1, round(1.25 ** 0.5, 9)), (200, 4, 3, 1.5)]
+    clash = table.select("*", *[F.lit("c").alias(c) for c in ("id", "v", "k", "class", "list", "score", "rank", "all")])
+    assert find(clash) == sorted(map(str, got))
+    assert find(table.limit(0)) == [] and find(table.filter("vec_id IN (4, 5, 6)")) == []
+
+
 def test_defined_results(odd_docs):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(odd_docs).collect()}
     assert got[9]["base_labels"] == "mit" and got[9]["first_word"] == 3 and got[9]["n_words"] == 5
