@@ -7,8 +7,9 @@ relative positions (offset = place in the file - place in the notice); where eno
 rare words agree on one offset, the notice is a candidate, and it counts when all
 words of its mandatory key phrase stand at that offset and enough of the notice does.
 
-Work: one scan that tokenises every whole text and keeps only the places of licence
-words (a few per file), then joins with a posting table whose size is fixed.
+Work: one scan that tokenises every whole text and keeps only the places of licence words.
+Only the places of rare words are looked up in the index (a table of fixed size); the other
+words are read again for the files that have a candidate, at the candidate's own places.
 
 Edge cases: a null or empty text has zero words and no label; repeated rows and rows
 that share a doc_id are scanned separately; an empty table gives an empty result;
@@ -52,6 +53,54 @@ NOTICES = [
      "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "free and unencumbered software"),
+    # whole paragraphs of the licence texts
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this "
+            "software and associated documentation files the software to deal in the software "
+            "without restriction including without limitation the rights to use copy modify merge "
+            "publish distribute sublicense and or sell copies of the software and to permit persons "
+            "to whom the software is furnished to do so subject to the following conditions the "
+            "above copyright notice and this permission notice shall be included in all copies or "
+            "substantial portions of the software", "deal in the software without restriction"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file "
+               "except in compliance with the license you may obtain a copy of the license at http "
+               "www apache org licenses license 2 0 unless required by applicable law or agreed to "
+               "in writing software distributed under the license is distributed on an as is basis "
+               "without warranties or conditions of any kind either express or implied see the "
+               "license for the specific language governing permissions and limitations under the "
+               "license", "unless required by applicable law or agreed to in writing"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms "
+            "of the gnu general public license as published by the free software foundation either "
+            "version 3 of the license or at your option any later version this program is "
+            "distributed in the hope that it will be useful but without any warranty without even "
+            "the implied warranty of merchantability or fitness for a particular purpose see the gnu "
+            "general public license for more details", "gnu general public license as published"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms "
+             "of the gnu lesser general public license as published by the free software foundation "
+             "either version 2 1 of the license or at your option any later version this library is "
+             "distributed in the hope that it will be useful but without any warranty without even "
+             "the implied warranty of merchantability or fitness for a particular purpose see the "
+             "gnu lesser general public license for more details",
+     "gnu lesser general public license as published"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are "
+            "permitted provided that the following conditions are met redistributions of source code "
+            "must retain the above copyright notice this list of conditions and the following "
+            "disclaimer redistributions in binary form must reproduce the above copyright notice "
+            "this list of conditions and the following disclaimer in the documentation and or other "
+            "materials provided with the distribution", "redistributions of source code must retain"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or "
+            "without fee is hereby granted provided that the above copyright notice and this "
+            "permission notice appear in all copies", "permission notice appear in all copies"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a "
+            "copy of the mpl was not distributed with this file you can obtain one at https mozilla "
+            "org mpl 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is "
+                  "free to copy modify publish use compile sell or distribute this software either "
+                  "in source code form or as a compiled binary for any purpose commercial or non "
+                  "commercial and by any means", "anyone is free to copy modify publish use compile"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including "
+             "commercial applications and to alter it and redistribute it freely subject to the "
+             "following restrictions the origin of this software must not be misrepresented",
+     "origin of this software must not be misrepresented"),
 ]
 
 # Function words, which are never indexed.
@@ -97,39 +146,57 @@ def licence_places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.select("uid", "id", F.size("words").cast("long").alias("n_words"), near.alias("places"))
 
 
+def rare_places(places: DataFrame, rare: list[str]) -> DataFrame:
+    """uid, pos, word of the places of ``rare`` words: all that the index is asked for."""
+    kept = F.filter("places", lambda m: m["word"].isin(rare))
+    return places.filter(F.size(kept) > 0).select("uid", F.explode(kept).alias("m")) \
+        .select("uid", "m.pos", "m.word")
+
+
+def verified(places: DataFrame, candidates: DataFrame, post: DataFrame, min_coverage: float) -> DataFrame:
+    """The candidates (uid, notice, offset) whose key phrase stands whole at the offset, with at
+    least ``min_coverage`` of the notice's indexed words: uid, notice, label, size, found."""
+    # only the candidates' own files are opened again, and only at the places a notice names
+    held = (places.join(candidates.select("uid").distinct(), "uid", "left_semi")
+            .select("uid", F.explode("places").alias("m")).select("uid", "m.pos", "m.word"))
+    wanted = candidates.join(F.broadcast(post), "notice").select(
+        "uid", "notice", "offset", "label", "size", "key_size", "in_key", "word",
+        (F.col("offset") + F.col("place")).alias("pos"))
+    return (wanted.join(held, ["uid", "pos", "word"])
+            .groupBy("uid", "notice", "label", "size", "key_size", "offset")
+            .agg(F.count(F.lit(1)).alias("found"), F.sum("in_key").alias("found_key"))
+            .filter((F.col("found_key") == F.col("key_size"))
+                    & (F.col("found") >= F.col("size") * F.lit(min_coverage))))
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   rare_words: int = 3, min_rare: int = 2, min_coverage: float = 0.6) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, n_notices.
 
-    ``rare_words`` words of highest IDF index each notice; ``min_rare`` of them must
-    agree on a relative position; ``min_coverage`` of a notice's indexed words must
-    stand there.  score is the best coverage of a verified notice, 0.5 at least when a
-    base phrase was found, else 0.
+    The ``rare_words`` words of highest IDF, of those that the corpus has, index each notice;
+    ``min_rare`` of them must agree on a relative position; ``min_coverage`` of a notice's
+    indexed words must stand there.  score is the best coverage of a verified notice, 0.5 at
+    least when a base phrase was found, else 0.
     """
     spark = docs.sparkSession
     places = materialise(licence_places(docs, id_col, text_col), "licence-places")
-    hits = places.filter(F.size("places") > 0).select("uid", F.explode("places").alias("m")) \
-        .select("uid", "m.pos", "m.word")
     # document frequency of every licence word over the whole corpus (bounded by the vocabulary)
     df = {r["word"]: r["n"] for r in places.filter(F.size("places") > 0)
           .select(F.explode(F.array_distinct(F.transform("places", lambda m: m["word"]))).alias("word"))
           .groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    index = []
+    rows, index = postings(), []
     for n in range(len(NOTICES)):
-        own = [r for r in postings() if r[0] == n]
-        rare = sorted({r[4] for r in own}, key=lambda w: (df.get(w, 0), w))[:rare_words]
-        index += [(*r, int(r[4] in rare), min(min_rare, len(rare))) for r in own]
-    post = spark.createDataFrame(
-        index, "notice int, label string, size int, key_size int, word string, place int, in_key int, "
-               "rare int, need int")
-    aligned = (hits.join(F.broadcast(post), "word")
-               .groupBy("uid", "notice", "label", "size", "key_size", "need",
-                        (F.col("pos") - F.col("place")).alias("offset"))
-               .agg(F.count(F.lit(1)).alias("found"), F.sum("in_key").alias("found_key"),
-                    F.countDistinct(F.when(F.col("rare") == 1, F.col("word"))).alias("found_rare"))
-               .filter((F.col("found_rare") >= F.col("need")) & (F.col("found_key") == F.col("key_size"))
-                       & (F.col("found") >= F.col("size") * F.lit(min_coverage))))
+        rare = sorted({r[4] for r in rows if r[0] == n and df.get(r[4])}, key=lambda w: (df[w], w))[:rare_words]
+        index += [(n, r[4], r[5], min(min_rare, len(rare))) for r in rows if r[0] == n and r[4] in rare]
+    post = spark.createDataFrame(rows, "notice int, label string, size int, key_size int, word string, "
+                                       "place int, in_key int")
+    look_up = spark.createDataFrame(index, "notice int, word string, place int, need int")
+    candidates = (rare_places(places, sorted({r[1] for r in index})).join(F.broadcast(look_up), "word")
+                  .groupBy("uid", "notice", "need", (F.col("pos") - F.col("place")).alias("offset"))
+                  .agg(F.countDistinct("word").alias("found_rare"))
+                  .filter(F.col("found_rare") >= F.col("need")).select("uid", "notice", "offset"))
+    aligned = verified(places, materialise(candidates, "licence-candidates"), post, min_coverage)
     notices = aligned.groupBy("uid").agg(
         F.collect_set("label").alias("notice_labels"), F.count(F.lit(1)).alias("n_notices"),
         F.max(F.col("found") / F.col("size")).alias("coverage"))
@@ -137,7 +204,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = [(p, label, len(text.split()), w, i) for p, (label, text) in enumerate(BASE_PHRASES)
             for i, w in enumerate(text.split())]
     phrases = spark.createDataFrame(rows, "phrase int, label string, size int, word string, place int")
-    base = (hits.join(F.broadcast(phrases), "word")
+    base = (rare_places(places, sorted({r[3] for r in rows})).join(F.broadcast(phrases), "word")
             .groupBy("uid", "phrase", "label", "size", (F.col("pos") - F.col("place")).alias("start"))
             .agg(F.count(F.lit(1)).alias("found")).filter("found = size")
             .groupBy("uid").agg(F.count(F.lit(1)).alias("n_base"), F.min("start").alias("first_word"),
@@ -179,11 +246,11 @@ hits AS (SELECT uid, pos, word FROM every JOIN vocab USING (word)),
 df AS (SELECT v.word, count(DISTINCT uid) AS n FROM vocab v LEFT JOIN hits h ON h.word = v.word GROUP BY 1),
 ranked AS (
   SELECT notice, word, row_number() OVER (PARTITION BY notice ORDER BY n, word) AS k
-  FROM (SELECT DISTINCT notice, p.word, n FROM post p JOIN df ON df.word = p.word)),
+  FROM (SELECT DISTINCT notice, p.word, n FROM post p JOIN df ON df.word = p.word WHERE n > 0)),
+needs AS (SELECT notice, least(2, count(*)) AS need FROM ranked WHERE k <= 3 GROUP BY notice),
 idx AS (
-  SELECT p.*, CASE WHEN r.k <= 3 THEN 1 ELSE 0 END AS rare,
-    least(2, (SELECT count(*) FROM ranked x WHERE x.notice = p.notice AND x.k <= 3)) AS need
-  FROM post p JOIN ranked r ON r.notice = p.notice AND r.word = p.word),
+  SELECT p.*, CASE WHEN r.k <= 3 THEN 1 ELSE 0 END AS rare, need
+  FROM post p JOIN ranked r ON r.notice = p.notice AND r.word = p.word JOIN needs d ON d.notice = p.notice),
 aligned AS (
   SELECT uid, notice, label, size, pos - place AS off, count(*) AS found
   FROM hits JOIN idx USING (word) GROUP BY uid, notice, label, size, key_size, need, pos - place

@@ -85,6 +85,42 @@ def test_notices_need_their_key_phrase(make_docs):
     assert got[4].labels == "bsd" and got[5].n_base == 2 and got[6].n_words == 3
 
 
+def test_rare_words_find_whole_licence_texts(make_docs):
+    """Templates by position: whole texts, texts that lack words, and texts with their order undone."""
+    rng, rows, want = random.Random(5), [], {}
+    for n, (label, notice, key) in enumerate(licenses.NOTICES):
+        words, at = notice.split(), licenses._key_start(notice.split(), key.split())
+        lead = rng.choices(WORDS, k=rng.randrange(30))
+        outside = [i for i in range(len(words)) if not at <= i < at + len(key.split())]
+        worn = [("zz" if i in outside[::5] else w) for i, w in enumerate(words)]
+        broken = [("zz" if i == at else w) for i, w in enumerate(words)]
+        rows += [(3 * n, " ".join(lead + words), "a"), (3 * n + 1, " ".join(lead + worn), "a"),
+                 (3 * n + 2, " ".join(lead + broken + ["and"] + sorted(words)), "a")]
+        want[3 * n], want[3 * n + 1] = label, label
+    got = {r.doc_id: r for r in licenses.scan_licenses(make_docs(rows)).collect()}
+    for i, label in want.items():
+        places = sum(notice_places(rows[i][1].split(), n) for n in range(len(licenses.NOTICES)))
+        assert got[i].n_notices <= places  # a worn text may lack the rare words that it is found by
+        if i % 3 == 0:
+            assert label in got[i].labels.split(",") and got[i].n_notices == places and got[i].score == 1.0
+    for n in range(len(licenses.NOTICES)):
+        assert not notice_places(rows[3 * n + 2][1].split(), n)
+    assert sum(label in got[i].labels.split(",") for i, label in want.items() if i % 3) >= 0.8 * len(want) / 2
+
+
+def notice_places(words, n):
+    """Places of notice ``n`` in a text: its key phrase whole, 0.6 of its indexed words."""
+    _, notice, key = licenses.NOTICES[n]
+    own, start = notice.split(), licenses._key_start(notice.split(), key.split())
+    kept = [i for i, w in enumerate(own) if w not in licenses.FUNCTION_WORDS]
+    in_key = {i for i in kept if start <= i < start + len(key.split())}
+    places = 0
+    for offset in range(-len(own), len(words)):
+        found = {i for i in kept if 0 <= offset + i < len(words) and words[offset + i] == own[i]}
+        places += in_key <= found and len(found) >= 0.6 * len(kept)
+    return places
+
+
 # ---- 3 mixing ----
 
 def brute_targets(sizes, weights=(3, 1, 2)):
