@@ -8,6 +8,11 @@ neighbour graph in memory, walked best-first.  A query searches the lists whose
 are within a ratio of its nearest one's distance; the ratio is the one that reaches
 ``recall`` on the sample, measured against brute force there.
 
+The number of lists follows the number of vectors (``list_size`` a list) up to ``most_lists``
+and half the sample.  A query's nearest vectors of the sample are found first: they bound its
+answer from above, so a block returns only what lies within that distance; nothing else can
+be among the nearest.
+
 Equal vectors form one class, indexed once, whose smallest ids stand for it; so a vector
 that a third of all rows share costs no more than another.  Posting lists are cut into
 blocks of bounded size, each searched by all queries of the list with matrix products;
@@ -41,6 +46,12 @@ def _nearest(x: np.ndarray, centroids: np.ndarray, rows: int = 1024) -> np.ndarr
                            for i in range(0, len(x), rows)])
 
 
+def _first(d: np.ndarray, n: int, but: np.ndarray) -> np.ndarray:
+    """Columns of each row's ``n - 1`` smallest values (all, if fewer) but column ``but``."""
+    d[np.arange(len(d)), but] = np.inf
+    return np.argsort(d, axis=1, kind="stable")[:, :min(n - 1, d.shape[1] - 1)]
+
+
 def fit_centroids(x: np.ndarray, n_lists: int, rounds: int = 12, seed: int = 8) -> np.ndarray:
     """k-means; lists of more than twice the mean size are split in two, empty ones refilled."""
     rng = np.random.default_rng(seed)
@@ -83,10 +94,9 @@ class ListIndex:
     def build(x: np.ndarray, n_lists: int, degree: int = 16, recall: float = 0.97, k: int = 10,
               replicas: int = 3, near: float = 1.03, probes: int = 256) -> ListIndex:
         centroids = fit_centroids(x, n_lists)
-        between = _square_distances(centroids, centroids)
-        np.fill_diagonal(between, np.inf)
         n = len(centroids)
-        nearest = np.argsort(between, axis=1)[:, :min(degree, n - 1)] if n > 1 else np.zeros((1, 0), int)
+        nearest = np.concatenate([_first(_square_distances(centroids[i:i + 512], centroids), degree + 1, np.arange(i, min(n, i + 512)))
+                                  for i in range(0, n, 512)])
         rng = np.random.default_rng(1)
         far = rng.integers(0, n, (n, 4))  # a few long links, and a ring that connects everything
         graph = np.concatenate([nearest, far, np.roll(np.arange(n), 1)[:, None]], axis=1)
@@ -95,7 +105,7 @@ class ListIndex:
         queries = x[:: max(1, len(x) // probes)]
         best = np.concatenate([np.argsort(_square_distances(queries[i:i + 32], x), axis=1)[:, 1:k + 1]
                                for i in range(0, len(queries), 32)])
-        lists = [own for i in range(0, len(x), 1024) for own in index.lists_of(x[i:i + 1024], replicas, near)]
+        lists = index.lists_of(x, replicas, near)
         reach = np.sqrt(_square_distances(queries, centroids))
         reach /= np.maximum(reach.min(1, keepdims=True), 1e-12)
         needed = [min(reach[q, c] for c in lists[v]) for q in range(len(queries)) for v in best[q]]
@@ -126,27 +136,70 @@ class ListIndex:
             open_[who, cell] = True
         return d
 
-    def lists_of(self, x: np.ndarray, replicas: int = 3, near: float = 1.03) -> list[list[int]]:
+    def nearest(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest centroids met by a best-first walk that ends when all of them are
+        expanded: distances and numbers, nearest first."""
+        c, rows = self.centroids, np.arange(len(x))
+        beam = min(beam, len(c))
+        seeds = np.arange(0, len(c), max(1, int(len(c) / max(beam, len(c) ** 0.5))))
+        d = _square_distances(x, c[seeds])
+        order = np.argsort(d, axis=1, kind="stable")[:, :beam]
+        d, at = np.take_along_axis(d, order, 1), seeds[order]
+        done = np.zeros(at.shape, bool)
+        while len(rows):
+            todo = np.where(done[rows], np.inf, d[rows])
+            pick = todo.argmin(1)
+            go = np.isfinite(todo[np.arange(len(rows)), pick])
+            rows, pick = rows[go], pick[go]
+            done[rows, pick] = True
+            near = np.sort(self.graph[at[rows, pick]], axis=1)
+            new = np.ones(near.shape, bool)
+            new[:, 1:] = near[:, 1:] != near[:, :-1]
+            new &= ~(near[:, :, None] == at[rows][:, None, :]).any(2)
+            gap = x[rows][:, None, :] - c[near]
+            far = np.where(new, np.einsum("rnd,rnd->rn", gap, gap), np.inf)
+            all_d = np.concatenate([d[rows], far], axis=1)
+            order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+            all_at = np.concatenate([at[rows], near], axis=1)
+            all_done = np.concatenate([done[rows], ~new], axis=1)
+            d[rows], at[rows], done[rows] = (np.take_along_axis(v, order, 1) for v in (all_d, all_at, all_done))
+        return np.sqrt(d), at
+
+    def lists_of(self, x: np.ndarray, replicas: int = 3, near: float = 1.03, rows: int = 512) -> list[list[int]]:
         """Lists that each vector is posted to: the nearest centroid's, then those within
         ``near`` of its distance that are not closer to a centroid already taken."""
-        d = self.walk(x, near)
         out = []
-        order = np.argsort(d, axis=1)[:, :4 * replicas]
-        for row, cand in zip(d, order, strict=True):
-            taken = [int(cand[0])]
-            for c in cand[1:]:
-                if row[c] > near * row[cand[0]] or len(taken) == replicas:
-                    break
-                gap = self.centroids[taken] - self.centroids[c]
-                if (np.sqrt((gap * gap).sum(1)) >= row[c]).all():
-                    taken.append(int(c))
-            out.append(taken)
+        for i in range(0, len(x), rows):
+            for far, at in zip(*self.nearest(x[i:i + rows], 8 * replicas), strict=True):
+                taken = [int(at[0])]
+                for f, c in zip(far[1:], at[1:], strict=True):
+                    if not f <= near * far[0] or len(taken) == replicas:
+                        break
+                    gap = self.centroids[taken] - self.centroids[c]
+                    if (np.sqrt((gap * gap).sum(1)) >= f).all():
+                        taken.append(int(c))
+                out.append(taken)
         return out
 
-    def searched(self, x: np.ndarray) -> list[np.ndarray]:
-        d = self.walk(x, self.ratio)
-        limit = self.ratio * d.min(1)
-        return [np.flatnonzero(row <= m) for row, m in zip(d, limit, strict=True)]
+    def searched(self, x: np.ndarray, rows: int = 256) -> list[np.ndarray]:
+        """Lists within the index's ratio of each vector's nearest centroid."""
+        out = []
+        for i in range(0, len(x), rows):
+            d = self.walk(x[i:i + rows], self.ratio)
+            out += [np.flatnonzero(row <= m) for row, m in zip(d, self.ratio * d.min(1), strict=True)]
+        return out
+
+
+def nearest_of(x: np.ndarray, some: np.ndarray, k: int, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and row numbers of ``k`` of the nearest vectors in ``some`` (all, if fewer)."""
+    k, far, at = min(k, len(some)), [], []
+    for i in range(0, len(x), rows):
+        part = x[i:i + rows]
+        best = np.argpartition(_square_distances(part, some), k - 1, axis=1)[:, :k]
+        gap = part[:, None, :] - some[best]
+        far.append(np.sqrt((gap * gap).sum(2)))
+        at.append(best)
+    return np.concatenate(far), np.concatenate(at)
 
 
 def _matrix(column) -> np.ndarray:
@@ -183,9 +236,11 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
         return spark.createDataFrame([], "query_id long, rank int, id long, score double") \
             .withColumnRenamed("id", id_col)
     x = _matrix([r["v"] for r in taken])
-    del taken
-    index = ListIndex.build(x, int(min(most_lists, max(1, len(x) // 8), max(1, n // list_size))), k=k,
+    taken = [(r["class"],) for r in taken]
+    index = ListIndex.build(x, int(max(1, min(most_lists, len(x) // 2, n // list_size))), k=k,
                             replicas=replicas, near=near)
+    some = x[:max(k + 1, (16 << 20) // x[0].nbytes)]  # sent to the tasks: 16 MB at most, or k + 1 vectors
+    names = np.array([r[0] for r in taken], np.int64)[:len(some)]
     queries = materialise(rows.filter(is_query).dropDuplicates(["id", "v"]).select("id", "v")
                           .join(classes.select("v", "class"), "v").select("id", "class", "v"), "vector-queries")
     asked = queries.groupBy("class").agg(F.first("v").alias("v"))
@@ -199,10 +254,21 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
 
     def probe(batches):
         for b in batches:
-            lists = index.searched(_matrix(b["v"])) if len(b) else []
-            yield pd.DataFrame({"list": np.concatenate([*lists, np.zeros(0, np.int64)]).astype("int64")}).assign(
-                **{"class": np.repeat(b["class"].to_numpy(), [len(o) for o in lists]),
-                   "v": [v for v, own in zip(b["v"], lists, strict=True) for _ in own]})
+            for i in range(0, len(b), 256):  # a query's vector is repeated for each of its lists
+                part = b.iloc[i:i + 256]
+                lists = index.searched(_matrix(part["v"]))
+                times = [len(o) for o in lists]
+                yield pd.DataFrame({"list": np.concatenate(lists).astype("int64")}).assign(
+                    **{"class": np.repeat(part["class"].to_numpy(), times),
+                       "v": [v for v, own in zip(part["v"], lists, strict=True) for _ in own],
+                       "most": np.repeat(part["most"].to_numpy(), times)})
+
+    def start(batches):
+        for b in batches:
+            if len(b):
+                far, at = nearest_of(_matrix(b["v"]), some, k + 1)
+                yield b[["class", "v"]].assign(
+                    most=far.max(1) if far.shape[1] > k else np.inf, found=list(names[at]), score=list(far))
 
     schema = "list long, class long, v array<double>"
     posted = materialise(classes.select("class", "v").mapInPandas(post, schema), "vector-lists")
@@ -210,10 +276,13 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
     sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
     posted = posted.join(sizes, "list").select("list", "class", "v", F.pmod(
         F.xxhash64("class"), F.col("blocks")).alias("block"))
-    probing = materialise(asked.mapInPandas(probe, schema).join(sizes, "list"), "vector-probes")
+    known = materialise(asked.mapInPandas(
+        start, "class long, v array<double>, most double, found array<long>, score array<double>"), "vector-starts")
+    probing = materialise(known.select("class", "v", "most").mapInPandas(probe, schema + ", most double")
+                          .join(sizes, "list"), "vector-probes")
     parts = F.broadcast(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("parts")))
     probed = probing.join(parts, "list").select(
-        "list", "class", "v", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"),
+        "list", "class", "v", "most", F.pmod(F.xxhash64("class"), F.col("parts")).alias("part"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     # every block of a list's vectors meets every block of its queries
     posted = posted.join(parts, "list").select("list", "class", "v", "block", F.explode(
@@ -224,15 +293,13 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
         if len(q) and len(p):
             a, b = _matrix(q["v"]), _matrix(p["v"])
             own, ids = q["class"].to_numpy(), p["class"].to_numpy()
-            most = min(len(b), k + 17)
+            limit = q["most"].to_numpy()
+            slack = 1e-9 * (1.0 + (b * b).sum(1).max())  # of squares of differences by products
             for s in range(0, len(a), 256):
                 d = _square_distances(a[s:s + 256], b)
-                best = np.argpartition(d, most - 1, axis=1)[:, :most] if most < len(b) else \
-                    np.tile(np.arange(len(b)), (len(d), 1))
-                edge = np.take_along_axis(d, best, 1).max(1)
-                for i, cand in enumerate(best):
-                    if most < len(b):  # ties at the edge come along
-                        cand = np.flatnonzero(d[i] <= edge[i])
+                inside = d <= (limit[s:s + 256] ** 2 + slack + 1e-9 * (a[s:s + 256] ** 2).sum(1))[:, None]
+                for i in np.flatnonzero(inside.any(1)):
+                    cand = np.flatnonzero(inside[i])
                     exact = np.sqrt(((b[cand] - a[s + i]) ** 2).sum(1))
                     order = np.lexsort((ids[cand], exact))[:k + 1]
                     out["class"].append(np.full(len(order), own[s + i]))
@@ -242,6 +309,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, id_col: str = "vec_id",
 
     near_by = (probed.groupBy("list", "block", "part").cogroup(posted.groupBy("list", "block", "part"))
                .applyInPandas(search, "class long, found long, score double"))
+    near_by = near_by.unionByName(known.select("class", F.explode(F.arrays_zip("found", "score")).alias("m"))
+                                  .select("class", "m.found", "m.score"))
     best = (near_by.groupBy("class", "found").agg(F.min("score").alias("score"))
             .withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("score", "found")))
             .filter(F.col("r") <= k + 1))

@@ -453,6 +453,23 @@ def test_query_blocks_are_bounded_and_change_nothing(spark, monkeypatch):
     assert sizes.value == 0
 
 
+def test_graph_walk_and_bound_against_brute_force():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 16))
+    index = vector_search.ListIndex.build(x, 300)
+    d = np.sqrt(vector_search._square_distances(x[:200], index.centroids))
+    far, at = index.nearest(x[:200], 24)
+    assert (np.diff(far, axis=1) >= 0).all() and np.allclose(far, np.take_along_axis(d, at, 1))
+    assert all(len(set(row)) == len(row) for row in at.tolist())
+    assert (at[:, 0] == d.argmin(1)).mean() >= 0.95
+    every, numbers = index.nearest(x[:5], 10_000)
+    assert np.allclose(every, np.sort(d[:5], axis=1)) and numbers.shape == d[:5].shape
+    far, at = vector_search.nearest_of(x[:50], x[100:2000], 11)
+    d = np.sqrt(vector_search._square_distances(x[:50], x[100:2000]))
+    assert np.allclose(np.sort(far, axis=1), np.sort(d, axis=1)[:, :11]) and np.allclose(far, np.take_along_axis(d, at, 1))
+    assert vector_search.nearest_of(x[:3], x[:5], 11)[0].shape == (3, 5)
+
+
 def test_few_vectors_are_all_returned(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     out = vector_search.nearest_neighbours(df, F.col("id") % 100 == 0).collect()
