@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
 Words are packed into blocks of fixed length along each source's stream of documents.
-A source's target fixes its number of slots.  The slots fall on the output shards by
-multinomial draws: a binary tree over the shards, each node splitting its count by a
-binomial draw seeded with (seed, source, node), so that any node's count and first slot
-number follow from its parent's and no running sum over shards is needed.  Slot j of a
+A source's target fixes its number of slots.  All output shards but the last hold
+``shard_blocks`` slots.  How many of them are each source's is drawn: multinomial counts,
+given the sources' totals.  A binary tree over the shards splits the counts of all
+sources together (a multivariate hypergeometric draw seeded with (seed, node)), so that any
+node's counts and first slot numbers follow from its parent's and no running sum over
+shards is needed.  Slot j of a
 source is block perm(j) of its stream, ``perm`` being a pseudorandom permutation of the
 block numbers (a Feistel network) that differs per source and epoch; joining slots and
 documents' block pieces by (source, block) gives the output shards (``mixed_shards``), and
@@ -14,8 +16,8 @@ Totals are exact: a source's slots add up to its rounded target, its last slot b
 taken in part.  No block is taken twice before all were taken once.
 
 Scale: the stream offsets come from two-level prefix sums (hash buckets of about
-``bucket_rows`` rows per source, then rows inside a bucket); slots of a large source
-are split over tasks after the tree's upper levels; joins are on (source, block), which
+``bucket_rows`` rows per source, then rows inside a bucket); the tree's nodes are
+split over tasks after its upper levels, and a task yields one shard's counts at a time; joins are on (source, block), which
 spreads a hot source over all tasks.  Nothing but one row per source is narrow.
 
 Edge cases: a null or empty text has size 0 and is never taken; a null source is a source
@@ -95,19 +97,40 @@ def _mix64(*parts: int) -> int:
     return x
 
 
-def descend(seed: int, source: int, node: int, low: int, high: int, first: int, count: int, until: int):
-    """Splits ``count`` slots from ``first`` over the shards [low, high) down to groups of at
-    most ``until`` shards; yields the groups with slots: (node, low, high, first, count)."""
-    if not count:
+def drawn(rng: np.random.Generator, counts: np.ndarray, places: int) -> np.ndarray:
+    """How many of each source's ``counts`` slots are among the first ``places`` of all of them in
+    random order (a multivariate hypergeometric draw)."""
+    total = int(counts.sum())
+    if total < 10**9:  # the generator's own bound
+        return rng.multivariate_hypergeometric(counts, places, method="marginals")
+    out = np.zeros_like(counts)
+    for i, c in enumerate(counts.tolist()):  # source after source; large ones by the normal law
+        rest = total - c
+        if total < 10**9:
+            out[i] = rng.hypergeometric(c, rest, places) if c and places else 0
+        else:
+            share = places / total
+            sd = (c * share * (1 - share) * (rest / max(1, total - 1))) ** 0.5
+            out[i] = min(max(round(rng.normal(c * share, sd)), places - rest, 0), c, places)
+        total, places = rest, places - int(out[i])
+    return out
+
+
+def descend(seed: int, shard_blocks: int, node: int, low: int, high: int, sources: np.ndarray,
+            first: np.ndarray, counts: np.ndarray, until: int):
+    """Splits the slots (``counts`` a source, from number ``first``) over the shards [low, high) down
+    to groups of at most ``until`` shards; yields (node, low, high, sources, first, counts)."""
+    if not len(counts):
         return
     if high - low <= until:
-        yield node, low, high, first, count
+        yield node, low, high, sources, first, counts
         return
     mid = (low + high) // 2
-    draw = np.random.default_rng(_mix64(seed, source, node))
-    left = int(draw.binomial(count, (mid - low) / (high - low)))
-    yield from descend(seed, source, 2 * node, low, mid, first, left, until)
-    yield from descend(seed, source, 2 * node + 1, mid, high, first + left, count - left, until)
+    left = drawn(np.random.default_rng(_mix64(seed, node)), counts, (mid - low) * shard_blocks)
+    for lo, hi, child, begin, own in ((low, mid, 2 * node, first, left),
+                                      (mid, high, 2 * node + 1, first + left, counts - left)):
+        some = own > 0
+        yield from descend(seed, shard_blocks, child, lo, hi, sources[some], begin[some], own[some], until)
 
 
 def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
@@ -123,44 +146,56 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: in
     total = plan.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
     group = max(1, -(-shards // 1024))  # shards of a group that one row stands for
-    names = ["source_no", "source_size", "full", "blocks", "epochs", "rest"]
+    tree_schema = "node long, low long, high long, sources array<long>, first array<long>, counts array<long>"
 
     def upper(batches):
         for b in batches:
-            rows = [(*(r[c] for c in names), *g) for r in b.to_pylist()
-                    for g in descend(seed, r["source_no"], 1, 0, shards, 0, r["slots"], group)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names) + 5)],
-                names=[*names, "node", "low", "high", "first", "count"])
+            for r in b.column("all").to_pylist():
+                own = np.array([(x["source_no"], x["slots"]) for x in r], np.int64).reshape(-1, 2)
+                for *at, no, first, counts in descend(seed, shard_blocks, 1, 0, shards, own[:, 0],
+                                                      np.zeros(len(own), np.int64), own[:, 1], group):
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([v], pa.int64()) for v in at),
+                         *(pa.array([v], pa.list_(pa.int64())) for v in (no, first, counts))],
+                        names=["node", "low", "high", "sources", "first", "counts"])
 
     def lower(batches):
         for b in batches:
             for r in b.to_pylist():
-                leaves = list(descend(seed, r["source_no"], r["node"], r["low"], r["high"], r["first"],
-                                      r["count"], 1))
-                counts = np.array([g[4] for g in leaves], np.int64)
-                j = np.arange(r["first"], r["first"] + r["count"])
-                epoch, place = j // r["blocks"], j % r["blocks"]
-                keys = {e: np.uint64(_mix64(seed, r["source_no"], e)) for e in np.unique(epoch).tolist()}
-                block = place.copy()
-                inner = place < r["full"]
-                if inner.any():
-                    block[inner] = permute(place[inner], np.full(int(inner.sum()), r["full"]),
-                                           np.array([keys[e] for e in epoch[inner].tolist()], np.uint64))
-                words = np.where(inner, block_words, r["source_size"] - r["full"] * block_words)
-                partial = epoch == r["epochs"]  # the epoch that stops after ``rest`` words
-                words = np.where(partial, np.minimum(words, r["rest"] - place * block_words), words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(j), r["source_no"]), pa.int64()),
-                     pa.array(np.repeat([g[1] for g in leaves], counts), pa.int64()),
-                     *(pa.array(a, pa.int64()) for a in (j, epoch, block, words))],
-                    names=["source_no", "shard", "slot", "epoch", "block", "words"])
-
-    tree = plan.mapInArrow(upper, ", ".join(
-        f"{c} long" for c in [*names, "node", "low", "high", "first", "count"]))
+                arrays = (np.array(r[c], np.int64) for c in ("sources", "first", "counts"))
+                for _, shard, _, no, first, counts in descend(seed, shard_blocks, r["node"], r["low"], r["high"],
+                                                              *arrays, 1):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v, pa.int64()) for v in (no, np.full(len(no), shard), first, counts)],
+                        names=["source_no", "shard", "first", "count"])
+
+    def choose(batches):
+        for b in batches:
+            no, epoch, place, full = (b.column(c).to_numpy() for c in ("source_no", "epoch", "place", "full"))
+            pairs, which = np.unique(np.stack([no, epoch], 1), axis=0, return_inverse=True)
+            keys = np.array([_mix64(seed, *pair) for pair in pairs.tolist()], np.uint64)[which.reshape(-1)]
+            block, inner = place.copy(), place < full  # the short last block stays in its place
+            if inner.any():
+                block[inner] = permute(place[inner], full[inner], keys[inner])
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c) for c in ("source_no", "shard", "slot", "epoch")), pa.array(block, pa.int64()),
+                 b.column("words")], names=["source_no", "shard", "slot", "epoch", "block", "words"])
+
+    # one row a source, together in the top node as in the targets' window
+    top = plan.agg(F.sort_array(F.collect_list(F.struct("source_no", "slots"))).alias("all"))
+    counts = (top.mapInArrow(upper, tree_schema).repartition("node")
+              .mapInArrow(lower, "source_no long, shard long, first long, count long"))
+    whole = F.when(F.col("place") < F.col("full"), F.lit(block_words)).otherwise(
+        F.col("source_size") - F.col("full") * block_words)
+    slots = (counts.join(source_side(plan), "source_no")
+             .withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
+             .withColumn("epoch", F.expr("slot div blocks")).withColumn("place", F.expr("slot % blocks"))
+             # the epoch that stops after ``rest`` words takes its last block in part
+             .withColumn("words", F.when(F.col("epoch") == F.col("epochs"), F.least(
+                 whole, F.col("rest") - F.col("place") * block_words)).otherwise(whole).cast("long")))
     # (joins with the slots are hinted: the planner takes their size for that of the sources)
-    return tree.repartition("source_no", "node").mapInArrow(
-        lower, "source_no long, shard long, slot long, epoch long, block long, words long")
+    return slots.select("source_no", "shard", "slot", "epoch", "place", "full", "words").mapInArrow(
+        choose, "source_no long, shard long, slot long, epoch long, block long, words long")
 
 
 def block_pieces(rows: DataFrame, sources: DataFrame, block_words: int, bucket_rows: int = 4_000) -> DataFrame:
@@ -235,13 +270,17 @@ def mixed_shards(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text", weights=(3, 1, 2), share: float = 1.5, most: float = 2.0,
                 block_words: int = 256, shard_blocks: int = 1024, seed: int = 20) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken (over all shards)."""
+    """One row per document: id, size, source_size, target, taken (over all shards), first_shard
+    and n_shards (the first shard with words of it, null without any, and their number)."""
     rows, sources = prepared(docs, id_col, source_col, text_col, weights, share, most)
-    per = shard_pieces(rows, sources, block_words, shard_blocks, seed).groupBy("uid").agg(F.sum("n").alias("taken"))
+    per = shard_pieces(rows, sources, block_words, shard_blocks, seed).groupBy("uid").agg(
+        F.sum("n").alias("taken"), F.min("shard").alias("first_shard"),
+        F.size(F.collect_set("shard")).cast("long").alias("n_shards"))
     return (rows.join(per, "uid", "left")
             .join(source_side(sources), F.col("s").eqNullSafe(F.col("source")))
             .select(F.col("id").alias(id_col), "size", F.col("source_size").cast("long"), "target",
-                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))
+                    F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard",
+                    F.coalesce("n_shards", F.lit(0).cast("long")).alias("n_shards")))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",

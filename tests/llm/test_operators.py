@@ -172,11 +172,15 @@ def test_shards_hold_the_drawn_counts_of_whole_blocks(make_docs):
     slots = Counter(r.source for r in out)
     shards = -(-sum(slots.values()) // 100)
     drawn = {}
-    for no, s in enumerate(["a", "b", None]):
-        for _, low, _, first, count in mixing.descend(20, no, 1, 0, shards, 0, slots[s], 1):
-            drawn |= {(s, j): low for j in range(first, first + count)}
+    names = ["a", "b", None]
+    for _, low, _, nos, firsts, counts in mixing.descend(
+            20, 100, 1, 0, shards, np.arange(3), np.zeros(3, int), np.array([slots[s] for s in names]), 1):
+        for no, first, count in zip(nos.tolist(), firsts.tolist(), counts.tolist()):
+            drawn |= {(names[no], j): low for j in range(first, first + count)}
     assert {(r.source, r.slot): r.shard for r in out} == drawn and len(out) == len(drawn)
     per = Counter((r.shard, r.source) for r in out)
+    held_by = Counter(r.shard for r in out)  # all shards but the last are full
+    assert all(held_by[k] == 100 for k in range(shards - 1)) and held_by[shards - 1] == len(out) - 100 * (shards - 1)
     assert shards > 5 and len({per[k, "a"] for k in range(shards)}) > 1  # not an even deal
     texts, source = {i: t.split() for i, t, _ in rows}, {i: s for i, _, s in rows}
     taken, held = Counter(), {}
@@ -188,8 +192,13 @@ def test_shards_hold_the_drawn_counts_of_whole_blocks(make_docs):
         whole = held.setdefault((r.source, r.block), words)
         longer, shorter = max(whole, words, key=len), min(whole, words, key=len)
         assert longer[:len(shorter)] == shorter
-    assert {r.doc_id: r.taken for r in mixing.mix_sources(docs, block_words=16, shard_blocks=100).collect()} == {
-        i: taken[i] for i in texts}
+    where = {}
+    for r in out:
+        for p in r.pieces:
+            where.setdefault(p.doc_id, set()).add(r.shard)
+    mixed = mixing.mix_sources(docs, block_words=16, shard_blocks=100).collect()
+    assert {r.doc_id: (r.taken, r.first_shard, r.n_shards) for r in mixed} == {
+        i: (taken[i], min(where.get(i, {None})), len(where.get(i, ()))) for i in texts}
     got = Counter(w for r in mixing.mixed_documents(docs, block_words=16, shard_blocks=100).collect() for w in r.text.split())
     assert got == Counter(w for r in out for p in r.pieces for w in texts[p.doc_id][p["at"]:p["at"] + p.n])
     parts = {(r.shard, p.doc_id, r.slot // -(-size[r.source] // 16)) for r in out for p in r.pieces}
@@ -209,10 +218,26 @@ def test_permutation_is_a_bijection():
 
 
 def test_tree_splits_all_slots():
-    leaves = list(mixing.descend(5, 3, 1, 0, 37, 0, 10_000, 1))
-    assert sum(x[4] for x in leaves) == 10_000 and [x[3] for x in leaves] == list(
-        itertools.accumulate([0] + [x[4] for x in leaves[:-1]]))
-    assert max(x[4] for x in leaves) < 2 * min(x[4] for x in leaves) + 200
+    sources, counts = np.array([3, 5, 8]), np.array([10_000, 400, 7])
+    leaves = list(mixing.descend(5, 282, 1, 0, 37, sources, np.zeros(3, int), counts, 1))
+    assert [x[1] for x in leaves] == list(range(37))
+    assert [x[5].sum() for x in leaves] == [282] * 36 + [10_407 - 36 * 282]
+    for no, n in zip(sources, counts):
+        own = [(x[4][x[3] == no][0], x[5][x[3] == no][0]) for x in leaves if no in x[3]]
+        assert [f for f, _ in own] == list(itertools.accumulate([0] + [c for _, c in own[:-1]]))
+        assert sum(c for _, c in own) == n
+
+
+def test_shard_counts_follow_the_multinomial_law():
+    draws = np.array([mixing.drawn(np.random.default_rng(k), np.array([600, 300, 100]), 100) for k in range(3000)])
+    share = np.array([0.6, 0.3, 0.1])
+    assert (draws.sum(1) == 100).all() and np.allclose(draws.mean(0), 100 * share, atol=0.4)
+    # variances of draws without return, given the sources' totals
+    assert np.allclose(draws.var(0), 100 * share * (1 - share) * 900 / 999, rtol=0.12)
+    huge = np.array([6 * 10**9, 3 * 10**9, 5, 0])
+    left = mixing.drawn(np.random.default_rng(1), huge, 4 * 10**9)
+    assert left.sum() == 4 * 10**9 and (left >= 0).all() and (left <= huge).all()
+    assert np.allclose(left[:2] / 4e9, [2 / 3, 1 / 3], atol=1e-4)
 
 
 # ---- 4 packing ----
