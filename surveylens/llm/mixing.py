@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveylens.llm.common import columns_of, fresh, load, materialise
+from surveylens.llm.common import columns_of, fresh, load, materialise, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,7 +145,8 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: in
                       ("source_no", "source_size", "full", "blocks", "epochs", "rest", "slots")]))
     total = plan.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // shard_blocks))
-    group = max(1, -(-shards // 1024))  # shards of a group that one row stands for
+    group = max(1, -(-shards // 16_384))  # shards of a group that one row stands for
+    tasks = min(-(-shards // group), shuffle_partitions(sources.sparkSession))
     tree_schema = "node long, low long, high long, sources array<long>, first array<long>, counts array<long>"
 
     def upper(batches):
@@ -183,7 +184,7 @@ def draw_slots(sources: DataFrame, block_words: int, shard_blocks: int, seed: in
 
     # one row a source, together in the top node as in the targets' window
     top = plan.agg(F.sort_array(F.collect_list(F.struct("source_no", "slots"))).alias("all"))
-    counts = (top.mapInArrow(upper, tree_schema).repartition("node")
+    counts = (top.mapInArrow(upper, tree_schema).repartition(tasks, "node")  # given in number: few bytes, many slots
               .mapInArrow(lower, "source_no long, shard long, first long, count long"))
     whole = F.when(F.col("place") < F.col("full"), F.lit(block_words)).otherwise(
         F.col("source_size") - F.col("full") * block_words)
