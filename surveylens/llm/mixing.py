@@ -28,6 +28,7 @@ targets are 0; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveylens.llm.common import columns_of, fresh, load, materialise, shuffle_partitions
+from surveylens.llm.common import columns_of, fresh, load, materialise, shuffle_partitions, text_slices
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -292,7 +293,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     the rows of words that the shard takes follow each other, joined by a line break.  Documents
     without words are not taken."""
     columns = docs.columns
-    uid, size, source, got, cuts = (fresh(docs, c) for c in ("uid", "size", "s", "got", "spans"))
+    uid, size, source, cuts = (fresh(docs, c) for c in ("uid", "size", "s", "spans"))
     kept = materialise(sized(docs, source_col, text_col, size, source)
                        .withColumn(uid, F.monotonically_increasing_id()), "mix-texts")
     rows = kept.select(F.col(uid).alias("uid"), F.col(id_col).alias("id"), F.col(source).alias("s"),
@@ -300,32 +301,46 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "
     sources = materialise(source_targets(rows.withColumnRenamed("s", "source"), weights, share, most),
                           "mix-sources")
     spans = (shard_pieces(rows, sources, block_words, shard_blocks, seed)
-             .groupBy(F.col("uid").alias("_uid"), "epoch", "shard").agg(
-                 F.sort_array(F.collect_list(F.struct("at", "n"))).alias("_spans"), F.sum("n").alias("_got")))
-    spans = spans.select(F.col("_uid").alias(uid), F.col("_spans").alias(cuts), F.col("_got").alias(got))
-    found = kept.join(spans, uid).select(*columns_of(docs), size, got, cuts)
+             .groupBy(F.col("uid").alias(uid)).agg(
+                 F.sort_array(F.collect_list(F.struct("epoch", "shard", "at", "n"))).alias(cuts)))
+    # one row a document, whose words are found once for all shards
+    found = kept.join(spans, uid).select(*columns_of(docs), size, cuts)
     schema = T.StructType([docs.schema[c] for c in columns])
     word = re.compile(WORD)
 
-    def cut(batches):
-        for b in batches:
-            texts = []
-            for text, whole, taken, pieces in zip(*(b.column(c).to_pylist() for c in
-                                                    (text_col, size, got, cuts)), strict=True):
-                if taken < whole:
-                    at = [m.span() for m in word.finditer(text)]
+    def rows_of(b, of, texts):
+        of = pa.array(of, pa.int64())
+        out = {c: pa.array(texts, pa.string()) if c == text_col else b.column(c).take(of) for c in columns}
+        if "n_chars" in out:
+            out["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
+        return pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
+
+    def cut(batches, most: int = 4 << 20):
+        for b in text_slices(batches, text_col):
+            of, texts, held = [], [], 0
+            for i in range(b.num_rows):
+                text, whole, pieces = (b.column(c)[i].as_py() for c in (text_col, size, cuts))
+                ends = None
+                for _, own in groupby(pieces, key=lambda x: (x["epoch"], x["shard"])):
                     runs: list[list[int]] = []
-                    for s in pieces:
-                        if runs and runs[-1][1] == s["at"]:
-                            runs[-1][1] += s["n"]
+                    for x in own:
+                        if runs and runs[-1][1] == x["at"]:
+                            runs[-1][1] += x["n"]
                         else:
-                            runs.append([s["at"], s["at"] + s["n"]])
-                    text = "\n".join(text[at[a][0]:at[z - 1][1]] for a, z in runs)
-                texts.append(text)
-            out = {c: b.column(c) for c in columns} | {text_col: pa.array(texts, pa.string())}
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([len(t) for t in texts], pa.int64()).cast(out["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
+                            runs.append([x["at"], x["at"] + x["n"]])
+                    part = text
+                    if runs != [[0, whole]]:
+                        if ends is None:
+                            ends = np.fromiter((e for m in word.finditer(text) for e in m.span()), np.int64)
+                        part = "\n".join(text[ends[2 * a]:ends[2 * z - 1]] for a, z in runs)
+                    of.append(i)
+                    texts.append(part)
+                    held += len(part)
+                    if held > most:
+                        yield rows_of(b, of, texts)
+                        of, texts, held = [], [], 0
+            if of:
+                yield rows_of(b, of, texts)
 
     return found.mapInArrow(cut, schema)
 
