@@ -312,3 +312,32 @@ def test_published_grids():
     assert sizes == {"KNN": 48, "CART": 532, "RF": 72, "XGBoost": 24, "LightGBM": 8}
     assert {k: (len(GR.grid_points(g)), folds) for k, (g, folds) in S.MODEL_GRIDS.items()} == {
         "Adaboost": (9, 10), "XGBoost": (8, 10), "LR": (3, 10), "CatBoost": (27, 10), "RF": (180, 5), "LightGBM": (8, 10)}
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "huge"])
+def test_neighbours_by_a_product_are_those_measured_feature_by_feature(kind):
+    draw = np.random.default_rng(3)
+    x, points = draw.normal(size=(60, 7)) + 1e6, draw.normal(size=(300, 7)) + 1e6
+    if kind == "ties":
+        x, points = draw.integers(0, 3, (60, 7)).astype(float), draw.integers(0, 3, (300, 7)).astype(float)
+    if kind == "huge":
+        x[3], points[5, 1] = 1e200, np.inf
+    fold, folds, classes, k = draw.integers(0, 3, 60), draw.integers(0, 3, 300), draw.integers(0, 2, 300), 9
+    votes, voters = K.nearest_votes(x, fold, (points, classes, folds), k)
+    measured = 0
+    for i in range(len(x)):
+        with np.errstate(over="ignore"):
+            d = np.zeros(300)
+            for f in range(7):
+                d += (x[i, f] - points[:, f]) ** 2
+        d[folds == fold[i]] = np.inf
+        near = [j for j in np.argsort(d, kind="stable")[:k] if np.isfinite(d[j])]
+        measured += len(near)
+        want = np.cumsum([classes[j] for j in near])
+        assert votes[i, :len(near)].tolist() == want.tolist()
+        assert voters[i].tolist() == [min(n, len(near)) for n in range(1, k + 1)]
+    assert measured
+    if kind != "huge":  # only the few rows near the edge are measured again
+        rough, slack = K.rough_distances(x, points, (points * points).sum(1))
+        exact = ((x[:, None] - points[None]) ** 2).sum(2)
+        assert (np.abs(rough - exact) <= slack[:, None]).all()
