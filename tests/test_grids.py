@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from surveylens import schema as S
+from surveylens.operators import boost as B
 from surveylens.operators import gradient as G
 from surveylens.operators import grids as GR
 from surveylens.operators import logistic as L
 from surveylens.operators import neighbours as K
 from surveylens.operators import trees as T
+from surveylens.operators.packed import Groups
 
 FEATURES = ["a", "b", "c", "d"]
 ROWS = 240
@@ -341,3 +343,44 @@ def test_neighbours_by_a_product_are_those_measured_feature_by_feature(kind):
         rough, slack = K.rough_distances(x, points, (points * points).sum(1))
         exact = ((x[:, None] - points[None]) ** 2).sum(2)
         assert (np.abs(rough - exact) <= slack[:, None]).all()
+
+
+def test_sums_of_groups_of_features_are_those_of_each_feature():
+    draw = np.random.default_rng(5)
+    bins = [3, 7, 7, 2, 900, 7, 7, 5]
+    offsets = np.concatenate(([0], np.cumsum(bins)))
+    codes = np.stack([draw.integers(0, b, 400) for b in bins], axis=1).astype(np.uint16)
+    w, node, rows = draw.integers(-50, 50, 400) / 64, draw.integers(0, 3, 150), draw.permutation(400)[:150]
+    groups = Groups(offsets)
+    assert len(groups.members) < len(bins) and sorted(sum(groups.members, [])) == list(range(len(bins)))
+    for some, at, k in ((None, None, 1), (rows, node, 3)):
+        own = np.arange(400) if some is None else some
+        place = np.zeros(400, int) if at is None else at
+        for weight, got in zip((w, None), groups.sums(groups.cells(codes), some, at, k, (w, None)), strict=True):
+            for f, b in enumerate(bins):
+                want = np.zeros((k, b))
+                np.add.at(want, (place, codes[own, f]), 1.0 if weight is None else weight[own])
+                assert (got[:, offsets[f]:offsets[f + 1]] == want).all()
+
+
+def test_models_of_half_a_million_rows_take_no_scan_a_round(monkeypatch):
+    def scan(*_):
+        raise AssertionError("a scan")
+
+    monkeypatch.setattr(G, "LargeBoosting", scan)
+    monkeypatch.setattr(T, "_level_splits", scan)
+    scanned = []
+    monkeypatch.setattr(B, "_boost_in_tasks", lambda *_: None)
+    monkeypatch.setattr(B, "_boost_by_scans", lambda coded, specs, models: scanned.extend(models))
+
+    class Rows:
+        features, bins = ["a"], B.Bins(["a"], [np.arange(3.0)], [True])
+
+        def training_rows(self, fold=None):
+            return 540_000
+
+    tops = T.grow_tops(Rows(), T.ForestSpec(0), range(2), T.SUBTREE_ROWS)
+    assert all(len(top.n) == 1 and not top.done[0] for top in tops.values())
+    Rows.training_rows = lambda self, fold=None: [540_000]
+    B.boost_coded(Rows(), [B.BoostSpec("m", F.lit(True))])
+    assert not scanned and G.TASK_ROWS >= 540_000
