@@ -382,5 +382,5 @@ def test_models_of_half_a_million_rows_take_no_scan_a_round(monkeypatch):
     tops = T.grow_tops(Rows(), T.ForestSpec(0), range(2), T.SUBTREE_ROWS)
     assert all(len(top.n) == 1 and not top.done[0] for top in tops.values())
     Rows.training_rows = lambda self, fold=None: [540_000]
-    B.boost_coded(Rows(), [B.BoostSpec("m", F.lit(True))])
+    B.boost_coded(Rows(), [B.BoostSpec("m", None)])
     assert not scanned and G.TASK_ROWS >= 540_000
