@@ -384,3 +384,13 @@ def test_models_of_half_a_million_rows_take_no_scan_a_round(monkeypatch):
     Rows.training_rows = lambda self, fold=None: [540_000]
     B.boost_coded(Rows(), [B.BoostSpec("m", None)])
     assert not scanned and G.TASK_ROWS >= 540_000
+
+
+def test_each_model_and_each_group_of_trees_has_a_task_of_its_own(tables, monkeypatch):
+    specs = [G.GradientSpec(0, 0.1 * k, 2) for k in range(1, 10)]
+    rows = G.boosted(tables.binned(), specs, [1], False).withColumn("task", F.spark_partition_id())
+    assert len({(r.model, r.task) for r in rows.collect()}) == len({r.task for r in rows.collect()}) == 9
+    monkeypatch.setattr(T, "TREES_A_TASK", 1)
+    spec = T.ForestSpec(0, features_per_node=2, bootstrap=True)
+    shares = T.held_out_shares(tables.coded(), spec, range(9), [3], [2], False)
+    assert len({r.task for r in shares.select(F.spark_partition_id().alias("task")).collect()}) == 9
