@@ -394,3 +394,36 @@ def test_each_model_and_each_group_of_trees_has_a_task_of_its_own(tables, monkey
     spec = T.ForestSpec(0, features_per_node=2, bootstrap=True)
     shares = T.held_out_shares(tables.coded(), spec, range(9), [3], [2], False)
     assert len({r.task for r in shares.select(F.spark_partition_id().alias("task")).collect()}) == 9
+
+
+@pytest.mark.parametrize("cells_a_row", [0, 8, 1000])
+def test_bins_counted_or_sorted_are_those_of_each_node(cells_a_row, monkeypatch):
+    monkeypatch.setattr(T, "CELLS_A_ROW", cells_a_row)
+    draw = np.random.default_rng(4)
+    at, bins = draw.choice([0, 2, 3, 3, 3, 3, 3], 300), np.array([5, 9, 700, 40])  # node 1 has no row
+    code, w, y = draw.integers(0, bins[at]), draw.integers(1, 18, 300), draw.integers(0, 2, 300)
+    want = {}
+    for a, c, weight, one in zip(at, code, w, y, strict=True):
+        total, ones = want.get((a, c), (0, 0))
+        want[a, c] = (total + weight, ones + weight * one)
+    node, bin_, sums = T.occupied_bins(code, at, w * np.where(y == 1, 1 + T.CLASS_UNIT, 1.0), 4, bins)
+    assert list(zip(node, bin_, strict=True)) == sorted(want)
+    assert [divmod(s, T.CLASS_UNIT)[::-1] for s in sums] == [want[k] for k in sorted(want)]
+
+
+def test_levels_of_a_scan_in_several_sums(coded, monkeypatch):
+    spec = T.ForestSpec(1, 2, 2, True, max_depth=4)
+    whole = [T.tree_nodes(coded, spec, t) for t in range(2)]
+    monkeypatch.setattr(T, "ADDED_ROWS", 1)
+    assert [T.tree_nodes(coded, spec, t) for t in range(2)] == whole
+
+
+def test_a_large_node_counts_no_bins_one_by_one(coded, monkeypatch):
+    """Sums of a level and hits of a tree's leaves cost a feature and a leaf, not a node's feature and a row's point."""
+    calls, real = [], np.bincount
+    held = T.held_out_shares(coded, T.ForestSpec(1), range(1), list(range(1, 20)), list(range(2, 30)), True)
+    assert held.count() == 532
+    y, end = np.array([1, 0, 1, 1]), np.array([0, 0, 2, 2])
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got = T.leaf_hits(np.array([[0.4, 0.6], [0.0, 0.0], [0.5, 1.0]]), end, y)
+    assert got.column("hits").to_pylist() == [1, 3] and got.column("n").to_pylist() == [4, 4] and len(calls) == 2
