@@ -147,3 +147,48 @@ def test_constant_features_give_a_leaf(spark):
     df = spark.createDataFrame([(1.0, 1), (1.0, 1), (None, 0)], "x double, y int")
     stump = B.fit_boosted_stumps(df, ["x"], "y", [B.BoostSpec("m", F.lit(True), 1.0, 1)])["m"].stumps[0]
     assert stump.feature is None and stump.left == 1
+
+
+def test_rounds_read_blocks_of_cells_only(spark):
+    """A round's sums per slot, of features put together and alone, with nulls and parts of the rows."""
+    rng = np.random.default_rng(5)
+    n = 900
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, n).astype(float), "b": rng.integers(0, 3, n).astype(float),
+                        "c": np.round(rng.normal(size=n), 2), "y": rng.integers(0, 2, n), "part": rng.integers(0, 3, n)})
+    pdf.loc[::17, "a"] = np.nan
+    specs = [B.BoostSpec("all", F.lit(True)), B.BoostSpec("some", F.col("part") > 0), B.BoostSpec("none", F.col("part") > 9)]
+    coded = B.CodedTable(spark.createDataFrame(pdf).repartition(3), ["a", "b", "c"], "y", specs, 8192)
+    coded.cells()
+    coded.rows = None  # what the rounds do not read
+    tables = {m: rng.normal(size=(2, coded.bins.offsets[-1])) for m in range(3)}
+    shift = {0: 0.5, 1: -0.25, 2: 0.0}
+    got = {(r.m, r.fi, r.bin): (r.w1, r.w0) for r in coded.sums(tables, shift).collect()}
+    want: dict = {}
+    for _, r in pdf.iterrows():
+        bins = [None if np.isnan(r[f]) else int(np.searchsorted(coded.bins.edges[k], r[f])) for k, f in enumerate("abc")]
+        slots = [coded.bins.offsets[k] + (len(coded.bins.edges[k]) if b is None else b) for k, b in enumerate(bins)]
+        for m in ([0, 1] if r.part > 0 else [0]):
+            w = math.exp(sum(tables[m][int(r.y), s] for s in slots) - shift[m])
+            for k, b in enumerate(bins):
+                want.setdefault((m, k, b), [0.0, 0.0])[int(r.y == 0)] += w
+    coded.drop()
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(tuple(want[k])) for k in want)
+
+
+def test_a_task_sends_no_more_values_than_tell_that_they_are_too_many(spark, monkeypatch):
+    rows = [(float(i % 5) if i % 7 else None, float(i) if i % 11 else float("nan")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(3).persist()
+    sent = []
+    distinct = type(df).distinct
+
+    def counted(self):
+        sent.append(self.count())
+        return distinct(self)
+
+    monkeypatch.setattr(type(df), "distinct", counted)
+    bins = B.find_bins(df, ["a", "b"], 16)
+    df.unpersist()
+    assert bins.exact == [True, False] and list(bins.edges[0]) == [0.0, 1.0, 2.0, 3.0, 4.0]
+    assert len(bins.edges[1]) <= 16 and bins.edges[1][-1] == 2999.0
+    assert sent[0] <= 3 * (5 + 17)
