@@ -92,3 +92,13 @@ def test_queries_run_the_published_grids(spark, name, points):
     rows = E.queries()[name](spark, SF_SMALL).collect()
     assert len({r.params for r in rows}) == points == len(rows)
     assert all(0.5 < r.mean_accuracy <= 1 for r in rows)
+
+
+def test_large_tables_are_dealt_over_all_cores(spark, monkeypatch):
+    df = spark.range(0, 4000, 1, 1).selectExpr("id", "id % 7 AS a", "CASE WHEN id % 5 > 0 THEN id % 3 END AS b")
+    assert ML.dealt(df).rdd.getNumPartitions() == 1  # few rows stay as they come
+    monkeypatch.setattr(ML, "FEW_ROWS", 100)
+    parts = ML.dealt(df).rdd.glom().collect()
+    assert len(parts) == spark.sparkContext.defaultParallelism and min(map(len, parts)) > 500
+    assert sorted(r.id for p in parts for r in p) == list(range(4000))
+    assert ML.dealt(df.repartition(3)).rdd.glom().collect() == parts  # whatever files and tasks they came from
