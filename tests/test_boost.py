@@ -177,7 +177,7 @@ def test_rounds_read_blocks_of_cells_only(spark):
 
 
 def test_a_task_sends_no_more_values_than_tell_that_they_are_too_many(spark, monkeypatch):
-    rows = [(float(i % 5) if i % 7 else None, float(i) if i % 11 else float("nan")) for i in range(3000)]
+    rows = [((float(i % 5) if i % 11 else float("nan")) if i % 7 else None, float(i)) for i in range(3000)]
     df = spark.createDataFrame(rows, "a double, b double").repartition(3).persist()
     sent = []
     distinct = type(df).distinct
