@@ -427,3 +427,45 @@ def test_a_large_node_counts_no_bins_one_by_one(coded, monkeypatch):
     monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
     got = T.leaf_hits(np.array([[0.4, 0.6], [0.0, 0.0], [0.5, 1.0]]), end, y)
     assert got.column("hits").to_pylist() == [1, 3] and got.column("n").to_pylist() == [4, 4] and len(calls) == 2
+
+
+def test_all_rows_of_the_other_folds_are_neighbours(spark):
+    """24,000 rows in pairs that are far from all others: the nearest is the partner, whatever its hash."""
+    draw = np.random.default_rng(6)
+    n = 24_000
+    y = np.repeat(draw.integers(0, 2, n // 2), 2)
+    pairs = pd.DataFrame({"ID": draw.permutation(n), "a": np.repeat(draw.permutation(n // 2) * 10.0, 2),
+                          "b": np.arange(n) % 2 * 0.5, "y": y, "fold": np.arange(n) % 2})
+    tables = GR.Tables(spark.createDataFrame(pairs), ["a", "b"], "y")
+    tuned = GR.tune(tables, "KNN", {"n_neighbors": [1]}, 2).collect()
+    assert [r.mean_accuracy for r in tuned] == [1.0]
+    tables.drop()
+
+
+def test_neighbours_over_chunks_and_slabs_equal_brute_force(spark, frame, monkeypatch):
+    for name, rows in (("CHUNK_ROWS", 60), ("SLAB_ROWS", 90), ("BLOCK_ROWS", 16), ("OWN_ROWS", 7),
+                       ("FEW_POINTS", 9), ("MOST_POINTS", 40)):
+        monkeypatch.setattr(K, name, rows)
+    # keys repeat or are null, and half of the rows have equals at equal distances
+    odd = frame.withColumn("ID", F.when(F.col("ID") % 3 > 0, F.col("ID") % 5)).withColumn("c", F.round("c"))
+    data = GR.Tables(odd.unionByName(odd.filter("b < 2")), FEATURES, "y").numeric()
+    rows = sorted((r.rid, r.row, r.y, r.fold, np.frombuffer(r.x)) for r in data.rows.collect())
+    got = {(r.row, r.n_neighbors): r.score for r in K.held_out_votes(data, [0, 2], [1, 4, 300], False).collect()}
+    assert len(got) == 3 * sum(fold != 1 for _, _, _, fold, _ in rows)
+    for _, row, _, fold, x in rows:
+        if fold != 1:
+            near = sorted((sum((p - q) ** 2 for p, q in zip(x, z, strict=True)), i, c)
+                          for i, (_, _, c, f, z) in enumerate(rows) if f != fold)
+            for k in (1, 4, 300):
+                assert got[row, k] == pytest.approx(np.mean([c for _, _, c in near[:k]])), (row, k)
+    data.drop()
+
+
+def test_votes_of_the_nearest_are_written_once(spark, frame, monkeypatch):
+    made, real = [], K._write_votes
+    monkeypatch.setattr(K, "_write_votes", lambda data, folds, k, most: made.append(k) or real(data, folds, k, most))
+    tables = GR.Tables(frame, FEATURES, "y")
+    assert GR.before_after(tables, "KNN", {"n_neighbors": [2, 3, 9]}, 3).count() == 4
+    assert made == [9]
+    assert GR.tune(tables, "KNN", {"n_neighbors": [11]}, 3).count() == 1 and made == [9, 11]
+    tables.drop()
