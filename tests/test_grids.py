@@ -469,3 +469,24 @@ def test_votes_of_the_nearest_are_written_once(spark, frame, monkeypatch):
     assert made == [9]
     assert GR.tune(tables, "KNN", {"n_neighbors": [11]}, 3).count() == 1 and made == [9, 11]
     tables.drop()
+
+
+def test_models_of_a_grid_share_the_scans_of_its_large_nodes(frame, monkeypatch):
+    grid, scans, real = {"max_depth": [1, 2, 30], "min_samples_split": [2, 30, 60]}, [], T._level_splits
+    monkeypatch.setattr(T, "_level_splits", lambda *a: scans.append(1) or real(*a))
+    large = GR.Tables(frame, FEATURES, "y", subtree_rows=40)
+    tuned = {r.place: r.mean_accuracy for r in GR.tune(large, "CART", grid, 3).collect()}
+    levels = len(scans)
+    for place in (1, 4, 8):
+        rows = GR.compare(large, {"m": ("CART", GR.grid_points(grid)[place])}, 3).collect()
+        assert {r.metric: r.score for r in rows}["accuracy"] == pytest.approx(tuned[place], abs=1e-9)
+    GR.before_after(large, "CART", grid, 3)
+    assert levels and len(scans) == levels
+    # a top that was cut short does not serve a larger tree
+    short = GR.Tables(frame, FEATURES, "y", subtree_rows=40)
+    GR.compare(short, {"m": ("CART", {"max_depth": 1})}, 3)
+    monkeypatch.undo()
+    small = GR.before_after(GR.Tables(frame, FEATURES, "y"), "CART", grid, 3).collect()
+    for tables in (large, short):
+        got = {(r.stage, r.metric): r.score for r in GR.before_after(tables, "CART", grid, 3).collect()}
+        assert got == {(r.stage, r.metric): pytest.approx(r.score, abs=1e-9) for r in small}
